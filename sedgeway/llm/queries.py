@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sedgeway.llm import media, mixing, url_filter
+from sedgeway.llm import media, mixing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
 }
 
