@@ -36,7 +36,11 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
     """Slices of a batch whose ``column`` holds about ``limit`` bytes each."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    values = batch.column(batch.schema.get_field_index(column))
+    if pa.types.is_list(values.type):
+        sizes = pc.multiply(pc.fill_null(pc.list_value_length(values), 0), 8).to_numpy(zero_copy_only=False)
+    else:
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:
