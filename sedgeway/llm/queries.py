@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sedgeway.llm import bpe, media, mixing, quality, secret_scan, url_filter
+from sedgeway.llm import bpe, media, mixing, quality, secret_scan, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_bpe": bpe.op3_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
