@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sedgeway.llm import bpe, media, mixing, quality, secret_scan, simhash, url_filter
+from sedgeway.llm import bpe, media, mixing, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
