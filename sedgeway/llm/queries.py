@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedgeway.llm import bpe, media, mixing, quality, secret_scan, simhash, toxicity, url_filter
+from sedgeway.llm import bpe, license_scan, media, mixing, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_media_columns": media.op10_media_columns,
