@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sedgeway.llm import bpe, license_scan, media, mixing, quality, secret_scan, simhash, toxicity, url_filter
+from sedgeway.llm import bpe, license_scan, media, mixing, quality, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_license_scan": license_scan.op7_license_scan,
