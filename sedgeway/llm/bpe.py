@@ -244,9 +244,10 @@ def _lists(batch: pa.RecordBatch, column: str) -> Iterator[list[int]]:
     return (x.as_py() for x in batch.column(column))
 
 
-def digests(df: DataFrame, vocabulary, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encoded, then decoded from the ids, in one pass."""
-    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digests(df: DataFrame, vocabulary, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``): encoded, then decoded from the ids, in one pass."""
+    ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
+    added = T.StructType([*ids_field, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def make():
         encoder = encoder_for(vocabulary)
@@ -254,10 +255,12 @@ def digests(df: DataFrame, vocabulary, text: str = "text") -> DataFrame:
         sha = hashlib.sha256
 
         def work(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
             for t in batch.column(text).to_pylist():
                 ids = encoder.encode(t or "")
                 out["n_tokens"].append(len(ids))
+                if keep_ids:
+                    out["ids"].append(np.array(ids, dtype=np.int32))
                 out["ids_sha256"].append(sha(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(sha(encoder.decode(ids)).hexdigest())
             return out

@@ -129,20 +129,25 @@ def _cut_cells(cells: DataFrame, cell: str) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame, sources: str, doc_id: str, seed: int) -> DataFrame:
+    """``docs`` with its pattern and the two cells of its hash."""
+    members = F.coalesce(F.col(sources), F.array(F.lit(None).cast("string")))
+    h = F.xxhash64(F.col(doc_id), F.lit(seed))
+    return docs.withColumns({"members": members, "pattern": F.to_json(F.array_sort(F.array_distinct(members))), "c1": F.shiftrightunsigned(h, 52).cast("int"), "c2": (F.shiftrightunsigned(h, 40) % _CELLS).cast("int")})
+
+
 def mix(
-    docs: DataFrame, sources: str = "sources", size: str = "size", doc_id: str = "doc_id",
+    docs: DataFrame, sources: str = "sources", size: str = "size", doc_id: str = "doc_id", narrow: DataFrame | None = None,
     weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: int = SEED,
 ) -> tuple[DataFrame, dict, dict]:
     """``docs`` with ``times``, the uses of each document, and the sizes and targets of the sources.
 
     ``sources`` is an array column: a document may belong to several sources, and counts for each.
+    ``narrow`` may give the same rows without their texts, for the sums.
     """
     spark = docs.sparkSession
-    sources = F.coalesce(F.col(sources), F.array(F.lit(None).cast("string")))
-    pattern = F.to_json(F.array_sort(F.array_distinct(sources)))
-    h = F.xxhash64(F.col(doc_id), F.lit(seed))
-    keyed = docs.withColumns({"pattern": pattern, "c1": F.shiftrightunsigned(h, 52).cast("int"), "c2": (F.shiftrightunsigned(h, 40) % _CELLS).cast("int")})
-    sums = keyed.groupBy("pattern").agg(F.first(sources).alias("members"), F.sum(size).alias("held")).limit(MAX_PATTERNS + 1).collect()
+    keyed = _keyed(narrow if narrow is not None else docs, sources, doc_id, seed)
+    sums = keyed.groupBy("pattern").agg(F.first("members").alias("members"), F.sum(size).alias("held")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     by_pattern = {r["pattern"]: (tuple(dict.fromkeys(r["members"])), int(r["held"] or 0)) for r in sums}
@@ -168,7 +173,7 @@ def mix(
     chosen = spark.createDataFrame([tuple(r) for r in rows], "pattern string, whole int, c1_cut int, c2_cut int")
     extra = (F.col("c1") < F.coalesce("c1_cut", F.lit(-1))) | ((F.col("c1") == F.col("c1_cut")) & (F.col("c2") < F.coalesce("c2_cut", F.lit(-1))))
     times = F.when(F.col(size) > 0, F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")).otherwise(0)
-    return keyed.join(F.broadcast(chosen), "pattern", "left").withColumn("times", times).drop("pattern", "c1", "c2", "whole", "c1_cut", "c2_cut"), dict(sizes), goal
+    return _keyed(docs, sources, doc_id, seed).join(F.broadcast(chosen), "pattern", "left").withColumn("times", times).drop("members", "pattern", "c1", "c2", "whole", "c1_cut", "c2_cut"), dict(sizes), goal
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

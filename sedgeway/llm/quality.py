@@ -24,6 +24,7 @@ from sedgeway.runtime import cut, table
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MIN_ROWS = 400
+MAX_BROADCAST = 100_000
 SKETCH_K = 1024
 FENCE = 6.0
 #: Feature: least distance of the limit above the upper quartile.
@@ -111,7 +112,10 @@ def limits(counted: DataFrame, lang: str = "lang", source: str = "source") -> Da
 
 
 def judge(counted: DataFrame, limit: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``counted`` with ``base_failed`` and ``kept``."""
+    """``counted`` with ``base_failed`` and ``kept``. Limits are broadcast if they have ``MAX_BROADCAST`` rows at most."""
+    limit = cut(limit)
+    if limit.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        limit = F.broadcast(limit)
     joined = counted.join(limit, counted[lang].eqNullSafe(limit["limit_lang"]) & counted[source].eqNullSafe(limit["limit_source"]), "left")
     inside = F.lit(True)
     for n, c in features().items():

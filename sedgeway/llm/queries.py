@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sedgeway.llm import bpe, license_scan, media, mixing, quality, secret_scan, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
@@ -20,3 +22,6 @@ QUERIES = {
 ORACLES = {
     "op6_url_filter": url_filter.OP6_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sedgeway.llm.common import map_arrow
 from sedgeway.llm.components import connected_components
@@ -371,6 +372,18 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_wor
     return each.join(label, "fp", "left").select(doc_id, "fp", "component_id")
 
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that stay if each group keeps the document of the least doc_id, and that once.
+
+    Of rows without a doc_id only those in groups without any doc_id stay.
+    """
+    groups = near_groups(df, text, doc_id)
+    stays = groups.filter(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_stays")).distinct()
+    w = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    found = df.join(stays, F.col(doc_id).eqNullSafe(F.col("_stays")), "left_semi")
+    return found.withColumn("_k", F.row_number().over(w)).filter((F.col("_k") == 1) | F.col(doc_id).isNull()).drop("_k")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
