@@ -1,14 +1,346 @@
-"""The library's own queries and their DuckDB counterparts."""
+"""The library's own queries over the test tables, each with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sedgeway import schemas as S
+from sedgeway.functions import names
+from sedgeway.operators import journal as J
+from sedgeway.operators import recovery as R
+from sedgeway.operators import stats
+from sedgeway.operators.search import matches, search
+from sedgeway.operators.tree import resolve
+from sedgeway.plans.query import parse
 from sedgeway.runtime import table
+from sedgeway.sources.entries import ENTRIES_SQL, entries_from_tables
+
+#: The clock of the queries on dates.
+NOW = datetime(1998, 8, 2, 15, tzinfo=timezone.utc)
+E = "WITH " + ENTRIES_SQL
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _found(spark: SparkSession, sf_dir: str, text: str, **options) -> DataFrame:
+    return matches(entries_from_tables(spark, sf_dir), parse(text, NOW), **options)
+
+
+def _select(name: str, text: str, where: str, tier: str = "0", **options) -> None:
+    """A query on all matches of a search: id and tier."""
+    hidden = "" if options.get("include_hidden") else "NOT hidden AND "
+    QUERIES[name] = lambda spark, sf_dir: _found(spark, sf_dir, text, **options).select("entry_id", "name", "tier")
+    ORACLES[name] = f"{E} SELECT entry_id, name, CAST({tier} AS INT) AS tier FROM e WHERE {hidden}({where})"
+
+
+@_query("q01_entries", E + "SELECT entry_id, parent_id, drive_letter, name, is_dir, size, hidden, known AS metadata_known, depth, full_path, category, ext FROM e")
+def q01(spark, sf_dir):
+    return entries_from_tables(spark, sf_dir).select("entry_id", "parent_id", "drive_letter", "name", "is_dir", "size", "hidden", "metadata_known", "depth", "full_path", "category", "ext")
+
+
+_EDGE = "(CASE WHEN regexp_matches({at}, '[ _.(\\[{{,;+@#~/-]$') OR {at} = '' THEN true ELSE false END)"
+_select("q02_search_exact_prefix", '"final_report"', "starts_with(fold, 'final_report') OR contains(fold, 'final_report')", "CASE WHEN starts_with(fold, 'final_report') THEN CASE WHEN regexp_matches(fold, '^final_report\\.[^.]*$') THEN 0 ELSE 1 END ELSE 2 END", fuzzy=False)
+_select(
+    "q03_search_wordstart_substring", "port", "contains(fold, 'port')",
+    "CASE WHEN starts_with(fold, 'port') THEN 1 WHEN regexp_matches(fold, '[ _.(\\[{,;+@#~-]port') THEN 2 ELSE 3 END", fuzzy=False,
+)
+_select("q03b_search_camel", "invoice", "contains(fold, 'invoice')", "2", fuzzy=False)
+_select("q04_search_wildcard", "*report*9?.pdf", "fold LIKE '%report%9_.pdf'")
+_select("q05_search_and_or_not", '"report" 7|8 !final', "contains(fold, 'report') AND (contains(fold, '7') OR contains(fold, '8')) AND NOT contains(fold, 'final')", "0", fuzzy=False)
+_select("q06_filter_ext", "ext:pdf;.DOCX", "NOT is_dir AND ext IN ('pdf', 'docx')")
+_select("q07_filter_type", "type:image,video", "category IN ('Image', 'Video')")
+_select("q08_filter_kind", "folder:", "is_dir")
+_select("q08b_folder_term", "folder:germ", "is_dir AND contains(fold, 'germ')", "CASE WHEN fold = 'germ' THEN 0 WHEN starts_with(fold, 'germ') THEN 1 ELSE 3 END", fuzzy=False)
+_select("q09_filter_size_range", "size:10mb..20mb", "NOT is_dir AND known AND size BETWEEN 10485760 AND 20971520")
+_select("q09b_filter_size_bucket", "size:large", "NOT is_dir AND known AND size BETWEEN 1048576 AND 16777215")
+_select("q10_filter_date", "dm:1996-05", "known AND modified >= timestamp '1996-05-01' AND modified < timestamp '1996-06-01'")
+_select("q10b_filter_date_before", "dm:<1993 file:", "NOT is_dir AND known AND (modified IS NULL OR modified < timestamp '1993-01-01')")
+_select("q11_filter_path", "path:0000012\\bud", "contains(fold_path, '0000012\\bud')")
+_select("q12_filter_drive", "drive:e ext:zip", "drive_letter = 'E' AND ext = 'zip'")
+_select("q13_hidden", "ext:exe", "ext = 'exe' AND NOT is_dir", include_hidden=True)
+_select("q13b_category_chip", "", "category = 'Code'", category="Code")
+
+
+@_query("q14_search_subsequence", E + "SELECT entry_id, name FROM e WHERE NOT hidden AND NOT contains(fold, 'hldpht') AND regexp_matches(fold, 'h.*l.*d.*p.*h.*t') AND length(regexp_extract(fold, '^[^h]*(h[^l]*l[^d]*d[^p]*p[^h]*h[^t]*t)', 1)) <= 15")
+def q14(spark, sf_dir):
+    return _found(spark, sf_dir, "hldpht").filter("tier = 4").select("entry_id", "name")
+
+
+@_query("q15_search_typo")
+def q15(spark, sf_dir):
+    r = search(entries_from_tables(spark, sf_dir), "budjet", max_results=200)
+    return r.hits.select("entry_id", "name", "tier", "score")
+
+
+def _sorted(name: str, sort: str, order: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: search(entries_from_tables(spark, sf_dir), "ext:pdf,zip", sort=sort, max_results=100, now=NOW).hits.select("entry_id", "name", "size")
+    ORACLES[name] = f"{E} SELECT entry_id, name, size FROM e WHERE NOT hidden AND NOT is_dir AND ext IN ('pdf', 'zip') ORDER BY {order}, drive_letter, entry_id LIMIT 100"
+
+
+_sorted("q16_sort_size", "size", "CASE WHEN known THEN size ELSE -1 END DESC")
+_sorted("q17_sort_modified", "modified", "modified DESC NULLS LAST")
+_sorted("q18_sort_name", "name", "fold")
+_KEY = "(255::BIGINT << 52) | (2048::BIGINT << 40) | ((255 - least(length(name), 255))::BIGINT << 31) | ((255 - depth)::BIGINT << 23) | greatest(0, coalesce(date_diff('day', date '2000-01-01', modified::date), 0))"
+
+
+@_query("q18b_sort_relevance", f"{E} SELECT entry_id, {_KEY} AS key FROM e WHERE NOT hidden AND NOT is_dir AND ext IN ('pdf', 'zip') ORDER BY key DESC, drive_letter, entry_id LIMIT 100")
+def q18b(spark, sf_dir):
+    return search(entries_from_tables(spark, sf_dir), "ext:pdf,zip", max_results=100).hits.select("entry_id", "key")
+
+
+@_query("q19_total", E + "SELECT count(*) AS total FROM e WHERE NOT hidden AND NOT is_dir AND ext = 'pdf' AND contains(fold, 'report')")
+def q19(spark, sf_dir):
+    return _found(spark, sf_dir, 'ext:pdf "report"', fuzzy=False).agg(F.count("*").alias("total"))
+
+
+@_query("q20_stats_summary", E + "SELECT count(*) FILTER (NOT is_dir) AS files, count(*) FILTER (is_dir) AS folders, CAST(sum(size) FILTER (NOT is_dir AND known) AS BIGINT) AS total_bytes, bool_or(NOT known) AS incomplete FROM e")
+def q20(spark, sf_dir):
+    return stats.summary(entries_from_tables(spark, sf_dir))
+
+
+@_query("q21_stats_categories", E + "SELECT category, count(*) AS files FROM e WHERE NOT is_dir GROUP BY category")
+def q21(spark, sf_dir):
+    return stats.categories(entries_from_tables(spark, sf_dir))
+
+
+@_query("q22_stats_largest", E + "SELECT entry_id, name, size FROM e WHERE NOT is_dir AND known ORDER BY size DESC, drive_letter, entry_id LIMIT 10")
+def q22(spark, sf_dir):
+    return stats.largest(entries_from_tables(spark, sf_dir)).select("entry_id", "name", "size")
+
+
+@_query("q23_donut", E + "SELECT category AS label, count(*) AS files, count(*) / sum(count(*)) OVER () AS fraction FROM e WHERE NOT is_dir GROUP BY category")
+def q23(spark, sf_dir):
+    return stats.donut(entries_from_tables(spark, sf_dir))
+
+
+@_query("q24_live_counts", E + "SELECT drive_letter, count(*) AS entries FROM e GROUP BY ROLLUP (drive_letter)")
+def q24(spark, sf_dir):
+    return stats.live_counts(entries_from_tables(spark, sf_dir))
+
+
+@_query("q24b_folder_size", E + "SELECT CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM e WHERE NOT is_dir AND starts_with(fold_path, 'c:\\')")
+def q24b(spark, sf_dir):
+    return stats.folder_size(entries_from_tables(spark, sf_dir), "C:\\")
+
+
+def _roots(spark, sf_dir):
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("root_id"), F.concat(F.chr(67 + F.col("r_regionkey")), F.lit(":")).alias("root"))
+
+
+@_query("q25_full_path", E + "SELECT entry_id, full_path, depth FROM e")
+def q25(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir).select("entry_id", "parent_id", "name")
+    return resolve(e, _roots(spark, sf_dir)).select(F.col("id").alias("entry_id"), "full_path", "depth")
+
+
+@_query("q26_subtree_delete", E + "SELECT entry_id, (full_path LIKE '%\\GERMANY%' OR full_path LIKE '%\\FRANCE%' OR contains(full_path, 'NATION_3\\') OR ends_with(full_path, 'NATION_3')) AS deleted FROM e")
+def q26(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir).withColumn("deleted", F.col("name").isin("GERMANY", "FRANCE", "NATION_3"))
+    return resolve(e, _roots(spark, sf_dir)).select(F.col("id").alias("entry_id"), F.col("gone").alias("deleted"))
+
+
+@_query(
+    "q27_orphans_cycles",
+    E + "SELECT entry_id, CASE WHEN n_nat = 1000000001 THEN 'orphan' WHEN n_nat = 1000000002 THEN 'cycle' ELSE 'ok' END AS state FROM "
+    "(SELECT c.entry_id, CASE c.depth WHEN 1 THEN c.entry_id WHEN 2 THEN c.parent_id ELSE p.parent_id END AS n_nat FROM e c LEFT JOIN e p ON c.parent_id = p.entry_id) x",
+)
+def q27(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir).select("entry_id", "parent_id", "name")
+    lost = F.when(F.col("entry_id") == 1_000_000_001, -1).when(F.col("entry_id") == 1_000_000_002, F.col("entry_id")).otherwise(F.col("parent_id"))
+    return resolve(e.withColumn("parent_id", lost), _roots(spark, sf_dir)).select(F.col("id").alias("entry_id"), "state")
+
+
+# --- journal
+
+
+def journal_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as closed journal records."""
+    kind = F.col("event_type")
+    reason = F.when(kind == "signup", S.FILE_CREATE).when(kind == "error", S.FILE_DELETE).when(kind == "purchase", S.RENAME_NEW_NAME).when(kind == "click", S.DATA_EXTEND).otherwise(S.BASIC_INFO_CHANGE)
+    k = F.get_json_object("props", "$.k").cast("int") % 5
+    return table(spark, sf_dir, "events").select(
+        F.lit("C").alias("volume_id"), F.col("event_id").alias("usn"), F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") * 5 + k).alias("record_no"), F.lit(1).alias("sequence"),
+        F.col("user_id").alias("parent_record_no"), (reason + F.lit(S.CLOSE)).alias("reason"), F.lit(0).cast("long").alias("attributes"), F.concat(F.lit("doc_"), k.cast("string"), F.lit(".txt")).alias("name"),
+    )
+
+
+_J = """WITH j AS (SELECT event_id AS usn, ts, user_id*5 + CAST(json_extract_string(props, '$.k') AS INT) % 5 AS record_no, user_id AS parent_record_no,
+ CASE event_type WHEN 'signup' THEN 256 WHEN 'error' THEN 512 WHEN 'purchase' THEN 8192 WHEN 'click' THEN 2 ELSE 32768 END + 2147483648 AS reason,
+ 'doc_' || (CAST(json_extract_string(props, '$.k') AS INT) % 5)::VARCHAR || '.txt' AS name, event_type FROM events) """
+
+
+@_query("q29_journal_last_state", _J + "SELECT record_no, max(usn) AS usn, arg_max(reason, usn) AS reason, arg_max(name, usn) AS name FROM j GROUP BY record_no")
+def q29(spark, sf_dir):
+    return J.last_state(J.closed(journal_from_events(spark, sf_dir))).select("record_no", "usn", "reason", "name")
+
+
+def _deletes(spark, sf_dir):
+    j = journal_from_events(spark, sf_dir)
+    return j.withColumn("event", F.when(J.has(S.FILE_DELETE), "delete").when(J.has(S.FILE_CREATE), "create")).filter("event is not null")
+
+
+_D = _J + ", w AS (SELECT *, lead(event_type) OVER k AS nt, lead(ts) OVER k AS nts FROM j WHERE event_type IN ('signup', 'error') WINDOW k AS (PARTITION BY parent_record_no, name ORDER BY usn)) "
+
+
+@_query("q30_deletion_log", _J + "SELECT usn, record_no, name, ts AS deleted_at FROM (SELECT *, row_number() OVER (ORDER BY usn DESC) AS k FROM j WHERE event_type = 'error') x WHERE k <= 1000")
+def q30(spark, sf_dir):
+    log = journal_from_events(spark, sf_dir).filter(J.has(S.FILE_DELETE)).withColumnRenamed("ts", "deleted_at")
+    return J.keep_newest(log.unionByName(log), most=1000).select("usn", "record_no", "name", "deleted_at")
+
+
+@_query("q31_replaced_pairs", _D + "SELECT usn, CASE WHEN nt = 'signup' AND nts <= ts + INTERVAL 1 DAY THEN 'Replaced' ELSE 'Deleted' END AS kind FROM w WHERE event_type = 'error'")
+def q31(spark, sf_dir):
+    return J.replaced(_deletes(spark, sf_dir), seconds=86_400).select("usn", "kind")
+
+
+@_query("q32_rename_pairs", _J + "SELECT record_no, usn, old_name, name AS new_name FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN name || '.old' END IGNORE NULLS) OVER (PARTITION BY record_no ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_name FROM j) x WHERE event_type = 'purchase'")
+def q32(spark, sf_dir):
+    j = journal_from_events(spark, sf_dir)
+    old = J.has(S.DATA_EXTEND)
+    j = j.withColumns({"reason": F.when(old, F.lit(S.RENAME_OLD_NAME + S.CLOSE)).otherwise(F.col("reason")), "name": F.when(old, F.concat("name", F.lit(".old"))).otherwise(F.col("name"))})
+    return J.rename_pairs(j).select("record_no", "usn", "old_name", "new_name")
+
+
+@_query("q32b_journal_span", _J + "SELECT min(usn) AS first_usn, max(usn) AS last_usn, min(ts) AS first_ts, max(ts) AS last_ts FROM j")
+def q32b(spark, sf_dir):
+    return J.journal_span(journal_from_events(spark, sf_dir)).drop("volume_id")
+
+
+@_query("q33_noise_filter", E + "SELECT entry_id FROM e WHERE NOT (NOT is_dir AND (name LIKE '~$%' OR ext IN ('tmp','etl','log','part','crdownload','lock','pf') OR contains(fold_path, '\\cache\\') OR contains(fold_path, '\\temp\\')))")
+def q33(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir)
+    parent = F.regexp_replace("full_path", r"\\[^\\]*$", "")
+    return e.filter(~names.is_noise(F.col("name"), parent, F.col("is_dir"))).select("entry_id")
+
+
+@_query("q43_daily_deletions", _D + "SELECT CAST(ts AS DATE) AS day, CASE WHEN nt = 'signup' AND nts <= ts + INTERVAL 1 DAY THEN 'Replaced' ELSE 'Deleted' END AS kind, count(*) AS deletions FROM w WHERE event_type = 'error' GROUP BY ALL")
+def q43(spark, sf_dir):
+    log = J.replaced(_deletes(spark, sf_dir), seconds=86_400).withColumnRenamed("ts", "deleted_at").withColumn("size", F.lit(0))
+    return J.daily_deletions(log).drop("bytes")
+
+
+# --- undelete
+
+
+def records_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as file records: one to three runs each, some folders, some in use."""
+    k = F.col("p_partkey")
+    run = lambda i: F.struct((F.lit(i) * 4).cast("long").alias("vcn"), ((k * 37 + i * 1013) % 100_000).cast("long").alias("lcn"), F.lit(4).cast("long").alias("clusters"))
+    runs = F.slice(F.array(run(0), run(1), run(2)), F.lit(1), (k % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.lit("C").alias("volume_id"), (k + 16).alias("record_no"), (k % 4).cast("int").alias("sequence"), (k % 10 == 0).alias("in_use"), (k % 25 == 0).alias("is_dir"),
+        F.lit(0).cast("long").alias("base_record"), F.when(k % 25 == 0, 5).otherwise(k - k % 25 + 16).cast("long").alias("parent_record"), ((k - k % 25) % 4).cast("int").alias("parent_sequence"),
+        F.col("p_name").alias("name"), ((k % 3 + 1) * 16384).cast("long").alias("real_size"), ((k % 3 + 1) * 16384 - k % 5000).cast("long").alias("initialized_size"),
+        F.lit(None).cast("long").alias("allocated_size"), F.when(k % 40 == 1, R.FLAG_ENCRYPTED).otherwise(0).alias("data_flags"), F.lit(0).alias("compression_unit"),
+        (k % 50 == 7).alias("resident"), F.lit(None).cast("binary").alias("resident_data"), runs.alias("runs"),
+        F.lit(None).cast("timestamp_ntz").alias("created"), F.lit(None).cast("timestamp_ntz").alias("modified"),
+    )
+
+
+def alloc_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slot = F.col("l_partkey") % 6000
+    return table(spark, sf_dir, "lineitem").select(slot.alias("slot")).distinct().select(F.lit("C").alias("volume_id"), (F.col("slot") * 16).alias("start_lcn"), (F.col("slot") % 12 + 1).alias("len"))
+
+
+_M = f"""WITH alloc AS (SELECT DISTINCT (l_partkey % 6000) * 16 AS s, l_partkey % 6000 % 12 + 1 AS len FROM lineitem),
+m AS (SELECT p_partkey AS k, p_partkey + 16 AS record_no, p_name AS name, (p_partkey % 3 + 1) * 16384 AS real_size, (p_partkey % 3 + 1) * 16384 - p_partkey % 5000 AS init,
+  p_partkey % 10 = 0 AS in_use, p_partkey % 25 = 0 AS is_dir, p_partkey % 40 = 1 AS enc, p_partkey % 50 = 7 AS resident FROM part),
+r AS (SELECT k, i, (k * 37 + i * 1013) % 100000 AS lcn, greatest(0, least(4, ceil(init / 4096.0) - i * 4)) AS n FROM m, (VALUES (0), (1), (2)) v(i) WHERE i <= k % 3),
+o AS (SELECT r.k, sum(greatest(0, least(lcn + n, s + len) - greatest(lcn, s))) AS allocated FROM r JOIN alloc ON lcn < s + len AND s < lcn + n GROUP BY r.k),
+t AS (SELECT k, sum(n) AS stored FROM r GROUP BY k),
+g AS (SELECT m.*, CAST(coalesce(o.allocated, 0) AS BIGINT) AS allocated, CAST(t.stored AS BIGINT) AS stored FROM m JOIN t USING (k) LEFT JOIN o USING (k) WHERE NOT in_use) """
+_GRADE = "CASE WHEN enc THEN 'Encrypted' WHEN is_dir OR resident THEN 'Excellent' WHEN allocated >= stored THEN 'Overwritten' WHEN allocated > 0 THEN 'Partial' ELSE 'Excellent' END"
+_PERCENT = "CAST(CASE WHEN enc THEN 0 WHEN is_dir OR resident THEN 100 WHEN allocated >= stored THEN 0 WHEN allocated > 0 THEN floor((stored - allocated) * 100 / stored) ELSE 100 END AS INT)"
+
+
+def _graded(spark, sf_dir):
+    return R.grade(R.deleted_records(records_from_parts(spark, sf_dir)), alloc_from_lines(spark, sf_dir))
+
+
+@_query("q35_grade", f"{_M} SELECT record_no, name, stored AS stored_clusters, allocated, {_GRADE} AS grade, {_PERCENT} AS percent_intact FROM g")
+def q35(spark, sf_dir):
+    return _graded(spark, sf_dir).select("record_no", "name", "stored_clusters", "allocated", "grade", "percent_intact")
+
+
+@_query(
+    "q34_undelete_enriched",
+    """WITH m AS (SELECT p_partkey AS k, p_partkey + 16 AS record_no, p_name AS name, p_partkey % 10 = 0 AS in_use, p_partkey % 25 = 0 AS is_dir FROM part)
+    SELECT c.record_no, CASE WHEN c.is_dir THEN 'C:' WHEN p.k IS NOT NULL THEN 'C:' || chr(92) || p.name END AS original_folder FROM m c LEFT JOIN m p ON p.is_dir AND p.k = c.k - c.k % 25 WHERE NOT c.in_use""",
+)
+def q34(spark, sf_dir):
+    records = records_from_parts(spark, sf_dir)
+    folders = records.filter("is_dir and in_use").select("volume_id", "record_no", F.concat(F.lit("C:\\"), F.col("name")).alias("full_path"))
+    root = spark.createDataFrame([("C", 5, "C:")], "volume_id string, record_no long, full_path string")
+    log = spark.createDataFrame([], "volume_id string, record_no long, sequence int, parent_path string, deleted_at timestamp_ntz, kind string, usn long")
+    found = R.with_log(R.with_folders(R.deleted_records(records), folders.unionByName(root), records), log)
+    return found.select("record_no", "original_folder")
+
+
+@_query("q36_free_runs", "WITH a AS (SELECT DISTINCT (l_partkey % 6000) * 16 AS s, l_partkey % 6000 % 12 + 1 AS len FROM lineitem), g AS (SELECT coalesce(lag(s + len) OVER (ORDER BY s), 0) AS start, s AS stop FROM a UNION ALL SELECT max(s + len), 100000 FROM a) SELECT start AS start_lcn, stop - start AS len FROM g WHERE stop > start")
+def q36(spark, sf_dir):
+    return R.free_runs_from_alloc(alloc_from_lines(spark, sf_dir), 100_000).select("start_lcn", "len")
+
+
+@_query("q38_carve_dedup", "WITH f AS (SELECT DISTINCT (p_partkey * 37) % 100000 AS lcn FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 50 <> 7) SELECT DISTINCT o_orderkey % 100000 AS start_lcn FROM orders WHERE o_orderkey % 100000 NOT IN (SELECT lcn FROM f)")
+def q38(spark, sf_dir):
+    carved = table(spark, sf_dir, "orders").select(F.lit("C").alias("volume_id"), (F.col("o_orderkey") % 100_000).alias("start_lcn")).distinct()
+    return R.not_in_undelete(carved, R.deleted_records(records_from_parts(spark, sf_dir)).filter("not resident")).select("start_lcn")
+
+
+@_query(
+    "q39_recycle_pairs",
+    """WITH i AS (SELECT c_custkey % 7 AS sid, c_custkey AS id, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT c_custkey % 7 AS sid, c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0)
+    SELECT coalesce(i.sid, r.sid)::VARCHAR AS sid, coalesce(i.id, r.id)::VARCHAR AS id, CASE WHEN i.id IS NOT NULL AND r.id IS NOT NULL THEN 'Excellent' ELSE 'Unknown' END AS grade FROM i FULL JOIN r ON i.sid = r.sid AND i.id = r.id""",
+)
+def q39(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).cast("string").alias("sid"), "c_custkey", F.col("c_custkey").cast("string").alias("id"))
+    infos = c.filter("c_custkey % 3 <> 0").select("sid", F.concat(F.lit("$I"), "id").alias("name"), F.lit("x").alias("original_path"), F.lit(1).alias("size"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    data = c.filter("c_custkey % 4 <> 0").select("sid", F.concat(F.lit("$R"), "id").alias("name"), F.lit(False).alias("is_dir"))
+    return R.recycle_pairs(infos, data).select("sid", "id", "grade")
+
+
+@_query("q41_intact_estimate", f"{_M} SELECT CAST(round_even(sum(greatest(1, least(real_size, (k % 3 + 1) * 16384))::DOUBLE * {_PERCENT}) / sum(greatest(1, least(real_size, (k % 3 + 1) * 16384))::DOUBLE), 0) AS INT) AS percent, count(*) AS files FROM g WHERE NOT is_dir AND NOT resident")
+def q41(spark, sf_dir):
+    return R.intact_estimate(_graded(spark, sf_dir).filter("not is_dir and not resident")).select("percent", "files")
+
+
+@_query("q42_csv_rows", """SELECT p_partkey, CASE WHEN regexp_matches(v, '[",]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS field FROM (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ', "x"' WHEN 1 THEN ' y' ELSE '' END AS v FROM part) x""")
+def q42(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    return table(spark, sf_dir, "part").select("p_partkey", names.csv_field(F.concat("p_name", F.when(k == 0, ', "x"').when(k == 1, " y").otherwise(""))).alias("field"))
+
+
+@_query("q28_metadata_fill", E + "SELECT entry_id, CASE WHEN known THEN size ELSE 7 END AS size, true AS metadata_known FROM e")
+def q28(spark, sf_dir):
+    from sedgeway.sources.entries import fill_metadata
+
+    e = entries_from_tables(spark, sf_dir)
+    found = e.select("parent_id", F.upper("name").alias("name"), F.lit(7).cast("long").alias("size"), F.lit(None).cast("timestamp_ntz").alias("modified"))
+    return fill_metadata(e, found).select("entry_id", "size", "metadata_known")
+
+
+@_query("q40_versions_of_path", E + ", s AS (SELECT unnest([1, 2, 3]) AS snapshot_id) SELECT snapshot_id, entry_id, size FROM e, s WHERE fold_path LIKE 'c:%' AND entry_id % 3 = snapshot_id - 1 AND depth = 1")
+def q40(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir).filter("depth = 1 and drive_letter = 'C'").withColumn("snapshot_id", (F.col("entry_id") % 3 + 1).cast("int"))
+    snapshots = spark.createDataFrame([(i, datetime(2026, 1, i)) for i in (1, 2, 3)], "snapshot_id int, created timestamp_ntz")
+    return e.join(F.broadcast(snapshots), "snapshot_id").select("snapshot_id", "entry_id", "size")  # three rows
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").limit(10)
+    """``ext:pdf report``, ranked."""
+    hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits
+    return hits.select("entry_id", "name", "full_path", "size", "tier", "score", "key")
