@@ -122,10 +122,10 @@ def flow(capacity: dict[tuple, int], quota: dict, max_repeats: int = MAX_REPEATS
 
 def _cut_cells(cells: DataFrame, cell: str) -> DataFrame:
     """For each pattern the cell in which the running sum of sizes passes ``quota``, and what is left of the quota before it."""
-    w = Window.partitionBy("pattern").orderBy(cell)
+    w = Window.partitionBy("_pattern").orderBy(cell)
     run = cells.withColumn("upto", F.sum("held").over(w))
     return run.filter((F.col("upto") - F.col("held") <= F.col("quota")) & (F.col("upto") > F.col("quota"))).select(
-        "pattern", F.col(cell).alias(f"{cell}_cut"), (F.col("quota") - F.col("upto") + F.col("held")).alias(f"{cell}_left")
+        "_pattern", F.col(cell).alias(f"{cell}_cut"), (F.col("quota") - F.col("upto") + F.col("held")).alias(f"{cell}_left")
     )
 
 
@@ -133,7 +133,7 @@ def _keyed(docs: DataFrame, sources: str, doc_id: str, seed: int) -> DataFrame:
     """``docs`` with its pattern and the two cells of its hash."""
     members = F.coalesce(F.col(sources), F.array(F.lit(None).cast("string")))
     h = F.xxhash64(F.col(doc_id), F.lit(seed))
-    return docs.withColumns({"members": members, "pattern": F.to_json(F.array_sort(F.array_distinct(members))), "c1": F.shiftrightunsigned(h, 52).cast("int"), "c2": (F.shiftrightunsigned(h, 40) % _CELLS).cast("int")})
+    return docs.withColumns({"_members": members, "_pattern": F.to_json(F.array_sort(F.array_distinct(members))), "_c1": F.shiftrightunsigned(h, 52).cast("int"), "_c2": (F.shiftrightunsigned(h, 40) % _CELLS).cast("int")})
 
 
 def mix(
@@ -147,33 +147,33 @@ def mix(
     """
     spark = docs.sparkSession
     keyed = _keyed(narrow if narrow is not None else docs, sources, doc_id, seed)
-    sums = keyed.groupBy("pattern").agg(F.first("members").alias("members"), F.sum(size).alias("held")).limit(MAX_PATTERNS + 1).collect()
+    sums = keyed.groupBy("_pattern").agg(F.first("_members").alias("_members"), F.sum(size).alias("held")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    by_pattern = {r["pattern"]: (tuple(dict.fromkeys(r["members"])), int(r["held"] or 0)) for r in sums}
+    by_pattern = {r["_pattern"]: (tuple(dict.fromkeys(r["_members"])), int(r["held"] or 0)) for r in sums}
     sizes: dict = defaultdict(int)
     for members, held in by_pattern.values():
         for s in members:
             sizes[s] += held
     goal = targets(dict(sizes), weights, share, max_repeats)
-    used = flow({(*m, ("pattern", p)): n for p, (m, n) in by_pattern.items()}, goal, max_repeats) if by_pattern else {}
+    used = flow({(*m, ("_pattern", p)): n for p, (m, n) in by_pattern.items()}, goal, max_repeats) if by_pattern else {}
     plan = []
     for key, tokens in used.items():
         p = key[-1][1]
         held = by_pattern[p][1]
         whole = min(max_repeats, tokens // held) if held else 0
         plan.append((p, int(whole), int(tokens - whole * held)))
-    cuts = spark.createDataFrame(plan, "pattern string, whole int, quota long")
-    level1 = keyed.groupBy("pattern", "c1").agg(F.sum(size).alias("held")).join(F.broadcast(cuts), "pattern")
-    cut1 = _cut_cells(level1, "c1")
+    cuts = spark.createDataFrame(plan, "_pattern string, _whole int, quota long")
+    level1 = keyed.groupBy("_pattern", "_c1").agg(F.sum(size).alias("held")).join(F.broadcast(cuts), "_pattern")
+    cut1 = _cut_cells(level1, "_c1")
     # Broadcast: these frames have a row for each pattern, so MAX_PATTERNS at most.
-    inside = keyed.join(F.broadcast(cut1), "pattern").filter("c1 = c1_cut").select("pattern", "c2", F.col(size).alias("held_size"), F.col("c1_left").alias("quota"))
-    cut2 = _cut_cells(inside.groupBy("pattern", "c2", "quota").agg(F.sum("held_size").alias("held")), "c2")
-    rows = cuts.join(cut1, "pattern", "left").join(cut2, "pattern", "left").select("pattern", "whole", "c1_cut", "c2_cut").collect()  # a row for each pattern
-    chosen = spark.createDataFrame([tuple(r) for r in rows], "pattern string, whole int, c1_cut int, c2_cut int")
-    extra = (F.col("c1") < F.coalesce("c1_cut", F.lit(-1))) | ((F.col("c1") == F.col("c1_cut")) & (F.col("c2") < F.coalesce("c2_cut", F.lit(-1))))
-    times = F.when(F.col(size) > 0, F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int")).otherwise(0)
-    return _keyed(docs, sources, doc_id, seed).join(F.broadcast(chosen), "pattern", "left").withColumn("times", times).drop("members", "pattern", "c1", "c2", "whole", "c1_cut", "c2_cut"), dict(sizes), goal
+    inside = keyed.join(F.broadcast(cut1), "_pattern").filter("_c1 = _c1_cut").select("_pattern", "_c2", F.col(size).alias("held_size"), F.col("_c1_left").alias("quota"))
+    cut2 = _cut_cells(inside.groupBy("_pattern", "_c2", "quota").agg(F.sum("held_size").alias("held")), "_c2")
+    rows = cuts.join(cut1, "_pattern", "left").join(cut2, "_pattern", "left").select("_pattern", "_whole", "_c1_cut", "_c2_cut").collect()  # a row for each pattern
+    chosen = spark.createDataFrame([tuple(r) for r in rows], "_pattern string, _whole int, _c1_cut int, _c2_cut int")
+    extra = (F.col("_c1") < F.coalesce("_c1_cut", F.lit(-1))) | ((F.col("_c1") == F.col("_c1_cut")) & (F.col("_c2") < F.coalesce("_c2_cut", F.lit(-1))))
+    times = F.when(F.col(size) > 0, F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("int")).otherwise(0)
+    return _keyed(docs, sources, doc_id, seed).join(F.broadcast(chosen), "_pattern", "left").withColumn("times", times).drop("_members", "_pattern", "_c1", "_c2", "_whole", "_c1_cut", "_c2_cut"), dict(sizes), goal
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

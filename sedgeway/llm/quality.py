@@ -108,7 +108,7 @@ def limits(counted: DataFrame, lang: str = "lang", source: str = "source") -> Da
     c = packed(merged([]).filter("rows > 0"), [], "by_all")
     full = a.join(b, a["lang"].eqNullSafe(b["lang2"]), "left").join(F.broadcast(c), F.lit(True), "left")  # by_all is one row
     best = F.when(F.col("own.rows") >= MIN_ROWS, F.col("own")).when(F.col("by_lang.rows") >= MIN_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
-    return full.select(F.col("lang").alias("limit_lang"), F.col("source").alias("limit_source"), best.alias("limit"))
+    return full.select(F.col("lang").alias("_limit_lang"), F.col("source").alias("_limit_source"), best.alias("_limit"))
 
 
 def judge(counted: DataFrame, limit: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -116,11 +116,11 @@ def judge(counted: DataFrame, limit: DataFrame, lang: str = "lang", source: str
     limit = cut(limit)
     if limit.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         limit = F.broadcast(limit)
-    joined = counted.join(limit, counted[lang].eqNullSafe(limit["limit_lang"]) & counted[source].eqNullSafe(limit["limit_source"]), "left")
+    joined = counted.join(limit, counted[lang].eqNullSafe(F.col("_limit_lang")) & counted[source].eqNullSafe(F.col("_limit_source")), "left")
     inside = F.lit(True)
     for n, c in features().items():
-        inside = inside & (c <= F.col(f"limit.{n}_most")) & (c >= F.col(f"limit.{n}_least"))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("limit_lang", "limit_source", "limit")
+        inside = inside & (c <= F.col(f"_limit.{n}_most")) & (c >= F.col(f"_limit.{n}_least"))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_limit_lang", "_limit_source", "_limit")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

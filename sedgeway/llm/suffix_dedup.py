@@ -463,9 +463,9 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     all_kept = kept.filter("seg is null").select("d", "a", "b")
     if hot_rows.limit(1).count():
         all_kept = all_kept.unionByName(_kept_hot(hot_rows))
-    kept_doc = all_kept.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("stay"))
-    ranges = per_doc.select("d", "h", F.transform("segs", lambda x: F.struct(x["s"].alias("a"), (x["s"] + x["n"]).alias("b"))).alias("again"))
-    both = ranges.join(kept_doc, "d", "left").select(F.col("d").alias("_rd"), F.col("h").alias("_rh"), "again", "stay")
+    kept_doc = all_kept.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("_stay"))
+    ranges = per_doc.select("d", "h", F.transform("segs", lambda x: F.struct(x["s"].alias("a"), (x["s"] + x["n"]).alias("b"))).alias("_again"))
+    both = ranges.join(kept_doc, "d", "left").select(F.col("d").alias("_rd"), F.col("h").alias("_rh"), "_again", "_stay")
     full = keyed.join(both, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh")), "left").drop("_d", "_h", "_rd", "_rh")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     added = T.StructType(
@@ -481,7 +481,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
 
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {f.name: [] for f in added.fields}
-            for t, again, stay in zip(batch.column("_t").cast(pa.binary()).to_pylist(), batch.column("again"), batch.column("stay")):
+            for t, again, stay in zip(batch.column("_t").cast(pa.binary()).to_pylist(), batch.column("_again"), batch.column("_stay")):
                 spans: list[dict] = []
                 left = t
                 if again.is_valid:
@@ -495,7 +495,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
 
         return work
 
-    return map_arrow(full, "_t", make, added).drop("_t", "again", "stay")
+    return map_arrow(full, "_t", make, added).drop("_t", "_again", "_stay")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
