@@ -151,7 +151,7 @@ def rebuild(real_size: int, initialized: int | None, runs: list[tuple[int, int,
     else:
         for vcn in range(count):
             out += by_vcn.get(vcn) or zero
-    if initialized is not None and 0 <= initialized < len(out):
+    if initialized is not None and 0 < initialized < len(out):
         out[initialized:] = bytes(len(out) - initialized)
     return bytes(out[:real_size].ljust(real_size, b"\0"))
 

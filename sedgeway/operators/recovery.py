@@ -170,7 +170,7 @@ def bitmap_bits(bitmap: DataFrame) -> DataFrame:
     hexes = bitmap.select("volume_id", "first_byte", F.posexplode(F.regexp_extract_all(F.hex("bytes"), F.lit("(..)"), 1)).alias("i", "h"))
     byte = hexes.select("volume_id", (F.col("first_byte") + F.col("i")).alias("at"), F.conv("h", 16, 10).cast("int").alias("v"))
     return byte.select("volume_id", "at", "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
-        "volume_id", (F.col("at") * 8 + F.col("k")).alias("lcn"), (F.shiftright("v", F.col("k")).bitwiseAND(F.lit(1)) == 1).alias("allocated")
+        "volume_id", (F.col("at") * 8 + F.col("k")).alias("lcn"), (F.call_function("shiftright", F.col("v"), F.col("k")).bitwiseAND(F.lit(1)) == 1).alias("allocated")
     )
 
 
