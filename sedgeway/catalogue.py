@@ -60,16 +60,19 @@ _select(
 )
 _select("q03b_search_camel", "invoice", "contains(fold, 'invoice')", "2", fuzzy=False)
 _select("q04_search_wildcard", "*report*9?.pdf", "fold LIKE '%report%9_.pdf'")
-_select("q05_search_and_or_not", '"report" 7|8 !final', "contains(fold, 'report') AND (contains(fold, '7') OR contains(fold, '8')) AND NOT contains(fold, 'final')", "0", fuzzy=False)
+_select(
+    "q05_search_and_or_not", '"report" 7|8 !quarterly', "contains(fold, 'report') AND (contains(fold, '7') OR contains(fold, '8')) AND NOT contains(fold, 'quarterly')",
+    "CASE WHEN regexp_matches(fold, '_[78]') THEN 2 ELSE 3 END", fuzzy=False,
+)
 _select("q06_filter_ext", "ext:pdf;.DOCX", "NOT is_dir AND ext IN ('pdf', 'docx')")
 _select("q07_filter_type", "type:image,video", "category IN ('Image', 'Video')")
 _select("q08_filter_kind", "folder:", "is_dir")
-_select("q08b_folder_term", "folder:germ", "is_dir AND contains(fold, 'germ')", "CASE WHEN fold = 'germ' THEN 0 WHEN starts_with(fold, 'germ') THEN 1 ELSE 3 END", fuzzy=False)
+_select("q08b_folder_term", "folder:nation_1", "is_dir AND contains(fold, 'nation_1')", "CASE WHEN fold = 'nation_1' THEN 0 ELSE 1 END", fuzzy=False)
 _select("q09_filter_size_range", "size:10mb..20mb", "NOT is_dir AND known AND size BETWEEN 10485760 AND 20971520")
 _select("q09b_filter_size_bucket", "size:large", "NOT is_dir AND known AND size BETWEEN 1048576 AND 16777215")
 _select("q10_filter_date", "dm:1996-05", "known AND modified >= timestamp '1996-05-01' AND modified < timestamp '1996-06-01'")
-_select("q10b_filter_date_before", "dm:<1993 file:", "NOT is_dir AND known AND (modified IS NULL OR modified < timestamp '1993-01-01')")
-_select("q11_filter_path", "path:0000012\\bud", "contains(fold_path, '0000012\\bud')")
+_select("q10b_filter_date_before", "dm:<1995-02 file:", "NOT is_dir AND known AND (modified IS NULL OR modified < timestamp '1995-02-01')")
+_select("q11_filter_path", "path:nation_3\\customer#00000", "contains(fold_path, 'nation_3\\customer#00000')")
 _select("q12_filter_drive", "drive:e ext:zip", "drive_letter = 'E' AND ext = 'zip'")
 _select("q13_hidden", "ext:exe", "ext = 'exe' AND NOT is_dir", include_hidden=True)
 _select("q13b_category_chip", "", "category = 'Code'", category="Code")

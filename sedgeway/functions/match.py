@@ -150,13 +150,15 @@ def wildcard_regex(text: str) -> str:
     return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else _quote(c) for c in text) + "$"
 
 
-def match(name: Column, folded: Column, term: Term, fuzzy: bool = True, typos: bool = False) -> tuple[Column, Column]:
-    """(tier, score) of a wildcard or plain term."""
+def match(name: Column, folded: Column, term: Term, fuzzy: bool = True, typos: bool = False) -> tuple[Column, Column, Column]:
+    """(whether it matches, tier, score) of a wildcard or plain term. The first is the cheapest to compute."""
     t, m = term.text, len(term.text)
     if term.kind == "wildcard":
-        return F.when(folded.rlike(wildcard_regex(t)), 0).otherwise(NO_MATCH), F.lit(0)
+        hit = folded.rlike(wildcard_regex(t))
+        return hit, F.when(hit, 0).otherwise(NO_MATCH), F.lit(0)
     if term.kind == "path":
-        return F.lit(NO_MATCH), F.lit(0)
+        return F.lit(False), F.lit(NO_MATCH), F.lit(0)
+    hit = F.contains(folded, F.lit(t))
     at = F.locate(t, folded)
     whole = (F.length(folded) == m) | (F.length(folded) - F.length(F.substring_index(folded, ".", -1)) - 1 == m)
     edge = word_start(name, t)
@@ -168,6 +170,7 @@ def match(name: Column, folded: Column, term: Term, fuzzy: bool = True, typos: b
         stop = F.length(F.regexp_extract(folded, ahead, 0))
         span = F.length(F.regexp_extract(F.reverse(F.substring(folded, F.lit(1), stop)), back, 0))
         near = (at == 0) & (stop > 0) & (span <= 2 * m + 3)
+        hit = hit | near
         tier = tier.when(near, 4)
         start, end = start.when(near, stop - span), end.when(near, stop)
     score = F.when(start.isNotNull(), window_score(name, folded, t, start, end))
@@ -175,9 +178,10 @@ def match(name: Column, folded: Column, term: Term, fuzzy: bool = True, typos: b
         k = term.max_typos
         missing = reduce(lambda a, c: a + F.when(F.contains(folded, F.lit(c)), 0).otherwise(1), dict.fromkeys(t), F.lit(0))
         distance = F.when((missing <= k) & (F.length(folded) >= m - k), typo_distance(folded, t, k)).otherwise(k + 1)
+        hit = hit | (distance <= k)
         tier = tier.when(distance <= k, 5)
         score = score.when(distance <= k, 100 - 30 * distance)
-    return tier.otherwise(NO_MATCH), score.otherwise(0)
+    return hit, tier.otherwise(NO_MATCH), score.otherwise(0)
 
 
 def highlight_ranges(name: str, terms: list[str]) -> list[tuple[int, int]]:

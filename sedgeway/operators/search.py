@@ -93,10 +93,11 @@ def compile_query(query: Query, category: str | None = None, include_hidden: boo
             elif a.kind == "path":
                 any_of.append(_limited(a, F.contains(F.col("fold_path"), F.lit(a.text))))
             else:
-                tier, score = match(F.col("name"), F.col("fold"), a, fuzz, typos and fuzz)
-                hit = _limited(a, tier < NO_MATCH)
-                any_of.append(hit)
-                pairs.append(F.struct(F.when(hit, tier).otherwise(NO_MATCH).alias("tier"), F.when(hit, -score).otherwise(0).alias("minus")))
+                hit, tier, score = match(F.col("name"), F.col("fold"), a, fuzz, typos and fuzz)
+                any_of.append(_limited(a, hit))
+                if a.only:
+                    tier = F.when(_limited(a, F.lit(True)), tier).otherwise(NO_MATCH)
+                pairs.append(F.struct(tier.alias("tier"), (-score).alias("minus")))
         test = reduce(_either, any_of)
         tests.append(~test if clause.negated else test)
         if pairs and not clause.negated:

@@ -130,8 +130,9 @@ def test_matching_equals_a_plain_twin(spark, text):
     rng = random.Random(text)
     names = ["".join(rng.choices("abcdABCD1 _-.é(", k=rng.randint(1, 24))) for _ in range(250)]
     df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("fold", F.lower("name"))
-    tier, score = M.match(F.col("name"), F.col("fold"), Term.of(text), True, True)
-    for r in df.select("name", tier.alias("tier"), score.alias("score")).collect():
+    hit, tier, score = M.match(F.col("name"), F.col("fold"), Term.of(text), True, True)
+    for r in df.select("name", hit.alias("hit"), tier.alias("tier"), score.alias("score")).collect():
+        assert r.hit == (r.tier != M.NO_MATCH)
         assert (r.tier, r.score) == slow_match(r.name, text, True), (r.name, text)
 
 
