@@ -22,11 +22,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+#: Makes Spark drop a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage; its shuffle files can then go."""
+    """Materialise ``df`` in the checkpoint folder and cut its lineage. The shuffle files it took go at once."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under this setting
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def release(spark: SparkSession) -> None:
