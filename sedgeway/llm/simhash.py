@@ -368,6 +368,8 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_wor
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = roots.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
     label = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # The xor hides that the rows are dealt by fp already: with an exchange on both sides Spark can split the copies of one text.
+    label = cut(label).select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "component_id")
     release(spark)
     return each.join(label, "fp", "left").select(doc_id, "fp", "component_id")
 
