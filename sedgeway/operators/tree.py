@@ -15,6 +15,8 @@ from sedgeway.runtime import cut
 #: Rounds at most: chains of up to 2^12 ancestors.
 ROUNDS = 12
 MAX_DEPTH = 255
+#: Roots that are broadcast at most; more are joined by a shuffle.
+MAX_ROOTS = 10_000
 
 
 def resolve(entries: DataFrame, roots: DataFrame, entry: str = "entry_id", parent: str = "parent_id", name: str = "name") -> DataFrame:
@@ -27,18 +29,19 @@ def resolve(entries: DataFrame, roots: DataFrame, entry: str = "entry_id", paren
     deleted = F.col("deleted") if "deleted" in entries.columns else F.lit(False)
     base = entries.select(F.col(entry).alias("id"), F.col(parent).alias("up"), F.col(name).alias("path"), F.lit(1).alias("steps"), F.coalesce(deleted, F.lit(False)).alias("gone"))
     top = roots.select(F.col("root_id").alias("up"), "root")
+    if roots.limit(MAX_ROOTS + 1).count() <= MAX_ROOTS:
+        top = F.broadcast(top)
     done = None
     open_rows = cut(base)
     jumps = open_rows
     for _ in range(ROUNDS):
-        reached = open_rows.join(F.broadcast(top) if roots.limit(10_001).count() <= 10_000 else top, "up")
+        reached = open_rows.join(top, "up")
         ended = reached.select("id", F.concat_ws("\\", "root", "path").alias("full_path"), F.least(F.col("steps"), F.lit(MAX_DEPTH)).alias("depth"), F.lit("ok").alias("state"), "gone")
         done = ended if done is None else done.unionByName(ended)
         rest = open_rows.join(top.select("up"), "up", "left_anti")
         above = jumps.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("steps").alias("a_steps"), F.col("gone").alias("a_gone"))
         joined = rest.join(above, F.col("up") == F.col("a_id"), "left")
         lost = joined.filter(F.col("a_id").isNull()).select("id", F.lit("orphan").alias("state"))
-        lost = cut(lost)
         done = done.unionByName(_loose(base, lost))
         open_rows = cut(
             joined.filter(F.col("a_id").isNotNull()).select("id", F.col("a_up").alias("up"), F.concat_ws("\\", "a_path", "path").alias("path"), (F.col("steps") + F.col("a_steps")).alias("steps"), (F.col("gone") | F.col("a_gone")).alias("gone"))
