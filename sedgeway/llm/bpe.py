@@ -32,7 +32,7 @@ from sedgeway.llm.common import map_arrow, tokenizer_path
 from sedgeway.runtime import table
 
 #: Pre-tokens whose ids a task remembers.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: Bytes of a vocabulary file at most, as it is broadcast.
 MAX_VOCABULARY = 64 << 20
 
