@@ -12,6 +12,7 @@ from sedgeway.functions import names
 from sedgeway.operators import journal as J
 from sedgeway.operators import recovery as R
 from sedgeway.operators import stats
+from sedgeway.operators.carve import header_size
 from sedgeway.operators.search import matches, search
 from sedgeway.operators.tree import resolve
 from sedgeway.plans.query import parse
@@ -298,6 +299,23 @@ def q36(spark, sf_dir):
     return R.free_runs_from_alloc(alloc_from_lines(spark, sf_dir), 100_000).select("start_lcn", "len")
 
 
+@_query(
+    "q37_carve_headers",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'bmp' WHEN 1 THEN '7z' WHEN 2 THEN 'sqlite' END AS type_id,
+    CAST(CASE p_partkey % 4 WHEN 0 THEN 54 + p_partkey WHEN 1 THEN 32 + 3 * p_partkey WHEN 2 THEN (p_partkey + 1) * 1024 END AS BIGINT) AS size FROM part""",
+)
+def q37(spark, sf_dir):
+    k = F.col("p_partkey")
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
+    zeros = lambda n: F.lit("00" * n)
+    bmp = F.concat(F.lit("424D"), little(54 + k, 4), zeros(4), little(F.lit(54), 4), little(F.lit(40), 4), zeros(12))
+    seven = F.concat(F.lit("377ABCAF271C"), zeros(6), little(k, 8), little(2 * k, 8), zeros(4))
+    sqlite = F.concat(F.lit(b"SQLite format 3\0".hex()), F.lit("0400"), zeros(10), big(k + 1, 4), zeros(68))
+    head = F.unhex(F.when(k % 4 == 0, bmp).when(k % 4 == 1, seven).when(k % 4 == 2, sqlite).otherwise(zeros(64)))
+    return table(spark, sf_dir, "part").select("p_partkey", header_size(head).alias("h")).select("p_partkey", "h.type_id", "h.size")
+
+
 @_query("q38_carve_dedup", "WITH f AS (SELECT DISTINCT (p_partkey * 37) % 100000 AS lcn FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 50 <> 7) SELECT DISTINCT o_orderkey % 100000 AS start_lcn FROM orders WHERE o_orderkey % 100000 NOT IN (SELECT lcn FROM f)")
 def q38(spark, sf_dir):
     carved = table(spark, sf_dir, "orders").select(F.lit("C").alias("volume_id"), (F.col("o_orderkey") % 100_000).alias("start_lcn")).distinct()
