@@ -51,7 +51,9 @@ LOTS = 1024
 _GATHER = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
-_NUMBERS = np.dtype([("v", "<u8"), ("d", "<i8"), ("h", "<i4"), ("s", "<i4"), ("n", "<u2")])
+#: A segment: minimizer, document and hash of its text, first window, windows, and whether it is known to repeat. _MARK windows: no segment, but the news that the minimizer repeats.
+_NUMBERS = np.dtype([("v", "<u8"), ("d", "<i8"), ("h", "<i4"), ("s", "<i4"), ("n", "u1"), ("known", "u1")])
+_MARK = 255
 _LAST = (1 << 63) - 1
 
 
@@ -258,7 +260,14 @@ def _numbers(df: DataFrame, text: str) -> DataFrame:
 
         def send() -> pa.RecordBatch:
             rec = np.concatenate(held)
-            lot = (rec["v"] % np.uint64(LOTS)).astype(np.int32)
+            # What repeats here already is dealt by document, and one mark tells the minimizer's lot: so a hot minimizer's lot gets a row from each send.
+            _, first, place, times = np.unique(rec["v"], return_index=True, return_inverse=True, return_counts=True)
+            marks = rec[first[times > 1]].copy()
+            marks["n"] = _MARK
+            again = (times > 1)[place]
+            lot = np.concatenate([np.where(again, rec["d"].view(np.uint64) * np.uint64(_BASE) >> np.uint64(40), rec["v"]) % np.uint64(LOTS), marks["v"] % np.uint64(LOTS)]).astype(np.int32)
+            rec["known"] = again
+            rec = np.concatenate([rec, marks])
             o = np.argsort(lot, kind="stable")
             rec, lot = rec[o], lot[o]
             edges = np.flatnonzero(np.diff(lot)) + 1
@@ -273,6 +282,7 @@ def _numbers(df: DataFrame, text: str) -> DataFrame:
                 rec["v"], rec["s"], rec["n"] = v, s, n
                 rec["d"] = piece.column("_d").to_numpy(zero_copy_only=False)[own]
                 rec["h"] = piece.column("_h").to_numpy(zero_copy_only=False)[own]
+                rec["known"] = 0
                 held.append(rec)
                 total += len(rec)
                 if total >= _GATHER:
@@ -287,11 +297,13 @@ def _numbers(df: DataFrame, text: str) -> DataFrame:
 def _repeated(numbers: DataFrame, most: int = 4 << 20) -> DataFrame:
     """(d, h, s, n, v) of the segments whose minimizer is met more than once.
 
-    Rows stream by. Of minimizers known to repeat only the value is held, of others the one row.
+    Rows stream by; those known to repeat pass through. Of minimizers known to repeat only the value is held,
+    of others the one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        passing: list[np.ndarray] = []
         once = fresh = 0
         twice = np.empty(0, np.uint64)
 
@@ -299,13 +311,13 @@ def _repeated(numbers: DataFrame, most: int = 4 << 20) -> DataFrame:
             rec = np.concatenate(held) if held else np.empty(0, _NUMBERS)
             rec = rec[np.argsort(rec["v"], kind="stable")]
             v = rec["v"]
-            again = np.zeros(len(v), bool)
-            again[1:] = v[1:] == v[:-1]
-            again[:-1] |= again[1:]
+            again = rec["n"] == _MARK
+            again[1:] |= v[1:] == v[:-1]
+            again[:-1] |= v[1:] == v[:-1]
             if len(twice):
                 at = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
                 again |= twice[at] == v
-            return rec[again], rec[~again], np.union1d(twice, v[again])
+            return rec[again & (rec["n"] != _MARK)], rec[~again], np.union1d(twice, v[again])
 
         def out(rec: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(rec), 1 << 16):
@@ -316,14 +328,21 @@ def _repeated(numbers: DataFrame, most: int = 4 << 20) -> DataFrame:
         for batch in batches:
             for blob in batch.column("numbers"):
                 rec = np.frombuffer(blob.as_buffer(), _NUMBERS)
-                held.append(rec.copy())
+                known = rec["known"] == 1
+                mark = rec["n"] == _MARK
+                passing.append(rec[known & ~mark])
+                rec = rec[mark | ~known]
+                held.append(rec)
                 fresh += len(rec)
                 if fresh >= max(most, once):
                     found, single, twice = settle()
                     yield from out(found)
                     held, once, fresh = [single], len(single), 0
+            if sum(map(len, passing)) >= 1 << 16:
+                yield from out(np.concatenate(passing))
+                passing = []
         found, _, _ = settle()
-        yield from out(found)
+        yield from out(np.concatenate([found, *passing]))
 
     return numbers.repartition("lot").mapInArrow(run, "d bigint, h int, s int, n int, v bigint")
 
