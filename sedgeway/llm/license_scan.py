@@ -1,12 +1,12 @@
 """License scan: a trained paragraph classifier, confirmed by templates, in DataFrame functions.
 
 Texts are cut into paragraphs (lines, and sentences within them). Those that name a license, a copyright, a
-warranty or the like are candidates; nothing else is in the training samples of any family. A candidate's
+warranty, reserved rights or the like are candidates, as every template below is. A candidate's
 words and word pairs are hashed to ``DIMENSIONS`` features, whose weights come from a multinomial logistic
 regression over licence families, ``unknown`` (a licence of no family here) and ``none`` (ordinary prose).
 The weights are a table of DIMENSIONS rows, joined to the exploded features; equal paragraphs are scored
-once. A prediction stands if its probability reaches the calibrated limit and some template of the family
-shares ``MIN_SHARED`` of its word pairs with the paragraph; else the paragraph is ``unknown``.
+once. A prediction stands if its probability reaches the calibrated limit and some template of the family,
+or sentence of one that names a license, shares ``MIN_SHARED`` of its word pairs with the paragraph; else the paragraph is ``unknown``.
 
 The classifier is trained on the driver, on seeded variations of the templates below and of sentences of
 the other two classes; the limit is the probability that 98 in 100 held-back family samples reach.
@@ -36,7 +36,10 @@ MIN_SHARED = 0.5
 SAMPLES = 120
 SEED = 7
 #: What a candidate paragraph names.
-CANDIDATE = r"(?i)licen[cs]e|licensing|copyright|warrant(y|ies)|redistribut|spdx|public domain|creative commons|\bgpl|\bcc[ -]by"
+CANDIDATE = r"(?i)licen[cs]e|licensing|copyright|warrant(y|ies)|redistribut|spdx|public domain|creative commons|\bgpl|\bcc[ -]by|rights? reserved|permission is hereby granted"
+
+#: Where a sentence ends.
+SENTENCE = r"(?<=[.!?;])[ \t]+"
 
 #: Short notices of the licence families. Fixed values.
 TEMPLATES = {
@@ -85,7 +88,7 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain."],
-    "proprietary": ["Copyright. All rights reserved.", "No part of this work may be reproduced without prior written permission of the copyright holder. All rights reserved."],
+    "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "No part of this work may be reproduced without prior written permission of the copyright holder. All rights reserved."],
 }
 #: Sentences of the two other classes; {x} stands for invented names. Fixed values.
 UNKNOWN = [
@@ -96,7 +99,7 @@ UNKNOWN = [
 NONE = [
     "He lost his driving licence after the {x} race.", "The copyright debate in {x} went on for years.", "Every {x} comes with a two year warranty.",
     "She applied for a fishing license in {x}.", "The {x} office grants a license to sell food.", "There is no warranty that {x} will rain.",
-    "A book on copyright by {x} sold well.", "The public domain of {x} has many parks.", "They licensed the song to {x} for a film.", "The plate on the {x} car shows its license number.",
+    "A book on copyright by {x} sold well.", "The public domain of {x} has many parks.", "They licensed the song to {x} for a film.", "Permission is hereby granted to {x} to hold the fair.", "The plate on the {x} car shows its license number.",
 ]
 
 FAMILIES = tuple(TEMPLATES)
@@ -111,6 +114,16 @@ def _pairs(w: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
+def template_pairs() -> list[tuple[str, list[str]]]:
+    """(family, word pairs) of the templates, and of their sentences that name a license: texts are cut the same way."""
+    out = []
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            named = [x for x in re.split(SENTENCE, t) if "license" in _words(x)]
+            out += [(family, sorted(set(_pairs(_words(x))))) for x in dict.fromkeys([t, *named])]
+    return out
+
+
 def _features(text: str) -> dict[int, float]:
     """Feature: value; the same as ``features`` makes of a column."""
     w = _words(text)
@@ -189,7 +202,7 @@ def train(rounds: int = 400, rate: float = 4.0, ridge: float = 2e-4) -> Classifi
 
 def paragraphs(text: Column) -> Column:
     """The candidate paragraphs of a text, as normalised words with one space between."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\n\r]+|(?<=[.!?;])[ \t]+", -1)
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\n\r]+|" + SENTENCE, -1)
     found = F.filter(parts, lambda p: p.rlike(CANDIDATE))
     return F.transform(found, lambda p: F.trim(F.regexp_replace(F.lower(p), r"[^a-z0-9+]+", " ")))
 
@@ -200,7 +213,7 @@ def classify(units: DataFrame, classifier: Classifier, unit: str = "unit") -> Da
     names = [f"w{k}" for k in range(len(CLASSES))]
     rows = [(i, *map(float, r)) for i, r in enumerate(classifier.weights) if r.any()]
     weights = spark.createDataFrame(rows, "feature int, " + ", ".join(f"{n} double" for n in names))
-    templates = spark.createDataFrame([(f, sorted(set(_pairs(_words(t))))) for f, ts in TEMPLATES.items() for t in ts], "t_family string, t_pairs array<string>")
+    templates = spark.createDataFrame(template_pairs(), "t_family string, t_pairs array<string>")
     one = units.select(unit).distinct().withColumn("w", F.split(unit, " "))
     pair = F.filter(F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1))), lambda x: x.contains(" "))
     one = one.withColumn("pairs", F.array_distinct(F.when(F.size("w") > 1, F.slice(pair, 1, F.size("w") - 1)).otherwise(F.array().cast("array<string>"))))

@@ -192,3 +192,10 @@ def test_license_scan_on_odd_rows(spark, odd_docs, no_docs):
     assert rows[1].families == "mit" and rows[2].families == "" and rows[2].n_unknown == 1 and rows[3].n_candidates == rows[4].n_candidates == 0
     assert rows[5].families == "cc-by-nc" and rows[None].families == "gpl" and len(rows) == 6
     assert license_scan.scan_licenses(odd_docs).count() == 9 and license_scan.scan_licenses(no_docs).count() == 0
+
+
+def test_every_license_template_alone_yields_its_family(spark):
+    alone = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    rows = license_scan.scan_licenses(spark.createDataFrame([(i, f"Some prose.\n{t}\nMore prose.") for i, (_, t) in enumerate(alone)], "doc_id long, text string")).collect()
+    assert [(alone[r.doc_id], r.families) for r in rows if r.families != alone[r.doc_id][0]] == []
+    assert ("proprietary", "All rights reserved.") in alone
