@@ -1,7 +1,10 @@
 """License scan: a trained paragraph classifier, confirmed by templates, in DataFrame functions.
 
-Texts are cut into paragraphs (lines, and sentences within them). Those that name a license, a copyright, a
-warranty, reserved rights or the like are candidates, as every template below is. A candidate's
+Texts are cut at blank lines (lines without letters and digits, such as a bare comment mark, too) and into
+sentences, which may be wrapped over lines; each line of a sentence is a paragraph, and so is the sentence.
+Those that name a license, a copyright, a warranty, reserved rights or the like are candidates, as every
+template below is. A wrapped sentence that is confirmed counts in place of its lines, but for lines confirmed
+by themselves that are no part of its family's templates; else its lines count. A candidate's
 words and word pairs are hashed to ``DIMENSIONS`` features, whose weights come from a multinomial logistic
 regression over licence families, ``unknown`` (a licence of no family here) and ``none`` (ordinary prose).
 The weights are a table of DIMENSIONS rows, joined to the exploded features; equal paragraphs are scored
@@ -36,10 +39,12 @@ MIN_SHARED = 0.5
 SAMPLES = 120
 SEED = 7
 #: What a candidate paragraph names.
-CANDIDATE = r"(?i)licen[cs]e|licensing|copyright|warrant(y|ies)|redistribut|spdx|public domain|creative commons|\bgpl|\bcc[ -]by|rights? reserved|permission is hereby granted"
+CANDIDATE = r"(?i)licen[cs]e|licensing|copyright|warrant(y|ies)|redistribut|spdx|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|\bgpl|\bcc[^a-z0-9]+by|rights?[^a-z0-9]+reserved|permission[^a-z0-9]+is[^a-z0-9]+hereby[^a-z0-9]+granted"
 
-#: Where a sentence ends.
+#: Where a sentence ends, within lines and, with the next line's comment mark, at their ends; and a gap of blank lines.
 SENTENCE = r"(?<=[.!?;])[ \t]+"
+LINE_END = r"(?<=[.!?;])[\n\r]+[^\p{L}\p{N}\n\r]*"
+GAP = r"(?:\n|\r(?!\n))[^\p{L}\p{N}]*[\n\r]"
 
 #: Short notices of the licence families. Fixed values.
 TEMPLATES = {
@@ -201,10 +206,18 @@ def train(rounds: int = 400, rate: float = 4.0, ridge: float = 2e-4) -> Classifi
 
 
 def paragraphs(text: Column) -> Column:
-    """The candidate paragraphs of a text, as normalised words with one space between."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\n\r]+|" + SENTENCE, -1)
-    found = F.filter(parts, lambda p: p.rlike(CANDIDATE))
-    return F.transform(found, lambda p: F.trim(F.regexp_replace(F.lower(p), r"[^a-z0-9+]+", " ")))
+    """(whole, lines) of the candidate sentences of a text: all of it and its candidate lines, as normalised words with one space between."""
+    words = lambda p: F.trim(F.regexp_replace(F.lower(p), r"[^a-z0-9+]+", " "))
+    named = lambda parts: F.filter(parts, lambda p: p.rlike(CANDIDATE))
+    blocks = named(F.split(F.coalesce(text, F.lit("")), GAP, -1))
+    sentences = named(F.flatten(F.transform(blocks, lambda b: F.split(b, LINE_END + "|" + SENTENCE, -1))))
+    return F.transform(sentences, lambda p: F.struct(words(p).alias("whole"), F.transform(named(F.split(p, r"[\n\r]+", -1)), words).alias("lines")))
+
+
+def word_pairs(w: Column) -> Column:
+    """The different pairs of neighbours in an array of words."""
+    pair = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    return F.array_distinct(pair)
 
 
 def classify(units: DataFrame, classifier: Classifier, unit: str = "unit") -> DataFrame:
@@ -214,9 +227,7 @@ def classify(units: DataFrame, classifier: Classifier, unit: str = "unit") -> Da
     rows = [(i, *map(float, r)) for i, r in enumerate(classifier.weights) if r.any()]
     weights = spark.createDataFrame(rows, "feature int, " + ", ".join(f"{n} double" for n in names))
     templates = spark.createDataFrame(template_pairs(), "t_family string, t_pairs array<string>")
-    one = units.select(unit).distinct().withColumn("w", F.split(unit, " "))
-    pair = F.filter(F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1))), lambda x: x.contains(" "))
-    one = one.withColumn("pairs", F.array_distinct(F.when(F.size("w") > 1, F.slice(pair, 1, F.size("w") - 1)).otherwise(F.array().cast("array<string>"))))
+    one = units.select(unit).distinct().withColumn("w", F.split(unit, " ")).withColumn("pairs", word_pairs(F.col("w")))
     grams = one.withColumn("grams", F.array_distinct(F.concat("w", "pairs"))).select(unit, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     keyed = grams.withColumn("feature", (F.crc32(F.col("gram").cast("binary")) % DIMENSIONS).cast("int"))
     sums = keyed.join(F.broadcast(weights), "feature", "left").groupBy(unit).agg(*[(F.coalesce(F.sum(n), F.lit(0.0)) / F.sqrt(F.max("n"))).alias(n) for n in names])  # DIMENSIONS rows
@@ -237,13 +248,36 @@ def classify(units: DataFrame, classifier: Classifier, unit: str = "unit") -> Da
 
 def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", classifier: Classifier | None = None) -> DataFrame:
     """A row for each different doc_id of ``df``."""
-    units = cut(df.select(F.col(doc_id).alias("u_id"), F.explode(paragraphs(F.col(text))).alias("unit")).filter("unit != ''"))
+    sentences = df.select(F.col(doc_id).alias("u_id"), F.inline(paragraphs(F.col(text)))).withColumn("p", F.monotonically_increasing_id())
+    unit = lambda u, w: F.struct(u.alias("unit"), F.lit(w).alias("wrapped"))
+    lines = F.transform("lines", lambda x: unit(x, False))
+    wrapped = F.when(F.col("lines") != F.array("whole"), F.array(unit(F.col("whole"), True))).otherwise(F.array().cast("array<struct<unit: string, wrapped: boolean>>"))
+    units = cut(sentences.select("u_id", "p", F.inline(F.concat(lines, wrapped))).filter("unit != ''"))
     named = units.join(classify(units, classifier or train()), "unit", "left")
     known = ~F.col("family").isin("none", "unknown")
-    each = named.groupBy("u_id").agg(
-        F.count("*").alias("n_candidates"), F.count_if(known).alias("n_confirmed"), F.count_if(F.col("family") == "unknown").alias("n_unknown"),
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(known, F.col("family"))))).alias("families"),
-        F.max(F.when(known, F.struct("probability", "family"))).alias("best"),
+    line, whole = known & ~F.col("wrapped"), known & F.col("wrapped")
+    each = named.groupBy("u_id", "p").agg(
+        F.count_if(~F.col("wrapped")).alias("n_lines"), F.count_if(F.col("family") == "unknown").alias("n_all_unknown"), F.count_if((F.col("family") == "unknown") & ~F.col("wrapped")).alias("n_line_unknown"),
+        F.collect_list(F.when(line, F.struct("probability", "family", "unit"))).alias("found"), F.max(F.when(whole, F.struct("probability", "family", "unit"))).alias("whole"),
+    )
+    by_family: dict[str, set[str]] = {}
+    for f, pairs in template_pairs():
+        by_family.setdefault(f, set()).update(pairs)
+    of_family = df.sparkSession.createDataFrame([(f, sorted(x)) for f, x in by_family.items()], "w_family string, w_pairs array<string>")
+    each = each.join(F.broadcast(of_family), F.col("whole.family") == F.col("w_family"), "left")
+    own = lambda x: (x["family"] == F.col("w_family")) | (F.size(F.array_except(word_pairs(F.split(x["unit"], " ")), F.col("w_pairs"))) > 0)
+    each = each.withColumn("found", F.when(F.col("whole").isNull(), F.col("found")).otherwise(F.filter("found", own)))
+    more = F.col("whole").isNotNull() & ~F.exists("found", lambda x: x["family"] == F.col("w_family"))
+    each = each.withColumn("found", F.when(more, F.array_append("found", F.col("whole"))).otherwise(F.col("found")))
+    confirmed, sure, alone = F.size("found"), F.col("whole").isNotNull(), F.col("n_lines") == 0  # alone: what it names is itself wrapped
+    sentence = each.select(
+        "u_id", confirmed.alias("confirmed"), F.when(sure, confirmed).otherwise(F.greatest("n_lines", F.lit(1))).alias("candidates"),
+        F.when(sure, 0).when(alone, F.col("n_all_unknown")).otherwise(F.col("n_line_unknown")).alias("unknown"),
+        F.transform("found", lambda x: x["family"]).alias("families"), F.array_max(F.transform("found", lambda x: F.struct(x["probability"].alias("probability"), x["family"].alias("family")))).alias("best"),
+    )
+    each = sentence.groupBy("u_id").agg(
+        F.sum("candidates").alias("n_candidates"), F.sum("confirmed").alias("n_confirmed"), F.sum("unknown").alias("n_unknown"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_set("families"))))).alias("families"), F.max("best").alias("best"),
     )
     ids = df.select(doc_id).distinct()
     joined = ids.join(each, ids[doc_id].eqNullSafe(each["u_id"]), "left")

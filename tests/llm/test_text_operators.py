@@ -199,3 +199,17 @@ def test_every_license_template_alone_yields_its_family(spark):
     rows = license_scan.scan_licenses(spark.createDataFrame([(i, f"Some prose.\n{t}\nMore prose.") for i, (_, t) in enumerate(alone)], "doc_id long, text string")).collect()
     assert [(alone[r.doc_id], r.families) for r in rows if r.families != alone[r.doc_id][0]] == []
     assert ("proprietary", "All rights reserved.") in alone
+
+
+def test_wrapped_license_notices_yield_their_family(spark):
+    import textwrap
+
+    alone = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    marks = [("", "\n"), (" * ", "\r\n"), ("# ", "\n"), ("// ", "\n")]
+    cases = [(f, f"{m}Some prose.{e}{m.rstrip()}{e}" + "".join(m + x + e for x in textwrap.wrap(t, width)) + m.rstrip() + e + m + "More prose.") for f, t in alone for m, e in marks for width in (40, 72)]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    cases += [("gpl", "\n".join("# " + x for x in gpl.split("\n"))), ("mit,proprietary", "SPDX-License-Identifier: MIT\nAll rights reserved"), ("proprietary", "sold, all rights\nreserved")]
+    cases += [("cc-by-sa,mit", "This work is licensed under a Creative\nCommons Attribution-ShareAlike 4.0\nInternational License\nReleased under the MIT License")]
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(c for _, c in cases)), "doc_id long, text string")).collect()
+    assert [(cases[r.doc_id], r.families) for r in rows if r.families != cases[r.doc_id][0]] == [] and len(rows) == len(cases)
+    assert all(r.n_candidates >= r.n_confirmed + r.n_unknown and r.n_confirmed >= 1 for r in rows)
