@@ -22,7 +22,7 @@ and the bytes of those segments whose minimizer repeats.
 Defined cases: a null text is the empty text; texts shorter than LENGTH lose nothing; texts of any length
 are cut whole; a null doc_id comes after all others; rows alike in doc_id and text are one document, of
 which no row loses to the other; rows with equal doc_id and other texts are judged as two documents, the
-order between them being that of a hash; an empty table gives no rows. Input columns pass through; new
+order between them being that of a 32-bit hash, by which they are told apart; an empty table gives no rows. Input columns pass through; new
 columns replace those of the same names.
 """
 
@@ -217,10 +217,11 @@ def common_prefixes(words: np.ndarray, sa: np.ndarray, limit: int = LENGTH) -> n
     return np.minimum(out, limit)
 
 
-def earliest_windows(found: list[tuple[bytes, int, int]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+def earliest_windows(found: list[tuple[bytes, int, int]], length: int = LENGTH, hashes: list[int] | None = None) -> list[tuple[int, int, int]]:
     """(document, first, end) ranges of the windows of segments ``found`` that no earlier one equals.
 
-    A segment is its bytes, document and place; documents compare as numbers.
+    A segment is its bytes, document and place; documents compare as numbers. With ``hashes``, one for each
+    segment, documents are told apart by number and hash, and ranges are (document, hash, first, end).
     """
     t = np.frombuffer(b"\xff".join(s for s, _, _ in found) + b"\xff", np.uint8)  # no byte of UTF-8 text is 0xff
     sizes = np.array([len(s) for s, _, _ in found], np.int64)
@@ -236,7 +237,8 @@ def earliest_windows(found: list[tuple[bytes, int, int]], length: int = LENGTH)
     at = sa[sa_window]
     doc = np.array([d for _, d, _ in found], np.int64)[seg[at]]
     place = np.array([p for _, _, p in found], np.int64)[seg[at]] + inside[at]
-    o = np.lexsort((place, doc, run))
+    text = np.array(hashes or [0] * len(found), np.int64)[seg[at]]
+    o = np.lexsort((place, text, doc, run))
     first = np.concatenate([[True], run[o][1:] != run[o][:-1]]) if len(o) else np.empty(0, bool)
     stays = np.zeros(len(t), bool)
     stays[at[o[first]]] = True
@@ -245,7 +247,8 @@ def earliest_windows(found: list[tuple[bytes, int, int]], length: int = LENGTH)
     out = []
     for a, b in zip(begins.tolist(), ends.tolist()):  # a separator stands between the windows of two segments
         _, d, p = found[seg[a]]
-        out.append((d, p + int(inside[a]), p + int(inside[a]) + b - a))
+        own = (d,) if hashes is None else (d, hashes[seg[a]])
+        out.append((*own, p + int(inside[a]), p + int(inside[a]) + b - a))
     return out
 
 
@@ -348,10 +351,10 @@ def _repeated(numbers: DataFrame, most: int = 4 << 20) -> DataFrame:
 
 
 def _bytes(joined: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
-    """(v, seg, d, s): bytes and first place of the segments listed in ``segs``; equal ones of a task are merged."""
+    """(v, seg, d, h, s): bytes and first place of the segments listed in ``segs``; equal ones of a task are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], tuple[int, int]] = {}
+        held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -359,8 +362,8 @@ def _bytes(joined: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
             for i in range(0, len(items), 20_000):
                 part = items[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([p[0] for _, p in part], pa.int64()), pa.array([p[1] for _, p in part], pa.int32())],
-                    names=["v", "seg", "d", "s"],
+                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([p[0] for _, p in part], pa.int64()), pa.array([p[1] for _, p in part], pa.int32()), pa.array([p[2] for _, p in part], pa.int32())],
+                    names=["v", "seg", "d", "h", "s"],
                 )
 
         for batch in batches:
@@ -369,64 +372,67 @@ def _bytes(joined: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
                 ends = segs.offsets.to_numpy()
                 flat = segs.values
                 s, n, v = (flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
-                for i, (t, d) in enumerate(zip(piece.column(text).cast(pa.binary()).to_pylist(), piece.column("_d").to_pylist())):
+                for i, (t, d, h) in enumerate(zip(piece.column(text).cast(pa.binary()).to_pylist(), piece.column("_d").to_pylist(), piece.column("_h").to_pylist())):
                     for k in range(int(ends[i]), int(ends[i + 1])):
                         key = (v[k], t[s[k] : s[k] + n[k] + length - 1])
                         old = held.get(key)
                         if old is None:
                             size += len(key[1])
-                            held[key] = (d, s[k])
-                        elif (d, s[k]) < old:
-                            held[key] = (d, s[k])
+                            held[key] = (d, h, s[k])
+                        elif (d, h, s[k]) < old:
+                            held[key] = (d, h, s[k])
                 if size > 16 << 20:
                     yield from out()
                     held, size = {}, 0
         yield from out()
 
-    return joined.mapInArrow(run, "v bigint, seg binary, d bigint, s int")
+    return joined.mapInArrow(run, "v bigint, seg binary, d bigint, h int, s int")
 
 
 def _kept(found: DataFrame, hot: int, length: int = LENGTH) -> DataFrame:
-    """(d, a, b, seg): the ranges of windows that stay, of the first place of each different segment; with ``seg`` where a hot minimizer's segment is left to ``_kept_hot``."""
+    """(d, h, a, b, seg): the ranges of windows that stay, of the first place of each different segment; with ``seg`` where a hot minimizer's segment is left to ``_kept_hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot: list[tuple[bytes, int, int]] = []  # segments to compare
+        lot: list[tuple[bytes, int, int, int]] = []  # segments to compare
         lot_size = 0
-        group: list[tuple[bytes, int, int]] = []  # different segments of the minimizer at hand
+        group: list[tuple[bytes, int, int, int]] = []  # different segments of the minimizer at hand
         group_v, group_size, over = None, 0, False
-        rows: list[tuple[int, int, int, bytes | None]] = []
+        rows: list[tuple[int, int, int, int, bytes | None]] = []
 
         def out(rows: list) -> pa.RecordBatch:
-            d, a, b, seg = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(seg, pa.binary())], names=["d", "a", "b", "seg"])
+            d, h, a, b, seg = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(seg, pa.binary())], names=["d", "h", "a", "b", "seg"])
 
-        def as_hot(x: tuple[bytes, int, int]) -> tuple[int, int, int, bytes]:
-            return x[1], x[2], x[2] + len(x[0]) - length + 1, x[0]
+        def as_hot(x: tuple[bytes, int, int, int]) -> tuple[int, int, int, int, bytes]:
+            return x[1], x[2], x[3], x[3] + len(x[0]) - length + 1, x[0]
+
+        def compared() -> Iterator[tuple[int, int, int, int, None]]:
+            for r in earliest_windows([(seg, d, s) for seg, d, _, s in lot], length, [x[2] for x in lot]):
+                yield (*r, None)
 
         def close() -> None:
             nonlocal group, group_size, over, lot_size
             if over:
                 rows.extend(map(as_hot, group))
             elif len(group) == 1:
-                s, d, p = group[0]
-                rows.append((d, p, p + len(s) - length + 1, None))
+                rows.append((*as_hot(group[0])[:4], None))
             else:
                 lot.extend(group)
                 lot_size += group_size
             group, group_size, over = [], 0, False
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for v, seg, d, s in zip(*cols):
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for v, seg, d, h, s in zip(*cols):
                 if v != group_v:
                     close()
                     group_v = v
                     if lot_size >= TEXT:
-                        rows.extend((*r, None) for r in earliest_windows(lot, length))
+                        rows.extend(compared())
                         lot, lot_size = [], 0
                 elif group and group[-1][0] == seg:
                     continue  # rows are sorted: the first place came first
-                group.append((seg, d, s))
+                group.append((seg, d, h, s))
                 group_size += len(seg)
                 if len(group) > hot or group_size > HOT_BYTES:
                     over = True
@@ -438,18 +444,18 @@ def _kept(found: DataFrame, hot: int, length: int = LENGTH) -> DataFrame:
                 rows = []
         close()
         if lot:
-            rows.extend((*r, None) for r in earliest_windows(lot, length))
+            rows.extend(compared())
         if rows:
             yield out(rows)
 
-    return found.repartition("v").sortWithinPartitions("v", "seg", "d", "s").mapInArrow(run, "d bigint, a int, b int, seg binary")
+    return found.repartition("v").sortWithinPartitions("v", "seg", "d", "h", "s").mapInArrow(run, "d bigint, h int, a int, b int, seg binary")
 
 
 def _kept_hot(left: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(d, a, b): the earliest of each different window of the segments that were left."""
-    one = left.select("d", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("b") - F.col("a") - 1), lambda i: F.substring("seg", i + 1, F.lit(length)))).alias("i", "w"), "a")
-    least = one.groupBy("w").agg(F.min(F.struct(F.col("d"), (F.col("a") + F.col("i")).alias("a"))).alias("x"))
-    return least.select("x.d", "x.a", (F.col("x.a") + 1).alias("b"))
+    """(d, h, a, b): the earliest of each different window of the segments that were left."""
+    one = left.select("d", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("b") - F.col("a") - 1), lambda i: F.substring("seg", i + 1, F.lit(length)))).alias("i", "w"), "a")
+    least = one.groupBy("w").agg(F.min(F.struct("d", "h", (F.col("a") + F.col("i")).alias("a"))).alias("x"))
+    return least.select("x.d", "x.h", "x.a", (F.col("x.a") + 1).alias("b"))
 
 
 def removed_bytes(total: int, repeated: np.ndarray, kept: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -475,16 +481,16 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     per_doc = _repeated(numbers).groupBy("d", "h").agg(F.collect_set(F.struct("s", "n", "v")).alias("segs"))
     per_doc = cut(per_doc)
     release(spark)
-    texts = keyed.select("_d", "_h", "_t").join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).select("_d", "_t", "segs")
+    texts = keyed.select("_d", "_h", "_t").join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).select("_d", "_h", "_t", "segs")
     kept = cut(_kept(_bytes(texts, "_t"), hot))
     release(spark)
     hot_rows = kept.filter("seg is not null")
-    all_kept = kept.filter("seg is null").select("d", "a", "b")
+    all_kept = kept.filter("seg is null").select("d", "h", "a", "b")
     if hot_rows.limit(1).count():
         all_kept = all_kept.unionByName(_kept_hot(hot_rows))
-    kept_doc = all_kept.groupBy("d").agg(F.collect_list(F.struct("a", "b")).alias("_stay"))
+    kept_doc = all_kept.groupBy("d", "h").agg(F.collect_list(F.struct("a", "b")).alias("_stay"))
     ranges = per_doc.select("d", "h", F.transform("segs", lambda x: F.struct(x["s"].alias("a"), (x["s"] + x["n"]).alias("b"))).alias("_again"))
-    both = ranges.join(kept_doc, "d", "left").select(F.col("d").alias("_rd"), F.col("h").alias("_rh"), "_again", "_stay")
+    both = ranges.join(kept_doc, ["d", "h"], "left").select(F.col("d").alias("_rd"), F.col("h").alias("_rh"), "_again", "_stay")
     full = keyed.join(both, (F.col("_d") == F.col("_rd")) & (F.col("_h") == F.col("_rh")), "left").drop("_d", "_h", "_rd", "_rh")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     added = T.StructType(

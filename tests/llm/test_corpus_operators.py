@@ -122,6 +122,21 @@ def test_dedup_equals_brute_force(spark):
         assert got == want
 
 
+def test_dedup_tells_texts_of_one_or_no_doc_id_apart(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcdefgh ", k=400))
+    noise = lambda: "".join(rng.choices("xyz ", k=rng.randint(0, 120)))
+    texts = [noise() + base[rng.randint(0, 60) : rng.randint(200, 400)] + noise() for _ in range(24)] + ["same place " + base + noise() for _ in range(6)]
+    rows = [(rng.choice([None, None, 7, 8, 50 + i]), t) for i, t in enumerate(texts)]
+    rows += [(None, "same place " + base + "1"), (None, "same place " + base + "2"), (7, "same place " + base + "3"), (7, "same place " + base + "4"), rows[0], rows[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda r: (10**9 if r.doc_id is None else r.doc_id, r.h)
+    want = slow_dedup({(key(r), r.text.encode()) for r in df.select("doc_id", "text", F.hash("text").alias("h")).collect()})
+    for hot in (4096, 2):
+        out = suffix_dedup.dedup_passages(df.withColumn("h", F.hash("text")), hot=hot).collect()
+        assert len(out) == len(rows) and [(key(r), r.n_removed) for r in out if (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) != want[key(r)]] == []
+
+
 def test_dedup_of_long_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
     rng = random.Random(4)
