@@ -375,15 +375,18 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_wor
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay if each group keeps the document of the least doc_id, and that once.
-
-    Of rows without a doc_id only those in groups without any doc_id stay.
-    """
-    groups = near_groups(df, text, doc_id)
-    stays = groups.filter(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_stays")).distinct()
-    w = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    found = df.join(stays, F.col(doc_id).eqNullSafe(F.col("_stays")), "left_semi")
-    return found.withColumn("_k", F.row_number().over(w)).filter((F.col("_k") == 1) | F.col(doc_id).isNull()).drop("_k")
+    """One row of ``df`` for each group: that of the least doc_id, null the last, and of its texts that of least hash."""
+    named = df.withColumns({"_no": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_hash": F.xxhash64(text)})
+    each = fingerprints(named.select(doc_id, text, "_no", "_id", "_hash"), text).select("fp", F.struct("_no", doc_id, "_hash", "_id").alias("row"))
+    distinct = cut(each.groupBy("fp").agg(F.min("row").alias("row")))
+    n, counts = bit_counts(distinct)
+    linked = connected_components(links(bucket_rows(distinct, plan_parts(n, counts))))
+    stays = distinct.join(linked, distinct["fp"] == linked["node"], "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("row").alias("row"))
+    stays = cut(stays.select("row._no", "row._id", "row._hash"))
+    release(df.sparkSession)
+    keys = ["_no", "_id", "_hash"]
+    w = Window.partitionBy(keys).orderBy("_hash")  # rows that repeat
+    return named.join(stays, keys, "left_semi").withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", *keys)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

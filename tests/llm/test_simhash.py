@@ -83,6 +83,13 @@ def test_one_document_of_each_group_stays(spark, odd_docs, no_docs):
     assert S.near_groups(no_docs).count() == 0
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_doc_ids(spark):
+    a, b, c, d, e = ("alpha beta gamma delta", "one two three four", "red green blue grey", "north south east west", "spring summer autumn winter")
+    rows = [(5, a), (5, b), (6, b), (2, a), (None, a), (None, c), (None, c), (None, c.upper()), (None, d), (7, d), (4, e), (4, "x y z"), (4, "x y z")]
+    kept = sorted(((r.doc_id, r.text.lower()) for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    assert kept == sorted([(2, a), (5, b), (None, c), (7, d), (4, e), (4, "x y z")], key=str)
+
+
 def test_long_chains_and_hubs_become_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(7, i) for i in range(1000, 1100)]
