@@ -2,8 +2,9 @@
 
 ``scan`` works on free runs. Each run is one group of rows sorted by cluster; a task reads the run in
 order, holds only the clusters that an open candidate needs, and skips those that a found file covers. Runs
-longer than ``MAX_RUN`` clusters are cut into overlapping stretches of that length, so none grows with the
-volume; a file found again in an overlap is dropped by its start.
+longer than twice ``MAX_WINDOW`` are cut into stretches of that length which overlap by half, so none grows
+with the volume and every candidate has its ``MAX_WINDOW`` bytes in some stretch; a file found again in an
+overlap is dropped by its start.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from sedgeway.functions.binary import lznt1
 from sedgeway.functions.formats import BY_ID, FORMATS, Format, extension_for, looks_like, measure
 
 CLUSTER = 4096
-#: Clusters of a stretch, and bytes that one candidate may grow to.
-MAX_RUN = 1 << 15
-MAX_WINDOW = 64 << 20
+#: Bytes that one candidate may grow to.
+MAX_WINDOW = 512 << 20
 _SCHEMA = "volume_id string, type_id string, label string, category string, start_lcn bigint, size bigint, info string, suggested_name string"
 
 
@@ -58,9 +58,9 @@ def scan_bytes(data: bytes, cluster: int = CLUSTER, types: tuple[str, ...] | Non
 
 def scan(clusters: DataFrame, runs: DataFrame, cluster: int = CLUSTER, types: tuple[str, ...] | None = None) -> DataFrame:
     """Files carved from ``clusters`` (volume_id, lcn, data) inside free ``runs`` (volume_id, start_lcn, len)."""
-    step = MAX_RUN // 2
+    step = -(-MAX_WINDOW // cluster)
     cut = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("len") - step - 1) / step)).cast("int")))).select(
-        "volume_id", (F.col("start_lcn") + F.col("k") * step).alias("s"), F.least(F.col("start_lcn") + F.col("len"), F.col("start_lcn") + F.col("k") * step + MAX_RUN).alias("e"), (F.col("k") > 0).alias("later")
+        "volume_id", (F.col("start_lcn") + F.col("k") * step).alias("s"), F.least(F.col("start_lcn") + F.col("len"), F.col("start_lcn") + F.col("k") * step + 2 * step).alias("e"), (F.col("k") > 0).alias("later")
     )
     # Clusters meet stretches by blocks of `step` clusters, which stretches overlap in three at most.
     stretch = cut.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / step), F.floor((F.col("e") - 1) / step))))

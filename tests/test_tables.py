@@ -264,3 +264,19 @@ def test_snapshots_and_scans(spark, tmp_path):
     assert name == "range" and why.startswith("missing") and df.count() == 3
     found = E.fill_metadata(spark.createDataFrame([(1, 9, "A.txt", False, 0, None)], "entry_id long, parent_id long, name string, metadata_known boolean, size long, modified timestamp_ntz"), spark.createDataFrame([(9, "a.TXT", 42, T0)], "parent_id long, name string, size long, modified timestamp_ntz")).first()
     assert (found.size, found.metadata_known) == (42, True)
+
+
+def test_files_of_more_than_64_mib_are_carved(spark, monkeypatch):
+    def bmp(size):
+        return (b"BM" + struct.pack("<IHHI", size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 16, 64, 1, 32, 0, 0, 0, 0, 0, 0)).ljust(size, b"x")
+
+    big = 65 << 20
+    assert [(c, f.id, n) for c, f, n, _ in carve.scan_bytes(bytes(4096) + bmp(big) + bytes(8192))] == [(1, "bmp", big)]
+    assert carve.MAX_WINDOW == 512 << 20  # as the reference's
+    # With a window of 8 clusters, of 512 bytes each, files of that length are found wherever they start in a run.
+    monkeypatch.setattr(carve, "MAX_WINDOW", 4096)
+    for at in (3, 7, 8, 15, 20):
+        data = (bytes(512 * at) + bmp(4096)).ljust(512 * 40, b"\0")
+        clusters = spark.createDataFrame([("v", i, data[512 * i : 512 * i + 512]) for i in range(40)], "volume_id string, lcn long, data binary")
+        runs = spark.createDataFrame([("v", 0, 40)], "volume_id string, start_lcn long, len long")
+        assert [(r.start_lcn, r.size) for r in carve.scan(clusters, runs, 512).collect()] == [(at, 4096)]
