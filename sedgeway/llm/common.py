@@ -23,7 +23,9 @@ def text_or_empty(df: DataFrame, text: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """The array of words: runs of anything but the six ASCII white-space characters."""
-    spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
+    spaced = text
+    for c in "\t\n\x0b\x0c\r":  # a text without the character passes at the speed of a byte search
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
 
 

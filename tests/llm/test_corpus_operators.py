@@ -52,6 +52,47 @@ def test_adaptive_limits_drop_junk_and_keep_clean_rows(spark, odd_docs, no_docs)
     assert quality.judge(quality.with_counts(no_docs), quality.limits(quality.with_counts(no_docs))).count() == 0
 
 
+def test_limits_equal_exact_quantiles_of_skewed_groups(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(1500):
+        lang, source = ("en", "hot") if i % 3 else ("en", "s1") if i % 2 else (None, rng.choice("abcdefghijklmnopqrstuvwxyz"))
+        n, c = rng.randint(50, 900), rng.choice([4, 5, 6])
+        rows.append((i, lang, source, n, n * c + rng.randint(0, n), int(n * c * rng.choice([0, 0, 0, 0.001, 0.3])), rng.choice([0, 0, 0, 1, 9]), int(n * rng.choice([0, 0, 0.01, 0.2, 0.4, 0.6])), 10))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    limit = quality.limits(df)
+    kept = {r.doc_id: r.kept for r in quality.judge(df, limit).collect()}
+    assert kept == {r.doc_id: r.kept for r in quality.judge(df.repartition(3), quality.limits(df.repartition(3))).collect()}
+    share = {"symbol_share": lambda r: r[5] / r[4], "dup_line_share": lambda r: r[6] / r[8], "repeat_share": lambda r: r[7] / r[3], "word_length": lambda r: r[4] / r[3]}
+    fine = [r for r in rows if 2 * r[7] <= r[3]]
+
+    def quantile(x, q):  # of values no sketch has to thin out
+        return sorted(x)[max(0, int(np.ceil(q * len(x) - 1e-9)) - 1)]
+
+    dropped = collections.Counter()
+    for r in rows:
+        pool = [x for x in fine if x[1:3] == r[1:3]]
+        pool = pool if len(pool) >= quality.MIN_ROWS else [x for x in fine if x[1] == r[1]]
+        ok = 2 * r[7] <= r[3]
+        for name, f in share.items():
+            x = [f(p) for p in pool]
+            reach = quality.FENCE * (quantile(x, 0.75) - quantile(x, 0.25))
+            inside = f(r) <= quantile(x, quality.LEVEL[name]) + reach and not (name in quality.BELOW and f(r) < quantile(x, 1 - quality.LEVEL[name]) - reach)
+            dropped[name] += ok and not inside
+            if not inside:
+                ok = False
+        assert kept[r[0]] == ok, r
+    assert dropped["symbol_share"] and len({tuple(r._limit) for r in limit.filter("_limit_lang = 'en'").collect()}) == 2
+
+
+def test_every_feature_can_drop_a_document(spark):
+    base = dict(n_words=200, word_chars=1000, n_symbols=0, n_dup_lines=0, n_repeat_words=0, n_lines=10)
+    odd = [dict(base, n_symbols=90), dict(base, n_dup_lines=9), dict(base, n_repeat_words=99), dict(base, word_chars=4000), dict(base, word_chars=250)]
+    rows = [{"doc_id": i, "lang": "en", "source": "a", **x} for i, x in enumerate(odd + [base] * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in base))
+    assert {r.doc_id for r in quality.judge(df, quality.limits(df)).filter("not kept").collect()} == set(range(len(odd)))
+
+
 def test_targets_are_water_filled():
     sizes = {"a": 1000, "b": 10, "c": 500, None: 0}
     t = mixing.targets(sizes)
