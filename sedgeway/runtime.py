@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,14 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir, or a temporary one of a local session."""
+    """The folder for checkpoints: spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sedgeway-ckpt-"))
     return configured or sc.getCheckpointDir()
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A folder below the checkpoint folder for what ``store`` writes in this block; deleted at its end."""
+    path = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the scratch (else the checkpoint) folder and read again: computed once, and later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{_scratch.get() or ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 #: Makes Spark drop a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
