@@ -1,29 +1,40 @@
 """SimHash near-duplicate groups by the general pigeonhole principle.
 
-Fingerprints: the 64-bit XXH64 values of a text's word shingles vote on each bit. Texts link if their
-fingerprints differ in ``max_distance`` bits or fewer; a group is what links connect.
+Fingerprints: the 64-bit XXH64 values of a text's word shingles vote on each bit. ``near_groups`` links
+texts whose fingerprints differ in ``max_distance`` bits or fewer; a group is what links connect.
 
 Search: the 64 bits are dealt to m parts so that correlated bits share a part, and the parts get thresholds
-of -1 (unused), 0 or 1 that sum to max_distance - m + 1. Two fingerprints within max_distance are then
+of -1 (unused), 0, 1 or 2 that sum to max_distance - m + 1. Two fingerprints within max_distance are then
 within the threshold of some part. Grouping uses the co-occurrence counts of all pairs of bits over all
 distinct fingerprints. The same counts give, by a dependence tree for each part, the expected number of
 pairs that agree in a part; dynamic programming picks the thresholds, and the search over m the number of
 parts, with the least expected cost of rows to send and pairs to verify. All choices are exact; they only
 move cost.
 
-Probe and verify: a fingerprint goes to the bucket of its value in each used part and, where the threshold
+Probe and verify: a fingerprint goes to the bucket of its value in each used part; where the threshold
 is 1, also to the buckets of the values with one more bit set (so of two values that differ in one bit,
-the lesser probes the greater). Buckets are compared in blocks, and a bucket sends out a spanning forest
-of its links, so a group's pairs are never written out. A bucket of more than ``BLOCK`` rows is dealt to
-several tasks: each holds a share of its fingerprints, and all of the bucket's rows pass by each share.
-
-Equal fingerprints are merged before any of this, so a group of copies is one row. Components come from
-star rounds on those forests.
-
-Defined cases: a null or empty text has fingerprint zero and links like any other; fewer words than a
-shingle has make one shingle; a null doc_id is never a component's id unless the whole component has none;
-rows that repeat are judged one by one; an empty table gives no rows. Extra input columns pass through
-``fingerprints``; its new columns replace those of the same names.
+the lesser probes the greater); where it is 2, to the buckets of all values with one bit changed (two values
+that differ in two bits meet in between). Buckets are compared in blocks, and a bucket sends out a spanning
+forest of its links, so a group's pairs are never written out. A bucket of more than ``BLOCK`` rows is dealt
+to several tasks: each holds a share of its fingerprints, and all of the bucket's rows pass by each share. A
+bucket of n rows so takes n / BLOCK copies of each; the plan counts that in ``PAIR_COST``.
+
+``keep_one`` is the stage for near copies by word shingles: it takes the fingerprints of three-word shingles
+within ``SEARCH_DISTANCE`` bits as candidates (texts of too different sizes are left out where buckets are
+compared) and links two texts of a candidate group if their sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, exactly. Within a group, only texts that share one of their rarest shingles can
+be that similar (with the group's own counts as the order, and prefixes as long as that similarity needs);
+such sharers are joined to a few leaders of each shingle at a time, verified, and what is already connected
+is not looked at again, so that no group's pairs are written out.
+
+Equal fingerprints (``keep_one``: equal sets of shingles) are merged before any of this, so a group of
+copies is one row. Components come from star rounds on those forests.
+
+Defined cases: a null or empty text has fingerprint zero and links like any other (``keep_one``: texts
+without words are one group); fewer words than a shingle has make one shingle; a null doc_id is never a
+component's id unless the whole component has none; rows that repeat are judged one by one (``keep_one``: one
+of them stays); an empty table gives no rows. Extra input columns pass through; new columns replace those of
+the same names.
 """
 
 from __future__ import annotations
@@ -41,10 +52,14 @@ from pyspark.sql.window import Window
 
 from sedgeway.llm.common import map_arrow
 from sedgeway.llm.components import connected_components
-from sedgeway.runtime import cut, release, table
+from sedgeway.runtime import cut, release, store, table
 
 WORDS = 3
 MAX_DISTANCE = 3
+#: The stage for near copies: words of a shingle, similarity, and bits within which fingerprints are candidates.
+SHINGLE = 5
+SIMILARITY = 0.8
+SEARCH_DISTANCE = 11
 SEED = 42
 BITS = 64
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt to several.
@@ -148,8 +163,8 @@ def _grouped(agree: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def _near(agree: np.ndarray, bits: list[int]) -> tuple[float, float]:
-    """Chance that two random fingerprints differ in none, and in at most one, of ``bits``, by a dependence tree."""
+def _near(agree: np.ndarray, bits: list[int]) -> tuple[float, float, float]:
+    """Chance that two random fingerprints differ in none, at most one and at most two of ``bits``, by a dependence tree."""
     single = np.diag(agree)
 
     def joint(b: int, c: int) -> np.ndarray:  # [agree or differ in b][in c]
@@ -170,28 +185,30 @@ def _near(agree: np.ndarray, bits: list[int]) -> tuple[float, float]:
         for x in best:
             if (w := information(c, x)) > best[x][0]:
                 best[x] = (w, c)
-    below: dict[int, np.ndarray] = {}  # [state of the bit][differences in its subtree: 0, 1], given the state
+    below: dict[int, np.ndarray] = {}  # [state of the bit][differences in its subtree: 0, 1, 2], given the state
     for b in reversed(order):
-        mine = np.array([[1.0, 0.0], [0.0, 1.0]])
+        mine = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]])
         for c in children[b]:
             j = joint(b, c)
             step = (j / j.sum(1, keepdims=True)) @ below[c]
-            mine = np.stack([mine[:, 0] * step[:, 0], mine[:, 0] * step[:, 1] + mine[:, 1] * step[:, 0]], axis=1)
+            mine = np.stack([sum(mine[:, i] * step[:, k - i] for i in range(k + 1)) for k in range(3)], axis=1)
         below[b] = mine
     root = np.array([single[bits[0]], 1 - single[bits[0]]]) @ below[bits[0]]
-    return float(root[0]), float(root.sum())
+    return tuple(np.cumsum(root).tolist())
 
 
 def plan_parts(n: int, counts: np.ndarray, max_distance: int = MAX_DISTANCE, most_parts: int = 8) -> list[Part]:
     """The parts and thresholds of least expected cost for n fingerprints."""
     agree, best = _agreement(n, counts), (float("inf"), [])
     pairs = n * (n - 1) / 2
-    for m in range(max(1, (max_distance + 2) // 2), max(most_parts, max_distance + 1) + 1):
+    for m in range(max(1, (max_distance + 3) // 3), max(most_parts, max_distance + 1) + 1):
         groups = _grouped(agree, m)
         cost = []
         for g in groups:
-            zero, one = _near(agree, g)
-            cost.append({-1: 0.0, 0: n + PAIR_COST * pairs * zero, 1: n * (2 + len(g) / 2) + PAIR_COST * pairs * one})
+            zero, one, two = _near(agree, g)
+            # Threshold 2: equal values meet in all buckets, others in two.
+            meet = (1 + len(g)) * zero + 2 * (two - zero)
+            cost.append({-1: 0.0, 0: n + PAIR_COST * pairs * zero, 1: n * (2 + len(g) / 2) + PAIR_COST * pairs * one, 2: n * (1 + len(g)) + PAIR_COST * pairs * meet})
         # Least cost of the parts so far, by the sum of their thresholds.
         table_: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for c in cost:
@@ -211,57 +228,75 @@ def plan_parts(n: int, counts: np.ndarray, max_distance: int = MAX_DISTANCE, mos
 
 
 def bucket_rows(fps: DataFrame, parts: list[Part]) -> DataFrame:
-    """(part, key, probe, fp): every fingerprint in its own buckets (probe 0) and in those it probes (probe 1)."""
+    """(part, key, probe, fp, lo, hi): every fingerprint in its own buckets (probe 0) and in those it probes (probe 1).
+
+    ``lo`` and ``hi``, the least and greatest size of the texts of a fingerprint, are zero if ``fps`` has none.
+    """
     used = [(i, p) for i, p in enumerate(parts) if p.threshold >= 0]
+    sized = fps.select("fp", "lo", "hi") if {"lo", "hi"} <= set(fps.columns) else fps.select("fp", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
+            fp, lo, hi = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
+            fp = fp.view(np.uint64)
+            every = np.ones(len(fp), dtype=bool)
             for i, p in used:
                 key = fp & np.uint64(p.mask)
-                lots = [(key, 0, fp)]
-                if p.threshold == 1:
-                    for b in p.bits:
-                        bit = np.uint64(1 << b)
-                        off = (fp & bit) == 0
-                        lots.append((key[off] | bit, 1, fp[off]))
-                for k, probe, f in lots:
+                lots = [(key, 0, every)]
+                for b in p.bits if p.threshold else ():
+                    bit = np.uint64(1 << b)
+                    off = (fp & bit) == 0
+                    lots.append((key[off] | bit, 1, off) if p.threshold == 1 else (key ^ bit, 0, every))
+                for k, probe, at in lots:
                     if len(k):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(k), i, np.int32)), pa.array(k.view(np.int64)), pa.array(np.full(len(k), probe, np.int32)), pa.array(f.view(np.int64))],
-                            names=["part", "key", "probe", "fp"],
+                            [pa.array(np.full(len(k), i, np.int32)), pa.array(k.view(np.int64)), pa.array(np.full(len(k), probe, np.int32)), pa.array(fp[at].view(np.int64)), pa.array(lo[at]), pa.array(hi[at])],
+                            names=["part", "key", "probe", "fp", "lo", "hi"],
                         )
 
-    return fps.select("fp").mapInArrow(run, "part int, key bigint, probe int, fp bigint")
+    return sized.mapInArrow(run, "part int, key bigint, probe int, fp bigint, lo int, hi int")
 
 
 class Bucket:
-    """Links within one bucket: its own fingerprints are held, probes pass by; a spanning forest comes out."""
+    """Links within one bucket: its own fingerprints are held, probes pass by; a spanning forest comes out.
+
+    Fingerprints are held by least size, so that each is compared only with those within ``ratio`` of its size.
+    """
 
-    def __init__(self, max_distance: int):
-        self.limit, self.held, self.own, self.label = max_distance, [], None, None
+    def __init__(self, max_distance: int, ratio: float = 0.0):
+        self.limit, self.ratio, self.held, self.own, self.label = max_distance, ratio, [], None, None
 
-    def add(self, probe: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
+    def add(self, probe: np.ndarray, fp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
         k = int(np.searchsorted(probe, 1))
         if k:
-            self.held.append(fp[:k])
+            self.held.append((fp[:k], lo[:k], hi[:k]))
         if k < len(fp):
             yield from self.close()
-            yield from self._pass(fp[k:], None)
+            order = np.argsort(lo[k:], kind="stable")
+            yield from self._pass(fp[k:][order], lo[k:][order], hi[k:][order], None)
 
     def close(self) -> Iterator[tuple[int, int]]:
         if self.own is None:
-            self.own = np.unique(np.concatenate(self.held)) if self.held else np.empty(0, np.uint64)
+            fp, lo, hi = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))
+            order = np.argsort(lo, kind="stable")
+            self.own, self.lo, self.hi = fp[order], lo[order], hi[order]
+            self.most = np.maximum.accumulate(self.hi) if len(fp) else self.hi
             self.label = np.arange(len(self.own))
             if len(self.own) > 1:
-                yield from self._pass(self.own, self.label)
+                yield from self._pass(self.own, self.lo, self.hi, self.label)
 
-    def _pass(self, fps: np.ndarray, labels: np.ndarray | None) -> Iterator[tuple[int, int]]:
-        own, label = self.own, self.label
-        if not len(own):
-            return
+    def _pass(self, fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, labels: np.ndarray | None) -> Iterator[tuple[int, int]]:
         for i in range(0, len(fps), 256):
             chunk = fps[i : i + 256]
+            a, b = 0, len(self.own)
+            if self.ratio:
+                a = int(np.searchsorted(self.most, self.ratio * lo[i] - 1e-6))
+                b = int(np.searchsorted(self.lo, hi[i : i + 256].max() / self.ratio + 1e-6, side="right"))
+            if labels is not None:
+                a = max(a, i)
+            if a >= b:
+                continue
+            own, label = self.own[a:b], self.label[a:b]
             near = np.bitwise_count(chunk[:, None] ^ own[None, :]) <= self.limit
             for r in np.flatnonzero(near.any(axis=1)):
                 found = label[np.flatnonzero(near[r])]
@@ -277,7 +312,7 @@ class Bucket:
                 keep = int(first[0]) if mine < 0 else int(mine)
                 for x in first:
                     if x != keep:
-                        label[label == x] = keep
+                        self.label[self.label == x] = keep
 
 
 def _small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -304,14 +339,14 @@ def _small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, limit: int) ->
         shift += 1
 
 
-def links(rows: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b) links of bucket rows: enough to connect, in each bucket, what is within ``max_distance``."""
+def links(rows: DataFrame, max_distance: int = MAX_DISTANCE, ratio: float = 0.0) -> DataFrame:
+    """(a, b) links of bucket rows: enough to connect, in each bucket, what is within ``max_distance``, but for what is of too different sizes for ``ratio``."""
     big = rows.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("part", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     marked = rows.join(cut(big), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    whole = marked.filter("blocks = 1").select("part", "key", F.lit(0).alias("block"), "probe", "fp")
-    shares = marked.filter("blocks > 1 and probe = 0").select("part", "key", home.alias("block"), "probe", "fp")
-    passing = marked.filter("blocks > 1").select("part", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"), "fp")
+    whole = marked.filter("blocks = 1").select("part", "key", F.lit(0).alias("block"), "probe", "fp", "lo", "hi")
+    shares = marked.filter("blocks > 1 and probe = 0").select("part", "key", home.alias("block"), "probe", "fp", "lo", "hi")
+    passing = marked.filter("blocks > 1").select("part", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"), "fp", "lo", "hi")
     dealt = whole.unionByName(shares).unionByName(passing).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +359,7 @@ def links(rows: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, key, block, probe, fp = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(5))
+            part, key, block, probe, fp, lo, hi = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(7))
             fp = fp.view(np.uint64)
             new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             starts = np.concatenate([[0], new])
@@ -336,12 +371,12 @@ def links(rows: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
                 if at != open_at:
                     if bucket is not None:
                         found += bucket.close()
-                    open_at, bucket = at, Bucket(max_distance)
-                found += bucket.add(probe[s:e], fp[s:e])
+                    open_at, bucket = at, Bucket(max_distance, ratio)
+                found += bucket.add(probe[s:e], fp[s:e], lo[s:e], hi[s:e])
             for s, e in zip(starts[1:-1].tolist(), ends[1:-1].tolist()):
                 if e - s > 64:
-                    one = Bucket(max_distance)
-                    found += one.add(probe[s:e], fp[s:e])
+                    one = Bucket(max_distance, ratio)
+                    found += one.add(probe[s:e], fp[s:e], lo[s:e], hi[s:e])
                     found += one.close()
                 elif e - s > 1:
                     small[s:e] = True
@@ -365,7 +400,7 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_wor
     parts = plan_parts(n, counts, max_distance)
     linked = connected_components(links(bucket_rows(distinct, parts), max_distance))
     roots = linked.join(distinct, linked["node"] == distinct["fp"]).select("node", "root", "rep")
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = cut(roots.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = roots.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
     label = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     # The xor hides that the rows are dealt by fp already: with an exchange on both sides Spark can split the copies of one text.
@@ -374,19 +409,106 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_wor
     return each.join(label, "fp", "left").select(doc_id, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shingle_set(text: bytes, n_words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The different XXH64 values of the word shingles of UTF-8 ``text``, in order; empty if it has no words."""
+    words = text.lower().split()
+    n = max(1, len(words) - n_words + 1) if words else 0
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(n_words)))) if len(words) > n_words else [b" ".join(words)][:n]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(x, seed) for x in shingles), dtype=np.uint64, count=n).view(np.int64))
+
+
+def _marks(df: DataFrame, text: str, n_words: int) -> DataFrame:
+    """``df`` with ``fp``, and size ``n`` and hash ``h`` of the set of shingles of ``n_words`` words."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {"fp": [], "n": [], "h": []}
+            for t in batch.column(text).cast(pa.binary()).to_pylist():
+                found = shingle_set(t or b"", n_words)
+                out["fp"].append(fingerprint(t or b""))
+                out["n"].append(len(found))
+                out["h"].append(xxhash.xxh3_64_intdigest(found.tobytes()))
+            return {"fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64)), "n": pa.array(out["n"], pa.int32()), "h": pa.array(np.array(out["h"], np.uint64).view(np.int64))}
+
+        return work
+
+    return map_arrow(df, text, make, T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]))
+
+
+def _sets(df: DataFrame, text: str, n_words: int) -> DataFrame:
+    """(node, comp, n, s): the shingles of every row of ``df``."""
+
+    def make():
+        return lambda batch: {"s": [shingle_set(t or b"", n_words) for t in batch.column(text).cast(pa.binary()).to_pylist()]}
+
+    return map_arrow(df.select("node", "comp", "n", text), text, make, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])).drop(text)
+
+
+def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) for the nodes of ``sets`` (node, comp, n, s): equal labels for what similarities of ``similarity`` or more connect within a comp.
+
+    Rows for a shingle: of each node, those of its shared shingles that stand in its prefix, unshared ones being
+    the first, then the rarest. A set needs the longer prefix against smaller sets and the shorter one, ``idx``,
+    against greater ones. Each round takes some leaders of every shingle that still has several labels (twice as
+    many as in the round before), verifies them against the others, and joins the labels; leaders are then done.
+    """
+    each = sets.select("node", "comp", "n", F.explode("s").alias("s"))
+    shared = cut(each.groupBy("comp", "s").agg(F.count("*").alias("times")).filter("times > 1"))
+    ordered = each.join(shared, ["comp", "s"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("x"))
+    alone = F.col("n") - F.size("x")
+    longer = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone
+    shorter = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1 - alone
+    prefix = F.slice("x", 1, F.greatest(longer, F.lit(0)).cast("int"))
+    rows = ordered.select("node", "comp", "n", F.posexplode(prefix).alias("at", "x"), shorter.alias("short")).select("node", "comp", "n", F.col("x.s").alias("s"), (F.col("at") < F.col("short")).alias("idx"))
+    rows = cut(rows)
+    label = cut(rows.select("node").distinct().withColumn("label", F.col("node")))
+    key, leaders = ["comp", "s"], 1
+    while True:
+        cur = rows.join(label, "node")
+        mixed = cut(cur.groupBy(key).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(key))
+        cur = cut(cur.join(mixed, key, "left_semi"))
+        if cur.isEmpty():
+            return label
+        lot = F.pmod(F.xxhash64("node"), F.lit(leaders))
+        lead = cur.groupBy(*key, lot.alias("lot")).agg(F.min(F.struct("node", "label", "n", "idx")).alias("x"))
+        lead = cut(lead.select(*key, *[F.col(f"x.{c}").alias(f"l_{c}") for c in ("node", "label", "n", "idx")]))
+        sizes = F.least("n", "l_n") + 1e-9 >= similarity * F.greatest("n", "l_n")
+        role = (F.col("idx") & (F.col("n") <= F.col("l_n"))) | (F.col("l_idx") & (F.col("l_n") <= F.col("n")))
+        pairs = cur.join(lead, key).filter((F.col("label") != F.col("l_label")) & sizes & role).select(F.col("node").alias("a"), F.col("l_node").alias("b"), F.col("label").alias("la"), F.col("l_label").alias("lb")).distinct()
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        enough = both * (1 + similarity) + 1e-9 >= similarity * (F.col("na") + F.col("nb"))
+        found = pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("la", "lb")
+        roots = connected_components(found, "la", "lb")
+        label = cut(label.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        rows = cut(cur.drop("label").join(lead.select(*key, F.col("l_node").alias("node")), [*key, "node"], "left_anti"))
+        leaders *= 2
+        release(sets.sparkSession)
+
+
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = SHINGLE, similarity: float = SIMILARITY, max_distance: int = SEARCH_DISTANCE) -> DataFrame:
     """One row of ``df`` for each group: that of the least doc_id, null the last, and of its texts that of least hash."""
+    keys = ["_no", "_id", "_hash"]
     named = df.withColumns({"_no": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_hash": F.xxhash64(text)})
-    each = fingerprints(named.select(doc_id, text, "_no", "_id", "_hash"), text).select("fp", F.struct("_no", doc_id, "_hash", "_id").alias("row"))
-    distinct = cut(each.groupBy("fp").agg(F.min("row").alias("row")))
-    n, counts = bit_counts(distinct)
-    linked = connected_components(links(bucket_rows(distinct, plan_parts(n, counts))))
-    stays = distinct.join(linked, distinct["fp"] == linked["node"], "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("row").alias("row"))
-    stays = cut(stays.select("row._no", "row._id", "row._hash"))
+    each = _marks(named.select(doc_id, text, *keys), text, n_words).select("fp", "h", "n", F.struct("_no", doc_id, "_hash", "_id").alias("row"))
+    nodes = cut(each.groupBy("fp", "h").agg(F.min("row").alias("row"), F.max("n").alias("n")))
+    fps = cut(nodes.groupBy("fp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")))
+    n, counts = bit_counts(fps)
+    linked = connected_components(links(bucket_rows(fps, plan_parts(n, counts, max_distance)), max_distance, similarity))
+    comp = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", F.when((F.col("nodes") > 1) | F.col("root").isNotNull(), F.coalesce("root", "fp")).alias("_comp"))
+    node = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "h")]).alias("_node")
+    first = cut(nodes.join(comp, "fp").select(node, "_comp", F.col("n").alias("_n"), F.struct("row._no", f"row.{doc_id}", "row._hash", "row._id").alias("_row"), "row._no", "row._id", "row._hash"))
     release(df.sparkSession)
-    keys = ["_no", "_id", "_hash"]
-    w = Window.partitionBy(keys).orderBy("_hash")  # rows that repeat
-    return named.join(stays, keys, "left_semi").withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", *keys)
+    w = Window.partitionBy(keys).orderBy("_node")  # rows that repeat
+    reps = store(named.join(first, keys).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k"))
+    several = reps.filter("_comp is not null")
+    sets = store(_sets(several.select(F.col("_node").alias("node"), F.col("_comp").alias("comp"), F.col("_n").alias("n"), text), text, n_words))
+    label = similar_groups(sets, similarity)
+    grouped = several.select("_node", "_row").join(label, F.col("_node") == F.col("node"), "left")
+    stays = cut(grouped.groupBy(F.coalesce("label", "_node").alias("group")).agg(F.min(F.struct("_row", "_node")).alias("x")).select("x._node"))
+    kept = reps.filter("_comp is null").unionByName(several.join(stays, "_node", "left_semi").select(reps.columns))
+    return kept.select(df.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

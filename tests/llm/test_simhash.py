@@ -95,3 +95,82 @@ def test_long_chains_and_hubs_become_components(spark):
     hub = [(7, i) for i in range(1000, 1100)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame([*chain, *hub, (3, 3)], "a long, b long")).collect()}
     assert all(found[i] == 100 for i in range(100, 161)) and all(found[i] == 7 for i in range(1000, 1100)) and 3 not in found
+
+
+def test_thresholds_of_two_find_all_within_eleven_bits(spark):
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(50)}
+    for x in list(fps):
+        for _ in range(6):
+            y = x
+            for b in rng.sample(range(64), rng.randint(1, 14)):
+                y ^= 1 << b
+            fps.add(y)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(3)
+    n, counts = S.bit_counts(df)
+    four = [S.Part(tuple(range(i, 64, 4)), 2) for i in range(4)]
+    for parts in (four, S.plan_parts(n, counts, 11), S.plan_parts(10**8, counts * (10**8 / n), 11)):
+        assert sum(p.threshold for p in parts) == 11 - len(parts) + 1
+        found = {r.node: r.root for r in connected_components(S.links(S.bucket_rows(df, parts), 11)).collect()}
+        roots = [found.get(signed(f), signed(f)) for f in fps]
+        want = slow_groups(fps, 11)
+        assert len(set(zip(roots, want))) == len(set(roots)) == len(set(want))
+
+
+def five(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def slow_similar(sets, comp):
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if comp[i] == comp[j] and 10 * len(a & sets[j]) >= 8 * len(a | sets[j]) > 0:
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return group
+
+
+def copies(rng, n_bases, n_copies, words, edits):
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    out = []
+    for _ in range(n_bases):
+        base = rng.choices(vocabulary, k=words)
+        for _ in range(n_copies):
+            w = list(base)
+            for _ in range(rng.randint(*edits)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            out.append(" ".join(w[: len(w) - rng.choice([0, 0, 0, words // 12])]))
+    return out
+
+
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = list(dict.fromkeys(copies(rng, 4, 60, 120, (0, 5)) + copies(rng, 3, 40, 60, (1, 3)) + ["a b", "a b c d e f", "a b c d e g"]))
+    sets, comp = [five(t) for t in texts], [i % 2 if i < 30 else 7 for i in range(len(texts))]
+    rows = [(f"{i:04}", c, len(s), [xxhash.xxh64_intdigest(x) - (1 << 63) for x in s]) for i, (s, c) in enumerate(zip(sets, comp))]
+    found = {r.node: r.label for r in S.similar_groups(spark.createDataFrame(rows, "node string, comp long, n int, s array<long>").repartition(3)).collect()}
+    got = [found.get(f"{i:04}", f"{i:04}") for i in range(len(texts))]
+    want = slow_similar(sets, comp)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    assert 10 < len(set(want)) < len(texts) - 50
+
+
+def test_one_of_each_five_word_group_stays(spark):
+    rng = random.Random(9)
+    texts = copies(rng, 40, 4, 150, (0, 4)) + copies(rng, 6, 10, 80, (3, 12)) + ["x y", "X y", "", None, " "]
+    rows = [(i * 7 % 997, t) for i, t in enumerate(texts)]
+    fps, sets = [slow_fingerprint(t) for _, t in rows], [five(t) for _, t in rows]
+    comp = slow_groups(fps, S.SEARCH_DISTANCE)
+    group = slow_similar(sets, comp)
+    same = {}
+    for i, s in enumerate(sets):
+        group[i] = group[same.setdefault(s, i)]  # texts without words, too
+    want = sorted(min(d for (d, _), g in zip(rows, group) if g == k) for k in set(group))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in S.keep_one(df).collect()) == want
+    near = [(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 8 * len(a | b) > 0 and a != b]
+    linked = sum(comp[i] == comp[j] for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 8 * len(a | b) > 0 and a != b)
+    assert linked >= 0.9 * len(near) > 20  # what the search itself misses
