@@ -8,7 +8,8 @@ ranges of key frames; the payload bytes are located, not decoded.
 
 Defined cases: a null text is the empty text, whose payload is one frame of spaces. Texts of any length
 are stored whole (64-bit chunk offsets and box sizes where 32 bits do not hold them). Bytes that are not
-such a file give a null codec and ``error``. Equal texts give equal bytes. Input columns pass through;
+such a file give a null codec and ``error``. Equal texts give equal bytes; repeated rows are stored one by
+one; an empty table gives no rows. Input columns pass through;
 new columns replace those of the same names.
 """
 
@@ -94,13 +95,18 @@ def write_media(payload: bytes) -> bytes:
     return ftyp + moov(first) + _box(b"mdat", payload)
 
 
+#: Containers inside each other that are walked; sample tables are six deep.
+MAX_DEPTH = 16
 _CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, start and end of the body of every box, containers before their children."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """Path, start and end of the body of every box, containers before their children; at most ``MAX_DEPTH`` containers deep."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]  # path, where the next box starts, end
+    while open_:
+        path, start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -113,68 +119,88 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         if size < body - start or start + size > end:
             raise ValueError("a box reaches past its parent")
         yield (*path, kind), body, start + size
+        open_.append((path, start + size, end))
         if kind in _CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) >= MAX_DEPTH:
+                raise ValueError("boxes are nested too deep")
+            open_.append(((*path, kind), body, start + size))
 
 
-def read_media(data: bytes) -> dict:
-    """Codec, timescale, duration and sample layout of the first track, from its boxes alone."""
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, at, end in walk(data):
-        if path[:1] == (b"moov",) and path[-1] in found and path[-1] == b"trak":
-            break
-        found.setdefault(path[-1], (at, end))
-
-    def rows(kind: bytes, width: int, form: str = "I") -> list[tuple[int, ...]]:
-        at, end = found[kind]
-        n = struct.unpack_from(">I", data, at + 4)[0]
-        step = width * struct.calcsize(f">{form}")
-        if at + 8 + n * step > end:
-            raise ValueError(f"{kind!r} is cut short")
-        flat = struct.unpack_from(f">{n * width}{form}", data, at + 8)
+class _Box:
+    """Big-endian numbers of a box's body, all within it."""
+
+    def __init__(self, data: bytes, kind: bytes, at: int, end: int):
+        self.data, self.kind, self.at, self.end = data, kind, at, end
+
+    def read(self, form: str, offset: int) -> tuple[int, ...]:
+        if self.at + offset + struct.calcsize(form) > self.end:
+            raise ValueError(f"{self.kind!r} is cut short")
+        return struct.unpack_from(form, self.data, self.at + offset)
+
+    def rows(self, width: int, form: str = "I") -> list[tuple[int, ...]]:
+        """The entries of a full box that starts with their number."""
+        n = self.read(">I", 4)[0]
+        if self.at + 8 + n * width * struct.calcsize(f">{form}") > self.end:  # before anything of that length is made
+            raise ValueError(f"{self.kind!r} is cut short")
+        flat = self.read(f">{n * width}{form}", 8)
         return [flat[i : i + width] for i in range(0, len(flat), width)]
 
-    if missing := [k for k in (b"mdhd", b"stsd", b"stts", b"stsz", b"stsc") if k not in found]:
+
+def read_media(data: bytes) -> dict:
+    """Codec, timescale, duration and sample layout of the first track, from its boxes alone; ValueError for any other bytes."""
+    found: dict[bytes, _Box] = {}
+    tracks = 0
+    for path, at, end in walk(data):
+        tracks += path == (b"moov", b"trak")
+        if path[:2] == (b"moov", b"trak") and tracks == 1 or path[:2] != (b"moov", b"trak"):
+            found.setdefault(path[-1], _Box(data, path[-1], at, end))
+    if missing := [k for k in (b"mdhd", b"stsd", b"stts", b"stsz", b"stsc") if k not in found] or ([b"stco"] if not found.keys() & {b"stco", b"co64"} else []):
         raise ValueError(f"no {missing[0]!r}")
-    at = found[b"mdhd"][0]
-    timescale, ticks = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
-    same, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    if same:
-        sizes = None
-    else:
-        at, end = found[b"stsz"]
-        if at + 12 + 4 * n > end:
-            raise ValueError("stsz is cut short")
-        sizes = struct.unpack_from(f">{n}I", data, at + 12)
-    offsets = [x for (x,) in (rows(b"co64", 1, "Q") if b"co64" in found else rows(b"stco", 1))]
-    runs = rows(b"stsc", 3)
+    header = found[b"mdhd"]
+    timescale, ticks = header.read(">IQ", 20) if header.read("B", 0)[0] == 1 else header.read(">II", 12)
+    codec = b"".join(found[b"stsd"].read("4c", 12)).decode("latin-1")
+    same, n = found[b"stsz"].read(">II", 4)
+    sizes = None if same else found[b"stsz"].read(f">{n}I", 12) if 4 * n <= len(data) else None
+    if not same and sizes is None:
+        raise ValueError("b'stsz' is cut short")
+    offsets = [x for (x,) in (found[b"co64"].rows(1, "Q") if b"co64" in found else found[b"stco"].rows(1))]
+    runs = found[b"stsc"].rows(3)
     counts: list[int] = []
     for i, (first, each, _) in enumerate(runs):
         until = runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1
+        if not first == len(counts) + 1 <= until <= len(offsets) + 1:
+            raise ValueError("the sample tables disagree")
         counts += [each] * (until - first)
     if len(counts) != len(offsets) or sum(counts) != n:
         raise ValueError("the sample tables disagree")
-    keys = [k for (k,) in rows(b"stss", 1)] if b"stss" in found else range(1, n + 1)
-    chunks, ranges, sample = [], [], 0
-    wanted = iter(keys)
-    key = next(wanted, None)
+    if sum(c * d for c, d in found[b"stts"].rows(2)) != ticks:
+        raise ValueError("stts and mdhd disagree")
+    # Chunks first: once they are known to lie in the file, there are no more samples of a size than it has bytes.
+    chunks, sample = [], 0
     for offset, count in zip(offsets, counts):
-        at = offset
-        while key is not None and key - 1 < sample + count:
-            if same:
-                ranges.append((offset + (key - 1 - sample) * same, same))
-            else:
-                ranges.append((offset + sum(sizes[sample : key - 1]), sizes[key - 1]))
-            key = next(wanted, None)
-        at += count * same if same else sum(sizes[sample : sample + count])
+        at = offset + (count * same if same else sum(sizes[sample : sample + count]))
         if at > len(data):
             raise ValueError("a chunk reaches past the file")
         chunks.append((offset, at))
         sample += count
-    if sum(c * d for c, d in rows(b"stts", 2)) != ticks:
-        raise ValueError("stts and mdhd disagree")
+    if sum(b - a for a, b in chunks) > len(data):
+        raise ValueError("chunks overlap")
+    ranges, sample = [], 0
+    wanted = iter([k for (k,) in found[b"stss"].rows(1)] if b"stss" in found else range(1, n + 1))
+    key = next(wanted, None)
+    for offset, count in zip(offsets, counts):
+        at = offset
+        for k in range(sample, sample + count) if not same else ():
+            if key == k + 1:
+                ranges.append((at, sizes[k]))
+                key = next(wanted, None)
+            at += sizes[k]
+        while same and key is not None and sample < key <= sample + count:
+            ranges.append((offset + (key - 1 - sample) * same, same))
+            key = next(wanted, None)
+        sample += count
+    if key is not None:
+        raise ValueError("stss names no sample, or not in order")
     return {"codec": codec, "timescale": timescale, "duration": ticks, "samples": n, "chunks": chunks, "keyframes": ranges}
 
 
@@ -224,7 +250,7 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
         out = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
         try:
             info = read_media(data)
-        except (ValueError, KeyError, struct.error) as e:
+        except ValueError as e:
             return out | {"error": str(e) or type(e).__name__}
         payload = stored_payload(data, info)
         return out | {

@@ -41,7 +41,8 @@ MAX_ROWS = 6_000
 MIN_TOXIC = 8
 MIN_CLEAN = 5
 MIN_WEIGHT = 2.5
-MAX_ENTRIES = 2_000
+#: Labelled rows with longer texts are not learned from, so that the sample has at most 2 * MAX_ROWS * MAX_CHARS characters.
+MAX_CHARS = 20_000
 
 #: Letters of other scripts that look like a Latin one. Fixed values.
 HOMOGLYPHS = {
@@ -181,11 +182,13 @@ def fit(rows: Iterable[tuple[str | None, int]], prior_odds: float | None = None)
             weight[entry] = w
     # A beginning must beat every longer entry that it covers, in toxic rows or in weight; else the longer ones stand.
     kept: dict[str, float] = {}
+    above: dict[str, float] = {}  # beginning of a kept entry: greatest weight below it
     for entry in sorted(weight, key=lambda e: (-seen[e][1] * weight[e], -len(e), e)):
-        if not any(entry.startswith(k) or (entry.endswith(" ") and entry.rstrip().startswith(k)) for k in kept) and not any(k.startswith(entry) and weight[k] >= weight[entry] for k in kept):
+        beginnings = [entry[:n] for n in range(1, len(entry) + 1)]
+        if not any(b in kept for b in beginnings) and above.get(entry, 0.0) < weight[entry]:
             kept[entry] = weight[entry]
-        if len(kept) >= MAX_ENTRIES:
-            break
+            for b in beginnings:
+                above[b] = max(above.get(b, 0.0), weight[entry])
     lexicon = Lexicon(kept)
     automaton = lexicon.automaton()
     pairs: dict[tuple[str, str], list[int]] = {}
@@ -204,24 +207,29 @@ def fit(rows: Iterable[tuple[str | None, int]], prior_odds: float | None = None)
 
 
 def held_out(doc_id: Column) -> Column:
-    return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == 0
+    """Whether crc32 of the id as text is a multiple of 5; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Lexicon:
-    """``fit`` on labelled rows that are not held out, ``max_rows`` of each label at most (those of the least hash of the id)."""
-    y = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
+    """``fit`` on labelled rows that are not held out, ``max_rows`` of each label at most (those of the least hash of the id).
+
+    Of rows that share an id the least text counts, rows without an id and texts of over ``MAX_CHARS`` don't.
+    """
+    y = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
     n = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}  # two rows
     chosen = None
     for k in (0, 1):
         part = y.filter(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id").select("_t", "_y")  # 2 * max_rows rows of two numbers
+    short = docs.filter(F.length(F.coalesce(F.col(text), F.lit(""))) <= MAX_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    sample = short.join(F.broadcast(chosen.distinct()), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_id", "_y").select("_t", "_y")  # broadcast: 2 * max_rows rows of two numbers
     return fit(((r["_t"], r["_y"]) for r in sample.toLocalIterator(prefetchPartitions=True)), n.get(1, 0) / max(1, n.get(0, 0)))
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted``."""
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES entries at most
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # entries of at most 2 * MAX_ROWS short texts
     added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def make():

@@ -104,6 +104,76 @@ def test_media_round_trip():
             pass
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return media.struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def hand_made(sizes, per_chunk, keys, version, wide, second_track=True):
+    """A file with samples of different sizes, written here byte by byte; and the samples."""
+    pack = media.struct.pack
+    samples = [bytes([65 + i % 26]) * n for i, n in enumerate(sizes)]
+    chunks = [samples[i : i + per_chunk] for i in range(0, len(samples), per_chunk)]
+    whole, last = divmod(len(samples), per_chunk)
+    runs = ([(1, per_chunk, 1)] if whole else []) + ([(whole + 1, last, 1)] if last else [])
+
+    def moov(first):
+        at, offsets = first, []
+        for c in chunks:
+            offsets.append(at)
+            at += sum(map(len, c)) + 3  # a gap
+        place = box(b"co64", pack(f">II{len(offsets)}Q", 0, len(offsets), *offsets)) if wide else box(b"stco", pack(f">II{len(offsets)}I", 0, len(offsets), *offsets))
+        stbl = box(
+            b"stbl", box(b"stsd", pack(">II", 0, 1), box(b"avc1", bytes(70))), box(b"stts", pack(">IIII", 0, 1, len(samples), 40)),
+            box(b"stss", pack(f">II{len(keys)}I", 0, len(keys), *keys)), box(b"stsz", pack(f">III{len(sizes)}I", 0, 0, len(sizes), *sizes)),
+            box(b"stsc", pack(f">II{3 * len(runs)}I", 0, len(runs), *[x for r in runs for x in r])), place,
+        )
+        head = pack(">IQQIQ", 1 << 24, 0, 0, 1000, 40 * len(samples)) if version else pack(">IIIII", 0, 0, 0, 1000, 40 * len(samples))
+        other = box(b"trak", box(b"mdia", box(b"mdhd", pack(">IIIII", 0, 0, 0, 7, 7)))) if second_track else b""
+        return box(b"moov", box(b"mvhd", bytes(100)), box(b"trak", box(b"mdia", box(b"mdhd", head, bytes(4)), box(b"minf", stbl))), other)
+
+    start = box(b"ftyp", b"isom", bytes(4))
+    data = start + moov(len(start) + len(moov(0)) + 8)
+    return data + box(b"mdat", b"".join(b"".join(c) + b"gap" for c in chunks)), samples
+
+
+def test_media_reader_on_files_of_another_writer():
+    for version in (0, 1):
+        for wide in (False, True):
+            data, samples = hand_made([5, 0, 17, 4, 9, 1, 30], 3, [1, 3, 7], version, wide)
+            info = media.read_media(data)
+            assert info["codec"] == "avc1" and info["timescale"] == 1000 and info["duration"] == 280 and media.stored_payload(data, info) == b"".join(samples)
+            assert [data[a : a + n] for a, n in info["keyframes"]] == [samples[0], samples[2], samples[6]]
+
+
+def test_media_reader_refuses_hostile_files():
+    nested = b""
+    for _ in range(3000):
+        nested = box(b"moov", nested)
+    assert media.media_columns.__doc__
+    data, _ = hand_made([5, 0, 17, 4], 2, [1, 3], 0, False)
+    cut = box(b"moov", box(b"trak", box(b"mdia", box(b"mdhd"), box(b"minf", box(b"stbl", *[box(k, bytes(8)) for k in (b"stsd", b"stts", b"stsz", b"stsc", b"stco")])))))
+    small = media.write_media(media.payload_of(b"abc"))
+    for bad in (nested, cut, b"", b"\0" * 9):
+        try:
+            list(media.read_media(bad))
+        except ValueError:
+            continue
+        raise AssertionError(bad[:40])
+    rng = random.Random(11)
+    spots = [m.start() for f in (data, small) for m in re.finditer(rb"st(sz|sc|ts|ss|co|sd)|co64|mdhd|trak|moov", f)]
+    for _ in range(4000):
+        x = bytearray(rng.choice((data, small)))
+        for _ in range(rng.randint(1, 3)):
+            at = min(len(x) - 4, rng.choice(spots) + rng.randint(-8, 24))
+            x[at : at + 4] = rng.choice([b"\xff\xff\xff\xff", b"\0\0\0\0", b"\x7f\xff\xff\xff", b"\0\0\0\x01", rng.randbytes(4)])
+        try:
+            info = media.read_media(bytes(x))
+            assert len(media.stored_payload(bytes(x), info)) <= len(x)
+        except ValueError:
+            pass
+
+
 def test_media_operator_on_odd_rows(spark, odd_docs, no_docs):
     rows = media.media_columns(media.store_media(odd_docs)).collect()
     for r in rows:
