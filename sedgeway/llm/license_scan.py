@@ -1,18 +1,23 @@
-"""License scan: a trained paragraph classifier, confirmed by templates, in DataFrame functions.
+"""License scan: trained paragraph classifiers, confirmed by templates, in DataFrame functions.
 
 Texts are cut at blank lines (lines without letters and digits, such as a bare comment mark, too) and into
 sentences, which may be wrapped over lines; each line of a sentence is a paragraph, and so is the sentence.
-Those that name a license, a copyright, a warranty, reserved rights or the like are candidates, as every
-template below is. A wrapped sentence that is confirmed counts in place of its lines, but for lines confirmed
-by themselves that are no part of its family's templates; else its lines count. A candidate's
-words and word pairs are hashed to ``DIMENSIONS`` features, whose weights come from a multinomial logistic
-regression over licence families, ``unknown`` (a licence of no family here) and ``none`` (ordinary prose).
-The weights are a table of DIMENSIONS rows, joined to the exploded features; equal paragraphs are scored
-once. A prediction stands if its probability reaches the calibrated limit and some template of the family,
-or sentence of one that names a license, shares ``MIN_SHARED`` of its word pairs with the paragraph; else the paragraph is ``unknown``.
-
-The classifier is trained on the driver, on seeded variations of the templates below and of sentences of
-the other two classes; the limit is the probability that 98 in 100 held-back family samples reach.
+Every paragraph of every text is classified, in two steps that are both logistic regressions on sparse n-grams
+of its words. The first has two classes, ordinary prose against anything about a licence. Its weights are one
+array, looked up by the hash of each word and word pair, so that it costs no join or shuffle; a paragraph whose
+score is below the limit is prose. The limit is the least score of the training samples of licences.
+What remains, the candidates, goes to the second, multinomial one over licence families, ``unknown`` (a licence of
+no family here) and ``none``: a candidate's words and word pairs are hashed to ``DIMENSIONS`` features, and the
+weights, a table of DIMENSIONS rows, are joined to the exploded features; equal paragraphs are scored once. A
+prediction stands if its probability reaches the calibrated limit and some template of the family, or sentence of
+one that names a license, shares ``MIN_SHARED`` of its word pairs with the paragraph; else the paragraph is
+``unknown``. A wrapped sentence that is confirmed counts in place of its lines, but for lines confirmed by
+themselves that are no part of its family's templates; else its lines count.
+
+Both are trained on the driver, on seeded variations of the templates below and of sentences of the other
+classes; the second limit is the probability that 98 in 100 held-back family samples reach, between 0.2 and 0.6:
+below, a family would be named that is hardly likelier than others; above, a varied notice would be unknown
+for a few odd words, although the templates still have to confirm it.
 
 Defined cases: a null or empty text has no paragraphs; rows that share a doc_id count as one document;
 null doc_ids are one document too; paragraphs of any length are scored whole; an empty table gives no
@@ -29,17 +34,19 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgeway.llm.common import let
 from sedgeway.runtime import cut, table
 
 DIMENSIONS = 4096
 MIN_SHARED = 0.5
 SAMPLES = 120
 SEED = 7
-#: What a candidate paragraph names.
-CANDIDATE = r"(?i)licen[cs]e|licensing|copyright|warrant(y|ies)|redistribut|spdx|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|\bgpl|\bcc[^a-z0-9]+by|rights?[^a-z0-9]+reserved|permission[^a-z0-9]+is[^a-z0-9]+hereby[^a-z0-9]+granted"
+#: Weights of the first step.
+SCREEN = 1 << 14
 
 #: Where a sentence ends, within lines and, with the next line's comment mark, at their ends; and a gap of blank lines.
 SENTENCE = r"(?<=[.!?;])[ \t]+"
@@ -107,6 +114,16 @@ NONE = [
     "A book on copyright by {x} sold well.", "The public domain of {x} has many parks.", "They licensed the song to {x} for a film.", "Permission is hereby granted to {x} to hold the fair.", "The plate on the {x} car shows its license number.",
 ]
 
+#: Common words of four languages, of which sentences of ordinary prose are made. Fixed values.
+PROSE = """
+the of and to in is was for on with as it that by from at this be are or an not have were which their one all has but they you can had
+when will more if no out so what up said about into them only other time new some could these two may then do first any like my now over
+such our man me even most made after also did many off before must well back through years where much your way down should because long
+der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um
+la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son elle mais nous cette
+el los y las del por con para una su al lo como más pero sus este ya cuando muy sin sobre también hasta hay donde quien desde
+""".split()
+
 FAMILIES = tuple(TEMPLATES)
 CLASSES = (*FAMILIES, "unknown", "none")
 
@@ -205,13 +222,89 @@ def train(rounds: int = 400, rate: float = 4.0, ridge: float = 2e-4) -> Classifi
     return Classifier(full, b, min(0.6, max(0.2, limit)))
 
 
-def paragraphs(text: Column) -> Column:
-    """(whole, lines) of the candidate sentences of a text: all of it and its candidate lines, as normalised words with one space between."""
+def _places(words: list[str]) -> list[int]:
+    """Places of a paragraph's words and word pairs among the weights of the first step; as ``screen_score`` hashes them."""
+    single = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    pairs = [xxhash.xxh64_intdigest(w.encode(), h) for h, w in zip(single, words[1:])]
+    return [h % SCREEN for h in single + pairs]
+
+
+@dataclass(frozen=True)
+class Screen:
+    """The first step: weights, constant and the least score of a candidate."""
+
+    weights: np.ndarray
+    bias: float
+    limit: float
+
+    def score(self, words: list[str]) -> float:
+        at = _places(words)
+        return self.bias + float(self.weights[at].sum()) / len(at) ** 0.5 if at else self.bias
+
+
+def screen_samples(each: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
+    """Variations of all that is about licences (1), and of sentences that aren't (0), most of them of common and invented words."""
+    rng = random.Random(seed + 1)
+    invented = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    plain = lambda k: [rng.choice(PROSE) if rng.random() < 0.7 else invented() for _ in range(k)]
+    rows = []
+    for t, k in labelled_samples(each, seed):
+        if CLASSES[k] != "none" and rng.random() < 0.4:
+            t = " ".join([*plain(rng.randint(0, 6)), t, *plain(rng.randint(0, 6))])
+        rows.append((t, int(CLASSES[k] != "none")))
+    whole = [t for ts in TEMPLATES.values() for t in ts]
+    rows += [(t, 1) for t in whole] + [(x, 1) for t in whole for x in re.split(SENTENCE, t) if "license" in _words(x)]
+    for _ in range(50 * each):  # of every length, the shortest ones most
+        share = rng.choice([0.4, 0.7, 1.0])
+        rows.append((" ".join(rng.choice(PROSE) if rng.random() < share else invented() for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 8, 10, 12, 15, 20, 30, 40]))), 0))
+    return rows
+
+
+@lru_cache(maxsize=1)
+def train_screen(rounds: int = 500, rate: float = 8.0, ridge: float = 1e-6) -> Screen:
+    """Logistic regression on sparse counts by accelerated gradient steps."""
+    data = [(_places(_words(t)), y) for t, y in screen_samples()]
+    used = sorted({k for at, y in data if y for k in at})  # what no licence has weighs nothing
+    column = {k: i for i, k in enumerate(used)}
+    cells = [(i, column[k], len(at) ** -0.5) for i, (at, _) in enumerate(data) for k in at if k in column]
+    rows, cols, values = (np.array(c) for c in zip(*cells))
+    y = np.array([v for _, v in data], float)
+    score = lambda: np.bincount(rows, values * w[cols], len(data)) + b
+    w, b, mw, mb = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
+    for _ in range(rounds):
+        g = (1 / (1 + np.exp(-np.clip(score(), -30, 30))) - y) / len(data)
+        mw, mb = 0.9 * mw + np.bincount(cols, values * g[rows], len(used)) + ridge * w, 0.9 * mb + g.sum()
+        w, b = w - rate * mw, b - rate * mb
+    w, b = np.round(w, 4), round(float(b), 4)
+    full = np.zeros(SCREEN)
+    full[used] = w
+    return Screen(full, b, float(score()[y == 1].min()) - 1e-6)
+
+
+def screen_score(words: Column, screen: Screen) -> Column:
+    """The score of an array of words by the first step."""
+    weights = F.from_json(F.lit("[" + ",".join(f"{v:g}" for v in screen.weights) + "]"), "array<double>")  # folded to a constant
+    at = lambda h: F.get(weights, h.bitwiseAND(F.lit(SCREEN - 1)).cast("int"))
+    n = F.size(words)
+
+    def both(w: Column, i: Column) -> Column:
+        return at(F.xxhash64(w)) + F.when(i + 1 < n, at(F.xxhash64(w, F.get(words, i + 1)))).otherwise(0.0)
+
+    total = F.aggregate(F.transform(words, both), F.lit(0.0), lambda acc, v: acc + v)
+    return F.lit(screen.bias) + total / F.sqrt((2 * n - 1).cast("double"))
+
+
+def paragraphs(text: Column, screen: Screen | None = None) -> Column:
+    """(whole, lines) of the sentences of a text that hold candidates: all of it and its candidate lines, as normalised words with one space between."""
+    screen = screen or train_screen()
     words = lambda p: F.trim(F.regexp_replace(F.lower(p), r"[^a-z0-9+]+", " "))
-    named = lambda parts: F.filter(parts, lambda p: p.rlike(CANDIDATE))
-    blocks = named(F.split(F.coalesce(text, F.lit("")), GAP, -1))
-    sentences = named(F.flatten(F.transform(blocks, lambda b: F.split(b, LINE_END + "|" + SENTENCE, -1))))
-    return F.transform(sentences, lambda p: F.struct(words(p).alias("whole"), F.transform(named(F.split(p, r"[\n\r]+", -1)), words).alias("lines")))
+    named = lambda w: (w != "") & let(F.split(w, " "), lambda a: screen_score(a, screen) >= screen.limit)
+    blocks = F.split(F.coalesce(text, F.lit("")), GAP, -1)
+    sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, LINE_END + "|" + SENTENCE, -1)))
+    parts = F.transform(sentences, lambda p: F.struct(words(p).alias("whole"), F.transform(F.split(p, r"[\n\r]+", -1), words).alias("lines")))
+    judged = F.transform(parts, lambda p: F.struct(p["whole"].alias("whole"), F.filter(p["lines"], named).alias("lines"), named(p["whole"]).alias("named")))
+    found = F.filter(judged, lambda p: p["named"] | (F.size(p["lines"]) > 0))
+    return F.transform(found, lambda p: F.struct(p["whole"].alias("whole"), p["lines"].alias("lines")))
 
 
 def word_pairs(w: Column) -> Column:
@@ -253,7 +346,8 @@ def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", cla
     lines = F.transform("lines", lambda x: unit(x, False))
     wrapped = F.when(F.col("lines") != F.array("whole"), F.array(unit(F.col("whole"), True))).otherwise(F.array().cast("array<struct<unit: string, wrapped: boolean>>"))
     units = cut(sentences.select("u_id", "p", F.inline(F.concat(lines, wrapped))).filter("unit != ''"))
-    named = units.join(classify(units, classifier or train()), "unit", "left")
+    # Materialised, so that both sides of the join are exchanged and Spark can split a line that very many texts share.
+    named = units.join(cut(classify(units, classifier or train())), "unit", "left")
     known = ~F.col("family").isin("none", "unknown")
     line, whole = known & ~F.col("wrapped"), known & F.col("wrapped")
     each = named.groupBy("u_id", "p").agg(

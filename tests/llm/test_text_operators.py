@@ -283,3 +283,38 @@ def test_wrapped_license_notices_yield_their_family(spark):
     rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(c for _, c in cases)), "doc_id long, text string")).collect()
     assert [(cases[r.doc_id], r.families) for r in rows if r.families != cases[r.doc_id][0]] == [] and len(rows) == len(cases)
     assert all(r.n_candidates >= r.n_confirmed + r.n_unknown and r.n_confirmed >= 1 for r in rows)
+
+
+def test_first_step_passes_licences_and_little_prose():
+    s = license_scan.train_screen()
+    score = lambda t: s.score(license_scan._words(t))
+    assert all(score(t) >= s.limit for ts in license_scan.TEMPLATES.values() for t in ts)
+    held = [(score(t) >= s.limit, y) for t, y in license_scan.screen_samples(60, seed=99)]
+    assert sum(p for p, y in held if y) / sum(y for _, y in held) > 0.98 and sum(p for p, y in held if not y) / sum(1 - y for _, y in held) < 0.02
+
+
+def test_columns_score_as_the_models_do(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    some = [t for t, _ in rng.sample(license_scan.screen_samples(60, seed=5), 150)] + ["", "a", "of the license"]
+    texts = [" ".join(license_scan._words(t)) for t in some]
+    s, c = license_scan.train_screen(), license_scan.train()
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts) if t], "unit string")
+    for r in df.withColumn("z", license_scan.screen_score(F.split("unit", " "), s)).collect():
+        assert abs(r.z - s.score(r.unit.split(" "))) < 1e-9
+    for r in license_scan.classify(df, c).collect():
+        assert abs(r.probability - c.probabilities(r.unit).max()) < 1e-9
+
+
+def test_unknown_licences_are_told_from_families():
+    c = license_scan.train()
+    rng = random.Random(23)
+    known = right = 0
+    for _ in range(300):  # names that no sample has
+        t = rng.choice(license_scan.UNKNOWN).replace("{x}", "".join(rng.choices("bcdfglmprst", k=3)) + rng.choice(["ora", "ium", "ux"])).replace("{n}", str(rng.randint(1, 9)))
+        p = c.probabilities(t)
+        right += license_scan.CLASSES[int(p.argmax())] == "unknown" or p.max() < c.limit
+    for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+        known += c.probabilities(t).max() >= c.limit
+    assert right / 300 > 0.9 and known == sum(map(len, license_scan.TEMPLATES.values())) and 0.2 <= c.limit <= 0.6
