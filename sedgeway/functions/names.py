@@ -82,8 +82,8 @@ def age_text(modified: Column, now: Column) -> Column:
 
 
 def safe_file_name(name: Column) -> Column:
-    """A name that any file system takes: forbidden characters as ``_``, no blanks or dots at the end."""
-    clean = F.regexp_replace(F.regexp_replace(name, r'[\x00-\x1f"<>|:*?\\/]', "_"), r"^\s+|[\s.]+$", "")
+    """A name with forbidden characters as ``_`` and without blanks around it; ``unnamed`` if nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(name, r'[\x00-\x1f"<>|:*?\\/]', "_"), r"^\s+|\s+$", "")
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("unnamed"))
 
 
@@ -145,3 +145,46 @@ def text_filter(name: Column, folder: Column, text: str) -> Column:
     """Rows of a recovery list whose name or folder holds ``text``, in either case."""
     t = F.lit(text.lower())
     return F.contains(F.lower(name), t) | F.contains(F.lower(F.coalesce(folder, F.lit(""))), t)
+
+
+def snippet(head: Column, most: int = 200) -> Column:
+    """Printable text of a file's first bytes: control words of rich text and braces left out, line ends as one blank."""
+    text = F.decode(F.substring(head, 1, 65536), "ISO-8859-1")
+    plain = F.regexp_replace(text, r"\\(?:[\p{L}\p{N}-]|\\)*(?: |(?=[^\p{L}\p{N}\\-])|$)", "")
+    one_line = F.regexp_replace(F.regexp_replace(plain, r"[{}]", ""), r"[\r\n]+", "\n")
+    shown = F.regexp_replace(F.regexp_replace(one_line, r"[^ -~\n]", ""), r"(?<=[ ])\n+|^\n+", "")
+    return F.trim(F.substring(F.translate(F.regexp_replace(shown, r"\n+", "\n"), "\n", " "), 1, most))
+
+
+def progress_text(done: Column, total: Column, seconds: Column) -> Column:
+    """``12.4 GB of 410 GB · ETA 6 min`` from bytes done, bytes in all and the seconds that took; no ETA before the first second."""
+    left = F.when((done > 0) & (seconds >= 1), (total - done) * seconds / done)
+    eta = F.when(left >= 60, F.concat(F.lit(" · ETA "), F.ceil(left / 60).cast("string"), F.lit(" min"))).when(left > 0, F.lit(" · almost done")).otherwise(F.lit(""))
+    return F.concat(size_text(done), F.lit(" of "), size_text(total), eta)
+
+
+#: Text of a candidate's grade, {p} being its intact share. Fixed values.
+GRADE_TEXT = {
+    "Excellent": "All data still on disk.",
+    "Good": "All data appears intact, but it could not be fully verified.",
+    "Partial": "Some of this file's space has been reused by other files. About {p}% is still intact.",
+    "Overwritten": "Every part of this file's space has been reused by other files.",
+    "Zeroed": "On SSDs, Windows tells the drive to discard deleted data within seconds. If a file shows Zeroed, no copy of it exists on this drive.",
+    "Encrypted": "This file was encrypted with EFS and cannot be recovered.",
+}
+
+
+def grade_chip(grade: Column, percent: Column, detail: Column) -> Column:
+    """(text, tooltip) of a grade."""
+    p = percent.cast("string")
+    text = F.when(grade == "Partial", F.concat(F.lit("Partially overwritten ("), p, F.lit("%)"))).otherwise(F.when(grade.isin(*GRADE_TEXT), grade).otherwise("Unknown"))
+    tip = F.when(F.lit(False), "")
+    for g, t in GRADE_TEXT.items():
+        tip = tip.when(grade == g, F.replace(F.lit(t), F.lit("{p}"), p) if "{p}" in t else F.lit(t))
+    tip = tip.otherwise(F.coalesce(detail, F.lit("It could not be determined whether this file's data is intact.")))
+    return F.struct(text.alias("text"), tip.alias("tooltip"))
+
+
+def log_chip(kind: Column, slot: Column) -> Column:
+    """Text of a deletion in the log by its kind and the state of its record."""
+    return F.when(kind == "Recycled", "In Recycle Bin").when(kind == "Replaced", "Replaced").when(slot == "Free", "Recoverable (slot intact)").when(slot == "Reused", "Record reused").otherwise("Checking…")

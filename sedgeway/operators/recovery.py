@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sedgeway.runtime import cut
+
 #: Clusters of a block in which runs meet the bitmap.
 BLOCK = 4096
 FIRST_USER_RECORD = 16
 ROOT_RECORD = 5
 #: Record flags. Fixed values.
 FLAG_COMPRESSED, FLAG_ENCRYPTED = 0x0001, 0x4000
+#: Exponents of a compression unit's clusters that are used: 0 stands for 4. Fixed values.
+COMPRESSION_UNITS = (0, 4)
 #: Grades from best to worst in a list, and by loss in a copy. Fixed values.
 LIST_RANK = ("Excellent", "Good", "Partial", "Zeroed", "Overwritten", "Encrypted", "Unknown")
 COPY_RANK = ("Excellent", "Good", "Unknown", "Partial", "Zeroed", "Overwritten", "Encrypted")
@@ -65,14 +69,28 @@ def overlaps(runs: DataFrame, alloc: DataFrame, block: int = BLOCK) -> DataFrame
     return met.groupBy("id").agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("allocated"))
 
 
+def good_runs(runs: Column, total_clusters: int | None = None) -> Column:
+    """Whether runs can be followed: positive lengths and, if the volume's size is given, all inside it and no more clusters than it has."""
+    none = F.array().cast("array<struct<vcn:bigint,lcn:bigint,clusters:bigint>>")
+    runs = F.coalesce(runs, none)
+    ok = F.forall(runs, lambda r: (r["clusters"] > 0) & (r["lcn"] >= -1) & (r["vcn"] >= 0))
+    if total_clusters is None:
+        return ok
+    inside = F.forall(runs, lambda r: (r["clusters"] <= total_clusters) & (r["lcn"] <= F.lit(total_clusters) - r["clusters"]))
+    held = F.aggregate(runs, F.lit(0).cast("decimal(38,0)"), lambda acc, r: (acc + r["clusters"]).cast("decimal(38,0)"))
+    return ok & inside & (held <= total_clusters)
+
+
 def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = None, cluster_size: int = 4096, total_clusters: int | None = None) -> DataFrame:
     """``records`` with needed, stored, allocated, ``grade`` and ``percent_intact``; the first rule that fits decides.
 
-    ``clusters`` may give (volume_id, lcn, zero, header_ok) of first clusters. Clusters past ``total_clusters`` count as allocated.
+    ``clusters`` may give (volume_id, lcn, zero, header_ok) of first clusters. Runs that leave a volume of
+    ``total_clusters`` can't be graded.
     """
     runs = F.coalesce("runs", F.array().cast("array<struct<vcn:bigint,lcn:bigint,clusters:bigint>>"))
+    bad = ~good_runs(F.col("runs"), total_clusters)
+    runs = F.when(bad, F.array().cast("array<struct<vcn:bigint,lcn:bigint,clusters:bigint>>")).otherwise(runs)
     capacity = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["clusters"])
-    bad = ~F.forall(runs, lambda r: (r["clusters"] > 0) & (r["lcn"] >= -1) & (r["vcn"] >= 0))
     compressed = F.col("data_flags").bitwiseAND(F.lit(FLAG_COMPRESSED)) != 0
     wanted = F.when(F.col("initialized_size") > 0, F.col("initialized_size")).otherwise(F.col("real_size"))
     need = F.when(compressed, capacity).otherwise(F.ceil(F.least(wanted, capacity * cluster_size) / cluster_size))
@@ -83,13 +101,7 @@ def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = Non
     keyed = keyed.withColumn("_parts", parts)
     keyed = keyed.withColumns({"_stored": F.aggregate("_parts", F.lit(0).cast("long"), lambda a, r: a + r["clusters"]), "_first": F.get("_parts", 0)["lcn"]})
     each = keyed.filter("not _bad").select(F.struct("volume_id", "record_no").alias("id"), "volume_id", F.explode("_parts").alias("r")).select("id", "volume_id", "r.lcn", "r.clusters")
-    inside = each
-    if total_clusters is not None:
-        inside = each.withColumn("clusters", F.greatest(F.lit(0), F.least(F.col("clusters"), F.lit(total_clusters) - F.col("lcn"))))
-        past = each.groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.least(F.col("clusters"), F.col("lcn") + F.col("clusters") - total_clusters))).alias("past"))
-    taken = overlaps(inside, alloc)
-    if total_clusters is not None:
-        taken = taken.join(past, "id", "full_outer").select("id", (F.coalesce("allocated", F.lit(0)) + F.coalesce("past", F.lit(0))).alias("allocated"))
+    taken = overlaps(each, alloc)
     taken = taken.select(F.col("id.volume_id").alias("t_vol"), F.col("id.record_no").alias("t_rec"), "allocated")
     joined = keyed.join(taken, (F.col("volume_id") == F.col("t_vol")) & (F.col("record_no") == F.col("t_rec")), "left").withColumn("allocated", F.coalesce("allocated", F.lit(0)))
     if clusters is not None:
@@ -102,7 +114,7 @@ def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = Non
     rules = [
         (encrypted, "Encrypted", F.lit(0)), (F.col("is_dir"), "Excellent", F.lit(100)), (F.col("resident"), "Excellent", F.lit(100)), (F.col("_bad"), "Unknown", F.lit(0)),
         ((F.col("_runs") == 0) & (F.col("real_size") == 0), "Excellent", F.lit(100)), (F.col("_runs") == 0, "Unknown", F.lit(0)),
-        (compressed & ~F.col("compression_unit").between(1, 16), "Unknown", F.lit(0)), (F.col("_stored") == 0, "Excellent", F.lit(100)),
+        (compressed & ~F.col("compression_unit").isin(*COMPRESSION_UNITS), "Unknown", F.lit(0)), (F.col("_stored") == 0, "Excellent", F.lit(100)),
         (F.col("allocated") >= F.col("_stored"), "Overwritten", F.lit(0)), (F.col("allocated") > 0, "Partial", left), (F.coalesce("zero", F.lit(False)), "Zeroed", F.lit(0)),
         (~compressed & (F.coalesce("header_ok", F.lit(True)) == F.lit(False)), "Good", F.lit(100)),
     ]
@@ -149,11 +161,20 @@ def with_log(deleted: DataFrame, deletions: DataFrame) -> DataFrame:
     return joined.withColumns({"original_folder": folder, "deleted_at": F.col("log.deleted_at"), "detail": F.col("log.kind")}).drop("log")
 
 
-def free_runs(bits: DataFrame) -> DataFrame:
-    """(volume_id, start_lcn, len) of maximal free runs from (volume_id, lcn, allocated) rows."""
-    w = Window.partitionBy("volume_id").orderBy("lcn")
-    free = bits.filter(~F.col("allocated")).withColumn("island", F.col("lcn") - F.row_number().over(w))
-    return free.groupBy("volume_id", "island").agg(F.min("lcn").alias("start_lcn"), F.count("*").alias("len")).drop("island")
+def free_runs(bits: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(volume_id, start_lcn, len) of maximal free runs from (volume_id, lcn, allocated) rows.
+
+    Islands are found within blocks of clusters, so a volume is spread over tasks; the few that touch a border are then joined.
+    """
+    free = bits.filter(~F.col("allocated")).withColumn("_b", F.floor(F.col("lcn") / block))
+    within = Window.partitionBy("volume_id", "_b").orderBy("lcn")
+    parts = free.withColumn("_i", F.col("lcn") - F.row_number().over(within)).groupBy("volume_id", "_b", "_i").agg(F.min("lcn").alias("s"), (F.max("lcn") + 1).alias("e"))
+    edge = (F.col("s") % block == 0) | (F.col("e") % block == 0)
+    # What reaches a border, or fills its block: at most two rows for each block.
+    order = Window.partitionBy("volume_id").orderBy("s")
+    border = parts.filter(edge).withColumn("_new", (F.coalesce(F.lag("e").over(order), F.lit(-1)) != F.col("s")).cast("int"))
+    joined = border.withColumn("_g", F.sum("_new").over(order)).groupBy("volume_id", "_g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return parts.filter(~edge).select("volume_id", "s", "e").unionByName(joined.select("volume_id", "s", "e")).select("volume_id", F.col("s").alias("start_lcn"), (F.col("e") - F.col("s")).alias("len"))
 
 
 def free_runs_from_alloc(alloc: DataFrame, total_clusters: int) -> DataFrame:
@@ -174,6 +195,27 @@ def bitmap_bits(bitmap: DataFrame) -> DataFrame:
     )
 
 
+def slots_as_of(log: DataFrame, in_use: DataFrame) -> DataFrame:
+    """``log`` with ``slot`` from the records in use alone (volume_id, record_no), as a lookup of the nearest one at or below answers it.
+
+    That record itself: Reused; a lower one: Free; none: Unknown. The nearest is the last value before each row of the
+    two tables in one order, within blocks of records; a block's first rows take the greatest of the blocks before.
+    """
+    block = 1 << 16
+    marks = in_use.select("volume_id", F.col("record_no").alias("_r")).withColumn("_b", F.floor(F.col("_r") / block))
+    top = marks.groupBy("volume_id", "_b").agg(F.max("_r").alias("_top"))
+    asked = log.select("volume_id", "record_no").distinct().withColumn("_b", F.floor(F.col("record_no") / block))
+    rows = asked.select("volume_id", "_b", F.col("record_no").alias("at"), F.lit(None).cast("long").alias("_r")).unionByName(marks.select("volume_id", "_b", F.col("_r").alias("at"), "_r"))
+    within = Window.partitionBy("volume_id", "_b").orderBy("at", F.col("_r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_near", F.max("_r").over(within)).filter("_r is null").select("volume_id", "_b", F.col("at").alias("record_no"), "_near")
+    every = top.select("volume_id", "_b", "_top").unionByName(asked.select("volume_id", "_b").distinct().withColumn("_top", F.lit(None).cast("long")))
+    before = Window.partitionBy("volume_id").orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)  # a row or two for each block
+    earlier = every.withColumn("_earlier", F.max("_top").over(before)).groupBy("volume_id", "_b").agg(F.max("_earlier").alias("_earlier"))
+    nearest = near.join(earlier, ["volume_id", "_b"], "left").select("volume_id", "record_no", F.coalesce("_near", "_earlier").alias("_near"))
+    slot = F.when(F.col("_near") == F.col("record_no"), "Reused").when(F.col("_near") < F.col("record_no"), "Free").otherwise("Unknown")
+    return log.join(nearest, ["volume_id", "record_no"], "left").withColumn("slot", slot).drop("_near")
+
+
 def slot_states(log: DataFrame, records: DataFrame) -> DataFrame:
     """``log`` with ``slot``: Free, Reused or Unknown by whether the record is in use now."""
     now = records.select("volume_id", "record_no", F.col("in_use").alias("_used"))
@@ -192,13 +234,30 @@ def recycle_pairs(infos: DataFrame, data: DataFrame) -> DataFrame:
     return i.join(r, ["sid", "id"], "full_outer").withColumns({"grade": F.when(both, "Excellent").otherwise("Unknown"), "percent_intact": F.when(both, 100).otherwise(0)})
 
 
-def unique_names(plan: DataFrame, folder: str = "folder", name: str = "name") -> DataFrame:
-    """``plan`` with ``target``: the second and later rows of a name in a folder get `` (restored)``, `` (restored) 2``, ..."""
-    w = Window.partitionBy(folder, F.lower(name)).orderBy(name)
+def unique_names(plan: DataFrame, folder: str = "folder", name: str = "name", taken: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+    """``plan`` with ``target``: the second and later rows of a name in a folder get `` (restored)``, `` (restored) 2``, ...
+
+    A target equals no other target and no name in ``taken`` (folder, name), in either case: rows whose target is
+    taken go on to the next number in rounds, so that nothing is overwritten.
+    """
     stem, ext = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r"(?s)(?<=.)(\.[^.]*)$", 1)
-    k = F.row_number().over(w)
-    mark = F.when(k == 1, "").when(k == 2, " (restored)").otherwise(F.concat(F.lit(" (restored) "), (k - 1).cast("string")))
-    return plan.withColumn("target", F.concat(stem, mark, ext))
+    mark = F.when(F.col("_k") == 1, "").when(F.col("_k") == 2, " (restored)").otherwise(F.concat(F.lit(" (restored) "), (F.col("_k") - 1).cast("string")))
+    w = Window.partitionBy(folder, F.lower(name)).orderBy(name)
+    rows = cut(plan.withColumn("_k", F.row_number().over(w)).withColumn("_row", F.monotonically_increasing_id()))
+    used = None if taken is None else taken.select(F.col("folder").alias("_f"), F.lower("name").alias("_n"))
+    for _ in range(rounds):
+        rows = rows.withColumn("target", F.concat(stem, mark, ext))
+        first = Window.partitionBy(folder, F.lower("target")).orderBy("_k", "_row")
+        clash = F.row_number().over(first) > 1
+        if used is not None:
+            rows = rows.join(used.distinct(), (F.col(folder) == F.col("_f")) & (F.lower("target") == F.col("_n")), "left")
+            clash = clash | F.col("_n").isNotNull()
+        group = Window.partitionBy(folder, F.lower(name))
+        rank = F.sum(F.col("_clash").cast("int")).over(group.orderBy("_k", "_row"))
+        rows = cut(rows.withColumn("_clash", clash).withColumn("_k", F.when(F.col("_clash"), F.max("_k").over(group) + rank).otherwise(F.col("_k")).cast("int")).drop("_f", "_n"))
+        if not rows.filter("_clash").limit(1).count():
+            return rows.drop("_k", "_row", "_clash")
+    raise RuntimeError(f"no free names in {rounds} rounds")
 
 
 def versions_of(entries: DataFrame, snapshots: DataFrame, path: str) -> DataFrame:
@@ -238,3 +297,13 @@ def not_in_undelete(carved: DataFrame, records: DataFrame) -> DataFrame:
     """Carved files that don't start where a deleted record's data starts."""
     first = records.filter("not resident").select("volume_id", F.get(F.filter("runs", lambda r: r["lcn"] >= 0), 0)["lcn"].alias("start_lcn")).filter("start_lcn is not null").distinct()
     return carved.join(first, ["volume_id", "start_lcn"], "left_anti")
+
+
+def free_bytes(runs: DataFrame, cluster_size: int = 4096) -> DataFrame:
+    """Free bytes of each volume from its free runs."""
+    return runs.groupBy("volume_id").agg((F.coalesce(F.sum("len"), F.lit(0)) * cluster_size).alias("free_bytes"))
+
+
+def selection_sum(candidates: DataFrame) -> DataFrame:
+    """Number and bytes of selected candidates; unknown sizes count as none."""
+    return candidates.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce("size", F.lit(0)))), F.lit(0)).cast("long").alias("bytes"))

@@ -20,6 +20,8 @@ from sedgeway.functions.match import NO_MATCH, highlight_ranges, match
 from sedgeway.plans.query import Clause, Filter, Query, Term, parse
 
 MAX_RESULTS = 5000
+#: Rows of a result page that are fetched at once; longer ones stay a plan.
+MAX_PAGE = 20_000
 #: With fewer matches than this the query is tried again with typing errors allowed.
 TYPO_PASS_BELOW = 200
 
@@ -135,9 +137,9 @@ def relevance_key() -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.cast("long"), n) for c, n in parts])
 
 
-#: Sort modes; ties go to the earlier drive, then the lower id.
-def order_of(sort: str) -> list[Column]:
-    tie = [F.asc("drive_letter"), F.asc("entry_id")]
+def order_of(sort: str, root: str | None = None) -> list[Column]:
+    """The order of a sort mode. Ties go to the earlier drive, the shorter ``root`` (a column) where drives have several, then the lower id."""
+    tie = [F.asc("drive_letter"), *([F.asc(F.length(root))] if root else []), F.asc("entry_id")]
     if sort == "size":
         return [F.desc(F.when(F.col("metadata_known"), F.col("size")).otherwise(-1)), *tie]
     if sort == "modified":
@@ -159,15 +161,30 @@ def search(
     entries: DataFrame, text: str, sort: str = "relevance", max_results: int = MAX_RESULTS, category: str | None = None, include_hidden: bool = False, fuzzy: bool = True,
     now: datetime | None = None, zone: str = "UTC", highlight: bool = False,
 ) -> SearchResult:
-    """Ranked hits of a query. A second pass with typing errors is adopted whole, if it finds more."""
+    """Ranked hits of a query. A second pass with typing errors is adopted whole, if it finds more.
+
+    A page of ``MAX_PAGE`` rows or fewer is fetched at once: a top-k in one pass over the entries. If it isn't
+    full it is all that matches, and no pass counts.
+    """
     query = parse(text, now, zone)
-    found = matches(entries, query, category, include_hidden, fuzzy)
-    total, used = (found.count() if query.clauses or category else 0), False
+    order = order_of(sort)
+
+    def run(typos: bool) -> tuple[DataFrame, int]:
+        found = matches(entries, query, category, include_hidden, fuzzy, typos)
+        page = found.orderBy(*order).limit(max_results)
+        if not (query.clauses or category):
+            return page, 0
+        if max_results > MAX_PAGE:
+            return page, found.count()
+        rows = page.toArrow()
+        total = rows.num_rows if rows.num_rows < max_results else found.count()
+        return entries.sparkSession.createDataFrame(rows, page.schema), total
+
+    (hits, total), used = run(False), False
     if fuzzy and total < TYPO_PASS_BELOW and any(t.allows_typos for t in query.name_terms):
-        second = matches(entries, query, category, include_hidden, fuzzy, typos=True)
-        if (total2 := second.count()) > total:
-            found, total, used = second, total2, True
-    hits = found.orderBy(*order_of(sort)).limit(max_results)
+        more, total2 = run(True)
+        if total2 > total:
+            hits, total, used = more, total2, True
     return SearchResult(with_highlights(hits, query) if highlight else hits, total, query, used)
 
 

@@ -62,3 +62,13 @@ def scan_agreement(ours: DataFrame, other: DataFrame) -> DataFrame:
     b = other.select("fold_path", F.col("size").alias("other_size"))
     joined = b.join(ours.select("fold_path", "size"), "fold_path", "left")
     return joined.agg(F.count("*").alias("rows"), F.avg(F.col("size").isNotNull().cast("int")).alias("found"), F.avg((F.col("size") == F.col("other_size")).cast("int")).alias("equal_sizes"))
+
+
+def distinct_values(entries: DataFrame, column: str) -> DataFrame:
+    """The different values of a column (categories, drives, volumes) among live entries."""
+    return _live(entries).select(column).distinct()
+
+
+def median(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """The exact median of a column, for each group of ``by``."""
+    return df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"), F.count(column).alias("n"))

@@ -48,6 +48,24 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def replace_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Writes ``df`` beside ``path`` and moves it there when it is whole, so that readers find the old table or the new one."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(fresh)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(hadoop(path))
+    if had:
+        files.rename(hadoop(path), hadoop(old))
+    if not files.rename(hadoop(fresh), hadoop(path)):
+        if had:
+            files.rename(hadoop(old), hadoop(path))
+        raise OSError(f"{fresh} can't be moved to {path}")
+    if had:
+        files.delete(hadoop(old), True)
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the scratch (else the checkpoint) folder and read again: computed once, and later reads take only the columns they need."""
     spark = df.sparkSession

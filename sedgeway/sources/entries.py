@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeway.functions import names
-from sedgeway.runtime import table
+from sedgeway.runtime import replace_parquet, table
 from sedgeway.schemas import ENTRIES
 
 BACKSLASH = "\\"
@@ -132,12 +132,13 @@ def scan_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (), pa
     )
 
 
-def save_snapshot(entries: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Writes the live rows as Parquet by volume, and a one-row table of count and checksum beside them."""
+def save_snapshot(entries: DataFrame, path: str) -> DataFrame:
+    """Writes the live rows as Parquet by volume, and a one-row table of count and checksum beside them; each replaces an older one when it is whole."""
+    spark = entries.sparkSession
     live = entries.filter(~F.col("deleted")).select(*[f.name for f in ENTRIES.fields])
-    live.write.mode(mode).partitionBy("volume_id").parquet(f"{path}/entries")
-    check = checksum(entries.sparkSession.read.parquet(f"{path}/entries"))
-    check.coalesce(1).write.mode(mode).parquet(f"{path}/checksum")
+    replace_parquet(live, f"{path}/entries", ("volume_id",))
+    check = checksum(spark.read.parquet(f"{path}/entries"))
+    replace_parquet(check.coalesce(1), f"{path}/checksum")
     return check
 
 

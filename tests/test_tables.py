@@ -29,7 +29,7 @@ def test_names(spark):
     got = [(r.a, r.b) for r in df.select(N.is_recycled_name(F.col("name")).alias("a"), N.is_delete_marker(F.col("name"), F.col("record_no")).alias("b")).collect()]
     assert got == [(True, False), (False, False), (False, True), (False, True), (False, True), (False, False)]
     row = spark.createDataFrame([("a<b>?.txt. ", "  ", 'q"x,y')], "a string, b string, c string").select(N.safe_file_name(F.col("a")), N.safe_file_name(F.col("b")), N.csv_field(F.col("c"))).first()
-    assert tuple(row) == ("a_b__.txt", "unnamed", '"q""x,y"')
+    assert tuple(row) == ("a_b__.txt.", "unnamed", '"q""x,y"')
     noise = spark.createDataFrame([("~$a.doc", "C:\\x", False), ("a.TMP", "C:\\x", False), ("a.txt", "C:\\u\\Cache", False), ("a.txt", "C:\\x", False), ("a.tmp", "C:\\x", True)], "n string, p string, d boolean")
     assert [r[0] for r in noise.select(N.is_noise(F.col("n"), F.col("p"), F.col("d"))).collect()] == [True, True, True, False, False]
 
@@ -118,7 +118,8 @@ def test_grades(spark):
         (record(20), "Excellent", 100), (record(21, flags=R.FLAG_ENCRYPTED), "Encrypted", 0), (record(22, is_dir=True), "Excellent", 100), (record(23, resident=True, real=5), "Excellent", 100), (record(24, runs=((0, -5, 4),)), "Unknown", 0),
         (record(25, runs=(), real=0), "Excellent", 100), (record(26, runs=()), "Unknown", 0), (record(27, flags=1, unit=99), "Unknown", 0), (record(28, runs=((0, -1, 4),)), "Excellent", 100), (record(29, runs=((0, 100, 4),)), "Overwritten", 0),
         (record(30, runs=((0, 200, 4),)), "Partial", 50), (record(31, runs=((0, 300, 4),)), "Zeroed", 0), (record(32, runs=((0, 400, 4),)), "Good", 100), (record(33, runs=((0, 200, 4),), initialized=1), "Overwritten", 0),
-        (record(34, runs=((0, 4088, 8),), real=32768), "Partial", 25), (record(35, runs=((0, 9_998, 4),)), "Partial", 50),
+        (record(34, runs=((0, 4088, 8),), real=32768), "Partial", 25), (record(35, runs=((0, 9_998, 4),)), "Unknown", 0), (record(36, runs=((0, 300, 4), (4, -1, 9_997))), "Unknown", 0),
+        (record(37, flags=1, unit=4, runs=((0, 500, 16),)), "Excellent", 100), (record(38, flags=1, unit=3, runs=((0, 500, 16),)), "Unknown", 0),
     ]
     heads = spark.createDataFrame([("C", 300, True, None), ("C", 400, False, False), ("C", 10, False, True)], "volume_id string, lcn long, zero boolean, header_ok boolean")
     got = {r.record_no: (r.grade, r.percent_intact) for r in R.grade(spark.createDataFrame([c[0] for c in cases], S.MFT_RECORDS), alloc, heads, total_clusters=10_000).collect()}
@@ -280,3 +281,161 @@ def test_files_of_more_than_64_mib_are_carved(spark, monkeypatch):
         clusters = spark.createDataFrame([("v", i, data[512 * i : 512 * i + 512]) for i in range(40)], "volume_id string, lcn long, data binary")
         runs = spark.createDataFrame([("v", 0, 40)], "volume_id string, start_lcn long, len long")
         assert [(r.start_lcn, r.size) for r in carve.scan(clusters, runs, 512).collect()] == [(at, 4096)]
+
+
+def test_names_that_are_taken_are_passed_over(spark):
+    plan = spark.createDataFrame([("f", "a.txt"), ("f", "A.txt"), ("f", "a (restored).txt"), ("f", "b"), ("g", "b")], "folder string, name string")
+    taken = spark.createDataFrame([("f", "B"), ("f", "b (restored)")], "folder string, name string")
+    rows = R.unique_names(plan, taken=taken).collect()
+    targets = [(r.folder, r.target.lower()) for r in rows]
+    assert len(set(targets)) == 5 and not {("f", "b"), ("f", "b (restored)")} & set(targets) and ("g", "b") in targets and ("f", "b (restored) 2") in targets
+
+
+def test_free_runs_over_block_borders(spark):
+    import random
+
+    rng = random.Random(5)
+    bits = [(v, i, rng.random() < 0.3 if v == "C" else 10 <= i < 12) for v in "CD" for i in range(200)]
+    want = []
+    for v in "CD":
+        row = [b for x, _, b in bits if x == v] + [True]
+        at = None
+        for i, b in enumerate(row):
+            if not b and at is None:
+                at = i
+            elif b and at is not None:
+                want.append((v, at, i - at))
+                at = None
+    df = spark.createDataFrame(bits, "volume_id string, lcn long, allocated boolean")
+    for block in (1, 7, 8, 1000):
+        assert sorted((r.volume_id, r.start_lcn, r.len) for r in R.free_runs(df, block).collect()) == sorted(want)
+    assert {r.volume_id: r.free_bytes for r in R.free_bytes(R.free_runs(df)).collect()}["D"] == 198 * 4096
+
+
+def test_slots_from_the_nearest_record_in_use(spark):
+    used = [3, 70_000, 70_001, 200_000]
+    asked = [2, 3, 4, 69_999, 70_000, 70_002, 150_000, 200_000, 300_000]
+    got = R.slots_as_of(spark.createDataFrame([("C", r) for r in asked] + [("D", 1)], "volume_id string, record_no long"), spark.createDataFrame([("C", r) for r in used], "volume_id string, record_no long")).collect()
+    want = {("C", r): "Reused" if r in used else "Free" if any(u < r for u in used) else "Unknown" for r in asked} | {("D", 1): "Unknown"}
+    assert {(r.volume_id, r.record_no): r.slot for r in got} == want
+
+
+def test_a_batch_is_applied_in_order(spark):
+    files = [entry(40 + i, 30, f"{c}.txt", path=f"C:\\Docs\\{c}.txt") for i, c in enumerate("abcde")]
+    entries = spark.createDataFrame([entry(30, 0, "Docs", True), entry(31, 0, "Old", True), *files], ENTRY)
+    journal = spark.createDataFrame(
+        [
+            change(1, 40, "a.txt", S.FILE_DELETE), change(2, 40, "again.txt", S.FILE_CREATE),  # deleted, then its record is used anew
+            change(3, 41, "b2.txt", S.RENAME_NEW_NAME), change(4, 41, "b2.txt", S.FILE_DELETE),  # logged under its new name
+            change(5, 42, "c.txt", S.RENAME_NEW_NAME, parent=999), change(6, 42, "c.txt", S.RENAME_NEW_NAME),  # moved out and back
+            change(7, 60, "New", S.FILE_CREATE, attributes=S.ATTR_DIRECTORY), change(8, 61, "in.txt", S.FILE_CREATE, parent=60),  # a folder of the batch and its file
+            change(9, 62, "short.txt", S.FILE_CREATE), change(10, 62, "short.txt", S.FILE_DELETE),
+            change(11, 43, "d.txt", S.DATA_EXTEND), change(12, 63, "lost.txt", S.FILE_CREATE, parent=998),
+        ],
+        S.JOURNAL,
+    )
+    after, log = J.apply_batch(entries, journal)
+    rows = {r.record_no: r for r in after.collect()}
+    assert {k: r.name for k, r in rows.items()} == {30: "Docs", 31: "Old", 40: "again.txt", 42: "c.txt", 60: "New", 61: "in.txt", 43: "d.txt", 44: "e.txt"}
+    assert rows[61].parent_id == 60 and rows[42].parent_id == 30 and not rows[43].metadata_known and rows[44].metadata_known and rows[40].size == 0 and rows[42].size == 0
+    assert sorted((r.usn, r.name, r.kind, r.parent_path, r.size) for r in log.collect()) == [
+        (1, "a.txt", "Deleted", "C:\\Docs", 5), (4, "b2.txt", "Deleted", "C:\\Docs", 5), (5, "c.txt", "Deleted", "C:\\Docs", 5), (10, "short.txt", "Deleted", "C:\\Docs", -1),
+    ]
+
+
+def test_unknown_records_are_adopted_by_name(spark):
+    one = entry(77, 30, "Walked.TXT")
+    at = ENTRY.fieldNames().index("record_no") if hasattr(ENTRY, "fieldNames") else [x.split()[0] for x in ENTRY.split(", ")].index("record_no")
+    walked = tuple(None if i == at else v for i, v in enumerate(one))
+    entries = spark.createDataFrame([entry(30, 0, "Docs", True), walked], ENTRY)
+    after, log = J.apply_batch(entries, spark.createDataFrame([change(1, 500, "walked.txt", S.DATA_EXTEND), change(2, 500, "moved.txt", S.RENAME_NEW_NAME)], S.JOURNAL))
+    assert {(r.entry_id, r.record_no, r.name) for r in after.collect()} == {(30, 30, "Docs"), (77, 500, "moved.txt")} and log.count() == 0
+
+
+def test_advance_removes_what_hangs_from_deleted_folders(spark):
+    entries = spark.createDataFrame([entry(30, 0, "Docs", True), entry(31, 30, "Sub", True), entry(40, 31, "a.txt"), entry(41, 0, "b.txt")], ENTRY)
+    roots = spark.createDataFrame([(0, "C:")], "root_id long, root string")
+    after, log = J.advance(entries, spark.createDataFrame([change(1, 30, "Docs", S.FILE_DELETE, parent=5), change(2, 41, "c.txt", S.RENAME_NEW_NAME, parent=5)], S.JOURNAL), roots)
+    assert [(r.entry_id, r.full_path) for r in after.collect()] == [(41, "C:\\c.txt")] and log.count() == 1
+    loop = spark.createDataFrame([change(1, 30, "Docs", S.RENAME_NEW_NAME, parent=31, attributes=S.ATTR_DIRECTORY)], S.JOURNAL)
+    assert {r.entry_id for r in J.advance(entries, loop, roots)[0].collect()} == {41}
+
+
+def test_deletion_log_is_merged_on_disk(spark, tmp_path):
+    rows = [("C", i, 1, 5, f"f{i}", "C:", 1, False, None, T0, "Deleted", i) for i in range(30)]
+    log = spark.createDataFrame(rows, S.DELETIONS)
+    assert J.load_log(spark, f"{tmp_path}/log") is None
+    J.save_log(log.filter("usn < 20"), f"{tmp_path}/log", 25)
+    J.save_log(log.filter("usn >= 10"), f"{tmp_path}/log", 25)
+    assert sorted(r.usn for r in J.load_log(spark, f"{tmp_path}/log").collect()) == list(range(5, 30))
+
+
+def test_watcher_events(spark):
+    from sedgeway.streaming.journal_stream import watch_batch
+
+    cols = "volume_id string, entry_id long, parent_id long, name string, is_dir boolean, deleted boolean, metadata_known boolean, size long, full_path string, fold_path string"
+    row = lambda i, up, path, d=False: ("C", i, up, path.split("\\")[-1], d, False, True, 5, path, path.lower())
+    entries = spark.createDataFrame([row(1, 0, "C:\\D", True), row(2, 1, "C:\\D\\a"), row(3, 1, "C:\\D\\b"), row(4, 0, "C:\\E", True), row(5, 4, "C:\\E\\x")], cols)
+    events = spark.createDataFrame(
+        [("C", 1, "created", "C:\\D\\n", None, False), ("C", 2, "changed", "C:\\d\\A", None, False), ("C", 3, "renamed", "C:\\D\\b2", "C:\\D\\b", False), ("C", 4, "deleted", "C:\\E", None, True), ("C", 5, "created", "C:\\D\\t", None, False), ("C", 6, "deleted", "C:\\D\\t", None, False)],
+        "volume_id string, seq long, kind string, path string, old_path string, is_dir boolean",
+    )
+    after, again = watch_batch(entries, events)
+    assert not again and {(r.full_path, r.metadata_known, r.parent_id) for r in after.collect()} == {("C:\\D", True, 0), ("C:\\D\\a", False, 1), ("C:\\D\\n", False, 1), ("C:\\D\\b2", False, 1)}
+    assert watch_batch(entries, events, overflow=5)[1]
+
+
+def test_candidates_of_every_source_and_their_routes(spark):
+    from sedgeway.operators import candidates as K
+
+    log = spark.createDataFrame([("C", 1, 1, 5, "gone.txt", "", 3, False, None, T0, "Deleted", 1)], S.DELETIONS)
+    pairs = R.recycle_pairs(
+        spark.createDataFrame([("s", "$Iabc.txt", "C:\\Docs\\old.txt", 9, T0), ("s", "$Ixyz", "C:\\alone", 1, T0)], "sid string, name string, original_path string, size long, deleted_at timestamp_ntz"),
+        spark.createDataFrame([("s", "$RABC.txt", False), ("s", "$Rqqq.bin", False)], "sid string, name string, is_dir boolean"),
+    )
+    graded = spark.createDataFrame([("r.doc", 7, T0, "Partial", 40, False), ("dir", 0, T0, "Excellent", 100, True)], "name string, size long, modified timestamp_ntz, grade string, percent_intact int, is_dir boolean")
+    versions = spark.createDataFrame([("C:\\Docs\\v.txt", 4, T0, False, T0)], "full_path string, size long, modified timestamp_ntz, is_dir boolean, created timestamp_ntz")
+    carved = spark.createDataFrame([("png_5.png", 11, "PNG image", "1x1", 5), ("mp3_9.mp3", 12, "MP3 audio", None, 9)], "suggested_name string, size long, label string, info string, start_lcn long")
+    every = K.all_candidates(K.from_log(log), K.from_bin(pairs), K.from_undelete(graded), K.from_versions(versions), K.from_carving(carved))
+    assert [f.name for f in every.schema] == [f.name for f in S.CANDIDATES]
+    rows = {(r.source, r.name): r for r in every.collect()}
+    assert rows["DeletionLog", "gone.txt"].original_folder is None and rows["DeletionLog", "gone.txt"].grade == "Unknown"
+    assert rows["RecycleBin", "old.txt"].grade == "Excellent" and rows["RecycleBin", "old.txt"].original_folder == "C:\\Docs" and rows["RecycleBin", "alone"].detail == "data file missing"
+    assert rows["RecycleBin", "$Rqqq.bin"].detail.startswith("no metadata") and rows["ShadowCopy", "v.txt"].original_folder == "C:\\Docs" and rows["Carving", "png_5.png"].detail == "PNG image · 1x1" and rows["Carving", "mp3_9.mp3"].detail == "MP3 audio"
+    done = {(r.source, r.name): r for r in K.route(every, "D:\\out", "C:\\").collect()}
+    assert done["DeletionLog", "gone.txt"].error.startswith("Use the") and done["Undelete", "dir"].action == "copy_folder" and done["Undelete", "r.doc"].target == "D:\\out\\r.doc" and done["ShadowCopy", "v.txt"].target.startswith("D:\\out\\v (from ")
+    same = {(r.source, r.name): (r.action, r.error) for r in K.route(every, "C:\\out", "C:\\").collect()}
+    assert same["RecycleBin", "old.txt"] == ("copy_bin", None) and "C:" in same["Carving", "png_5.png"][1] and same["Carving", "png_5.png"][0] is None
+    volumes = spark.createDataFrame([("C:\\", 1), ("E:\\", 1), ("F:\\", 2)], "root string, serial long")
+    assert [K.different_volume(d, "C:\\", volumes)[0] for d in ("E:\\x", "F:\\x", "D:\\x", "\\\\server\\x", "x")] == [False, True, True, False, False]
+
+
+def test_children_of_deleted_folders(spark):
+    from sedgeway.operators import candidates as K
+
+    records = spark.createDataFrame(
+        [record(30, "d", is_dir=True, seq=4), record(31, "sub", is_dir=True, seq=2, parent=30, pseq=3), record(32, "a", parent=30, pseq=4), record(33, "b", parent=31, pseq=2), record(34, "no", parent=30, pseq=9), record(35, "loop", is_dir=True, seq=1, parent=36, pseq=1), record(36, "pool", is_dir=True, seq=1, parent=35, pseq=1), record(37, "used", parent=30, pseq=4, in_use=True)],
+        S.MFT_RECORDS,
+    )
+    tree = K.below_deleted(records, records.filter("record_no in (30, 35)").select("volume_id", "record_no", "sequence"))
+    assert {(r.top, r.record_no, r.level, r.path) for r in tree.collect()} == {(30, 31, 1, "sub"), (30, 32, 1, "a"), (30, 33, 2, "sub\\b"), (35, 36, 1, "pool")}
+    copied = spark.createDataFrame([("C", 32, 10, "Good", None), ("C", 33, 5, "Partial", None), ("C", 31, 0, "Excellent", "broken")], "volume_id string, record_no long, bytes long, final_grade string, error string")
+    r = K.folder_results(tree, copied).first()
+    assert (r.bytes, r.final_grade, r.error) == (15, "Partial", "1 of 3 items failed")
+    pairs = spark.createDataFrame([("Excellent", "Partial"), ("Partial", "Good"), ("Good", "Good")], "a string, b string").select(K.final_grade(F.col("a"), F.col("b")).alias("g"))
+    assert [x.g for x in pairs.collect()] == ["Partial", "Partial", "Good"]
+
+
+def test_drives_are_reconciled(spark):
+    from sedgeway.operators import candidates as K
+
+    known = spark.createDataFrame([("C", 1, True), ("D", 2, True), ("E", 3, False), ("F", 4, False), ("G", 5, True)], "drive_letter string, serial long, online boolean")
+    present = spark.createDataFrame([("C", 1), ("E", 3), ("F", 9), ("G", 6), ("H", 7)], "drive_letter string, serial long")
+    assert {(r.drive_letter, r.change) for r in K.reconcile_drives(known, present).collect()} == {("D", "gone"), ("E", "back"), ("F", "added"), ("G", "gone"), ("H", "added")}
+
+
+def test_texts_of_the_recovery_lists(spark):
+    df = spark.createDataFrame([(b"{\\rtf1\\b Hello {World}\r\n\r\nnext\x00\xe9 line", 13_314_398_618, 440_234_147_840, 12.0)], "head binary, done long, total long, s double")
+    r = df.select(N.snippet(F.col("head")).alias("t"), N.progress_text(F.col("done"), F.col("total"), F.col("s")).alias("p"), N.progress_text(F.lit(10), F.lit(20), F.lit(0.5)).alias("q"), N.progress_text(F.lit(10), F.lit(20), F.lit(5)).alias("z"), N.grade_chip(F.lit("Partial"), F.lit(40), F.lit(None).cast("string")).alias("g"), N.log_chip(F.lit("Deleted"), F.lit("Free")).alias("l")).first()
+    assert r.t == "Hello World next line" and r.p == "12.4 GB of 410 GB · ETA 7 min" and r.q == "10 B of 20 B" and r.z == "10 B of 20 B · almost done"
+    assert r.g.text == "Partially overwritten (40%)" and "40%" in r.g.tooltip and r.l == "Recoverable (slot intact)"
