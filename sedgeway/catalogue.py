@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sedgeway import schemas as S
 from sedgeway.functions import names
+from sedgeway.operators import candidates as K
 from sedgeway.operators import journal as J
 from sedgeway.operators import recovery as R
 from sedgeway.operators import stats
@@ -361,6 +362,230 @@ def q40(spark, sf_dir):
     return e.join(F.broadcast(snapshots), "snapshot_id").select("snapshot_id", "entry_id", "size")  # three rows
 
 
+# --- the same operators where rows exercise all of their branches
+
+
+@_query("q13c_deleted_are_left_out", E + "SELECT entry_id, name FROM e WHERE NOT hidden AND NOT is_dir AND ext = 'pdf' AND entry_id % 5 <> 0")
+def q13c(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir).withColumn("deleted", F.col("entry_id") % 5 == 0)
+    return matches(e, parse("ext:pdf", NOW)).select("entry_id", "name")
+
+
+@_query(
+    "q15b_typo_matches",
+    E + """, near AS (SELECT entry_id, name, min(levenshtein(substr(fold, i::BIGINT, l::BIGINT), 'budjet')) AS d FROM e, range(1, 33) t(i), range(4, 9) u(l)
+    WHERE NOT hidden AND NOT is_dir AND i <= length(fold) GROUP BY ALL) SELECT entry_id, name, CAST(100 - 30 * d AS INT) AS score FROM near WHERE d BETWEEN 1 AND {k}""".replace("{k}", str(parse("budjet", NOW).name_terms[0].max_typos)),
+)
+def q15b(spark, sf_dir):
+    return _found(spark, sf_dir, "budjet file:", typos=True).filter("tier = 5").select("entry_id", "name", "score")
+
+
+@_query(
+    "q23b_donut_rest",
+    E + """, c AS (SELECT category, count(*) AS n FROM e WHERE NOT is_dir GROUP BY category), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, list_position(['Folder','Document','Image','Video','Audio','Archive','Code','App'], category)) AS r FROM c)
+    SELECT CASE WHEN r <= 3 THEN category ELSE 'Other' END AS label, CAST(sum(n) AS BIGINT) AS files, sum(n) / (SELECT sum(n) FROM c) AS fraction FROM k GROUP BY 1""",
+)
+def q23b(spark, sf_dir):
+    return stats.donut(entries_from_tables(spark, sf_dir), slices=3)
+
+
+_NOISY = r"""n AS (SELECT entry_id, is_dir, CASE entry_id % 6 WHEN 0 THEN '~$' || name WHEN 1 THEN name || '.TMP' WHEN 2 THEN name || '.log' ELSE name END AS name,
+ CASE entry_id % 6 WHEN 3 THEN 'C:\u\Cache' WHEN 4 THEN 'C:\Windows\Temp\' ELSE 'C:\Docs\cached' END AS folder FROM e)"""
+
+
+@_query("q33b_noise_rows", f"{E}, {_NOISY} SELECT entry_id, name FROM n WHERE is_dir OR entry_id % 6 = 5")
+def q33b(spark, sf_dir):
+    k = F.col("entry_id") % 6
+    name = F.when(k == 0, F.concat(F.lit("~$"), "name")).when(k == 1, F.concat("name", F.lit(".TMP"))).when(k == 2, F.concat("name", F.lit(".log"))).otherwise(F.col("name"))
+    folder = F.when(k == 3, "C:\\u\\Cache").when(k == 4, "C:\\Windows\\Temp\\").otherwise("C:\\Docs\\cached")
+    e = entries_from_tables(spark, sf_dir).withColumns({"name": name, "folder": folder})
+    return e.filter(~names.is_noise(F.col("name"), F.col("folder"), F.col("is_dir"))).select("entry_id", "name")
+
+
+@_query("q33c_text_filter", E + r"SELECT entry_id FROM e WHERE contains(lower(name), 'nation_1') OR contains(lower(regexp_replace(full_path, '\\[^\\]*$', '')), 'nation_1')")
+def q33c(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir)
+    return e.filter(names.text_filter(F.col("name"), F.regexp_replace("full_path", r"\\[^\\]*$", ""), "Nation_1")).select("entry_id")
+
+
+def _log_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two log rows for parts whose number 3 divides: the later one says Recycled for every other."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").filter(k % 3 == 0).select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    kind = F.when((F.col("i") == 1) & (k % 2 == 0), "Recycled").otherwise("Deleted")
+    return rows.select(
+        F.lit("C").alias("volume_id"), (k + 16).alias("record_no"), (k % 4).cast("int").alias("sequence"), F.lit(5).cast("long").alias("parent_record_no"), F.concat(F.lit("part"), k.cast("string")).alias("name"),
+        F.concat(F.lit("C:\\log"), F.col("i").cast("string")).alias("parent_path"), (k * 10).cast("long").alias("size"), F.lit(False).alias("is_dir"), F.lit(None).cast("timestamp_ntz").alias("modified"),
+        F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz").alias("deleted_at"), kind.alias("kind"), (k * 2 + F.col("i")).alias("usn"),
+    )
+
+
+@_query("q34b_undelete_with_log", "SELECT p_partkey + 16 AS record_no, CASE WHEN p_partkey % 3 <> 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'C:\\log0' ELSE 'C:\\log1' END AS original_folder, CASE WHEN p_partkey % 3 = 0 THEN 'Deleted' END AS detail FROM part WHERE p_partkey % 10 <> 0")
+def q34b(spark, sf_dir):
+    return R.with_log(R.deleted_records(records_from_parts(spark, sf_dir)), _log_of_parts(spark, sf_dir)).select("record_no", "original_folder", "detail")
+
+
+@_query(
+    "q37b_carve_all_headers",
+    """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'bmp' WHEN 1 THEN '7z' WHEN 2 THEN 'sqlite' WHEN 3 THEN 'webp' WHEN 4 THEN 'wav' WHEN 5 THEN 'wav' WHEN 6 THEN 'pst' END AS type_id,
+    CAST(CASE p_partkey % 8 WHEN 0 THEN 54 + p_partkey WHEN 1 THEN 32 + 3 * p_partkey WHEN 2 THEN (p_partkey + 1) * 1024 WHEN 6 THEN 600 + p_partkey WHEN 7 THEN NULL ELSE p_partkey + 108 END AS BIGINT) AS size FROM part""",
+)
+def q37b(spark, sf_dir):
+    k = F.col("p_partkey")
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
+    zeros = lambda n: F.lit("00" * n)
+    riff = lambda kind: F.concat(F.lit(b"RIFF".hex()), little(k + 100, 4), F.lit(kind.hex()), zeros(100))
+    heads = [
+        F.concat(F.lit("424D"), little(54 + k, 4), zeros(4), little(F.lit(54), 4), little(F.lit(40), 4), zeros(12)), F.concat(F.lit("377ABCAF271C"), zeros(6), little(k, 8), little(2 * k, 8), zeros(4)),
+        F.concat(F.lit(b"SQLite format 3\0".hex()), F.lit("0400"), zeros(10), big(k + 1, 4), zeros(68)), riff(b"WEBP"), riff(b"WAVE"), riff(b"AVI "),
+        F.concat(F.lit(b"!BDN".hex()), zeros(6), little(F.lit(23), 2), zeros(0xB8 - 12), little(600 + k, 8), zeros(64)), zeros(64),
+    ]
+    head = F.unhex(F.element_at(F.array(*heads), (k % 8 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", header_size(head).alias("h")).select("p_partkey", "h.type_id", "h.size")
+
+
+@_query("q40b_versions_of", E + r", s AS (SELECT unnest([1, 2, 3, 4]) AS snapshot_id) SELECT snapshot_id, entry_id, make_timestamp(2026, 1, snapshot_id, 0, 0, 0) AS created FROM e, s WHERE fold_path = 'c:\nation_10' AND (entry_id + snapshot_id) % 4 <> 0")
+def q40b(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir).withColumn("snapshot_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]))).filter((F.col("entry_id") + F.col("snapshot_id")) % 4 != 0)
+    snapshots = spark.createDataFrame([(i, datetime(2026, 1, i)) for i in (1, 2, 3, 4)], "snapshot_id int, created timestamp_ntz")
+    return R.versions_of(e, snapshots, "C:\\Nation_10\\").select("snapshot_id", "entry_id", "created")
+
+
+@_query(
+    "q44_candidates",
+    f"""{_M} SELECT source, grade, count(*) AS candidates, CAST(sum(percent_intact) AS BIGINT) AS intact FROM (
+    SELECT 'Undelete' AS source, {_GRADE} AS grade, {_PERCENT} AS percent_intact FROM g UNION ALL SELECT 'DeletionLog', 'Unknown', 0 FROM part, range(2) WHERE p_partkey % 3 = 0
+    UNION ALL SELECT 'RecycleBin', CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 THEN 'Excellent' ELSE 'Unknown' END, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 THEN 100 ELSE 0 END FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0
+    UNION ALL SELECT 'Carving', 'Excellent', 100 FROM (SELECT DISTINCT o_orderkey % 100000 FROM orders)) GROUP BY source, grade""",
+)
+def q44(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 7).cast("string").alias("sid"), "c_custkey", F.col("c_custkey").cast("string").alias("id"))
+    infos = c.filter("c_custkey % 3 <> 0").select("sid", F.concat(F.lit("$I"), "id").alias("name"), F.lit("C:\\x").alias("original_path"), F.lit(1).alias("size"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    data = c.filter("c_custkey % 4 <> 0").select("sid", F.concat(F.lit("$R"), "id").alias("name"), F.lit(False).alias("is_dir"))
+    carved = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100_000).alias("start_lcn")).distinct().select(
+        names.carved_name(F.lit("png"), F.col("start_lcn"), F.lit(".png")).alias("suggested_name"), F.lit(10).alias("size"), F.lit("PNG image").alias("label"), F.lit(None).cast("string").alias("info")
+    )
+    every = K.all_candidates(K.from_undelete(_graded(spark, sf_dir)), K.from_log(_log_of_parts(spark, sf_dir)), K.from_bin(R.recycle_pairs(infos, data)), K.from_carving(carved))
+    return every.groupBy("source", "grade").agg(F.count("*").alias("candidates"), F.sum("percent_intact").cast("long").alias("intact"))
+
+
+@_query("q45_below_deleted", "SELECT f.p_partkey + 16 AS top, c.p_partkey + 16 AS record_no, 1 AS level, c.p_name AS path FROM part f JOIN part c ON f.p_partkey = c.p_partkey - c.p_partkey % 25 WHERE f.p_partkey % 50 = 25 AND c.p_partkey % 25 <> 0 AND c.p_partkey % 10 <> 0")
+def q45(spark, sf_dir):
+    records = records_from_parts(spark, sf_dir)
+    return K.below_deleted(records, records.filter("is_dir and not in_use").select("volume_id", "record_no", "sequence")).select("top", "record_no", "level", "path")
+
+
+def _batch_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of orders' files by the last digit of the key: 0 deleted, 1 renamed, 2 deleted and made again, 3 moved out, 4 out and back, 5 written to."""
+    e = entries_from_tables(spark, sf_dir).filter("not is_dir")
+    k = (F.col("record_no") - 3_000_000_000) % 10
+    event = lambda i, reason, name, parent: F.struct(F.lit(i).alias("i"), F.lit(reason + S.CLOSE).alias("reason"), name.alias("name"), parent.cast("long").alias("parent"))
+    name, home, away = F.col("name"), F.col("parent_id"), F.lit(77)
+    lists = {
+        0: [event(0, S.FILE_DELETE, name, home)], 1: [event(0, S.RENAME_NEW_NAME, F.concat(F.lit("x_"), name), home)], 2: [event(0, S.FILE_DELETE, name, home), event(1, S.FILE_CREATE, F.concat(F.lit("new_"), name), home)],
+        3: [event(0, S.RENAME_NEW_NAME, name, away)], 4: [event(0, S.RENAME_NEW_NAME, name, away), event(1, S.RENAME_NEW_NAME, name, home)], 5: [event(0, S.DATA_EXTEND, name, home)],
+    }
+    made = F.when(F.lit(False), F.array(*lists[2]))
+    for digit, events in lists.items():
+        made = made.when(k == digit, F.array(*events))
+    return e.select("volume_id", "record_no", F.explode(made).alias("x")).select(
+        "volume_id", (F.col("record_no") * 2 + F.col("x.i")).alias("usn"), F.lit(datetime(2026, 1, 1)).cast("timestamp_ntz").alias("ts"), "record_no", F.lit(1).alias("sequence"), F.col("x.parent").alias("parent_record_no"),
+        F.col("x.reason").cast("long").alias("reason"), F.lit(0).cast("long").alias("attributes"), F.col("x.name").alias("name"),
+    )
+
+
+_B = E + ", b AS (SELECT *, CASE WHEN is_dir THEN -1 ELSE (entry_id - 3000000000) % 10 END AS k FROM e) "
+
+
+@_query("q46_apply_batch", _B + "SELECT entry_id, parent_id, CASE k WHEN 1 THEN 'x_' || name WHEN 2 THEN 'new_' || name ELSE name END AS name, CASE WHEN k IN (2, 4) THEN 0 ELSE size END AS size, known AND k NOT BETWEEN 0 AND 5 AS metadata_known FROM b WHERE k NOT IN (0, 3)")
+def q46(spark, sf_dir):
+    after, _ = J.apply_batch(entries_from_tables(spark, sf_dir), _batch_of_orders(spark, sf_dir))
+    return after.select("entry_id", "parent_id", "name", "size", "metadata_known")
+
+
+@_query("q46b_batch_deletions", _B + r"SELECT entry_id AS record_no, 2 * entry_id AS usn, name, regexp_replace(full_path, '\\[^\\]*$', '') AS parent_path, CASE WHEN known THEN size ELSE -1 END AS size, 'Deleted' AS kind FROM b WHERE k IN (0, 2, 3, 4)")
+def q46b(spark, sf_dir):
+    _, log = J.apply_batch(entries_from_tables(spark, sf_dir), _batch_of_orders(spark, sf_dir))
+    return log.select("record_no", "usn", "name", "parent_path", "size", "kind")
+
+
+@_query(
+    "q47_drives",
+    """WITH k AS (SELECT n_nationkey AS l, n_nationkey AS s, n_nationkey % 3 <> 0 AS o FROM nation WHERE n_nationkey < 20), p AS (SELECT n_nationkey AS l, n_nationkey + CASE WHEN n_nationkey % 4 = 0 THEN 100 ELSE 0 END AS s FROM nation WHERE n_nationkey >= 5),
+    j AS (SELECT k.l AS kl, p.l AS pl, k.s = p.s AS same, o FROM k FULL JOIN p ON k.l = p.l)
+    SELECT chr((65 + coalesce(kl, pl))::INT) AS drive_letter, CASE WHEN kl IS NULL THEN 'added' WHEN coalesce(same, false) AND NOT o THEN 'back' WHEN NOT coalesce(same, false) AND o THEN 'gone' ELSE 'added' END AS change FROM j
+    WHERE kl IS NULL OR (coalesce(same, false) AND NOT o) OR (NOT coalesce(same, false) AND o) OR (pl IS NOT NULL AND NOT same AND NOT o)""",
+)
+def q47(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.chr(65 + F.col("n_nationkey")).alias("drive_letter"))
+    known = n.filter("k < 20").select("drive_letter", F.col("k").alias("serial"), (F.col("k") % 3 != 0).alias("online"))
+    return K.reconcile_drives(known, n.filter("k >= 5").select("drive_letter", (F.col("k") + F.when(F.col("k") % 4 == 0, 100).otherwise(0)).alias("serial")))
+
+
+@_query("q48_extension_records", "SELECT p_partkey + 16 AS record_no, CASE WHEN p_partkey % 3 = 0 THEN 'ext' || (p_partkey + 1000016)::VARCHAR ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE (p_partkey % 3 + 1) * 16384 END AS real_size, CAST(p_partkey % 3 + CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 1 END AS INT) AS n_runs FROM part")
+def q48(spark, sf_dir):
+    base = records_from_parts(spark, sf_dir)
+    third = (F.col("record_no") - 16) % 3 == 0
+    run = F.array(F.struct(F.lit(100).cast("long").alias("vcn"), F.lit(9).cast("long").alias("lcn"), F.lit(1).cast("long").alias("clusters")))
+    more = [base.filter(third).withColumns({"base_record": F.col("record_no"), "record_no": F.col("record_no") + d, "real_size": F.lit(v).cast("long"), "runs": run}).withColumn("name", F.concat(F.lit("ext"), F.col("record_no").cast("string"))) for d, v in ((1_000_000, 7), (2_000_000, 8))]
+    bare = base.withColumns({"name": F.when(~third, F.col("name")), "real_size": F.when(~third, F.col("real_size"))})
+    merged = R.merge_extensions(bare.unionByName(more[0]).unionByName(more[1]))
+    return merged.select("record_no", "name", "real_size", F.size("runs").alias("n_runs"))
+
+
+@_query("q49_scan_agreement", E + "SELECT count(*) AS rows, avg((entry_id % 4 <> 0)::INT) AS found, avg((size + entry_id % 2 = size)::INT) FILTER (entry_id % 4 <> 0) AS equal_sizes FROM e")
+def q49(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir)
+    return stats.scan_agreement(e.filter(F.col("entry_id") % 4 != 0), e.withColumn("size", F.col("size") + F.col("entry_id") % 2))
+
+
+_FOLDER = "CASE WHEN is_dir THEN 5 ELSE k - k % 25 + 16 END"
+
+
+@_query(
+    "q50_worst_grade",
+    f"""{_M}, x AS (SELECT {_FOLDER} AS folder, {_GRADE} AS grade FROM g) SELECT folder::VARCHAR AS original_folder, arg_max(grade, list_position(['Excellent','Good','Unknown','Partial','Zeroed','Overwritten','Encrypted'], grade)) AS worst,
+    count(*) FILTER (grade IN ('Overwritten','Encrypted','Zeroed')) AS failed, count(*) AS total FROM x GROUP BY folder""",
+)
+def q50(spark, sf_dir):
+    return R.worst_grade(_graded(spark, sf_dir).withColumn("original_folder", F.col("parent_record").cast("string")))
+
+
+@_query("q51_undelete_order", f"{_M} SELECT record_no, {_GRADE} AS grade, {_PERCENT} AS percent_intact FROM g ORDER BY list_position(['Excellent','Good','Partial','Zeroed','Overwritten','Encrypted','Unknown'], {_GRADE}), {_PERCENT} DESC, name, record_no LIMIT 300")
+def q51(spark, sf_dir):
+    return _graded(spark, sf_dir).orderBy(*R.candidate_order(), "record_no").limit(300).select("record_no", "grade", "percent_intact")
+
+
+@_query("q53_free_bytes", "WITH a AS (SELECT DISTINCT (l_partkey % 6000) * 16 AS s, l_partkey % 6000 % 12 + 1 AS len FROM lineitem) SELECT CAST((100000 - sum(len)) * 4096 AS BIGINT) AS free_bytes FROM a")
+def q53(spark, sf_dir):
+    return R.free_bytes(R.free_runs_from_alloc(alloc_from_lines(spark, sf_dir), 100_000)).select("free_bytes")
+
+
+@_query("q53b_free_runs_of_bits", "WITH a AS (SELECT DISTINCT (l_partkey % 6000) * 16 AS s, l_partkey % 6000 % 12 + 1 AS len FROM lineitem), g AS (SELECT coalesce(lag(s + len) OVER (ORDER BY s), 0) AS start, s AS stop FROM a UNION ALL SELECT max(s + len), 100000 FROM a) SELECT start AS start_lcn, stop - start AS len FROM g WHERE stop > start")
+def q53b(spark, sf_dir):
+    taken = alloc_from_lines(spark, sf_dir).select(F.explode(F.sequence(F.col("start_lcn"), F.col("start_lcn") + F.col("len") - 1)).alias("lcn"), F.lit(True).alias("allocated"))
+    bits = spark.range(100_000).select(F.lit("C").alias("volume_id"), F.col("id").alias("lcn")).join(taken, "lcn", "left").withColumn("allocated", F.coalesce("allocated", F.lit(False)))
+    return R.free_runs(bits, block=4096).select("start_lcn", "len")
+
+
+@_query("q54_distinct_categories", E + "SELECT DISTINCT category FROM e")
+def q54(spark, sf_dir):
+    return stats.distinct_values(entries_from_tables(spark, sf_dir), "category")
+
+
+@_query("q55_median_size", E + "SELECT category, CAST(median(size) AS DOUBLE) AS median, count(*) AS n FROM e GROUP BY category")
+def q55(spark, sf_dir):
+    return stats.median(entries_from_tables(spark, sf_dir), "size", "category")
+
+
+@_query("q56_slots_as_of", "WITH u AS (SELECT DISTINCT p_partkey + 16 AS r FROM part WHERE p_partkey % 7 = 0), q AS (SELECT DISTINCT c_custkey AS record_no FROM customer) SELECT record_no, CASE WHEN record_no IN (SELECT r FROM u) THEN 'Reused' WHEN record_no > (SELECT min(r) FROM u) THEN 'Free' ELSE 'Unknown' END AS slot FROM q")
+def q56(spark, sf_dir):
+    used = records_from_parts(spark, sf_dir).filter((F.col("record_no") - 16) % 7 == 0).select("volume_id", "record_no")
+    asked = table(spark, sf_dir, "customer").select(F.lit("C").alias("volume_id"), F.col("c_custkey").alias("record_no")).distinct()
+    return R.slots_as_of(asked, used).select("record_no", "slot")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ext:pdf report``, ranked."""
     hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits
