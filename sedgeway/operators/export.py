@@ -46,6 +46,19 @@ def write_csv(df: DataFrame, columns: dict, path: str, mode: str = "overwrite")
     named.write.mode(mode).option("header", True).option("lineSep", "\n").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def append_manifest(recovered: DataFrame, path: str) -> None:
+    """Adds recovered files to a manifest: part files without headers, and the header once, in a file that sorts before them."""
+    spark = recovered.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    head = hadoop(f"{path}/0-header.csv")
+    files = head.getFileSystem(spark._jsc.hadoopConfiguration())
+    csv_lines(recovered, MANIFEST_COLUMNS).write.mode("append").text(path)
+    if not files.exists(head):
+        out = files.create(head)
+        out.write(bytearray(f"{header_line(MANIFEST_COLUMNS)}\n".encode()))
+        out.close()
+
+
 def dfxml(recovered: DataFrame, volume: str, started: datetime, finished: datetime, program: str = "sedgeway", version: str = "0.1.0") -> str:
     """A DFXML 1.2 report of a session, an object for each recovered file. More than MAX_REPORT files are refused."""
     rows = recovered.limit(MAX_REPORT + 1).collect()

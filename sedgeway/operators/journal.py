@@ -8,17 +8,12 @@ from pyspark.sql.window import Window
 
 from sedgeway import schemas as S
 from sedgeway.functions.names import fold, is_delete_marker, is_recycled_name
-from sedgeway.operators.tree import resolve
+from sedgeway.operators.tree import SKIPPED_ROOT_NAMES, resolve
 from sedgeway.runtime import cut, replace_parquet
 
 #: Seconds within which a create of the same name makes a deletion a replacement; deletions kept for each volume.
 REPLACE_SECONDS = 2
 RING = 50_000
-#: Names below the root that no scan lists, folded. Fixed values.
-SKIPPED_ROOT_NAMES = (
-    "$mft", "$mftmirr", "$logfile", "$volume", "$attrdef", "$bitmap", "$boot", "$badclus", "$secure", "$upcase", "$extend", "$recycle.bin",
-    "system volume information",
-)
 ROOT_RECORD = 5
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from sedgeway.runtime import cut
 
+#: Names below the root that no scan lists, folded. Fixed values.
+SKIPPED_ROOT_NAMES = (
+    "$mft", "$mftmirr", "$logfile", "$volume", "$attrdef", "$bitmap", "$boot", "$badclus", "$secure", "$upcase", "$extend", "$recycle.bin",
+    "system volume information",
+)
 #: Rounds at most: chains of up to 2^12 ancestors.
 ROUNDS = 12
 MAX_DEPTH = 255
@@ -73,7 +78,11 @@ def exclude_folders(entries: DataFrame, folders: list[str]) -> DataFrame:
 
 
 def build(records: DataFrame, root_record: int = 5) -> DataFrame:
-    """Entries with paths from (record_no, parent_record_no, name, is_dir, ...) rows in any order; orphans are deleted."""
+    """Entries with paths from (record_no, parent_record_no, name, is_dir, ...) rows in any order; orphans are deleted.
+
+    The file system's own files below the root are left out, and so is what hangs from them.
+    """
+    records = records.filter((F.col("parent_record_no") != root_record) | ~F.lower("name").isin(*SKIPPED_ROOT_NAMES))
     roots = records.sparkSession.createDataFrame([(root_record, "")], "root_id long, root string")
     state = resolve(records.withColumnRenamed("record_no", "entry_id").withColumnRenamed("parent_record_no", "parent_id"), roots)
     return records.join(state, records["record_no"] == state["id"]).withColumn("deleted", F.col("gone")).drop("id", "gone")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,11 +82,15 @@ e as (select *, lower(name) as fold, lower(full_path) as fold_path, regexp_extra
 
 #: Folders a scan of a root leaves out. Fixed values.
 SKIPPED_FOLDERS = ("$Recycle.Bin", "System Volume Information", "Config.Msi")
+#: Rows of a scan after which the driver lists no further level itself.
+MOST_LISTED = 20_000
 
 
 def scan_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (), partitions: int = 8) -> DataFrame:
-    """Entries of a directory tree that every executor can read; one task walks some of the top-level folders.
+    """Entries of a directory tree that every executor can read; one task walks some of the folders.
 
+    The driver lists levels from the top until there are four folders for each of ``partitions`` (of so few levels that
+    it holds ``MOST_LISTED`` rows at most); tasks walk what lies below and send rows in batches.
     Links to directories are listed, not followed; folders that can't be read are listed and left empty.
     Ids are hashes of paths; the root has the id of its own path and no row.
     """
@@ -110,18 +115,21 @@ def scan_tree(spark: SparkSession, root: str, excluded: tuple[str, ...] = (), pa
                 yield from walk(x.path, True)
 
     schema = "path string, parent string, name string, is_dir boolean, hidden boolean, reparse boolean, size bigint, micros bigint"
-    first = list(walk(root, False))
-    tops = spark.createDataFrame([(p,) for p, _, _, d, _, link, _, _ in first if d and not link], "top string").repartition(partitions)
+    first, level = [], [root]
+    while level and len(first) < MOST_LISTED and (not first or len(level) < 4 * partitions):
+        found = [x for top in level for x in walk(top, False)]
+        first += found
+        level = [x[0] for x in found if x[3] and not x[5]]
+    tops = spark.createDataFrame([(p,) for p in level], "top string").repartition(partitions)
 
     def below(batches):
         import pandas as pd
 
         for pdf in batches:
-            for top in pdf["top"]:
-                rows = list(walk(top, True))
-                if rows:
-                    out = pd.DataFrame(rows, columns=["path", "parent", "name", "is_dir", "hidden", "reparse", "size", "micros"])
-                    yield out.astype({"size": "Int64", "micros": "Int64"})
+            rows = (x for top in pdf["top"] for x in walk(top, True))
+            while part := list(islice(rows, 10_000)):
+                out = pd.DataFrame(part, columns=["path", "parent", "name", "is_dir", "hidden", "reparse", "size", "micros"])
+                yield out.astype({"size": "Int64", "micros": "Int64"})
 
     rows = spark.createDataFrame(first, schema).unionByName(tops.mapInPandas(below, schema))
     at = lambda c: F.xxhash64(F.lit(root), c)

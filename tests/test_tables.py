@@ -439,3 +439,58 @@ def test_texts_of_the_recovery_lists(spark):
     r = df.select(N.snippet(F.col("head")).alias("t"), N.progress_text(F.col("done"), F.col("total"), F.col("s")).alias("p"), N.progress_text(F.lit(10), F.lit(20), F.lit(0.5)).alias("q"), N.progress_text(F.lit(10), F.lit(20), F.lit(5)).alias("z"), N.grade_chip(F.lit("Partial"), F.lit(40), F.lit(None).cast("string")).alias("g"), N.log_chip(F.lit("Deleted"), F.lit("Free")).alias("l")).first()
     assert r.t == "Hello World next line" and r.p == "12.4 GB of 410 GB · ETA 7 min" and r.q == "10 B of 20 B" and r.z == "10 B of 20 B · almost done"
     assert r.g.text == "Partially overwritten (40%)" and "40%" in r.g.tooltip and r.l == "Recoverable (slot intact)"
+
+
+def test_shadow_copy_listing(spark):
+    text = "Contents of shadow copy set ID: {aa}\r\n   Contained 1 shadow copies at creation time: 1/2/2026 3:04:05 AM\r\n      Shadow Copy ID: {0a-1}\r\n         Shadow Copy Volume: \\\\?\\GLOBALROOT\\Copy1\r\nContents of shadow copy set ID: {bb}\r\n   Contained 1 shadow copies at creation time: 2/2/2026\r\n      Shadow Copy ID: {0b-2}\r\n         Shadow Copy Volume: \\\\?\\GLOBALROOT\\Copy2\r\n"
+    got = {(r.snapshot_id, r.device[-5:], r.created_text) for r in raw.parse_snapshots(spark.createDataFrame([(text,)], "value string")).collect()}
+    assert got == {("{0a-1}", "Copy1", "1/2/2026 3:04:05 AM"), ("{0b-2}", "Copy2", "2/2/2026")}
+
+
+def test_volume_image(spark, tmp_path):
+    sector = bytearray(512)
+    sector[3:11], sector[11:13], sector[13] = b"NTFS    ", (512).to_bytes(2, "little"), 8
+    sector[40:48], sector[48:56], sector[56:64], sector[64:65] = (800).to_bytes(8, "little"), (4).to_bytes(8, "little"), (2).to_bytes(8, "little"), (-10).to_bytes(1, "little", signed=True)
+    shape = raw.boot_geometry(bytes(sector))
+    assert shape == {"cluster": 4096, "record": 1024, "clusters": 100, "table_lcn": 4, "mirror_lcn": 2}
+    for bad in (b"", bytes(512), bytes(sector[:13]) + b"\0" + bytes(sector[14:])):
+        try:
+            raw.boot_geometry(bad)
+        except ValueError:
+            continue
+        raise AssertionError("taken for a boot sector")
+    image = bytearray(20 * 4096 + 100)
+    image[:512] = sector
+    for i, lcn in enumerate((4, 5, 9)):  # a table in two extents
+        for k in range(4):
+            image[lcn * 4096 + k * 1024 : lcn * 4096 + k * 1024 + 8] = b"REC" + (i * 4 + k).to_bytes(5, "little")
+    (tmp_path / "image").write_bytes(image)
+    clusters = raw.read_image(spark, str(tmp_path / "image"), chunk=8192, partitions=3)
+    assert clusters.count() == 21 and clusters.filter("lcn = 20").first().data == bytes(4096)
+    table = raw.read_file_table(clusters, [(0, 4, 2), (2, 9, 1)])
+    assert {r.record_no: bytes(r.record[:8]) for r in table.collect()} == {i: b"REC" + i.to_bytes(5, "little") for i in range(12)}
+    wide = raw.read_file_table(clusters, [(0, 4, 2)], record=8192)
+    assert [(r.record_no, len(r.record), bytes(r.record[:4])) for r in wide.collect()] == [(0, 8192, b"REC\0")]
+
+
+def test_manifest_grows_with_one_header(spark, tmp_path):
+    rows = spark.createDataFrame([("C:\\a,b", "D:\\a", 5, "00", "Good", "Undelete", None)], "original_path string, recovered_path string, bytes long, sha256 string, final_grade string, source string, error string")
+    export.append_manifest(rows, f"{tmp_path}/m")
+    export.append_manifest(rows, f"{tmp_path}/m")
+    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/m").collect())
+    assert len(lines) == 3 and lines.count(export.header_line(export.MANIFEST_COLUMNS)) == 1 and lines[0].startswith('"C:')
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from sedgeway import __main__ as cli
+
+    for name in ("report_1.pdf", "sub/report_2.txt", "sub/deep/notes.md"):
+        at = tmp_path / "tree" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("x" * 10)
+    assert cli.main(["scan", str(tmp_path / "tree"), str(tmp_path / "snap")]) == 0 and "5 entries" in capsys.readouterr().out
+    cli.main(["search", str(tmp_path / "snap"), "report", "--top", "1"])
+    out = capsys.readouterr().out
+    assert "report_1.pdf" in out and "2 matches" in out
+    cli.main(["stats", str(tmp_path / "snap")])
+    assert "3 files, 2 folders, 30 bytes" in capsys.readouterr().out
