@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sedgeway.functions.binary import lznt1
 from sedgeway.functions.formats import BY_ID, FORMATS, Format, extension_for, looks_like, measure
+from sedgeway.operators.recovery import good_runs
 
 CLUSTER = 4096
 #: Bytes that one candidate may grow to.
@@ -156,14 +157,26 @@ def rebuild(real_size: int, initialized: int | None, runs: list[tuple[int, int,
     return bytes(out[:real_size].ljust(real_size, b"\0"))
 
 
-def recover(candidates: DataFrame, clusters: DataFrame, cluster: int = CLUSTER) -> DataFrame:
+#: Bytes of a file that one row of ``recover`` holds at most; ``recover_parts`` takes any.
+MAX_CONTENT = 1 << 30
+
+
+def _unit(flags, unit) -> int:
+    """Exponent of the clusters of a compressed file's units; 0 for files that aren't compressed."""
+    return (int(unit or 0) or 4) if int(flags or 0) & 1 else 0
+
+
+def recover(candidates: DataFrame, clusters: DataFrame, cluster: int = CLUSTER, total_clusters: int | None = None) -> DataFrame:
     """(volume_id, record_no, content, bytes, sha256, error) of files put together from their clusters.
 
     Runs are exploded to clusters and joined to ``clusters`` (volume_id, lcn, data) by number; a group is one
-    file, so a task holds one file at a time.
+    file, so a task holds one file at a time. Files whose runs can't be followed, or larger than ``MAX_CONTENT``, give an error.
     """
     one = candidates.select("volume_id", "record_no", "real_size", "initialized_size", "resident", "resident_data", "runs", "compression_unit", "data_flags")
-    stored = one.select("volume_id", "record_no", F.explode("runs").alias("r")).filter("r.lcn >= 0").select("volume_id", "record_no", F.explode(F.sequence(F.col("r.lcn"), F.col("r.lcn") + F.col("r.clusters") - 1)).alias("lcn"))
+    large = F.coalesce(F.greatest("real_size", F.aggregate(F.filter("runs", lambda r: r["lcn"] >= 0), F.lit(0).cast("long"), lambda acc, r: acc + r["clusters"]) * cluster), F.lit(0)) > MAX_CONTENT
+    wrong = F.when(F.col("resident"), None).when(~good_runs(F.col("runs"), total_clusters), "the runs can't be followed").when(large, "larger than one row holds")
+    one = one.withColumn("wrong", wrong)
+    stored = one.filter("wrong is null").select("volume_id", "record_no", F.explode("runs").alias("r")).filter("r.lcn >= 0").select("volume_id", "record_no", F.explode(F.sequence(F.col("r.lcn"), F.col("r.lcn") + F.col("r.clusters") - 1)).alias("lcn"))
     bytes_of = stored.join(clusters, ["volume_id", "lcn"]).groupBy("volume_id", "record_no").agg(F.collect_list(F.struct("lcn", "data")).alias("pieces"))
     full = one.join(bytes_of, ["volume_id", "record_no"], "left")
     schema = "volume_id string, record_no bigint, content binary, bytes bigint, error string"
@@ -172,19 +185,53 @@ def recover(candidates: DataFrame, clusters: DataFrame, cluster: int = CLUSTER)
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                content, error = None, None
+                content, error = None, r["wrong"]
                 try:
-                    if r["resident"]:
+                    if error:
+                        pass
+                    elif r["resident"]:
                         content = bytes(r["resident_data"] or b"")[: int(r["real_size"] or 0)]
                     else:
                         pieces = {int(p["lcn"]): bytes(p["data"]) for p in (r["pieces"] if r["pieces"] is not None else [])}
                         runs = [(int(x["vcn"]), int(x["lcn"]), int(x["clusters"])) for x in (r["runs"] if r["runs"] is not None else [])]
                         start = r["initialized_size"]
-                        packed = int(r["compression_unit"] or 0) if int(r["data_flags"] or 0) & 1 else 0
-                        content = rebuild(int(r["real_size"] or 0), None if pd.isna(start) else int(start), runs, pieces, cluster, packed)
+                        content = rebuild(int(r["real_size"] or 0), None if pd.isna(start) else int(start), runs, pieces, cluster, _unit(r["data_flags"], r["compression_unit"]))
                 except ValueError as e:
                     error = str(e)
                 out.append((r["volume_id"], int(r["record_no"]), content, None if content is None else len(content), error))
             yield pd.DataFrame(out, columns=["volume_id", "record_no", "content", "bytes", "error"])
 
     return full.mapInPandas(work, schema).withColumn("sha256", F.sha2("content", 256))
+
+
+def recover_parts(candidates: DataFrame, clusters: DataFrame, cluster: int = CLUSTER, total_clusters: int | None = None, part_clusters: int = 4096) -> DataFrame:
+    """(volume_id, record_no, part, content, error) of files of any size: parts of ``part_clusters`` clusters (a multiple of 16), in order.
+
+    Only files with runs; what ``recover`` gives is their contents one after another. A part that can't be expanded has an error.
+    """
+    span = part_clusters * cluster
+    good = candidates.filter(~F.coalesce(F.col("resident"), F.lit(False)) & good_runs(F.col("runs"), total_clusters) & (F.col("real_size") > 0))
+    parts = good.select("volume_id", "record_no", "real_size", "initialized_size", "compression_unit", "data_flags", F.explode(F.sequence(F.lit(0), F.floor((F.col("real_size") - 1) / span))).alias("part"))
+    stored = good.select("volume_id", "record_no", F.explode("runs").alias("r")).filter("r.lcn >= 0")
+    each = stored.select("volume_id", "record_no", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r.clusters") - 1)).alias("i")).select("volume_id", "record_no", (F.col("r.vcn") + F.col("i")).alias("vcn"), (F.col("r.lcn") + F.col("i")).alias("lcn"))
+    bytes_of = each.join(clusters, ["volume_id", "lcn"]).groupBy("volume_id", "record_no", F.floor(F.col("vcn") / part_clusters).alias("part")).agg(F.collect_list(F.struct((F.col("vcn") % part_clusters).alias("vcn"), "data")).alias("pieces"))
+    full = parts.join(bytes_of, ["volume_id", "record_no", "part"], "left")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                at = int(r["part"]) * span
+                size = min(span, int(r["real_size"]) - at)
+                start = None if pd.isna(r["initialized_size"]) or not r["initialized_size"] else int(r["initialized_size"]) - at
+                pieces = {int(p["vcn"]): bytes(p["data"]) for p in (r["pieces"] if r["pieces"] is not None else [])}
+                content, error = bytes(size), None
+                if start is None or start > 0:
+                    try:
+                        content = rebuild(size, start, [(v, v, 1) for v in sorted(pieces)], pieces, cluster, _unit(r["data_flags"], r["compression_unit"]))
+                    except ValueError as e:
+                        content, error = None, str(e)
+                out.append((r["volume_id"], int(r["record_no"]), int(r["part"]), content, error))
+            yield pd.DataFrame(out, columns=["volume_id", "record_no", "part", "content", "error"])
+
+    return full.mapInPandas(work, "volume_id string, record_no bigint, part bigint, content binary, error string")

@@ -494,3 +494,18 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "report_1.pdf" in out and "2 matches" in out
     cli.main(["stats", str(tmp_path / "snap")])
     assert "3 files, 2 folders, 30 bytes" in capsys.readouterr().out
+
+
+def test_files_in_parts_equal_whole_files(spark):
+    import random
+
+    rng = random.Random(2)
+    clusters = spark.createDataFrame([("C", i, rng.randbytes(512)) for i in range(200)], "volume_id string, lcn long, data binary")
+    files = [record(20, runs=((0, 10, 40), (40, -1, 20), (60, 100, 30)), real=90 * 512 - 7), record(21, runs=((0, 5, 3),), real=1200, initialized=700), record(22, runs=((0, -1, 50),), real=20_000), record(23, runs=((0, 150, 70),), real=1000), record(24, runs=((0, 60, 40),), real=40 * 512, initialized=20 * 512)]
+    df = spark.createDataFrame(files, S.MFT_RECORDS)
+    whole = {r.record_no: (r.content, r.error) for r in carve.recover(df, clusters, 512, total_clusters=200).collect()}
+    assert whole[23] == (None, "the runs can't be followed") and whole[20][1] is None
+    parts = {}
+    for r in carve.recover_parts(df, clusters, 512, total_clusters=200, part_clusters=16).orderBy("record_no", "part").collect():
+        parts[r.record_no] = parts.get(r.record_no, b"") + bytes(r.content)
+    assert parts == {k: bytes(c) for k, (c, e) in whole.items() if e is None} and set(parts) == {20, 21, 22, 24}
