@@ -25,6 +25,11 @@ MAX_WINDOW = 512 << 20
 _SCHEMA = "volume_id string, type_id string, label string, category string, start_lcn bigint, size bigint, info string, suggested_name string"
 
 
+def types_of(*categories: str) -> tuple[str, ...]:
+    """Ids of the formats of some categories, for ``scan``."""
+    return tuple(f.id for f in FORMATS if f.category in categories)
+
+
 def first_match(data: bytes, at: int, formats: tuple[Format, ...], limit: int, window: int = 64 * CLUSTER) -> tuple[Format, int, str | None] | None:
     """The first format that a file at ``at`` fits: grows the window to what the format states, or doubles it."""
     head = data[at : at + 64]

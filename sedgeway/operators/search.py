@@ -188,6 +188,16 @@ def search(
     return SearchResult(with_highlights(hits, query) if highlight else hits, total, query, used)
 
 
+def by_path(entries: DataFrame, path: str) -> DataFrame:
+    """The live entry at a full path, in either case."""
+    return entries.filter(~F.col("deleted") & (F.col("fold_path") == path.rstrip("\\").lower()))
+
+
+def child_of(entries: DataFrame, parent_id: int, name: str) -> DataFrame:
+    """The live child of a folder by its name, in either case; the first if there are several."""
+    return entries.filter(~F.col("deleted") & (F.col("parent_id") == parent_id) & (F.col("fold") == name.lower())).orderBy("entry_id").limit(1)
+
+
 def with_highlights(hits: DataFrame, query: Query) -> DataFrame:
     """``hits`` with ``highlights``, the ranges of the name that plain terms mark."""
     terms = [t.text for t in query.name_terms if t.kind == "plain"]
@@ -206,4 +216,4 @@ def recent_searches(searches: DataFrame, text: str = "query", at: str = "at", mo
     return kept.drop("_k").orderBy(F.desc(at), text).limit(most)
 
 
-__all__: Sequence[str] = ["SearchResult", "compile_query", "filter_column", "matches", "order_of", "recent_searches", "relevance_key", "search", "with_highlights"]
+__all__: Sequence[str] = ["SearchResult", "by_path", "child_of", "compile_query", "filter_column", "matches", "order_of", "recent_searches", "relevance_key", "search", "with_highlights"]

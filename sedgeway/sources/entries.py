@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sedgeway.functions import names
 from sedgeway.runtime import replace_parquet, table
-from sedgeway.schemas import ENTRIES
+from sedgeway.schemas import ATTR_DIRECTORY, ATTR_HIDDEN, ATTR_REPARSE, ATTR_SYSTEM, ENTRIES
 
 BACKSLASH = "\\"
 
@@ -150,6 +152,34 @@ def save_snapshot(entries: DataFrame, path: str) -> DataFrame:
     return check
 
 
+def freeze(entries: DataFrame, folder: str, at: datetime) -> str:
+    """A dated snapshot below ``folder``; returns its path. ``frozen`` lists and reads them."""
+    path = f"{folder}/{at:%Y%m%dT%H%M%S}"
+    save_snapshot(entries, path)
+    return path
+
+
+def frozen(spark: SparkSession, folder: str, times: list[datetime]) -> DataFrame:
+    """The rows of dated snapshots with ``snapshot_id`` and ``created``; unreadable ones are left out."""
+    found = [(at, load_snapshot(spark, f"{folder}/{at:%Y%m%dT%H%M%S}")) for at in times]
+    parts = [df.withColumns({"snapshot_id": F.lit(f"{at:%Y%m%dT%H%M%S}"), "created": F.lit(at).cast("timestamp_ntz")}) for at, df in found if df is not None]
+    if not parts:
+        raise ValueError(f"no readable snapshot below {folder}")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def from_enumeration(records: DataFrame) -> DataFrame:
+    """Entries from names alone (volume_id, record_no, parent_record_no, name, attributes): sizes and times are not known yet.
+
+    ``tree.build`` gives them paths; ``fill_metadata`` sizes and times.
+    """
+    bit = lambda b: F.col("attributes").bitwiseAND(F.lit(b)) != 0
+    return records.select(
+        "volume_id", F.col("record_no").alias("entry_id"), F.col("parent_record_no").alias("parent_id"), "name", bit(ATTR_DIRECTORY).alias("is_dir"), bit(ATTR_HIDDEN).alias("hidden"), bit(ATTR_SYSTEM).alias("system"),
+        bit(ATTR_REPARSE).alias("reparse"), F.lit(False).alias("deleted"), F.lit(False).alias("metadata_known"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp_ntz").alias("modified"), "record_no",
+    )
+
+
 def checksum(entries: DataFrame) -> DataFrame:
     cols = [f.name for f in ENTRIES.fields if f.name != "volume_id"]
     return entries.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(F.col("volume_id").cast("string"), *cols)), F.lit(0)).alias("checksum"))

@@ -509,3 +509,19 @@ def test_files_in_parts_equal_whole_files(spark):
     for r in carve.recover_parts(df, clusters, 512, total_clusters=200, part_clusters=16).orderBy("record_no", "part").collect():
         parts[r.record_no] = parts.get(r.record_no, b"") + bytes(r.content)
     assert parts == {k: bytes(c) for k, (c, e) in whole.items() if e is None} and set(parts) == {20, 21, 22, 24}
+
+
+def test_lookups_and_dated_snapshots(spark, tmp_path):
+    from sedgeway.operators.search import by_path, child_of
+
+    records = spark.createDataFrame([("C", 40, 5, "Docs", S.ATTR_DIRECTORY), ("C", 41, 40, "A.txt", S.ATTR_HIDDEN), ("C", 42, 40, "a.TXT", 0)], "volume_id string, record_no long, parent_record_no long, name string, attributes long")
+    entries = E.from_enumeration(records)
+    assert {(r.name, r.is_dir, r.hidden, r.metadata_known) for r in entries.collect()} == {("Docs", True, False, False), ("A.txt", False, True, False), ("a.TXT", False, False, False)}
+    full = E.derive(entries.withColumn("full_path", F.concat(F.lit("C:\\"), "name")))
+    assert by_path(full, "c:\\DOCS\\").first().entry_id == 40 and child_of(full, 40, "a.txt").first().entry_id == 41 and child_of(full, 40, "b").count() == 0
+    times = [T0, T0 + timedelta(days=1)]
+    E.freeze(entries, str(tmp_path), times[0])
+    E.freeze(entries.filter("entry_id < 42"), str(tmp_path), times[1])
+    got = E.frozen(spark, str(tmp_path), [*times, T0 + timedelta(days=9)])
+    assert sorted((r.created, r["count"]) for r in got.groupBy("created").count().collect()) == [(times[0], 3), (times[1], 2)]
+    assert "png" in carve.types_of("Image") and "mp3" not in carve.types_of("Image")
