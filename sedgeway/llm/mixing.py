@@ -11,8 +11,9 @@ rounds of 4096 sums each; no source's documents ever meet in one task. The cut f
 1 / 2^24 of a pattern's hash range, so a pattern misses its quota by about one document.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; a null source is a source of
-its own, last in order; null doc_ids share a hash and are taken together; repeated rows are separate
-documents that are taken alike; an empty table gives no rows; extra columns pass through.
+its own, last in order; rows that share a doc_id, or have none, are told apart by ``tie`` (in op5 the hash of
+the text); rows alike in both are separate documents that are taken alike; an empty table gives no rows; extra
+columns pass through.
 """
 
 from __future__ import annotations
@@ -129,24 +130,25 @@ def _cut_cells(cells: DataFrame, cell: str) -> DataFrame:
     )
 
 
-def _keyed(docs: DataFrame, sources: str, doc_id: str, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, sources: str, doc_id: str, tie: str | None, seed: int) -> DataFrame:
     """``docs`` with its pattern and the two cells of its hash."""
     members = F.coalesce(F.col(sources), F.array(F.lit(None).cast("string")))
-    h = F.xxhash64(F.col(doc_id), F.lit(seed))
+    h = F.xxhash64(F.col(doc_id), *([F.col(tie)] if tie else []), F.lit(seed))
     return docs.withColumns({"_members": members, "_pattern": F.to_json(F.array_sort(F.array_distinct(members))), "_c1": F.shiftrightunsigned(h, 52).cast("int"), "_c2": (F.shiftrightunsigned(h, 40) % _CELLS).cast("int")})
 
 
 def mix(
     docs: DataFrame, sources: str = "sources", size: str = "size", doc_id: str = "doc_id", narrow: DataFrame | None = None,
-    weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: int = SEED,
+    weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: int = SEED, tie: str | None = None,
 ) -> tuple[DataFrame, dict, dict]:
     """``docs`` with ``times``, the uses of each document, and the sizes and targets of the sources.
 
     ``sources`` is an array column: a document may belong to several sources, and counts for each.
-    ``narrow`` may give the same rows without their texts, for the sums.
+    ``narrow`` may give the same rows without their texts, for the sums. ``tie`` names a column that tells apart
+    rows of one doc_id, or of none.
     """
     spark = docs.sparkSession
-    keyed = _keyed(narrow if narrow is not None else docs, sources, doc_id, seed)
+    keyed = _keyed(narrow if narrow is not None else docs, sources, doc_id, tie, seed)
     sums = keyed.groupBy("_pattern").agg(F.first("_members").alias("_members"), F.sum(size).alias("held")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -173,13 +175,13 @@ def mix(
     chosen = spark.createDataFrame([tuple(r) for r in rows], "_pattern string, _whole int, _c1_cut int, _c2_cut int")
     extra = (F.col("_c1") < F.coalesce("_c1_cut", F.lit(-1))) | ((F.col("_c1") == F.col("_c1_cut")) & (F.col("_c2") < F.coalesce("_c2_cut", F.lit(-1))))
     times = F.when(F.col(size) > 0, F.col("_whole") + F.coalesce(extra, F.lit(False)).cast("int")).otherwise(0)
-    return _keyed(docs, sources, doc_id, seed).join(F.broadcast(chosen), "_pattern", "left").withColumn("times", times).drop("_members", "_pattern", "_c1", "_c2", "_whole", "_c1_cut", "_c2_cut"), dict(sizes), goal
+    return _keyed(docs, sources, doc_id, tie, seed).join(F.broadcast(chosen), "_pattern", "left").withColumn("times", times).drop("_members", "_pattern", "_c1", "_c2", "_whole", "_c1_cut", "_c2_cut"), dict(sizes), goal
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = cut(docs.select("doc_id", "source", F.array("source").alias("sources"), size_of(F.col("text")).alias("size")))
-    mixed, sizes, goal = mix(sized)
+    sized = cut(docs.select("doc_id", "source", F.array("source").alias("sources"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
+    mixed, sizes, goal = mix(sized, tie="tie")
     known = spark.createDataFrame([(s, int(sizes[s]), float(goal[s])) for s in goal], "src string, source_size long, target double")
     out = mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("src")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))

@@ -4,8 +4,8 @@ A rule names a host and a path prefix. It fits its host and every subdomain if t
 with the rule's. Of the rules that fit, the one with the most host labels, then the longest path, wins.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, and no rule fits it.
-Ports and user names are part of the host text, as written. Repeated rows are judged alike. Equal rules
-with both actions: block wins. Input columns pass through; ``host``, ``path``, ``rule`` and ``verdict``
+Ports and user names are part of the host text, as written. Repeated rows are judged alike; an empty table
+gives no rows. Equal rules with both actions: block wins. Input columns pass through; ``host``, ``path``, ``rule`` and ``verdict``
 replace columns of these names.
 """
 

@@ -127,6 +127,14 @@ def test_mix_is_near_its_targets_and_repeats_itself(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs.withColumns({"sources": F.array("source"), "size": F.lit(1)}))[0].count() == 0
 
 
+def test_a_source_without_ids_meets_its_target(spark):
+    rng = random.Random(21)
+    df = spark.createDataFrame([(i if i % 2 else None, "b" if i % 2 else "a", rng.randint(1, 50), i) for i in range(3000)], "doc_id long, source string, size long, tie long").withColumn("sources", F.array("source"))
+    mixed, _, goal = mixing.mix(df, tie="tie")
+    taken = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("n")).collect()}
+    assert all(abs(taken[s] - goal[s]) <= 50 for s in goal)
+
+
 def test_two_stage_sort_equals_sorting():
     rng = random.Random(3)
     for _ in range(150):
@@ -230,3 +238,19 @@ def test_pipeline_stages(spark, tmp_path):
         taken[s] += k * length[d]
         assert k <= 2
     assert all(abs(taken[s] - goal[s]) <= 130 for s in goal) and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, no_docs, "").count() == 0, name
+        rows = stage(spark, odd_docs, "").collect()
+        if name == "encode":
+            assert len(rows) == odd_docs.count() and all(r.n_tokens == len(r.ids) for r in rows)
+        else:
+            assert all(tuple(r.__fields__) == corpus_pipeline.COLUMNS for r in rows), name
+    assert [r.doc_id for r in stages["quality_rules"](spark, odd_docs, "").collect()] == []  # all are short, or repeat themselves
+    assert len(stages["redact_secrets"](spark, odd_docs, "").collect()) == odd_docs.count()
+    assert sorted((r.doc_id for r in stages["near_dedup"](spark, odd_docs, "").collect()), key=str) == sorted([1, 2, 5, 7, 8, None], key=str)

@@ -206,6 +206,12 @@ def test_url_filter_on_odd_rows(spark):
     assert rows[7] == ("x.com", "", None, "allow") and rows[8][2:] == ("com/fr/", "allow") and rows[9] == ("u:p@shop.com:80", "/de/", None, "allow")
 
 
+def test_url_filter_on_empty_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "http://x.com/de/a")] * 3, "page_id long, url string")
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+    assert [(r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()] == [("com/de/", "block")] * 3
+
+
 def test_folding_undoes_disguise():
     assert toxicity.fold("You 1d10t, sсum!! L0SER 100 TRA5H's ｉｄｉｏｔ") == " you idiot scum loser trash s idiot "
     assert toxicity.fold("") == "  " and toxicity.fold("42 !!! ...") == "  "
