@@ -45,9 +45,11 @@ GRAM = 50
 TEXT = 1 << 19
 HOT = 4096
 HOT_BYTES = 4 << 20
-#: Bytes of text hashed at a time; lots in which segment numbers are sent.
+#: Bytes of text hashed at a time; least number of lots in which segment numbers are sent.
 BLOCK = 1 << 20
 LOTS = 1024
+#: Bytes of text whose segment numbers one task takes in at most, on average; more text has more tasks and lots.
+TASK_TEXT = 512 << 20
 _GATHER = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
@@ -255,7 +257,13 @@ def earliest_windows(found: list[tuple[bytes, int, int]], length: int = LENGTH,
 # --- the distributed steps
 
 
-def _numbers(df: DataFrame, text: str) -> DataFrame:
+def _tasks(df: DataFrame, text: str) -> int:
+    """Tasks that the segment numbers of ``df`` need, from the bytes of its texts."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return int(total // TASK_TEXT) + 1
+
+
+def _numbers(df: DataFrame, text: str, lots: int = LOTS) -> DataFrame:
     """(lot, numbers): the segments of ``df``, packed, by a lot of their minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +276,7 @@ def _numbers(df: DataFrame, text: str) -> DataFrame:
             marks = rec[first[times > 1]].copy()
             marks["n"] = _MARK
             again = (times > 1)[place]
-            lot = np.concatenate([np.where(again, rec["d"].view(np.uint64) * np.uint64(_BASE) >> np.uint64(40), rec["v"]) % np.uint64(LOTS), marks["v"] % np.uint64(LOTS)]).astype(np.int32)
+            lot = np.concatenate([np.where(again, rec["d"].view(np.uint64) * np.uint64(_BASE) >> np.uint64(40), rec["v"]) % np.uint64(lots), marks["v"] % np.uint64(lots)]).astype(np.int32)
             rec["known"] = again
             rec = np.concatenate([rec, marks])
             o = np.argsort(lot, kind="stable")
@@ -297,12 +305,13 @@ def _numbers(df: DataFrame, text: str) -> DataFrame:
     return df.select("_d", "_h", text).mapInArrow(run, "lot int, numbers binary")
 
 
-def _repeated(numbers: DataFrame, most: int = 4 << 20) -> DataFrame:
+def _repeated(numbers: DataFrame, tasks: int = 1, most: int = 4 << 20) -> DataFrame:
     """(d, h, s, n, v) of the segments whose minimizer is met more than once.
 
     Rows stream by; those known to repeat pass through. Of minimizers known to repeat only the value is held,
-    of others the one row.
+    of others the one row: a share of the text's size, which ``tasks`` keeps to ``TASK_TEXT`` for each task.
     """
+    usual = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -347,7 +356,8 @@ def _repeated(numbers: DataFrame, most: int = 4 << 20) -> DataFrame:
         found, _, _ = settle()
         yield from out(np.concatenate([found, *passing]))
 
-    return numbers.repartition("lot").mapInArrow(run, "d bigint, h int, s int, n int, v bigint")
+    dealt = numbers.repartition(tasks, "lot") if tasks > usual else numbers.repartition("lot")
+    return dealt.mapInArrow(run, "d bigint, h int, s int, n int, v bigint")
 
 
 def _bytes(joined: DataFrame, text: str, length: int = LENGTH) -> DataFrame:
@@ -477,8 +487,9 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     spark = df.sparkSession
     plain = text_or_empty(df, text)
     keyed = df.withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_t": plain, "_h": F.hash(plain)})
-    numbers = _numbers(keyed.select("_d", "_h", "_t"), "_t")
-    per_doc = _repeated(numbers).groupBy("d", "h").agg(F.collect_set(F.struct("s", "n", "v")).alias("segs"))
+    tasks = _tasks(keyed, "_t")
+    numbers = _numbers(keyed.select("_d", "_h", "_t"), "_t", max(LOTS, 4 * tasks))
+    per_doc = _repeated(numbers, tasks).groupBy("d", "h").agg(F.collect_set(F.struct("s", "n", "v")).alias("segs"))
     per_doc = cut(per_doc)
     release(spark)
     texts = keyed.select("_d", "_h", "_t").join(per_doc, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h"))).select("_d", "_h", "_t", "segs")
