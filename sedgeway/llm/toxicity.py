@@ -223,8 +223,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         part = y.filter(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     short = docs.filter(F.length(F.coalesce(F.col(text), F.lit(""))) <= MAX_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-    sample = short.join(F.broadcast(chosen.distinct()), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_id", "_y").select("_t", "_y")  # broadcast: 2 * max_rows rows of two numbers
-    return fit(((r["_t"], r["_y"]) for r in sample.toLocalIterator(prefetchPartitions=True)), n.get(1, 0) / max(1, n.get(0, 0)))
+    sample = short.join(F.broadcast(chosen.distinct()), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))  # broadcast: 2 * max_rows rows of two numbers
+    rows = sorted(sample.collect(), key=lambda r: (str(r["_id"]), r["_y"]))  # 2 * max_rows short texts
+    return fit(((r["_t"], r["_y"]) for r in rows), n.get(1, 0) / max(1, n.get(0, 0)))
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
