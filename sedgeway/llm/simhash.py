@@ -64,29 +64,35 @@ SEED = 42
 BITS = 64
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt to several.
 BLOCK = 2048
-#: Cost of comparing a pair, against that of sending a row.
-PAIR_COST = 0.01
+#: Cost of comparing a pair, and of sending its share of a large bucket's copies, against that of sending a row.
+PAIR_COST = 0.002
+#: Nodes and shingles of a candidate group up to which one task compares its sets.
+SMALL_NODES = 64
+SMALL_SHINGLES = 1 << 21
 _VOTES = 1 << 15
 
 
-def fingerprint(text: bytes, n_words: int = WORDS, seed: int = SEED) -> int:
-    """The fingerprint of UTF-8 ``text``, unsigned."""
-    words = text.lower().split()  # of bytes: ASCII letters and the six white-space characters only
+def _shingles(words: list[bytes], n_words: int) -> Iterator[bytes]:
+    return map(b" ".join, zip(*(words[i:] for i in range(n_words)))) if len(words) > n_words else iter([b" ".join(words)])
+
+
+def _vote(words: list[bytes], n_words: int, seed: int) -> int:
     if not words:
         return 0
-    if len(words) <= n_words:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(n_words))))
     n = max(1, len(words) - n_words + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), dtype=">u8", count=n).view(np.uint8).reshape(n, 8)
+    h = np.fromiter((digest(s, seed) for s in _shingles(words, n_words)), dtype=">u8", count=n).view(np.uint8).reshape(n, 8)
     votes = np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, _VOTES):
         votes += np.unpackbits(h[i : i + _VOTES], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, n_words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint of UTF-8 ``text``, unsigned."""
+    return _vote(text.lower().split(), n_words, seed)  # of bytes: ASCII letters and the six white-space characters only
+
+
 def fingerprints(df: DataFrame, text: str = "text", n_words: int = WORDS, seed: int = SEED) -> DataFrame:
     """``df`` with ``fp``, the fingerprint as a signed 64-bit integer."""
 
@@ -409,13 +415,15 @@ def near_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_wor
     return each.join(label, "fp", "left").select(doc_id, "fp", "component_id")
 
 
-def shingle_set(text: bytes, n_words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The different XXH64 values of the word shingles of UTF-8 ``text``, in order; empty if it has no words."""
-    words = text.lower().split()
+def _set_of(words: list[bytes], n_words: int, seed: int = SEED) -> np.ndarray:
     n = max(1, len(words) - n_words + 1) if words else 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(n_words)))) if len(words) > n_words else [b" ".join(words)][:n]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(x, seed) for x in shingles), dtype=np.uint64, count=n).view(np.int64))
+    return np.unique(np.fromiter((digest(x, seed) for x in _shingles(words, n_words)), dtype=np.uint64, count=n).view(np.int64)) if n else np.empty(0, np.int64)
+
+
+def shingle_set(text: bytes, n_words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The different XXH64 values of the word shingles of UTF-8 ``text``, in order; empty if it has no words."""
+    return _set_of(text.lower().split(), n_words, seed)
 
 
 def _marks(df: DataFrame, text: str, n_words: int) -> DataFrame:
@@ -425,8 +433,9 @@ def _marks(df: DataFrame, text: str, n_words: int) -> DataFrame:
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"fp": [], "n": [], "h": []}
             for t in batch.column(text).cast(pa.binary()).to_pylist():
-                found = shingle_set(t or b"", n_words)
-                out["fp"].append(fingerprint(t or b""))
+                words = (t or b"").lower().split()
+                found = _set_of(words, n_words)
+                out["fp"].append(_vote(words, WORDS, SEED))
                 out["n"].append(len(found))
                 out["h"].append(xxhash.xxh3_64_intdigest(found.tobytes()))
             return {"fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64)), "n": pa.array(out["n"], pa.int32()), "h": pa.array(np.array(out["h"], np.uint64).view(np.int64))}
@@ -445,12 +454,67 @@ def _sets(df: DataFrame, text: str, n_words: int) -> DataFrame:
     return map_arrow(df.select("node", "comp", "n", text), text, make, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])).drop(text)
 
 
-def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _compared(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, label) of small groups, each compared by one task: sets of like sizes that aren't connected yet."""
+
+    def labels(group: list[tuple[str, np.ndarray]]) -> list[str]:
+        root = list(range(len(group)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        order = sorted(range(len(group)), key=lambda i: len(group[i][1]))
+        for a, i in enumerate(order):
+            x = group[i][1]
+            for j in order[a + 1 :]:
+                y = group[j][1]
+                if len(x) + 1e-9 < similarity * len(y):
+                    break
+                if (p := find(i)) != (q := find(j)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both * (1 + similarity) + 1e-9 >= similarity * (len(x) + len(y)) > 0:
+                        root[max(p, q)] = min(p, q)
+        return [group[find(i)][0] for i in range(len(group))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in group], pa.string()), pa.array(labels(group), pa.string())], names=["node", "label"])
+
+        for batch in batches:
+            comps, nodes = batch.column("comp").to_pylist(), batch.column("node").to_pylist()
+            for comp, node, s in zip(comps, nodes, batch.column("s")):
+                if comp != at:
+                    if group:
+                        yield out()
+                    at, group = comp, []
+                group.append((node, s.values.to_numpy()))
+        if group:
+            yield out()
+
+    dealt = sets.select("comp", "node", "s").repartition("comp").sortWithinPartitions("comp", "node")
+    return dealt.mapInArrow(run, "node string, label string")
+
+
+def similar_groups(sets: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_NODES) -> DataFrame:
     """(node, label) for the nodes of ``sets`` (node, comp, n, s): equal labels for what similarities of ``similarity`` or more connect within a comp.
 
+    A comp of ``small`` nodes and ``SMALL_SHINGLES`` shingles at most is compared by one task; larger ones in rounds.
+    """
+    large = cut(sets.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).filter((F.col("nodes") > small) | (F.col("shingles") > SMALL_SHINGLES)).select("comp"))
+    near = _compared(sets.join(large, "comp", "left_anti"), similarity)
+    return near if large.isEmpty() else near.unionByName(_in_rounds(store(sets.join(large, "comp", "left_semi")), similarity))
+
+
+def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFrame:
+    """``similar_groups`` for comps of any size.
+
     Rows for a shingle: of each node, those of its shared shingles that stand in its prefix, unshared ones being
     the first, then the rarest. A set needs the longer prefix against smaller sets and the shorter one, ``idx``,
-    against greater ones. Each round takes some leaders of every shingle that still has several labels (twice as
+    against greater ones. Each round takes some leaders of every shingle that still has several labels (four times as
     many as in the round before), verifies them against the others, and joins the labels; leaders are then done.
     """
     each = sets.select("node", "comp", "n", F.explode("s").alias("s"))
@@ -461,13 +525,12 @@ def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     shorter = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1 - alone
     prefix = F.slice("x", 1, F.greatest(longer, F.lit(0)).cast("int"))
     rows = ordered.select("node", "comp", "n", F.posexplode(prefix).alias("at", "x"), shorter.alias("short")).select("node", "comp", "n", F.col("x.s").alias("s"), (F.col("at") < F.col("short")).alias("idx"))
-    rows = cut(rows)
-    label = cut(rows.select("node").distinct().withColumn("label", F.col("node")))
-    key, leaders = ["comp", "s"], 1
+    label = cut(sets.select("node", F.col("node").alias("label")))
+    rows = cut(rows.withColumn("label", F.col("node")))
+    key = ["comp", "s"]
     while True:
-        cur = rows.join(label, "node")
-        mixed = cut(cur.groupBy(key).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(key))
-        cur = cut(cur.join(mixed, key, "left_semi"))
+        mixed = cut(rows.groupBy(key).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(key))
+        cur = cut(rows.join(mixed, key, "left_semi"))
         if cur.isEmpty():
             return label
         lot = F.pmod(F.xxhash64("node"), F.lit(leaders))
@@ -480,10 +543,11 @@ def similar_groups(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         both = F.size(F.array_intersect("sa", "sb"))
         enough = both * (1 + similarity) + 1e-9 >= similarity * (F.col("na") + F.col("nb"))
         found = pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("la", "lb")
-        roots = connected_components(found, "la", "lb")
-        label = cut(label.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-        rows = cut(cur.drop("label").join(lead.select(*key, F.col("l_node").alias("node")), [*key, "node"], "left_anti"))
-        leaders *= 2
+        roots = cut(connected_components(found, "la", "lb").withColumnRenamed("node", "label"))
+        renamed = lambda df: df.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        label = cut(renamed(label))
+        rows = cut(renamed(cur.join(lead.select(*key, F.col("l_node").alias("node")), [*key, "node"], "left_anti")))
+        leaders *= 4
         release(sets.sparkSession)
 
 
