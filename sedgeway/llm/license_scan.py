@@ -301,8 +301,10 @@ def paragraphs(text: Column, screen: Screen | None = None) -> Column:
     named = lambda w: (w != "") & let(F.split(w, " "), lambda a: screen_score(a, screen) >= screen.limit)
     blocks = F.split(F.coalesce(text, F.lit("")), GAP, -1)
     sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, LINE_END + "|" + SENTENCE, -1)))
-    parts = F.transform(sentences, lambda p: F.struct(words(p).alias("whole"), F.transform(F.split(p, r"[\n\r]+", -1), words).alias("lines")))
-    judged = F.transform(parts, lambda p: F.struct(p["whole"].alias("whole"), F.filter(p["lines"], named).alias("lines"), named(p["whole"]).alias("named")))
+    joined = lambda lines: F.struct(F.array_join(F.filter(lines, lambda w: w != ""), " ").alias("whole"), lines.alias("lines"))
+    parts = F.transform(sentences, lambda p: let(F.transform(F.split(p, r"[\n\r]+", -1), words), joined))
+    several = lambda p: F.when(F.size(p["lines"]) > 1, named(p["whole"])).otherwise(False)  # noqa: E731  # one line is the whole sentence
+    judged = F.transform(parts, lambda p: F.struct(p["whole"].alias("whole"), F.filter(p["lines"], named).alias("lines"), several(p).alias("named")))
     found = F.filter(judged, lambda p: p["named"] | (F.size(p["lines"]) > 0))
     return F.transform(found, lambda p: F.struct(p["whole"].alias("whole"), p["lines"].alias("lines")))
 
@@ -341,7 +343,8 @@ def classify(units: DataFrame, classifier: Classifier, unit: str = "unit") -> Da
 
 def scan_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id", classifier: Classifier | None = None) -> DataFrame:
     """A row for each different doc_id of ``df``."""
-    sentences = df.select(F.col(doc_id).alias("u_id"), F.inline(paragraphs(F.col(text)))).withColumn("p", F.monotonically_increasing_id())
+    # Outer, as Spark would put a filter that computes the paragraphs a second time below a plain inline.
+    sentences = df.select(F.col(doc_id).alias("u_id"), F.inline_outer(paragraphs(F.col(text)))).filter("whole is not null").withColumn("p", F.monotonically_increasing_id())
     unit = lambda u, w: F.struct(u.alias("unit"), F.lit(w).alias("wrapped"))
     lines = F.transform("lines", lambda x: unit(x, False))
     wrapped = F.when(F.col("lines") != F.array("whole"), F.array(unit(F.col("whole"), True))).otherwise(F.array().cast("array<struct<unit: string, wrapped: boolean>>"))
