@@ -311,8 +311,8 @@ def paragraphs(text: Column, screen: Screen | None = None) -> Column:
 
 def word_pairs(w: Column) -> Column:
     """The different pairs of neighbours in an array of words."""
-    pair = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
-    return F.array_distinct(pair)
+    pairs = lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(a, i + 1)))
+    return F.array_distinct(let(w, pairs))
 
 
 def classify(units: DataFrame, classifier: Classifier, unit: str = "unit") -> DataFrame:
