@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -71,7 +72,20 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_scratch.get() or ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+#: Where ``store`` and ``cut`` wrote the frames that they returned.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the files of frames from ``store`` or ``cut``. No frame that reads them may be used any more; other frames are left alone."""
+    for df in frames:
+        if df is not None and (path := _places.pop(df, None)):
+            delete(df.sparkSession, path)
 
 
 #: Makes Spark drop a query's shuffle files when the query ends.
@@ -79,13 +93,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage. The shuffle files it took go at once."""
+    """``store`` for the steps of an iteration. The shuffle files it took go at once.
+
+    A frame read from files has no lineage and a size estimate of its own. A checkpointed one keeps the estimate of
+    the plan that made it, a product over its joins, which within a dozen rounds of an iteration has thousands of bits.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under this setting
+        return store(df.select("*"))  # a plan of its own, made under this setting
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
@@ -94,6 +111,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle and checkpoint files of frames that nobody holds."""
+    """Let Spark's cleaner drop the shuffle files of frames that nobody holds."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
