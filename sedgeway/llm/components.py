@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeway.runtime import cut
+from sedgeway.runtime import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Large-star and small-star rounds on rows of node pairs: each round is two aggregations by minimum
     (summed before the shuffle) and two joins. The minima are written before they are joined, so that both sides
-    of a join are exchanged and Spark splits a node with very many neighbours. Every round is checkpointed; the
-    number of rounds grows with the logarithm of the graph's diameter.
+    of a join are exchanged and Spark splits a node with very many neighbours. Every round is written and the round
+    before it deleted; the number of rounds grows with the logarithm of the graph's diameter.
     """
     e = cut(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("u != v").distinct())  # v < u
     seen = None
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = cut(large)
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("m").alias("v"), F.explode(F.array("v", "u")).alias("u")).filter("u != v").distinct()
-        e = cut(small)
+        before, e = e, cut(small)
+        discard(before, least, large, low)
         state = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("nodes"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if tuple(state) == seen and state["n"] == state["nodes"]:
             break

@@ -175,3 +175,16 @@ def test_one_of_each_five_word_group_stays(spark):
     near = [(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 8 * len(a | b) > 0 and a != b]
     linked = sum(comp[i] == comp[j] for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 8 * len(a | b) > 0 and a != b)
     assert linked >= 0.9 * len(near) > 20  # what the search itself misses
+
+
+def test_long_chains_settle_and_estimates_stay_small(spark):
+    from pyspark.sql import functions as F
+
+    from sedgeway.llm.components import connected_components
+
+    n = 6000
+    edges = spark.range(1, n).select((F.col("id") * 4099 % n).alias("a"), ((F.col("id") - 1) * 4099 % n).alias("b"))
+    found = connected_components(edges)
+    assert found.count() == n and found.filter("root != 0").count() == 0
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size.bit_length() < 40
