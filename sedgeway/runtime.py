@@ -67,11 +67,11 @@ def replace_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()
         files.delete(hadoop(old), True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as Parquet in the scratch (else the checkpoint) folder and read again: computed once, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = f"{_scratch.get() or ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out
