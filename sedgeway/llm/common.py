@@ -53,14 +53,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: T.StructType) -> DataFrame:
-    """``df`` with the columns ``added``, computed a slice of a batch at a time.
+def map_arrow(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: T.StructType, keep: bool = True) -> DataFrame:
+    """``df`` with the columns ``added`` (and, unless ``keep``, without ``column``), computed a slice of a batch at a time.
 
     ``make`` runs once for each task and returns the function from a slice to a dictionary of the new
     columns' values. A new column replaces one of the same name.
     """
     names = [f.name for f in added.fields]
-    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names} and (keep or f.name != column)]
     schema = T.StructType(kept + added.fields)
     arrow = to_arrow_schema(schema)
     keep_at = [df.schema.fields.index(f) for f in kept]
