@@ -13,9 +13,10 @@ from sedgeway.operators import candidates as K
 from sedgeway.operators import journal as J
 from sedgeway.operators import recovery as R
 from sedgeway.operators import stats
-from sedgeway.operators.carve import header_size
+from sedgeway.operators.carve import header_size, scan
 from sedgeway.operators.search import matches, search
 from sedgeway.operators.tree import resolve
+from sedgeway.operators.watcher import watch_batch
 from sedgeway.plans.query import parse
 from sedgeway.runtime import table
 from sedgeway.sources.entries import ENTRIES_SQL, entries_from_tables
@@ -586,6 +587,62 @@ def q56(spark, sf_dir):
     return R.slots_as_of(asked, used).select("record_no", "slot")
 
 
+_CARVED = """WITH RECURSIVE h AS (SELECT 'V' || o_orderkey % 5 AS v, o_orderkey // 5 AS lcn, o_custkey % 7 + 1 AS n, (o_custkey % 7 + 1) * 64 - o_orderkey % 10 AS size FROM orders),
+  r AS (SELECT v, lcn, n, size, CASE v WHEN 'V0' THEN 0 ELSE lcn // 1000 END AS run, CASE v WHEN 'V0' THEN 1::BIGINT << 40 ELSE (lcn // 1000) * 1000 + 990 END AS stop FROM h WHERE v = 'V0' OR lcn % 1000 < 990),
+  f AS (SELECT v, run, lcn, n, size FROM r WHERE lcn + n <= stop), j AS (SELECT f.v, f.run, f.lcn, f.size, g.lcn AS nxt FROM f ASOF LEFT JOIN f g ON f.v = g.v AND f.run = g.run AND f.lcn + f.n <= g.lcn),
+  k AS (SELECT v, run, min(lcn) AS lcn FROM f GROUP BY ALL UNION ALL SELECT j.v, j.run, j.nxt FROM k JOIN j ON k.v = j.v AND k.run = j.run AND k.lcn = j.lcn WHERE j.nxt IS NOT NULL)
+SELECT v AS volume_id, lcn AS start_lcn, 'bmp' AS type_id, size::BIGINT AS size FROM k JOIN j USING (v, run, lcn)"""
+
+
+@_query("q57_carve_scan", _CARVED)
+def q57(spark, sf_dir):
+    """Orders as bitmaps of one to seven clusters that begin inside each other, in free runs of 990 clusters and one of a whole volume."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("v"), F.floor(F.col("o_orderkey") / 5).alias("lcn"), ((F.col("o_custkey") % 7 + 1) * 64 - F.col("o_orderkey") % 10).alias("size"))
+    little = lambda c: F.concat(*[F.substring(F.lpad(F.hex(c), 8, "0"), 2 * i + 1, 2) for i in range(3, -1, -1)])
+    head = F.unhex(F.concat(F.lit("424D"), little(F.col("size")), F.lit("0000000036000000" + "28000000" + "08000000" * 2 + "01002000" + "00" * 24), F.lit("01" * 10)))
+    last = o.agg(F.max("lcn")).first()[0]
+    every = spark.range(last + 8).select(F.col("id").alias("lcn"), F.explode(F.array(*[F.lit(v).cast("long") for v in range(5)])).alias("v"))
+    clusters = every.join(o.select("v", "lcn", head.alias("head")), ["v", "lcn"], "left").select(F.concat(F.lit("V"), F.col("v").cast("string")).alias("volume_id"), "lcn", F.coalesce("head", F.lit(bytes(64))).alias("data"))
+    some = spark.range(last // 1000 + 1).select(F.explode(F.array(*[F.lit(f"V{v}") for v in range(1, 5)])).alias("volume_id"), (F.col("id") * 1000).alias("start_lcn")).select("volume_id", "start_lcn", F.lit(990).cast("long").alias("len"))
+    runs = some.unionByName(spark.range(1).select(F.lit("V0").alias("volume_id"), F.lit(0).cast("long").alias("start_lcn"), F.lit(last + 8).cast("long").alias("len")))
+    return scan(clusters, runs, 64, block=512).select("volume_id", "start_lcn", "type_id", "size")
+
+
+_WATCHED = E + r""", x AS (SELECT *, CASE depth WHEN 2 THEN entry_id - 2000000000 WHEN 3 THEN parent_id - 2000000000 END AS c FROM e),
+  p AS (SELECT c, full_path AS p, regexp_replace(full_path, '\\[^\\]*$', '') AS n, name FROM x WHERE depth = 2),
+  t AS (SELECT c, p, CASE c % 8 WHEN 0 THEN n || '\Archive ' || c WHEN 4 THEN p || ' 2' WHEN 5 THEN n || '\Box ' || c || '\' || name WHEN 6 THEN p || '\inner' ELSE p END AS q FROM p)
+SELECT CASE WHEN x.c IS NULL THEN full_path ELSE t.q || substr(full_path, length(t.p) + 1) END AS full_path, x.size, x.is_dir, x.known AND NOT coalesce(x.c % 8 = 7 AND depth = 2, false) AS metadata_known FROM x LEFT JOIN t USING (c) WHERE x.c IS NULL OR x.c % 8 NOT IN (1, 2)
+UNION ALL SELECT CASE c % 8 WHEN 4 THEN p || ' 2\kept.txt' WHEN 5 THEN n || '\Box ' || c ELSE p END, 0, c % 8 <> 4, false FROM p WHERE c % 8 IN (1, 4, 5, 6)"""
+
+
+@_query("q58_watcher_batch", _WATCHED)
+def q58(spark, sf_dir):
+    """A batch of watcher events on every customer's folder: renamed twice, deleted and made again, moved to where nothing is indexed, into a new folder, into what took its own name."""
+    e = entries_from_tables(spark, sf_dir)
+    c = e.filter("depth = 2").select("volume_id", (F.col("entry_id") - 2_000_000_000).alias("c"), F.col("full_path").alias("p"), F.regexp_replace("full_path", r"\\[^\\]*$", "").alias("n"), "name")
+    bs = "\\"
+    number = F.col("c").cast("string")
+    at = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    p, n = F.col("p"), F.col("n")
+    away, box, aside = at(n, bs + "Nowhere" + bs, number), at(n, bs + "Box ", number), at(n, bs + "aside ", number)
+    event = lambda kind, path, old=None, is_dir=True: F.struct(F.lit(kind).alias("kind"), path.alias("path"), (F.lit(None).cast("string") if old is None else old).alias("old_path"), F.lit(is_dir).alias("is_dir"))
+    by = {
+        0: [event("renamed", at(p, "_moved"), p), event("renamed", at(n, bs + "Archive ", number), at(p, "_moved"))],
+        1: [event("deleted", p), event("created", p)],
+        2: [event("renamed", away, p)],
+        3: [event("created", at(away, bs + "n.txt"), is_dir=False)],
+        4: [event("created", at(p, bs + "new.txt"), is_dir=False), event("renamed", at(p, " 2"), p), event("deleted", at(p, " 2" + bs + "NEW.txt"), is_dir=False), event("created", at(p, " 2" + bs + "kept.txt"), is_dir=False)],
+        5: [event("created", box), event("renamed", at(box, bs, F.col("name")), p)],
+        6: [event("renamed", aside, p), event("created", p), event("renamed", at(p, bs + "inner"), aside)],
+        7: [event("changed", F.upper(p))],
+    }
+    kinds = F.when(F.lit(False), F.array(by[0][0]))
+    for k, events in by.items():
+        kinds = kinds.when(F.col("c") % 8 == k, F.array(*events))
+    events = c.select("volume_id", "c", F.posexplode(kinds).alias("i", "x")).select("volume_id", (F.col("c") * 8 + F.col("i")).alias("seq"), "x.*")
+    return watch_batch(e, events, overflow=10_000_000).entries.select("full_path", "size", "is_dir", "metadata_known")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ext:pdf report``, ranked."""
     hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits

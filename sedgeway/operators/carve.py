@@ -1,10 +1,9 @@
 """Carving: files found in free clusters by their structure, and the bytes of recovered files.
 
-``scan`` works on free runs. Each run is one group of rows sorted by cluster; a task reads the run in
-order, holds only the clusters that an open candidate needs, and skips those that a found file covers. Runs
-longer than twice ``MAX_WINDOW`` are cut into stretches of that length which overlap by half, so none grows
-with the volume and every candidate has its ``MAX_WINDOW`` bytes in some stretch; a file found again in an
-overlap is dropped by its start.
+``scan`` first finds the clusters that begin like a file, where they are stored. Each such place is then read as far as its
+format asks: in rounds, a few clusters at first, then the size that the format states or four times as many, so a task
+holds the bytes of one place, ``MAX_WINDOW`` of them at most and few in most cases. Which of the files count is told at the end: those
+inside a file found before them are skipped, by ``skips.uncovered`` over runs of any length.
 """
 
 from __future__ import annotations
@@ -12,17 +11,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedgeway.functions.binary import lznt1
 from sedgeway.functions.formats import BY_ID, FORMATS, Format, extension_for, looks_like, measure
 from sedgeway.operators.recovery import good_runs
+from sedgeway.operators.skips import uncovered
+from sedgeway.runtime import cut, discard
 
 CLUSTER = 4096
 #: Bytes that one candidate may grow to.
 MAX_WINDOW = 512 << 20
-_SCHEMA = "volume_id string, type_id string, label string, category string, start_lcn bigint, size bigint, info string, suggested_name string"
+#: Clusters that are read of a place at first.
+FIRST = 8
+#: Clusters of a block in which places meet free runs.
+_RUN_BLOCK = 1 << 16
 
 
 def types_of(*categories: str) -> tuple[str, ...]:
@@ -30,24 +37,33 @@ def types_of(*categories: str) -> tuple[str, ...]:
     return tuple(f.id for f in FORMATS if f.category in categories)
 
 
-def first_match(data: bytes, at: int, formats: tuple[Format, ...], limit: int, window: int = 64 * CLUSTER) -> tuple[Format, int, str | None] | None:
-    """The first format that a file at ``at`` fits: grows the window to what the format states, or doubles it."""
-    head = data[at : at + 64]
+def attempt(data: bytes, formats: tuple[Format, ...], remaining: int) -> tuple[Format, int, str | None] | int | None:
+    """The first format that a file beginning with ``data`` fits, its size and note; a number of bytes if so many are needed to tell; None if no format fits.
+
+    The file can have ``remaining`` bytes at most. Open-ended formats end where no more can be read.
+    """
     for f in formats:
-        if not f.starts(head):
+        if not f.starts(data[:64]):
             continue
-        most = min(f.max_size, limit, len(data) - at)
-        have = min(window, most)
-        r = measure(f, data[at : at + have])
-        while r.status == "more" and have < most and r.required <= most:
-            have = min(most, r.required if r.required > have else 2 * have)
-            r = measure(f, data[at : at + have])
+        most = min(f.max_size, remaining)
+        have = min(len(data), most)
+        r = measure(f, data if have == len(data) else data[:have])
+        if r.status == "more" and have < most and r.required <= most:
+            return min(most, r.required if r.required > have else 2 * have)
         size = r.size if r.status == "ok" or (r.status == "more" and have >= most) else 0
         if 0 < size <= have:
             return f, size, r.info
     return None
 
 
+def first_match(data: bytes, at: int, formats: tuple[Format, ...], limit: int, window: int = 64 * CLUSTER) -> tuple[Format, int, str | None] | None:
+    """The first format that a file at ``at`` fits, in a window that grows as the format asks."""
+    remaining = min(limit, len(data) - at)
+    while isinstance(found := attempt(data[at : at + min(window, remaining)], formats, remaining), int):
+        window = found
+    return found
+
+
 def scan_bytes(data: bytes, cluster: int = CLUSTER, types: tuple[str, ...] | None = None, limit: int = MAX_WINDOW) -> Iterator[tuple[int, Format, int, str | None]]:
     """(cluster, format, size, info) of the files that start at clusters of ``data``, none inside another."""
     formats = FORMATS if types is None else tuple(BY_ID[t] for t in types)
@@ -62,32 +78,96 @@ def scan_bytes(data: bytes, cluster: int = CLUSTER, types: tuple[str, ...] | Non
         at += cluster
 
 
-def scan(clusters: DataFrame, runs: DataFrame, cluster: int = CLUSTER, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Files carved from ``clusters`` (volume_id, lcn, data) inside free ``runs`` (volume_id, start_lcn, len)."""
-    step = -(-MAX_WINDOW // cluster)
-    cut = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("len") - step - 1) / step)).cast("int")))).select(
-        "volume_id", (F.col("start_lcn") + F.col("k") * step).alias("s"), F.least(F.col("start_lcn") + F.col("len"), F.col("start_lcn") + F.col("k") * step + 2 * step).alias("e"), (F.col("k") > 0).alias("later")
-    )
-    # Clusters meet stretches by blocks of `step` clusters, which stretches overlap in three at most.
-    stretch = cut.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / step), F.floor((F.col("e") - 1) / step))))
-    rows = clusters.withColumn("b", F.floor(F.col("lcn") / step)).join(stretch, ["volume_id", "b"]).filter("lcn >= s and lcn < e")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lcn")
-        out, at = [], 0
-        lcn = pdf["lcn"].to_numpy()
-        breaks = [*[i for i in range(1, len(lcn)) if lcn[i] != lcn[i - 1] + 1], len(lcn)]
-        for stop in breaks:
-            data = b"".join(bytes(d).ljust(cluster, b"\0") for d in pdf["data"].iloc[at:stop])
-            for c, f, size, info in scan_bytes(data, cluster, types):
-                start = int(lcn[at]) + c
-                ext = extension_for(f, info)
-                out.append((pdf["volume_id"].iloc[0], f.id, f.label, f.category, start, size, info, f"{f.id}_{start}{ext}"))
-            at = stop
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
-
-    found = rows.groupBy("volume_id", "s").applyInPandas(work, _SCHEMA)
-    return found.groupBy("volume_id", "start_lcn").agg(*[F.max_by(c, "size").alias(c) for c in ("type_id", "label", "category")], F.max("size").alias("size"), *[F.max_by(c, "size").alias(c) for c in ("info", "suggested_name")])
+def places(clusters: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(volume_id, lcn) of the ``clusters`` (volume_id, lcn, data) that begin like a file of some format. Nothing is moved."""
+    formats = FORMATS if types is None else tuple(BY_ID[t] for t in types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column(2).to_pylist()
+            yield batch.select([0, 1]).filter(pa.array([h is not None and any(f.starts(h) for f in formats) for h in heads], pa.bool_()))
+
+    heads = clusters.select(F.col("volume_id").cast("string"), F.col("lcn").cast("long"), F.substring("data", 1, 64).alias("head"))
+    return heads.mapInArrow(run, "volume_id string, lcn bigint")
+
+
+def _measured(wanted: DataFrame, clusters: DataFrame, cluster: int, types: tuple[str, ...] | None) -> DataFrame:
+    """``wanted`` (volume_id, start_lcn, run_start, run_end, want) with what its bytes tell: the file found there, or ``more`` clusters to read."""
+    formats = FORMATS if types is None else tuple(BY_ID[t] for t in types)
+    schema = T.StructType.fromDDL("volume_id string, start_lcn bigint, run_start bigint, run_end bigint, more bigint, type_id string, size bigint, info string")
+    arrow = to_arrow_schema(schema)
+
+    def one(key: tuple, lcn: list[int], parts: list[bytes]) -> tuple | None:
+        volume, start, run_start, run_end, want = key
+        n = 0
+        while n < len(lcn) and lcn[n] == start + n:
+            n += 1
+        data = b"".join(parts[:n])
+        parts.clear()
+        remaining = min(MAX_WINDOW, (run_end - start) * cluster) if n == want else len(data)  # what isn't stored ends the run
+        found = attempt(data, formats, remaining)
+        if found is None:
+            return None
+        if isinstance(found, int):
+            return volume, start, run_start, run_end, min(-(-remaining // cluster), max(-(-found // cluster), n + 1 if found > 2 * len(data) else 4 * n)), None, None, None
+        return volume, start, run_start, run_end, None, found[0].id, found[1], found[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, lcn, parts = [], None, [], []
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(5)]))
+            numbers = batch.column(5).to_pylist()
+            for i, key in enumerate(keys):
+                if key != at:
+                    if at is not None and (row := one(at, lcn, parts)):
+                        out.append(row)
+                    at, lcn, parts = key, [], []
+                lcn.append(numbers[i])
+                parts.append((batch.column(6)[i].as_py() or b"").ljust(cluster, b"\0"))
+        if at is not None and (row := one(at, lcn, parts)):
+            out.append(row)
+        columns = list(zip(*out)) if out else [()] * len(arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    key = ["volume_id", "start_lcn", "run_start", "run_end", "want"]
+    each = wanted.select(*key, F.explode(F.sequence(F.col("start_lcn"), F.col("start_lcn") + F.col("want") - 1)).alias("lcn"))
+    bytes_of = clusters.select(F.col("volume_id").cast("string"), F.col("lcn").cast("long"), "data")
+    rows = each.join(bytes_of, ["volume_id", "lcn"]).select(*key, "lcn", "data")
+    return rows.repartition("volume_id", "start_lcn").sortWithinPartitions("volume_id", "start_lcn", "lcn").mapInArrow(run, schema)
+
+
+def scan(clusters: DataFrame, runs: DataFrame, cluster: int = CLUSTER, types: tuple[str, ...] | None = None, block: int = _RUN_BLOCK) -> DataFrame:
+    """Files carved from ``clusters`` (volume_id, lcn, data) inside free ``runs`` (volume_id, start_lcn, len), which don't overlap.
+
+    A file inside one found before it in its run is skipped, and so is one that its run cuts off. Clusters that aren't stored end what can be read.
+    A cluster is stored once. Runs may have any length: they meet the places by blocks of ``block`` clusters.
+    """
+    whole = runs.select(F.col("volume_id").cast("string"), F.col("start_lcn").cast("long").alias("run_start"), (F.col("start_lcn") + F.col("len")).cast("long").alias("run_end")).filter("run_end > run_start")
+    parts = whole.withColumn("_b", F.explode(F.sequence(F.floor(F.col("run_start") / block), F.floor((F.col("run_end") - 1) / block))))
+    at = places(clusters, types).withColumn("_b", F.floor(F.col("lcn") / block)).join(parts, ["volume_id", "_b"]).filter("lcn >= run_start and lcn < run_end")
+    wanted = cut(at.select("volume_id", F.col("lcn").alias("start_lcn"), "run_start", "run_end", F.least(F.lit(FIRST).cast("long"), F.col("run_end") - F.col("lcn")).alias("want")))
+    found: DataFrame | None = None
+    while True:
+        tried = cut(_measured(wanted, clusters, cluster, types))
+        discard(wanted)
+        hits = tried.filter("more is null").drop("more")
+        found = hits if found is None else found.unionByName(hits)
+        wanted = tried.filter("more is not null").select("volume_id", "start_lcn", "run_start", "run_end", F.col("more").alias("want"))
+        if wanted.isEmpty():
+            break
+    spans = found.withColumn("_end", F.col("start_lcn") + F.greatest(F.lit(1), F.ceil(F.col("size") / cluster)))
+    return _described(uncovered(spans, ["volume_id", "run_start"], "start_lcn", "_end", block))
+
+
+def _described(found: DataFrame) -> DataFrame:
+    """Columns of a carved file from its type_id, start_lcn, size and info."""
+    by = lambda value: F.create_map(*[F.lit(x) for f in FORMATS for x in (f.id, value(f))])[F.col("type_id")]
+
+    @F.udf("string", useArrow=True)
+    def name(type_id: str, start: int, info: str | None):
+        return f"{type_id}_{start}{extension_for(BY_ID[type_id], info)}"
+
+    return found.select("volume_id", "type_id", by(lambda f: f.label).alias("label"), by(lambda f: f.category).alias("category"), "start_lcn", "size", "info", name("type_id", "start_lcn", "info").alias("suggested_name"))
 
 
 def header_check(df: DataFrame, name: str = "name", head: str = "head") -> DataFrame:

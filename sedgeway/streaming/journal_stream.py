@@ -92,33 +92,3 @@ def maintain(stream: DataFrame, load: Callable[[], DataFrame], save: Callable[[D
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def watch_batch(entries: DataFrame, events: DataFrame, overflow: int = 200_000) -> tuple[DataFrame, bool]:
-    """Entries after watcher events (volume_id, seq, kind, path, old_path, is_dir) by full path, and whether a new scan is due.
-
-    ``kind`` is created, changed, deleted or renamed. The last event of a path counts; a path that is deleted, or
-    renamed away, takes along what lies below it, and what lies below a renamed folder is found by the scan that is due
-    for it. More than ``overflow`` events in a batch are not applied: the caller scans again.
-    """
-    if events.limit(overflow + 1).count() > overflow:
-        return entries, True
-    fold_of = lambda c: F.lower(F.regexp_replace(c, r"\\+$", ""))
-    leaves = events.filter("kind in ('deleted', 'renamed')").select("volume_id", F.when(F.col("kind") == "deleted", F.col("path")).otherwise(F.col("old_path")).alias("path"), "seq", F.lit("out").alias("what"), "is_dir")
-    comes = events.filter("kind in ('created', 'changed', 'renamed')").select("volume_id", "path", "seq", F.lit("in").alias("what"), "is_dir")
-    last = leaves.unionByName(comes).groupBy("volume_id", fold_of(F.col("path")).alias("w_path")).agg(F.max_by(F.struct("path", "what", "is_dir"), "seq").alias("w")).select(F.col("volume_id").alias("w_vol"), "w_path", "w.*")
-    # Every entry meets the events of its own path and of the folders above it.
-    parts = F.split("fold_path", r"\\")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "\\"))
-    lost = entries.select("volume_id", "entry_id", F.explode(above).alias("a_path")).join(last.filter("what = 'out'"), (F.col("volume_id") == F.col("w_vol")) & (F.col("a_path") == F.col("w_path"))).select("volume_id", "entry_id").distinct()
-    kept = entries.join(lost, ["volume_id", "entry_id"], "left_anti")
-    new = last.filter("what = 'in'").join(kept.select("volume_id", "fold_path"), (F.col("w_vol") == F.col("volume_id")) & (F.col("w_path") == F.col("fold_path")), "left_anti")
-    folders = kept.filter("is_dir").select(F.col("volume_id").alias("p_vol"), F.col("fold_path").alias("p_fold"), F.col("entry_id").alias("p_entry"))
-    placed = new.join(folders, (F.col("w_vol") == F.col("p_vol")) & (F.regexp_replace("w_path", r"\\[^\\]*$", "") == F.col("p_fold")), "left")
-    filled = placed.select(
-        F.col("w_vol").alias("volume_id"), F.xxhash64("w_vol", "path").alias("entry_id"), F.coalesce("p_entry", F.lit(0)).cast("long").alias("parent_id"), F.regexp_extract("path", r"([^\\]*)$", 1).alias("name"), "is_dir",
-        F.lit(False).alias("deleted"), F.lit(False).alias("metadata_known"), F.lit(0).cast("long").alias("size"), F.col("path").alias("full_path"), F.col("w_path").alias("fold_path"),
-    )
-    stale = last.filter("what = 'in'").select(F.col("w_vol").alias("volume_id"), F.col("w_path").alias("fold_path"), F.lit(True).alias("_stale"))
-    marked = kept.join(stale, ["volume_id", "fold_path"], "left").withColumn("metadata_known", F.col("metadata_known") & F.col("_stale").isNull()).drop("_stale")
-    return marked.unionByName(filled, allowMissingColumns=True), False
