@@ -53,7 +53,7 @@ TASK_TEXT = 512 << 20
 _GATHER = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
-#: A segment: minimizer, document and hash of its text, first window, windows, and whether it is known to repeat. _MARK windows: no segment, but the news that the minimizer repeats.
+#: A segment: minimizer, document and number of its text, first window, windows, and whether it is known to repeat. _MARK windows: no segment, but the news that the minimizer repeats.
 _NUMBERS = np.dtype([("v", "<u8"), ("d", "<i8"), ("h", "<i4"), ("s", "<i4"), ("n", "u1"), ("known", "u1")])
 _MARK = 255
 _LAST = (1 << 63) - 1
@@ -263,6 +263,32 @@ def _tasks(df: DataFrame, text: str) -> int:
     return int(total // TASK_TEXT) + 1
 
 
+def _told_apart(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (_d, _t) with ``_h``: zero, or for ids with several texts the text's number, in order of hash and digest.
+
+    Ids of one text, which most are, cost a pass of narrow rows; only where others are found do texts meet their numbers.
+    """
+    digest = F.sha2("_t", 256)
+    docs = cut(keyed.select("_d", F.hash("_t").alias("_o"), digest.alias("_m")).distinct())
+    several = cut(docs.groupBy("_d").agg(F.count("*").alias("n")).filter("n > 1").select("_d"))
+    if several.isEmpty():
+        return keyed.withColumn("_h", F.lit(0))
+    # Rows in order over all tasks: an id holds its task's number above 33 bits and its place in the task below.
+    pairs = docs.join(several, "_d", "left_semi").repartitionByRange("_d", "_o", "_m").sortWithinPartitions("_d", "_o", "_m")
+    pairs = cut(pairs.select("_d", "_m", F.monotonically_increasing_id().alias("_i")))
+    task = F.call_function("shiftright", F.col("_i"), F.lit(33))
+    sizes = sorted((r["t"], r["n"]) for r in pairs.groupBy(task.alias("t")).agg(F.count("*").alias("n")).collect())  # a row for each task
+    if sum(n for _, n in sizes) >= 1 << 31:
+        raise ValueError("more than 2^31 different texts share their doc_ids")
+    before, offsets = 1, []
+    for t, n in sizes:
+        offsets.append((t, before))
+        before += n
+    start = F.broadcast(keyed.sparkSession.createDataFrame(offsets, "_task long, _first long"))  # a row for each task
+    numbered = pairs.withColumn("_task", task).join(start, "_task").select("_d", "_m", (F.col("_first") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("_h"))
+    return keyed.withColumn("_m", digest).join(numbered, ["_d", "_m"], "left").withColumn("_h", F.coalesce("_h", F.lit(0))).drop("_m")
+
+
 def _numbers(df: DataFrame, text: str, lots: int = LOTS) -> DataFrame:
     """(lot, numbers): the segments of ``df``, packed, by a lot of their minimizer."""
 
@@ -486,7 +512,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     """``df`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (of bytes removed) and ``kept`` (the bytes left)."""
     spark = df.sparkSession
     plain = text_or_empty(df, text)
-    keyed = df.withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_t": plain, "_h": F.hash(plain)})
+    keyed = _told_apart(df.withColumns({"_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "_t": plain}))
     tasks = _tasks(keyed, "_t")
     numbers = _numbers(keyed.select("_d", "_h", "_t"), "_t", max(LOTS, 4 * tasks))
     per_doc = _repeated(numbers, tasks).groupBy("d", "h").agg(F.collect_set(F.struct("s", "n", "v")).alias("segs"))

@@ -254,3 +254,15 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert [r.doc_id for r in stages["quality_rules"](spark, odd_docs, "").collect()] == []  # all are short, or repeat themselves
     assert len(stages["redact_secrets"](spark, odd_docs, "").collect()) == odd_docs.count()
     assert sorted((r.doc_id for r in stages["near_dedup"](spark, odd_docs, "").collect()), key=str) == sorted([1, 2, 5, 7, 8, None], key=str)
+
+
+def test_dedup_tells_texts_of_equal_32_bit_hashes_apart(spark):
+    base = "the passage that both of them hold, word by word and with no change at all, for well over one hundred bytes in a row. "
+    made = spark.range(300_000).select(F.concat(F.col("id").cast("string"), F.lit(" " + base + " "), F.col("id").cast("string")).alias("text")).withColumn("h", F.hash("text"))
+    met = made.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a != b").orderBy("h").first()
+    texts = [met.a, met.b]
+    order = sorted(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = slow_dedup({((0, order.index(t)), t.encode()) for t in texts})
+    got = suffix_dedup.dedup_passages(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == sorted(want.values())
+    assert sorted(r.n_removed > 0 for r in got) == [False, True]
