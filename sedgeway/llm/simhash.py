@@ -52,7 +52,7 @@ from pyspark.sql.window import Window
 
 from sedgeway.llm.common import map_arrow
 from sedgeway.llm.components import connected_components
-from sedgeway.runtime import cut, release, store, table
+from sedgeway.runtime import cut, discard, release, store, table
 
 WORDS = 3
 MAX_DISTANCE = 3
@@ -515,7 +515,8 @@ def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFram
     Rows for a shingle: of each node, those of its shared shingles that stand in its prefix, unshared ones being
     the first, then the rarest. A set needs the longer prefix against smaller sets and the shorter one, ``idx``,
     against greater ones. Each round takes some leaders of every shingle that still has several labels (four times as
-    many as in the round before), verifies them against the others, and joins the labels; leaders are then done.
+    many as in the round before), verifies them against the others, and joins the labels; leaders are then done. Sets of
+    which others hold the largest share lead first, so an original comes before its edited copies, which it links at once.
     """
     each = sets.select("node", "comp", "n", F.explode("s").alias("s"))
     shared = cut(each.groupBy("comp", "s").agg(F.count("*").alias("times")).filter("times > 1"))
@@ -524,7 +525,7 @@ def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFram
     longer = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone
     shorter = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1 - alone
     prefix = F.slice("x", 1, F.greatest(longer, F.lit(0)).cast("int"))
-    rows = ordered.select("node", "comp", "n", F.posexplode(prefix).alias("at", "x"), shorter.alias("short")).select("node", "comp", "n", F.col("x.s").alias("s"), (F.col("at") < F.col("short")).alias("idx"))
+    rows = ordered.select("node", "comp", "n", (alone / F.col("n")).alias("rank"), F.posexplode(prefix).alias("at", "x"), shorter.alias("short")).select("node", "comp", "n", "rank", F.col("x.s").alias("s"), (F.col("at") < F.col("short")).alias("idx"))
     label = cut(sets.select("node", F.col("node").alias("label")))
     rows = cut(rows.withColumn("label", F.col("node")))
     key = ["comp", "s"]
@@ -534,7 +535,7 @@ def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFram
         if cur.isEmpty():
             return label
         lot = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        lead = cur.groupBy(*key, lot.alias("lot")).agg(F.min(F.struct("node", "label", "n", "idx")).alias("x"))
+        lead = cur.groupBy(*key, lot.alias("lot")).agg(F.min(F.struct("rank", "node", "label", "n", "idx")).alias("x"))
         lead = cut(lead.select(*key, *[F.col(f"x.{c}").alias(f"l_{c}") for c in ("node", "label", "n", "idx")]))
         sizes = F.least("n", "l_n") + 1e-9 >= similarity * F.greatest("n", "l_n")
         role = (F.col("idx") & (F.col("n") <= F.col("l_n"))) | (F.col("l_idx") & (F.col("l_n") <= F.col("n")))
@@ -545,8 +546,10 @@ def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFram
         found = pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("la", "lb")
         roots = cut(connected_components(found, "la", "lb").withColumnRenamed("node", "label"))
         renamed = lambda df: df.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        done = label, rows, mixed, cur, lead, roots
         label = cut(renamed(label))
         rows = cut(renamed(cur.join(lead.select(*key, F.col("l_node").alias("node")), [*key, "node"], "left_anti")))
+        discard(*done)
         leaders *= 4
         release(sets.sparkSession)
 
@@ -564,8 +567,9 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words:
     node = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "h")]).alias("_node")
     first = cut(nodes.join(comp, "fp").select(node, "_comp", F.col("n").alias("_n"), F.struct("row._no", f"row.{doc_id}", "row._hash", "row._id").alias("_row"), "row._no", "row._id", "row._hash"))
     release(df.sparkSession)
-    w = Window.partitionBy(keys).orderBy("_node")  # rows that repeat
-    reps = store(named.join(first, keys).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k"))
+    w = Window.partitionBy(keys).orderBy("_hash")  # rows that repeat: each task sends one of them
+    once = named.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    reps = store(once.join(first, keys))
     several = reps.filter("_comp is not null")
     sets = store(_sets(several.select(F.col("_node").alias("node"), F.col("_comp").alias("comp"), F.col("_n").alias("n"), text), text, n_words))
     label = similar_groups(sets, similarity)
