@@ -13,7 +13,8 @@ from sedgeway.operators import candidates as K
 from sedgeway.operators import journal as J
 from sedgeway.operators import recovery as R
 from sedgeway.operators import stats
-from sedgeway.operators.carve import header_size, scan
+from sedgeway.operators.carve import first_clusters, header_size, scan
+from sedgeway.operators.copies import carved_files, copies
 from sedgeway.operators.search import matches, search
 from sedgeway.operators.tree import resolve
 from sedgeway.operators.watcher import watch_batch
@@ -643,6 +644,54 @@ def q58(spark, sf_dir):
     return watch_batch(e, events, overflow=10_000_000).entries.select("full_path", "size", "is_dir", "metadata_known")
 
 
+_IMAGE = """CASE WHEN lcn % 101 = 0 OR lcn % 8 = 0 THEN repeat(chr(0), 64) ELSE sha256(lcn::VARCHAR) END"""
+_COPIES = f"""WITH a1 AS (SELECT DISTINCT (l_partkey % 6000) * 16 AS s, l_partkey % 6000 % 12 + 1 AS len FROM lineitem), a2 AS (SELECT * FROM a1 UNION ALL SELECT s + 12, 2 FROM a1 WHERE s // 16 % 3 = 0),
+  m AS (SELECT p_partkey AS k, p_name, p_partkey % 40 = 1 AS enc, p_partkey % 25 = 0 AS dir, p_partkey % 50 = 7 AS res, p_partkey % 40 = 2 AS bad, (p_partkey % 3 + 1) * 256 - p_partkey % 50 AS size FROM part),
+  r AS (SELECT k, i, (k * 37 + i * 1013) % 99990 AS lcn, greatest(0, least(4, ceil(size / 64.0)::BIGINT - i * 4)) AS n FROM m, range(0, 3) v(i) WHERE i <= k % 3),
+  t AS (SELECT r.k, sum(r.n) AS stored FROM r GROUP BY ALL), o1 AS (SELECT r.k, sum(greatest(0, least(lcn + n, s + len) - greatest(lcn, s))) AS n FROM r JOIN a1 ON lcn < s + len AND s < lcn + n GROUP BY ALL),
+  o2 AS (SELECT r.k, sum(greatest(0, least(lcn + n, s + len) - greatest(lcn, s))) AS n FROM r JOIN a2 ON lcn < s + len AND s < lcn + n GROUP BY ALL),
+  c AS (SELECT k, i, j, lcn + j AS lcn FROM r, range(0, 4) w(j) WHERE j < n),
+  d AS (SELECT k, count_if(lcn % 101 = 0) AS lost, string_agg({_IMAGE}, '' ORDER BY i, j) AS body FROM c GROUP BY k),
+  g AS (SELECT m.*, t.stored, coalesce(o1.n, 0) AS was, coalesce(o2.n, 0) AS taken, d.lost, d.body, k * 37 % 99990 AS first FROM m JOIN t USING (k) JOIN d USING (k) LEFT JOIN o1 USING (k) LEFT JOIN o2 USING (k)),
+  h AS (SELECT *, CASE WHEN enc THEN 'Encrypted' WHEN dir OR res THEN 'Excellent' WHEN bad THEN 'Unknown' WHEN was >= stored THEN 'Overwritten' WHEN was > 0 THEN 'Partial' WHEN first % 101 = 0 THEN 'Excellent'
+    WHEN first % 8 = 0 THEN 'Zeroed' WHEN k % 2 = 0 THEN 'Good' ELSE 'Excellent' END AS grade FROM g),
+  l AS (SELECT *, ['Excellent', 'Good', 'Partial', 'Zeroed', 'Overwritten'] AS loss, greatest(CASE WHEN taken = 0 THEN 1 WHEN taken >= stored THEN 5 ELSE 3 END, CASE WHEN lost = 0 THEN 1 WHEN lost >= stored THEN 4 ELSE 3 END) AS now FROM h)
+SELECT k + 16 AS record_no, grade, CASE WHEN enc OR dir OR res OR bad THEN grade ELSE loss[greatest(list_position(loss, grade), now)] END AS final_grade,
+  CASE WHEN enc OR dir OR (bad AND NOT res) THEN NULL WHEN res THEN 5 ELSE size END AS bytes, CASE WHEN enc OR dir OR (bad AND NOT res) THEN NULL WHEN res THEN sha256(substr(p_name, 1, 5)) ELSE sha256(substr(body, 1, size)) END AS sha256 FROM l"""
+
+
+def _image(spark: SparkSession) -> DataFrame:
+    """A volume of 100,000 clusters of 64 bytes: digests of their numbers, some zeros, some missing."""
+    lcn = F.col("lcn")
+    return spark.range(100_000).select(F.lit("C").alias("volume_id"), F.col("id").alias("lcn")).filter(lcn % 101 != 0).withColumn("data", F.when(lcn % 8 == 0, F.lit(bytes(64))).otherwise(F.sha2(lcn.cast("string"), 256).cast("binary")))
+
+
+@_query("q59_copies", _COPIES)
+def q59(spark, sf_dir):
+    """Deleted parts of all seven grades, copied after more clusters came into use and some were lost."""
+    k = F.col("record_no") - 16
+    size = ((k % 3 + 1) * 256 - k % 50).cast("long")
+    runs = F.transform("runs", lambda r: F.struct(r["vcn"].alias("vcn"), F.when((k % 40 == 2) & (r["vcn"] == 0), 200_000).otherwise((k * 37 + r["vcn"] / 4 * 1013) % 99_990).cast("long").alias("lcn"), r["clusters"].alias("clusters")))
+    e = records_from_parts(spark, sf_dir).withColumns({"real_size": size, "initialized_size": size, "runs": runs, "resident_data": F.when(F.col("resident"), F.col("name").cast("binary"))})
+    e = e.withColumns({"real_size": F.when(F.col("resident"), 5).otherwise(F.col("real_size")).cast("long"), "name": F.when(k % 2 == 0, F.concat("name", F.lit(".pdf"))).otherwise(F.col("name"))})
+    image, used = _image(spark), alloc_from_lines(spark, sf_dir)
+    graded = R.grade(e, used, cluster_size=64, total_clusters=100_000, evidence=first_clusters(e, image))
+    more = used.unionByName(used.filter("start_lcn div 16 % 3 = 0").select("volume_id", (F.col("start_lcn") + 12).alias("start_lcn"), F.lit(2).cast("long").alias("len")))
+    done = copies(graded, image, more, 64, 100_000)
+    return graded.select("volume_id", "record_no", "grade").join(done, ["volume_id", "record_no"]).select("record_no", "grade", "final_grade", "bytes", "sha256")
+
+
+@_query(
+    "q59b_carved_copies",
+    f"""WITH f AS (SELECT DISTINCT o_orderkey * 3 % 99000 AS start, (o_orderkey * 3 % 99000 % 7 + 1) * 64 - o_orderkey * 3 % 99000 % 10 AS size FROM orders), c AS (SELECT start, size, j, start + j AS lcn FROM f, range(0, 7) w(j) WHERE j * 64 < size)
+    SELECT start AS record_no, size AS bytes, sha256(substr(string_agg({_IMAGE}, '' ORDER BY j), 1, size)) AS sha256, count_if(lcn % 101 = 0) AS lost_clusters FROM c GROUP BY start, size""",
+)
+def q59b(spark, sf_dir):
+    start = F.col("o_orderkey") * 3 % 99_000
+    carved = table(spark, sf_dir, "orders").select(F.lit("C").alias("volume_id"), start.alias("start_lcn")).distinct().withColumn("size", (F.col("start_lcn") % 7 + 1) * 64 - F.col("start_lcn") % 10)
+    return copies(carved_files(carved, 64), _image(spark), None, 64, 100_000).select("record_no", "bytes", "sha256", "lost_clusters")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ext:pdf report``, ranked."""
     hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits

@@ -181,6 +181,19 @@ def header_check(df: DataFrame, name: str = "name", head: str = "head") -> DataF
     return df.withColumn("_c", check(name, head)).select("*", "_c.header_ok", "_c.zero").drop("_c")
 
 
+def first_clusters(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(volume_id, record_no, zero, header_ok) from the first stored cluster of each record's data: evidence for ``recovery.grade``.
+
+    Folders, resident files and records without stored clusters, or whose first one isn't in ``clusters``, have no row.
+    """
+    first = F.get(F.filter("runs", lambda r: (r["lcn"] >= 0) & (r["clusters"] > 0)), 0)["lcn"]
+    written = F.when(F.col("initialized_size") > 0, F.col("initialized_size")).otherwise(F.col("real_size"))
+    asked = records.filter(~F.coalesce(F.col("resident"), F.lit(False)) & ~F.coalesce(F.col("is_dir"), F.lit(False))).select("volume_id", "record_no", "name", first.alias("lcn"), F.greatest(F.lit(16), F.least(F.lit(1 << 20), written)).cast("int").alias("n"))
+    met = asked.filter("lcn is not null and name is not null").join(clusters.select("volume_id", "lcn", "data"), ["volume_id", "lcn"])
+    checked = header_check(met.select("volume_id", "record_no", "name", F.expr("substring(data, 1, n)").alias("head")))
+    return checked.select("volume_id", "record_no", "zero", "header_ok")
+
+
 # --- sizes by header arithmetic alone, as columns
 
 

@@ -81,11 +81,11 @@ def good_runs(runs: Column, total_clusters: int | None = None) -> Column:
     return ok & inside & (held <= total_clusters)
 
 
-def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = None, cluster_size: int = 4096, total_clusters: int | None = None) -> DataFrame:
+def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = None, cluster_size: int = 4096, total_clusters: int | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """``records`` with needed, stored, allocated, ``grade`` and ``percent_intact``; the first rule that fits decides.
 
-    ``clusters`` may give (volume_id, lcn, zero, header_ok) of first clusters. Runs that leave a volume of
-    ``total_clusters`` can't be graded.
+    ``evidence`` (``carve.first_clusters``) gives (volume_id, record_no, zero, header_ok) of records' first clusters, or
+    ``clusters`` (volume_id, lcn, zero, header_ok) by cluster. Runs that leave a volume of ``total_clusters`` can't be graded.
     """
     runs = F.coalesce("runs", F.array().cast("array<struct<vcn:bigint,lcn:bigint,clusters:bigint>>"))
     bad = ~good_runs(F.col("runs"), total_clusters)
@@ -104,7 +104,10 @@ def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = Non
     taken = overlaps(each, alloc)
     taken = taken.select(F.col("id.volume_id").alias("t_vol"), F.col("id.record_no").alias("t_rec"), "allocated")
     joined = keyed.join(taken, (F.col("volume_id") == F.col("t_vol")) & (F.col("record_no") == F.col("t_rec")), "left").withColumn("allocated", F.coalesce("allocated", F.lit(0)))
-    if clusters is not None:
+    if evidence is not None:
+        seen = evidence.select(F.col("volume_id").alias("c_vol"), F.col("record_no").alias("c_rec"), "zero", "header_ok")
+        joined = joined.join(seen, (F.col("volume_id") == F.col("c_vol")) & (F.col("record_no") == F.col("c_rec")), "left").drop("c_vol", "c_rec")
+    elif clusters is not None:
         first = clusters.select(F.col("volume_id").alias("c_vol"), F.col("lcn").alias("c_lcn"), "zero", "header_ok")
         joined = joined.join(first, (F.col("volume_id") == F.col("c_vol")) & (F.col("_first") == F.col("c_lcn")), "left").drop("c_vol", "c_lcn")
     else:
