@@ -692,6 +692,20 @@ def q59b(spark, sf_dir):
     return copies(carved_files(carved, 64), _image(spark), None, 64, 100_000).select("record_no", "bytes", "sha256", "lost_clusters")
 
 
+@_query(
+    "q60_resume_points",
+    """WITH v AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AS turbo, o_custkey % 3 AS id, o_orderkey * 8 AS nxt FROM orders), j AS (SELECT o_orderkey AS k, o_custkey % 3 + CASE WHEN o_orderkey % 5 = 1 THEN 1 ELSE 0 END AS id, o_custkey * 64 AS first, o_custkey * 64 + 1000000 AS nxt FROM orders WHERE o_orderkey % 11 <> 2)
+    SELECT k::VARCHAR AS volume_id, j.k IS NOT NULL AND turbo AND v.id = j.id AND v.nxt >= j.first AS resume, CASE WHEN j.k IS NOT NULL AND turbo AND v.id = j.id AND v.nxt >= j.first THEN v.nxt ELSE j.nxt END AS start_usn,
+    CASE WHEN j.k IS NULL THEN 'no journal' WHEN NOT turbo THEN 'not indexed by journal' WHEN v.id <> j.id THEN 'another journal' WHEN v.nxt < j.first THEN 'records are gone' END AS reason FROM v LEFT JOIN j USING (k)""",
+)
+def q60(spark, sf_dir):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    volumes = o.select(key.cast("string").alias("volume_id"), F.when(key % 7 != 0, "Turbo").otherwise("Standard").alias("mode"), (cust % 3).alias("journal_id"), (key * 8).alias("next_usn"))
+    journals = o.filter(key % 11 != 2).select(key.cast("string").alias("volume_id"), (cust % 3 + (key % 5 == 1).cast("int")).alias("journal_id"), (cust * 64).alias("first_usn"), (cust * 64 + 1_000_000).alias("next_usn"))
+    return J.resume_points(volumes, journals)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ext:pdf report``, ranked."""
     hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits

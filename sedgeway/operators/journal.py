@@ -199,11 +199,27 @@ def journal_span(journal: DataFrame) -> DataFrame:
 
 
 def has_gap(journal: DataFrame, checkpoint_usn: int) -> bool:
-    """Whether records after ``checkpoint_usn`` are gone from the journal, so that a full scan is due."""
+    """Whether records after ``checkpoint_usn`` are gone from the whole ``journal``, so that a full scan is due. A part of it, such as only what is new, can't tell; ``resume_points`` asks the journals' own state."""
     first = journal.agg(F.min("usn")).first()[0]
     return first is not None and first > checkpoint_usn
 
 
+def resume_points(volumes: DataFrame, journals: DataFrame) -> DataFrame:
+    """(volume_id, resume, start_usn, reason): whether each of ``volumes`` can go on from its saved position, and from where.
+
+    ``volumes`` are saved ones (``schemas.VOLUMES``), ``journals`` (volume_id, journal_id, first_usn, next_usn) those there are now.
+    A volume goes on from its next_usn if it was indexed by its journal, the journal is the same, and the record is still there;
+    any other is scanned again, and goes on from where its journal stands now (null without one). ``reason`` says why.
+    """
+    now = journals.select(F.col("volume_id").alias("j_vol"), F.col("journal_id").alias("j_id"), "first_usn", F.col("next_usn").alias("j_next"))
+    met = volumes.join(now, F.col("volume_id") == F.col("j_vol"), "left")
+    reason = (
+        F.when(F.col("j_vol").isNull(), "no journal").when(F.coalesce(F.col("mode") != "Turbo", F.lit(True)), "not indexed by journal")
+        .when(~F.col("journal_id").eqNullSafe(F.col("j_id")), "another journal").when(F.coalesce(F.col("next_usn") < F.col("first_usn"), F.lit(True)), "records are gone")
+    )
+    return met.withColumn("reason", reason).select("volume_id", F.col("reason").isNull().alias("resume"), F.when(F.col("reason").isNull(), F.col("next_usn")).otherwise(F.col("j_next")).alias("start_usn"), "reason")
+
+
 def refresh_due(journal: DataFrame) -> DataFrame:
     """Files whose size, times or attributes changed."""
     return journal.filter(has(S.DATA_OVERWRITE | S.DATA_EXTEND | S.DATA_TRUNCATION | S.BASIC_INFO_CHANGE)).select("volume_id", "record_no").distinct()

@@ -74,20 +74,30 @@ def daily_counts(deletions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return deletions.withWatermark("deleted_at", delay).groupBy(F.window("deleted_at", "1 day"), "kind").agg(F.count("*").alias("deletions"))
 
 
-def maintain(stream: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, roots: DataFrame | None = None, **trigger):
+def maintain(
+    stream: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, roots: DataFrame | None = None, rescan: Callable[[list[str]], DataFrame] | None = None, **trigger
+):
     """Keeps entries up to date: every micro-batch is applied to what ``load`` returns and given to ``save``.
 
     Only the volumes that a batch names are touched; ``save`` gets their rows. With ``roots`` (root_id, root) what
-    hangs from folders that have gone goes, too, and full paths are made anew.
+    hangs from folders that have gone goes, too, and full paths are made anew. A stream of ``sources.journal`` may say that
+    changes of a volume are lost: ``rescan`` then gives its entries from a new scan, which stand for the whole batch of that volume.
     ``save(entries, deletions, batch_id)`` must be idempotent for a batch id, as a batch may come again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            named = [r["volume_id"] for r in batch.select("volume_id").distinct().collect()]  # a row for each drive
+            lost = [r["volume_id"] for r in batch.filter("rescan").select("volume_id").distinct().collect()] if "rescan" in batch.columns else []  # a row for each drive
+            if lost and rescan is None:
+                raise ValueError(f"changes of {', '.join(sorted(lost))} are lost, and nothing scans them again")
+            kept = batch.filter(~F.col("volume_id").isin(lost)).select(*[f.name for f in S.JOURNAL]) if "rescan" in batch.columns else batch
+            named = [r["volume_id"] for r in kept.select("volume_id").distinct().collect()]  # a row for each drive
             entries = load().filter(F.col("volume_id").isin(named))
-            save(*(advance(entries, batch, roots) if roots is not None else apply_batch(entries, batch)), batch_id)
+            now, deletions = advance(entries, kept, roots) if roots is not None else apply_batch(entries, kept)
+            if lost:
+                now = now.unionByName(rescan(lost), allowMissingColumns=True)
+            save(now, deletions, batch_id)
         finally:
             batch.unpersist()
 
