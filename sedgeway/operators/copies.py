@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedgeway.functions.binary import lznt1
+from sedgeway.operators.bitmap import allocated_in
 from sedgeway.operators.recovery import COMPRESSION_UNITS, FLAG_COMPRESSED, FLAG_ENCRYPTED, good_runs, overlaps
 from sedgeway.schemas import RUNS
 
@@ -166,7 +167,7 @@ def copies(files: DataFrame, clusters: DataFrame, alloc: DataFrame | None = None
     """(volume_id, record_no, bytes, sha256, final_grade, lost_clusters, byte_runs, error) of the copies of ``files``.
 
     ``files`` are file records with a ``grade`` (``recovery.grade``) or ``carved_files``; ``clusters`` (volume_id, lcn, data)
-    is the volume, each cluster once; ``alloc`` (volume_id, start_lcn, len) what is in use when they are copied. Sizes are cut to
+    is the volume, each cluster once; ``alloc`` what is in use when they are copied, as runs or in blocks. Sizes are cut to
     what the runs can hold; sparse runs, and what lies past the initialized size, are zeros; compressed units are expanded.
     Clusters that aren't there become zeros and are counted. The grade goes down to Partial or Overwritten for
     clusters in use now, to Partial for lost ones and to Zeroed if all are lost; it never goes up. What can't be copied has an error and no digest.
@@ -178,7 +179,7 @@ def copies(files: DataFrame, clusters: DataFrame, alloc: DataFrame | None = None
         out = out.withColumn("_taken", F.lit(0))
     else:
         each = planned.select(F.struct("volume_id", "record_no").alias("id"), "volume_id", F.explode("_parts").alias("r")).select("id", "volume_id", "r.lcn", "r.clusters")
-        taken = overlaps(each, alloc).select(F.col("id.volume_id").alias("t_vol"), F.col("id.record_no").alias("t_rec"), F.col("allocated").alias("_taken"))
+        taken = (allocated_in(each, alloc) if "words" in alloc.columns else overlaps(each, alloc)).select(F.col("id.volume_id").alias("t_vol"), F.col("id.record_no").alias("t_rec"), F.col("allocated").alias("_taken"))
         out = out.join(taken, (F.col("volume_id") == F.col("t_vol")) & (F.col("record_no") == F.col("t_rec")), "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
     stored = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, r: a + r["clusters"])
     rank = lambda g: F.array_position(F.array(*[F.lit(x) for x in LOSS]), g)

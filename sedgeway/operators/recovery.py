@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sedgeway.operators.bitmap import allocated_in, free_runs_of, from_runs
 from sedgeway.runtime import cut
 
 #: Clusters of a block in which runs meet the bitmap.
@@ -84,6 +85,7 @@ def good_runs(runs: Column, total_clusters: int | None = None) -> Column:
 def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = None, cluster_size: int = 4096, total_clusters: int | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """``records`` with needed, stored, allocated, ``grade`` and ``percent_intact``; the first rule that fits decides.
 
+    ``alloc`` has runs in use (volume_id, start_lcn, len), or is a bitmap in blocks (``operators.bitmap``).
     ``evidence`` (``carve.first_clusters``) gives (volume_id, record_no, zero, header_ok) of records' first clusters, or
     ``clusters`` (volume_id, lcn, zero, header_ok) by cluster. Runs that leave a volume of ``total_clusters`` can't be graded.
     """
@@ -101,7 +103,7 @@ def grade(records: DataFrame, alloc: DataFrame, clusters: DataFrame | None = Non
     keyed = keyed.withColumn("_parts", parts)
     keyed = keyed.withColumns({"_stored": F.aggregate("_parts", F.lit(0).cast("long"), lambda a, r: a + r["clusters"]), "_first": F.get("_parts", 0)["lcn"]})
     each = keyed.filter("not _bad").select(F.struct("volume_id", "record_no").alias("id"), "volume_id", F.explode("_parts").alias("r")).select("id", "volume_id", "r.lcn", "r.clusters")
-    taken = overlaps(each, alloc)
+    taken = allocated_in(each, alloc) if "words" in alloc.columns else overlaps(each, alloc)
     taken = taken.select(F.col("id.volume_id").alias("t_vol"), F.col("id.record_no").alias("t_rec"), "allocated")
     joined = keyed.join(taken, (F.col("volume_id") == F.col("t_vol")) & (F.col("record_no") == F.col("t_rec")), "left").withColumn("allocated", F.coalesce("allocated", F.lit(0)))
     if evidence is not None:
@@ -181,12 +183,9 @@ def free_runs(bits: DataFrame, block: int = 1 << 20) -> DataFrame:
 
 
 def free_runs_from_alloc(alloc: DataFrame, total_clusters: int) -> DataFrame:
-    """The gaps between runs (volume_id, start_lcn, len) that don't overlap, up to ``total_clusters``."""
-    w = Window.partitionBy("volume_id").orderBy("start_lcn")
-    end = F.coalesce(F.lag(F.col("start_lcn") + F.col("len")).over(w), F.lit(0))
-    gaps = alloc.select("volume_id", end.alias("start"), F.col("start_lcn").alias("stop"))
-    tail = alloc.groupBy("volume_id").agg(F.max(F.col("start_lcn") + F.col("len")).alias("start")).withColumn("stop", F.lit(total_clusters).cast("long"))
-    return gaps.unionByName(tail).filter("stop > start").select("volume_id", F.col("start").alias("start_lcn"), (F.col("stop") - F.col("start")).alias("len"))
+    """The gaps between runs (volume_id, start_lcn, len), up to ``total_clusters``, by way of the bitmap in blocks."""
+    totals = alloc.select("volume_id").distinct().withColumn("total", F.lit(total_clusters).cast("long"))
+    return free_runs_of(from_runs(alloc, totals))
 
 
 def bitmap_bits(bitmap: DataFrame) -> DataFrame:
