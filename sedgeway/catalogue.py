@@ -17,7 +17,7 @@ from sedgeway.operators import stats
 from sedgeway.operators.carve import first_clusters, header_size, scan
 from sedgeway.operators.copies import carved_files, copies
 from sedgeway.operators.search import matches, search
-from sedgeway.operators.tree import resolve
+from sedgeway.operators.tree import resolve, totals_below, without_subtrees
 from sedgeway.operators.watcher import watch_batch
 from sedgeway.plans.query import parse
 from sedgeway.runtime import table
@@ -728,6 +728,20 @@ def q61b(spark, sf_dir):
     return B.free_runs_of(_blocks(spark, sf_dir)).select("start_lcn", "len")
 
 
+_BELOW = E.replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT entry_id AS top, entry_id AS id FROM e WHERE is_dir UNION ALL SELECT a.top, e.entry_id FROM a JOIN e ON e.parent_id = a.id)"
+
+
+@_query("q62_totals_below", _BELOW + " SELECT top AS entry_id, count_if(NOT is_dir) AS files, count_if(is_dir) - 1 AS folders, coalesce(sum(size) FILTER (NOT is_dir), 0)::BIGINT AS bytes FROM a JOIN e ON entry_id = id GROUP BY top")
+def q62(spark, sf_dir):
+    return totals_below(entries_from_tables(spark, sf_dir))
+
+
+@_query("q62b_without_subtrees", _BELOW + " SELECT entry_id FROM e WHERE entry_id NOT IN (SELECT id FROM a WHERE top % 9 = 0) AND (is_dir OR entry_id % 9 <> 0)")
+def q62b(spark, sf_dir):
+    e = entries_from_tables(spark, sf_dir)
+    return without_subtrees(e, e.filter(F.col("entry_id") % 9 == 0).select("entry_id")).select("entry_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ext:pdf report``, ranked."""
     hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits

@@ -7,8 +7,11 @@ folder that holds very many entries makes a skewed join side that Spark splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sedgeway.runtime import cut
 
@@ -36,27 +39,27 @@ def resolve(entries: DataFrame, roots: DataFrame, entry: str = "entry_id", paren
     top = roots.select(F.col("root_id").alias("up"), "root")
     if roots.limit(MAX_ROOTS + 1).count() <= MAX_ROOTS:
         top = F.broadcast(top)
-    done = None
+    done: list[DataFrame] = []
     open_rows = cut(base)
     jumps = open_rows
     for _ in range(ROUNDS):
         reached = open_rows.join(top, "up")
         ended = reached.select("id", F.concat_ws("\\", "root", "path").alias("full_path"), F.least(F.col("steps"), F.lit(MAX_DEPTH)).alias("depth"), F.lit("ok").alias("state"), "gone")
-        done = ended if done is None else done.unionByName(ended)
         rest = open_rows.join(top.select("up"), "up", "left_anti")
         above = jumps.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("steps").alias("a_steps"), F.col("gone").alias("a_gone"))
         joined = rest.join(above, F.col("up") == F.col("a_id"), "left")
         lost = joined.filter(F.col("a_id").isNull()).select("id", F.lit("orphan").alias("state"))
-        done = done.unionByName(_loose(base, lost))
+        done.append(cut(ended.unionByName(_loose(base, lost))))  # each round's rows are written once
+        if done[-1].isEmpty():
+            break  # on every way to an end some row ends in each round, so the rest goes in circles
         open_rows = cut(
             joined.filter(F.col("a_id").isNotNull()).select("id", F.col("a_up").alias("up"), F.concat_ws("\\", "a_path", "path").alias("path"), (F.col("steps") + F.col("a_steps")).alias("steps"), (F.col("gone") | F.col("a_gone")).alias("gone"))
         )
         # Rows that are through still serve as steps of others: keep every row's longest jump.
         jumps = cut(open_rows.unionByName(jumps.join(open_rows.select("id"), "id", "left_anti")))
-        done = cut(done)
-        if not open_rows.limit(1).count():
-            return done
-    return done.unionByName(_loose(base, open_rows.select("id", F.lit("cycle").alias("state"))))
+        if open_rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, [*done, _loose(base, open_rows.select("id", F.lit("cycle").alias("state")))])
 
 
 def _loose(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -86,3 +89,58 @@ def build(records: DataFrame, root_record: int = 5) -> DataFrame:
     roots = records.sparkSession.createDataFrame([(root_record, "")], "root_id long, root string")
     state = resolve(records.withColumnRenamed("record_no", "entry_id").withColumnRenamed("parent_record_no", "parent_id"), roots)
     return records.join(state, records["record_no"] == state["id"]).withColumn("deleted", F.col("gone")).drop("id", "gone")
+
+
+# --- intervals: every entry's subtree as a range of places in one order
+
+
+#: Parts of paths in the order of the tree: below a folder comes before what follows it.
+_INTO, _OUT_OF = "\x01", "\x02"
+
+
+def _tour(entries: DataFrame, *kept: str) -> DataFrame:
+    """(place, id, out, kept): a walk over the tree by path, with a row where each entry is entered and one where each folder is left.
+
+    The walk is a range sort: tasks hold ranges of paths, and a place holds its task's number above 33 bits.
+    """
+    key = F.replace(F.col("fold_path"), F.lit("\\"), F.lit(_INTO))
+    row = entries.select(F.col("entry_id").alias("id"), "is_dir", key.alias("_key"), *kept)
+    both = row.withColumn("out", F.lit(0)).unionByName(row.filter("is_dir").withColumns({"out": F.lit(1), "_key": F.concat("_key", F.lit(_OUT_OF))})).drop("is_dir")
+    order = ["_key", "out", "id"]
+    return cut(both.repartitionByRange(*order).sortWithinPartitions(*order).drop("_key").withColumn("place", F.monotonically_increasing_id()))
+
+
+def _running(walk: DataFrame, **sums: Column) -> DataFrame:
+    """``walk`` with running sums up to each place: within tasks, after the sums of the tasks before."""
+    task = F.call_function("shiftright", F.col("place"), F.lit(33))
+    named = walk.withColumns({"_task": task} | {f"_{k}": c.cast("long") for k, c in sums.items()})
+    totals = named.groupBy("_task").agg(*[F.sum(f"_{k}").alias(f"_t_{k}") for k in sums])
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    earlier = totals.select("_task", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    upto = Window.partitionBy("_task").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    out = named.withColumns({f"_r_{k}": F.sum(f"_{k}").over(upto) for k in sums}).join(F.broadcast(earlier), "_task")  # a row for each task
+    return out.select(*walk.columns, *[(F.col(f"_r_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums])
+
+
+def intervals(entries: DataFrame) -> DataFrame:
+    """(entry_id, enter, leave): what is below an entry, or itself, has an ``enter`` between the two. Numbers grow with the path's order; those of two calls don't compare."""
+    return _tour(entries).groupBy(F.col("id").alias("entry_id")).agg(F.min("place").alias("enter"), F.max("place").alias("leave"))
+
+
+def totals_below(entries: DataFrame) -> DataFrame:
+    """(entry_id, files, folders, bytes) of what is below every folder, at any depth: one sort and running sums, whatever the depth.
+
+    ``entries`` need entry_id, is_dir, size and fold_path, each path once.
+    """
+    entered = F.col("out") == 0
+    walk = _running(_tour(entries.withColumn("_d", F.col("is_dir")), "_d", "size"), files=(entered & ~F.col("_d")).cast("int"), folders=(entered & F.col("_d")).cast("int"), bytes=F.when(entered & ~F.col("_d"), F.coalesce("size", F.lit(0))).otherwise(0))
+    both = walk.filter("_d").groupBy(F.col("id").alias("entry_id"))
+    return both.agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("files", "folders", "bytes")])
+
+
+def without_subtrees(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """``entries`` without those in ``gone`` (entry_id) and all that is below them: a running count of the gone folders that a place is in, so no number of them is tested one by one."""
+    marked = entries.select("entry_id", "is_dir", "fold_path").join(gone.select("entry_id", F.lit(1).alias("_gone")).distinct(), "entry_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(0)))
+    walk = _running(_tour(marked.withColumn("_d", F.col("is_dir")), "_d", "_gone"), inside=F.when(F.col("out") == 1, -F.col("_gone")).when(F.col("_d"), F.col("_gone")).otherwise(0))
+    stay = walk.filter("out = 0 and inside = 0 and (_d or _gone = 0)").select(F.col("id").alias("_stay"))
+    return entries.join(stay, F.col("entry_id") == F.col("_stay"), "left_semi")
