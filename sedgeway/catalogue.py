@@ -14,7 +14,7 @@ from sedgeway.operators import candidates as K
 from sedgeway.operators import journal as J
 from sedgeway.operators import recovery as R
 from sedgeway.operators import stats
-from sedgeway.operators.carve import first_clusters, header_size, scan
+from sedgeway.operators.carve import batches, first_clusters, header_size, scan
 from sedgeway.operators.copies import carved_files, copies
 from sedgeway.operators.search import matches, search
 from sedgeway.operators.tree import resolve, totals_below, without_subtrees
@@ -742,6 +742,37 @@ def q62b(spark, sf_dir):
     return without_subtrees(e, e.filter(F.col("entry_id") % 9 == 0).select("entry_id")).select("entry_id")
 
 
+@_query("q63_published_batches", "WITH f AS (SELECT DISTINCT o_custkey % 3 AS v, o_orderkey AS s FROM orders), n AS (SELECT v, s, (row_number() OVER (PARTITION BY v ORDER BY s) - 1) // 200 AS batch FROM f) SELECT 'V' || v AS volume_id, batch, count(*) AS n, min(s) AS first, max(s) AS last FROM n GROUP BY v, batch")
+def q63(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").select(F.concat(F.lit("V"), (F.col("o_custkey") % 3).cast("string")).alias("volume_id"), F.col("o_orderkey").alias("start_lcn")).distinct()
+    at = lambda i: F.element_at("finds", i)["start_lcn"]
+    return batches(found, block=1000).select("volume_id", "batch", F.size("finds").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last"))
+
+
+_BIN = r"""WITH c AS (SELECT c_custkey AS k, 'S-1-5-' || c_custkey % 4 AS sid, c_acctbal, c_nationkey FROM customer), i AS (SELECT k, sid, CASE WHEN k % 5 <> 1 THEN 'D:\docs ' || k % 9 || '\' || k || '.txt' END AS was, k * 10 AS size FROM c WHERE k % 3 <> 0),
+  r AS (SELECT k, sid, k % 7 = 0 AS is_dir, k AS size FROM c WHERE k % 4 <> 0)
+SELECT coalesce(i.sid, r.sid) AS sid, coalesce(i.k, r.k)::VARCHAR AS id, CASE WHEN was IS NOT NULL THEN i.k || '.txt' WHEN r.k IS NOT NULL THEN '$r' || r.k ELSE '$I' || i.k END AS name, CASE WHEN was IS NOT NULL THEN 'D:\docs ' || i.k % 9 END AS folder,
+  CASE WHEN was IS NOT NULL THEN i.size WHEN r.k IS NULL OR is_dir THEN 0 ELSE r.size END AS size, coalesce(is_dir, false) AS is_dir, CASE WHEN was IS NOT NULL AND r.k IS NOT NULL THEN 'Excellent' ELSE 'Unknown' END AS grade
+FROM i FULL JOIN r ON i.k = r.k AND i.sid = r.sid WHERE coalesce(i.sid, r.sid) <> 'S-1-5-3'"""
+
+
+@_query("q64_bin_scan", _BIN)
+def q64(spark, sf_dir):
+    """Customers' files in the bins of four users, some outside a bin, some without a half, some that can't be read."""
+    k = F.col("c_custkey")
+    number = k.cast("string")
+    c = table(spark, sf_dir, "customer").select(k, F.concat(F.lit("S-1-5-"), (k % 4).cast("string")).alias("sid"))
+    at = lambda bin, half: F.concat(F.lit(bin), "sid", F.lit("\\" + half), number)
+    entry = lambda path, is_dir, size: F.struct(path.alias("full_path"), is_dir.alias("is_dir"), size.cast("long").alias("size"))
+    no = F.lit(False)
+    every = F.array(
+        entry(F.when(k % 3 != 0, at("d:\\$recycle.bin\\", "$I")), no, F.lit(544)), entry(F.when(k % 4 != 0, at("D:\\$Recycle.Bin\\", "$r")), k % 7 == 0, k), entry(at("D:\\other\\", "$R"), no, k), entry(at("D:\\$Recycle.Bin\\x", "$R"), no, k), entry(at("D:\\$Recycle.Bin\\", "x"), no, k),
+    )
+    entries = c.select(F.inline(every)).filter("full_path is not null")
+    metas = c.filter((k % 3 != 0) & (k % 5 != 1)).select(at("d:\\$RECYCLE.BIN\\", "$i").alias("full_path"), F.concat(F.lit("D:\\docs "), (k % 9).cast("string"), F.lit("\\"), number, F.lit(".txt")).alias("original_path"), (k * 10).alias("size"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    return R.scan_bin(entries, metas).filter("sid <> 'S-1-5-3'").select("sid", "id", "name", "folder", "size", "is_dir", "grade")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ext:pdf report``, ranked."""
     hits = search(entries_from_tables(spark, sf_dir), "ext:pdf report").hits

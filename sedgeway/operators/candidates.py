@@ -46,7 +46,7 @@ def from_bin(pairs: DataFrame, *keep: str) -> DataFrame:
     """Recycle Bin items of ``recovery.recycle_pairs``: Excellent with both halves, else Unknown with what is missing."""
     data, info = F.col("data_name").isNotNull(), F.col("info_name").isNotNull()
     whole = data & info
-    detail = F.when(~data, "data file missing").when(~info, "no metadata — original name unknown")
+    detail = F.when(~data, "its data is gone").when(~info, "its name and folder are unknown")
     return _candidates(
         pairs, keep, source=F.lit("RecycleBin"), name=F.coalesce(_name(F.col("original_path")), "data_name", "info_name"), original_folder=_folder(F.col("original_path")), size=F.col("size"), deleted_at=F.col("deleted_at"),
         grade=F.when(whole, "Excellent").otherwise("Unknown"), percent_intact=F.when(whole, 100).otherwise(0), is_dir=F.coalesce("is_dir", F.lit(False)), detail=detail,
@@ -88,13 +88,13 @@ def different_volume(destination: str, source_root: str, volumes: DataFrame | No
     """
     where = destination.replace("/", "\\")
     if where.startswith("\\"):
-        return False, "Pick a folder on a local drive, not a network path"
+        return False, "the destination is a network path; it must be a folder of a local drive"
     if len(where) < 3 or where[1:3] != ":\\":
-        return False, "That folder path isn't valid — pick a folder on another local drive"
+        return False, "the destination is no full path of a folder"
     root, source = where[:3].upper(), source_root[:2].upper() + "\\"
     serials = {} if volumes is None else {r["root"][:2].upper() + "\\": r["serial"] for r in volumes.select("root", "serial").collect() if r["serial"] is not None}  # a row for each drive
     same = serials[root] == serials[source] if root in serials and source in serials else root == source
-    return (False, f"This is the drive you're recovering from ({source[0]}:) — pick another drive") if same else (True, "")
+    return (False, f"the destination lies on drive {source[0]}, which files are recovered from") if same else (True, "")
 
 
 def route(candidates: DataFrame, destination: str, source_root: str, volumes: DataFrame | None = None) -> DataFrame:
@@ -104,8 +104,8 @@ def route(candidates: DataFrame, destination: str, source_root: str, volumes: Da
     """
     other, why = different_volume(destination, source_root, volumes)
     source = F.col("source")
-    error = F.when(F.lit(not other) & ~source.isin(*SAFE_ON_SAME_VOLUME), F.lit(why)).when(source == "DeletionLog", "Use the Undelete tab to bring this file back").when(
-        source.isNull() | ~source.isin(*SOURCES), F.concat(F.coalesce(source, F.lit("?")), F.lit(" recovery is not available yet"))
+    error = F.when(F.lit(not other) & ~source.isin(*SAFE_ON_SAME_VOLUME), F.lit(why)).when(source == "DeletionLog", "an entry of the log holds no data; its record may").when(
+        source.isNull() | ~source.isin(*SOURCES), F.concat(F.coalesce(source, F.lit("?")), F.lit(" is no source that can be copied"))
     )
     action = F.when(source == "RecycleBin", "copy_bin").when(source == "ShadowCopy", "copy_version").when(source == "Carving", "copy_range").when(F.col("is_dir"), "copy_folder").otherwise("copy_record")
     named = F.when(source == "ShadowCopy", restore_name(F.col("name"), F.col("deleted_at"))).otherwise(safe_file_name(F.col("name")))

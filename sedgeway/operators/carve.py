@@ -8,7 +8,7 @@ inside a file found before them are skipped, by ``skips.uncovered`` over runs of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from sedgeway.functions.binary import lznt1
 from sedgeway.functions.formats import BY_ID, FORMATS, Format, extension_for, looks_like, measure
@@ -333,3 +334,29 @@ def recover_parts(candidates: DataFrame, clusters: DataFrame, cluster: int = CLU
             yield pd.DataFrame(out, columns=["volume_id", "record_no", "part", "content", "error"])
 
     return full.mapInPandas(work, "volume_id string, record_no bigint, part bigint, content binary, error string")
+
+
+# --- finds as they are published
+
+
+#: Finds of a batch that is published. Fixed value.
+PUBLISHED = 200
+
+
+def batches(found: DataFrame, most: int = PUBLISHED, block: int = 1 << 20) -> DataFrame:
+    """(volume_id, batch, finds): carved files in batches of ``most`` in the order of their starts on each volume, the last one smaller.
+
+    Finds are numbered within blocks of ``block`` clusters, to which those of the blocks before are added, so a volume is spread over tasks.
+    """
+    rows = found.withColumn("_b", F.floor(F.col("start_lcn") / block))
+    counts = rows.groupBy("volume_id", "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("volume_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("volume_id", "_b").orderBy("start_lcn")
+    numbered = rows.withColumn("_i", F.row_number().over(inside)).join(first, ["volume_id", "_b"]).withColumn("batch", F.floor((F.col("_first") + F.col("_i") - 1) / most))
+    return numbered.groupBy("volume_id", "batch").agg(F.array_sort(F.collect_list(F.struct("start_lcn", *[c for c in found.columns if c not in ("volume_id", "start_lcn")]))).alias("finds"))
+
+
+def publish(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, most: int = PUBLISHED, **trigger):
+    """Gives the finds of a stream to ``send(batches, batch_id)`` as they come, ``most`` at a time; ``send`` must be idempotent for a batch id."""
+    return stream.writeStream.foreachBatch(lambda df, i: send(batches(df, most), i)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -236,6 +236,31 @@ def recycle_pairs(infos: DataFrame, data: DataFrame) -> DataFrame:
     return i.join(r, ["sid", "id"], "full_outer").withColumns({"grade": F.when(both, "Excellent").otherwise("Unknown"), "percent_intact": F.when(both, 100).otherwise(0)})
 
 
+def scan_bin(entries: DataFrame, metas: DataFrame, own_sid: str | None = None) -> DataFrame:
+    """Recycle Bin items of the volumes that ``entries`` (full_path, is_dir, size) list, with what their ``$I`` files say.
+
+    Only what lies directly in ``<drive>\\$Recycle.Bin\\<SID>``, for users' SIDs, in either case; with ``own_sid`` that user's alone. ``metas``
+    (full_path, original_path, size, deleted_at) are the ``$I`` files that could be read. An item is a pair by drive, SID and id,
+    or a half of one: without data, or without a name that is known. Columns: drive, sid, id, name, folder, size, deleted_at, is_dir, grade, percent_intact, detail.
+    """
+    parts = F.split("full_path", r"\\")
+    placed = entries.select("full_path", "is_dir", "size", parts.alias("p")).filter((F.size("p") == 4) & (F.lower(F.col("p")[1]) == "$recycle.bin") & F.startswith(F.lower(F.col("p")[2]), F.lit("s-1-")) & (F.length(F.col("p")[3]) >= 3))
+    named = placed.select("full_path", "is_dir", "size", F.upper(F.col("p")[0]).alias("drive"), F.upper(F.col("p")[2]).alias("sid"), F.col("p")[3].alias("file"), F.lower(F.substring(F.col("p")[3], 1, 2)).alias("half"), F.lower(F.expr("substring(p[3], 3)")).alias("id"))
+    if own_sid is not None:
+        named = named.filter(F.col("sid") == own_sid.upper())
+    told = metas.select(F.lower("full_path").alias("m_path"), "original_path", F.col("size").alias("m_size"), "deleted_at")
+    key = ["drive", "sid", "id"]
+    i = named.filter("half = '$i' and not is_dir").join(told, F.lower("full_path") == F.col("m_path"), "left").select(*key, F.col("file").alias("i_file"), F.regexp_replace("original_path", r"\\+$", "").alias("was"), "m_size", "deleted_at")
+    r = named.filter("half = '$r'").select(*key, F.col("file").alias("r_file"), "is_dir", F.col("size").alias("r_size"))
+    whole = F.col("was").isNotNull() & F.col("r_file").isNotNull()
+    is_dir = F.coalesce("is_dir", F.lit(False))
+    return i.join(r, key, "full_outer").select(
+        *key, F.coalesce(F.substring_index("was", "\\", -1), "r_file", "i_file").alias("name"), F.when(F.contains("was", F.lit("\\")), F.regexp_replace("was", r"\\[^\\]*$", "")).alias("folder"),
+        F.coalesce("m_size", F.when(~is_dir, F.col("r_size")), F.lit(0)).cast("long").alias("size"), "deleted_at", is_dir.alias("is_dir"), F.when(whole, "Excellent").otherwise("Unknown").alias("grade"), F.when(whole, 100).otherwise(0).alias("percent_intact"),
+        F.when(F.col("r_file").isNull(), "its data is gone").when(F.col("was").isNull(), "its name and folder are unknown").alias("detail"),
+    )
+
+
 def unique_names(plan: DataFrame, folder: str = "folder", name: str = "name", taken: DataFrame | None = None, rounds: int = 20) -> DataFrame:
     """``plan`` with ``target``: the second and later rows of a name in a folder get `` (restored)``, `` (restored) 2``, ...
 

@@ -72,7 +72,7 @@ def first_readable(spark: SparkSession, readers: dict[str, Callable[[], DataFram
 
 
 def parse_snapshots(text: DataFrame, column: str = "value") -> DataFrame:
-    """(snapshot_id, device, created_text), newest listed last, from the text of a shadow copy listing, one listing a row.
+    """(snapshot_id, device, created_text), the newest first, from the text of a shadow copy listing, one listing a row, in which it stands last.
 
     A listing gives the time of a set before the copies of it; copies take the last time above them.
     """
@@ -83,7 +83,7 @@ def parse_snapshots(text: DataFrame, column: str = "value") -> DataFrame:
         F.last(pick(r"Shadow Copy ID: (\{[0-9a-fA-F-]+\})"), ignorenulls=True).over(seen).alias("snapshot_id"), F.last(pick(r"creation time: (.+?)\s*$"), ignorenulls=True).over(seen).alias("created_text"),
         pick(r"Shadow Copy Volume: (\S+)").alias("device"), "_t", "_i",
     )
-    return carried.filter("device is not null and snapshot_id is not null").select("snapshot_id", "device", "created_text")
+    return carried.filter("device is not null and snapshot_id is not null").orderBy("_t", F.desc("_i")).select("snapshot_id", "device", "created_text")
 
 
 def read_image(spark: SparkSession, path: str, cluster: int = 4096, chunk: int = 1 << 20, partitions: int = 8) -> DataFrame:

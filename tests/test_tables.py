@@ -388,10 +388,10 @@ def test_candidates_of_every_source_and_their_routes(spark):
     assert [f.name for f in every.schema] == [f.name for f in S.CANDIDATES]
     rows = {(r.source, r.name): r for r in every.collect()}
     assert rows["DeletionLog", "gone.txt"].original_folder is None and rows["DeletionLog", "gone.txt"].grade == "Unknown"
-    assert rows["RecycleBin", "old.txt"].grade == "Excellent" and rows["RecycleBin", "old.txt"].original_folder == "C:\\Docs" and rows["RecycleBin", "alone"].detail == "data file missing"
-    assert rows["RecycleBin", "$Rqqq.bin"].detail.startswith("no metadata") and rows["ShadowCopy", "v.txt"].original_folder == "C:\\Docs" and rows["Carving", "png_5.png"].detail == "PNG image · 1x1" and rows["Carving", "mp3_9.mp3"].detail == "MP3 audio"
+    assert rows["RecycleBin", "old.txt"].grade == "Excellent" and rows["RecycleBin", "old.txt"].original_folder == "C:\\Docs" and rows["RecycleBin", "alone"].detail == "its data is gone"
+    assert rows["RecycleBin", "$Rqqq.bin"].detail.startswith("its name") and rows["ShadowCopy", "v.txt"].original_folder == "C:\\Docs" and rows["Carving", "png_5.png"].detail == "PNG image · 1x1" and rows["Carving", "mp3_9.mp3"].detail == "MP3 audio"
     done = {(r.source, r.name): r for r in K.route(every, "D:\\out", "C:\\").collect()}
-    assert done["DeletionLog", "gone.txt"].error.startswith("Use the") and done["Undelete", "dir"].action == "copy_folder" and done["Undelete", "r.doc"].target == "D:\\out\\r.doc" and done["ShadowCopy", "v.txt"].target.startswith("D:\\out\\v (from ")
+    assert done["DeletionLog", "gone.txt"].error.startswith("an entry of the log") and done["Undelete", "dir"].action == "copy_folder" and done["Undelete", "r.doc"].target == "D:\\out\\r.doc" and done["ShadowCopy", "v.txt"].target.startswith("D:\\out\\v (from ")
     same = {(r.source, r.name): (r.action, r.error) for r in K.route(every, "C:\\out", "C:\\").collect()}
     assert same["RecycleBin", "old.txt"] == ("copy_bin", None) and "C:" in same["Carving", "png_5.png"][1] and same["Carving", "png_5.png"][0] is None
     volumes = spark.createDataFrame([("C:\\", 1), ("E:\\", 1), ("F:\\", 2)], "root string, serial long")
@@ -431,8 +431,8 @@ def test_texts_of_the_recovery_lists(spark):
 
 def test_shadow_copy_listing(spark):
     text = "Contents of shadow copy set ID: {aa}\r\n   Contained 1 shadow copies at creation time: 1/2/2026 3:04:05 AM\r\n      Shadow Copy ID: {0a-1}\r\n         Shadow Copy Volume: \\\\?\\GLOBALROOT\\Copy1\r\nContents of shadow copy set ID: {bb}\r\n   Contained 1 shadow copies at creation time: 2/2/2026\r\n      Shadow Copy ID: {0b-2}\r\n         Shadow Copy Volume: \\\\?\\GLOBALROOT\\Copy2\r\n"
-    got = {(r.snapshot_id, r.device[-5:], r.created_text) for r in raw.parse_snapshots(spark.createDataFrame([(text,)], "value string")).collect()}
-    assert got == {("{0a-1}", "Copy1", "1/2/2026 3:04:05 AM"), ("{0b-2}", "Copy2", "2/2/2026")}
+    got = [(r.snapshot_id, r.device[-5:], r.created_text) for r in raw.parse_snapshots(spark.createDataFrame([(text,)], "value string")).collect()]
+    assert got == [("{0b-2}", "Copy2", "2/2/2026"), ("{0a-1}", "Copy1", "1/2/2026 3:04:05 AM")]  # the newest first
 
 
 def test_volume_image(spark, tmp_path):
