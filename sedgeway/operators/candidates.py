@@ -94,7 +94,7 @@ def different_volume(destination: str, source_root: str, volumes: DataFrame | No
     root, source = where[:3].upper(), source_root[:2].upper() + "\\"
     serials = {} if volumes is None else {r["root"][:2].upper() + "\\": r["serial"] for r in volumes.select("root", "serial").collect() if r["serial"] is not None}  # a row for each drive
     same = serials[root] == serials[source] if root in serials and source in serials else root == source
-    return (False, f"the destination lies on drive {source[0]}, which files are recovered from") if same else (True, "")
+    return (False, f"the destination lies on drive {source[0]}:, from which files are recovered") if same else (True, "")
 
 
 def route(candidates: DataFrame, destination: str, source_root: str, volumes: DataFrame | None = None) -> DataFrame:
