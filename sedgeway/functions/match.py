@@ -54,21 +54,26 @@ def _bonus(prev: Column, cls: Column) -> Column:
 
 
 def window_score(name: Column, folded: Column, text: str, start: Column, end: Column) -> Column:
-    """Score of ``text`` matched from the left in characters start..end-1 (from 0)."""
+    """Score of ``text`` matched from the left in characters start..end-1 (from 0). Only the classes of these characters and of the one before are looked up."""
     m = len(text)
     pattern = F.lit(text)
 
-    def with_codes(codes: Column) -> Column:
+    def within(w: Column) -> Column:
+        first = F.greatest(w["start"] - 1, F.lit(0))  # the character before, if there is one
+        part = F.struct(w["start"].alias("start"), w["end"].alias("end"), first.alias("at"), class_codes(F.substring(name, first + 1, w["end"] - first)).alias("codes"), F.substring(folded, w["start"] + 1, w["end"] - w["start"]).alias("chars"))
+        return _let(part, scored)
+
+    def scored(w: Column) -> Column:
         def class_at(i: Column) -> Column:
-            return F.ascii(F.substring(codes, i + 1, F.lit(1))) - 0xE000
+            return F.ascii(F.substring(w["codes"], i - w["at"] + 1, F.lit(1))) - 0xE000
 
         zero = F.struct(
             F.lit(0).alias("p"), F.lit(0).alias("score"), F.lit(0).alias("run"), F.lit(0).alias("first"), F.lit(False).alias("gap"),
-            F.when(start > 0, class_at(start - 1)).otherwise(_CLASS_WHITE).alias("prev"),
+            F.when(w["start"] > 0, class_at(w["start"] - 1)).otherwise(_CLASS_WHITE).alias("prev"),
         )
 
         def step(s: Column, i: Column) -> Column:
-            return _let(F.struct(class_at(i).alias("cls"), (F.substring(folded, i + 1, F.lit(1)) == F.substring(pattern, s["p"] + 1, F.lit(1))).alias("hit")), lambda c: advance(s, c["cls"], c["hit"]))
+            return _let(F.struct(class_at(i).alias("cls"), (F.substring(w["chars"], i - w["start"] + 1, F.lit(1)) == F.substring(pattern, s["p"] + 1, F.lit(1))).alias("hit")), lambda c: advance(s, c["cls"], c["hit"]))
 
         def advance(s: Column, cls: Column, hit: Column) -> Column:
             def with_bonus(b: Column) -> Column:
@@ -82,9 +87,9 @@ def window_score(name: Column, folded: Column, text: str, start: Column, end: Co
             )
             return F.when(s["p"] >= m, s).when(hit, _let(_bonus(s["prev"], cls), with_bonus)).otherwise(passed)
 
-        return F.aggregate(F.sequence(start.cast("int"), end.cast("int") - 1), zero, step, lambda s: s["score"])
+        return F.aggregate(F.sequence(w["start"], w["end"] - 1), zero, step, lambda s: s["score"])
 
-    return _let(class_codes(name), with_codes)
+    return _let(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")), within)
 
 
 _WORD_EDGE = r"(?:(?<=[ _\-.(\[{,;+@#~\\/])|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L}))"
@@ -159,29 +164,44 @@ def match(name: Column, folded: Column, term: Term, fuzzy: bool = True, typos: b
     if term.kind == "path":
         return F.lit(False), F.lit(NO_MATCH), F.lit(0)
     hit = F.contains(folded, F.lit(t))
-    at = F.locate(t, folded)
-    whole = (F.length(folded) == m) | (F.length(folded) - F.length(F.substring_index(folded, ".", -1)) - 1 == m)
-    edge = word_start(name, t)
-    literal = F.when(edge > 0, edge - 1).otherwise(at - 1)
-    tier = F.when(at == 1, F.when(whole, 0).otherwise(1)).when(at > 1, F.when(edge > 0, 2).otherwise(3))
-    start, end = F.when(at == 1, 0).when(at > 1, literal), F.when(at == 1, m).when(at > 1, literal + m)
-    if fuzzy and m >= 2:
+    subsequence = fuzzy and m >= 2
+    if subsequence:
         ahead, back = subsequence_patterns(t)
-        stop = F.length(F.regexp_extract(folded, ahead, 0))
-        span = F.length(F.regexp_extract(F.reverse(F.substring(folded, F.lit(1), stop)), back, 0))
-        near = (at == 0) & (stop > 0) & (span <= 2 * m + 3)
-        hit = hit | near
-        tier = tier.when(near, 4)
-        start, end = start.when(near, stop - span), end.when(near, stop)
-    score = F.when(start.isNotNull(), window_score(name, folded, t, start, end))
-    if typos and term.allows_typos:
+        stop_of = F.length(F.regexp_extract(folded, ahead, 0))
+        span_of = lambda stop: F.length(F.regexp_extract(F.reverse(F.substring(folded, F.lit(1), stop)), back, 0))
+        hit = hit | ((F.locate(t, folded) == 0) & (stop_of > 0) & (span_of(stop_of) <= 2 * m + 3))
+    with_typos = typos and term.allows_typos
+    if with_typos:
         k = term.max_typos
         missing = reduce(lambda a, c: a + F.when(F.contains(folded, F.lit(c)), 0).otherwise(1), dict.fromkeys(t), F.lit(0))
         distance = F.when((missing <= k) & (F.length(folded) >= m - k), typo_distance(folded, t, k)).otherwise(k + 1)
         hit = hit | (distance <= k)
-        tier = tier.when(distance <= k, 5)
-        score = score.when(distance <= k, 100 - 30 * distance)
-    return hit, tier.otherwise(NO_MATCH), score.otherwise(0)
+
+    # For the rows that pass, each piece is computed once, and only where the tier hangs on it.
+    def placed(at: Column) -> Column:
+        none = F.lit(0)
+        stop = F.when(at == 0, stop_of).otherwise(0) if subsequence else none
+        return _let(F.struct(at.alias("at"), F.when(at > 1, word_start(name, t)).otherwise(0).alias("edge"), stop.alias("stop")), spanned)
+
+    def spanned(p: Column) -> Column:
+        span = F.when(p["stop"] > 0, span_of(p["stop"])).otherwise(0) if subsequence else F.lit(0)
+        return _let(F.struct(p["at"].alias("at"), p["edge"].alias("edge"), p["stop"].alias("stop"), span.alias("span")), judged)
+
+    def judged(p: Column) -> Column:
+        at, edge, stop, span = p["at"], p["edge"], p["stop"], p["span"]
+        whole = (F.length(folded) == m) | (F.length(folded) - F.length(F.substring_index(folded, ".", -1)) - 1 == m)
+        near = (stop > 0) & (span <= 2 * m + 3)
+        tier = F.when(at == 1, F.when(whole, 0).otherwise(1)).when(at > 1, F.when(edge > 0, 2).otherwise(3)).when(near, 4)
+        start = F.when(at == 1, 0).when(at > 1, F.when(edge > 0, edge - 1).otherwise(at - 1)).when(near, stop - span)
+        end = F.when(at > 0, start + m).when(near, stop)
+        score = F.when((at > 0) | near, window_score(name, folded, t, start, end))
+        if not with_typos:
+            return F.struct(tier.otherwise(NO_MATCH).alias("tier"), score.otherwise(0).alias("score"))
+        far = F.when((at == 0) & ~near, distance).otherwise(k + 1)
+        return _let(far, lambda d: F.struct(tier.when(d <= k, 5).otherwise(NO_MATCH).alias("tier"), score.when(d <= k, 100 - 30 * d).otherwise(0).alias("score")))
+
+    best = _let(F.locate(t, folded), placed)
+    return hit, best["tier"], best["score"]
 
 
 def highlight_ranges(name: str, terms: list[str]) -> list[tuple[int, int]]:
