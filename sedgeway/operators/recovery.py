@@ -138,6 +138,7 @@ def with_folders(deleted: DataFrame, live_folders: DataFrame, all_records: DataF
 
     A parent is the live folder of that record number, or else a deleted folder whose sequence is the
     parent's or one more; of such chains 2^rounds steps are followed by pointer doubling. Unresolved: null.
+    ``all_records`` has one row for each slot of a volume, as one file table does.
     """
     live = live_folders.select(F.col("volume_id").alias("l_vol"), F.col("record_no").alias("l_rec"), F.col("full_path").alias("l_path"))
     dead = all_records.filter("is_dir and not in_use").select("volume_id", "record_no", "sequence", "parent_record", "parent_sequence", "name")

@@ -34,6 +34,30 @@ def test_finds_are_published_in_order(spark, tmp_path):
     assert sorted(n for _, v, n in sent if v == "v") == [50, 500, 500]
 
 
+def test_reports_of_any_number_of_files(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    from datetime import datetime
+
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from sedgeway.operators import export
+
+    when = datetime(2024, 1, 2, 3, 4, 5)
+    rows = [(f"C:\\a & <{i}>", f"D:\\{i}", i, "ab" * 32 if i % 2 else None, "Good", "Undelete", "cut\nshort" if i == 3 else None, when if i else None, [(0, 10, 4096), (10, 5, -1)] if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "original_path string, recovered_path string, bytes long, sha256 string, final_grade string, source string, error string, modified timestamp_ntz, runs array<struct<file_offset: bigint, len: bigint, img_offset: bigint>>").repartition(3)
+    export.write_dfxml(df, f"{tmp_path}/report", "C:", when, when)
+    names = sorted(p for p in (tmp_path / "report").iterdir() if p.suffix in (".txt", ".xml"))
+    whole = ET.fromstring("".join(p.read_text() for p in names))
+    one = ET.fromstring(export.dfxml(df, "C:", when, when))
+    parts = lambda top: sorted(ET.tostring(o, encoding="unicode").split() for o in top if o.tag.endswith("fileobject"))
+    assert len(names) == 5 and len(parts(whole)) == 40 and "".join(sum(parts(whole), [])) == "".join(sum(parts(one), []))
+    with pytest.raises(AnalysisException):
+        export.write_dfxml(df, f"{tmp_path}/report", "C:", when, when)
+    export.write_dfxml(df.limit(0), f"{tmp_path}/none", "C:", when, when)
+    assert len(ET.fromstring("".join(p.read_text() for p in sorted((tmp_path / "none").iterdir()) if p.suffix in (".txt", ".xml")))) == 3
+
+
 def test_children_of_deleted_folders_deeper_than_one_level(spark):
     rows = [("C", 10 + i, 2, i < 4, 9 + i if i else 5, 1 if i else 1, f"n{i}") for i in range(5)]
     records = spark.createDataFrame([(v, n, s, False, d, 0, up, useq, name) for v, n, s, d, up, useq, name in rows], "volume_id string, record_no long, sequence int, in_use boolean, is_dir boolean, base_record long, parent_record long, parent_sequence int, name string")
