@@ -188,10 +188,10 @@ class Encoder:
 _encoder: list = [None, None]
 
 
-def encoder_for(vocabulary) -> Encoder:
-    """This process's encoder for a broadcast vocabulary."""
-    if _encoder[0] is not vocabulary.value:
-        _encoder[:] = [vocabulary.value, Encoder(vocabulary.value)]
+def encoder_for(vocabulary, memo: int = MEMO) -> Encoder:
+    """This process's encoder for a broadcast vocabulary, remembering ``memo`` pre-tokens."""
+    if _encoder[0] is not vocabulary.value or _encoder[1].memo.limit != memo:
+        _encoder[:] = [vocabulary.value, Encoder(vocabulary.value, memo)]
     return _encoder[1]
 
 
@@ -244,13 +244,13 @@ def _lists(batch: pa.RecordBatch, column: str) -> Iterator[list[int]]:
     return (x.as_py() for x in batch.column(column))
 
 
-def digests(df: DataFrame, vocabulary, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``): encoded, then decoded from the ids, in one pass."""
+def digests(df: DataFrame, vocabulary, text: str = "text", keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``): encoded, then decoded from the ids, in one pass. A worker remembers ``memo`` pre-tokens."""
     ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
     added = T.StructType([*ids_field, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def make():
-        encoder = encoder_for(vocabulary)
+        encoder = encoder_for(vocabulary, memo)
         decimal = {i: str(i) for i in encoder.bytes_of}
         sha = hashlib.sha256
 
