@@ -569,14 +569,15 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words:
     release(df.sparkSession)
     w = Window.partitionBy(keys).orderBy("_hash")  # rows that repeat: each task sends one of them
     once = named.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
-    reps = store(once.join(first, keys))
-    several = reps.filter("_comp is not null")
-    sets = store(_sets(several.select(F.col("_node").alias("node"), F.col("_comp").alias("comp"), F.col("_n").alias("n"), text), text, n_words))
+    # Only narrow rows are kept between the steps: texts are sent for the sets of what may be similar, and once more for the result.
+    several = first.filter("_comp is not null").select(*keys, F.col("_node").alias("node"), F.col("_comp").alias("comp"), F.col("_n").alias("n"))
+    sets = cut(_sets(once.select(text, *keys).join(several, keys).select("node", "comp", "n", text), text, n_words))
     label = similar_groups(sets, similarity)
-    grouped = several.select("_node", "_row").join(label, F.col("_node") == F.col("node"), "left")
-    stays = cut(grouped.groupBy(F.coalesce("label", "_node").alias("group")).agg(F.min(F.struct("_row", "_node")).alias("x")).select("x._node"))
-    kept = reps.filter("_comp is null").unionByName(several.join(stays, "_node", "left_semi").select(reps.columns))
-    return kept.select(df.columns)
+    grouped = first.filter("_comp is not null").select("_node", "_row").join(label, F.col("_node") == F.col("node"), "left")
+    leads = cut(grouped.groupBy(F.coalesce("label", "_node").alias("group")).agg(F.min(F.struct("_row", "_node")).alias("x")).select("x._node"))
+    discard(sets)
+    stay = cut(first.filter("_comp is null").select(keys).unionByName(first.join(leads, "_node", "left_semi").select(keys)))
+    return once.join(stay, keys, "left_semi").select(df.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
