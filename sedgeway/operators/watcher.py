@@ -1,30 +1,35 @@
 """Watcher events by path, applied to the entries of a tree in their order.
 
-The events of a batch are few (``OVERFLOW`` at most, else a new scan is due) and are composed first, volume by volume: a
-sparse tree of the paths that they name tells, in order, which folder each path means at that time. What comes out is
-one mapping from old subtrees to their new places, or to none, with the entries that are new. The entries, however
-many, then take the mapping of their longest prefix: one broadcast join for each depth at which a mapping starts.
+The events of a batch (``OVERFLOW`` at most, else a new scan is due) are composed first. They fall into parts that don't meet
+(``_parted``), and for each part a sparse tree of the paths that it names tells, in order, which folder each path means at that
+time; a task holds one part. What comes out is one mapping from old subtrees to their new places, or to none, with the
+entries that are new. The entries, however many, then take the mapping of their longest prefix: one join for each depth at
+which a mapping starts.
 
 An event's meaning hangs on what was there before: a path below a folder that the batch has renamed is looked up under
-its old name. The names that composing asks for and that haven't been looked up yet are looked up, and the batch is composed
+its old name. The names that composing asks for and that haven't been looked up yet are looked up, and their parts are composed
 again; most batches need one pass or two.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedgeway.functions.names import fold
+from sedgeway.operators.components import connected_components
 from sedgeway.runtime import cut, discard
 from sedgeway.sources.entries import derive
 
 #: Events of a batch at most. Fixed value.
 OVERFLOW = 200_000
-_OUT = "volume_id string, what string, old_fold string, old_path string, new_path string, is_dir boolean, stale boolean, parent_entry bigint, parent_path string"
+_OUT = "volume_id string, part bigint, what string, old_fold string, old_path string, new_path string, is_dir boolean, stale boolean, parent_entry bigint, parent_path string"
 
 
 class Watched(NamedTuple):
@@ -165,17 +170,84 @@ class Tree:
         return out
 
 
-def _composed(events: DataFrame, known: DataFrame, root: str | None) -> DataFrame:
-    def one(key: tuple, events: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree({p: None if pd.isna(e) else (int(e), f, bool(d)) for p, e, f, d in zip(known["asked"], known["entry_id"], known["full_path"], known["is_dir"])}, root)
-        for r in events.sort_values("seq").itertuples(index=False):
-            if isinstance(r.path, str):
-                tree.apply(r.kind, r.path, r.old_path if isinstance(r.old_path, str) else None, bool(r.is_dir))
-        rows = [("ask", p, *[None] * 6) for p in sorted(tree.asked)] or tree.rows()
-        frame = pd.DataFrame([(key[0], *r) for r in rows], columns=[x.split()[0] for x in _OUT.split(", ")])
-        return frame.astype({"parent_entry": "Int64", "is_dir": "boolean", "stale": "boolean"})
+def _prefixes(path: Column) -> Column:
+    """The folded path of every folder down to ``path``, itself the last."""
+    parts = F.split(fold(F.regexp_replace(path, r"\\+$", "")), r"\\")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "\\"))
+
+
+def _one_spelling(events: DataFrame) -> DataFrame:
+    """``events`` whose paths begin with their drive as the first event of the volume spells it."""
+    head = lambda c: F.substring_index(c, "\\", 1)
+    paths = events.select("volume_id", F.inline(F.array(*[F.struct("seq", F.lit(i).alias("i"), F.col(c).alias("p")) for i, c in enumerate(("old_path", "path"))]))).filter("p != ''")
+    several = paths.groupBy("volume_id", fold(head(F.col("p"))).alias("_head")).agg(F.min_by(head(F.col("p")), F.struct("seq", "i")).alias("_as"), (F.min(head(F.col("p"))) != F.max(head(F.col("p")))).alias("_differ"))
+    several = F.broadcast(several.filter("_differ").drop("_differ"))  # drives in two spellings
+    for c in ("path", "old_path"):
+        at = F.length(head(F.col(c)))
+        joined = events.withColumn("_head", fold(head(F.col(c)))).join(several, ["volume_id", "_head"], "left")
+        events = joined.withColumn(c, F.when(F.col("_as").isNull(), F.col(c)).otherwise(F.concat("_as", F.substr(F.col(c), at + 1)))).select(events.columns)
+    return events
+
+
+def _parted(events: DataFrame) -> DataFrame:
+    """``events`` with ``part``: events of two parts don't meet, whatever their order.
 
-    return events.groupBy("volume_id").cogroup(known.groupBy("volume_id")).applyInPandas(one, _OUT)
+    An event changes what stands at its paths and reads the folders above, so two events can meet only if a path of one is a
+    path of the other or lies below it. All paths that lie below one highest path of the batch are of its part, and a rename
+    joins the parts of its two paths.
+    """
+    place = lambda c: fold(F.regexp_replace(F.regexp_replace(c, r"\\+$", ""), r"\\+", r"\\\\"))
+    placed = events.withColumns({"_at": place(F.col("path")), "_old": place(F.col("old_path"))})
+    paths = cut(placed.select("volume_id", F.explode(F.array("_at", "_old")).alias("_p")).filter("_p is not null").distinct())
+    above = paths.select("volume_id", "_p", F.explode(F.filter(_prefixes(F.col("_p")), lambda up: up != F.col("_p"))).alias("_up"))
+    taken = cut(above.select("volume_id", "_up").distinct().join(paths.select("volume_id", F.col("_p").alias("_up")), ["volume_id", "_up"], "left_semi"))
+    tops = cut(above.join(taken, ["volume_id", "_up"]).groupBy("volume_id", "_p").agg(F.min_by("_up", F.length("_up")).alias("_top")))
+    for c, to in (("_at", "a"), ("_old", "b")):
+        placed = placed.join(tops.withColumnRenamed("_p", c), ["volume_id", c], "left").withColumn(to, F.when(F.col(c).isNotNull(), F.xxhash64("volume_id", F.coalesce("_top", c)))).drop("_top")
+    placed = cut(placed.drop("_at", "_old"))
+    roots = connected_components(placed.filter("a != b")).withColumnRenamed("node", "a")
+    out = cut(placed.join(roots, "a", "left").withColumn("part", F.coalesce("root", "a")).drop("a", "b", "root"))
+    discard(paths, taken, tops, placed)
+    return out
+
+
+def _composed(events: DataFrame, known: DataFrame, root: str | None) -> DataFrame:
+    """What each part of the batch asks for, or else its mappings and new entries. A task passes over parts one after another and holds one."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(_OUT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        at, tree = None, None
+
+        def close() -> None:
+            rows = [("ask", p, *[None] * 6) for p in sorted(tree.asked)] or tree.rows()
+            done.extend((*at, *r) for r in rows)
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done)) if done else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for volume, part, kind, path, other, is_dir, entry in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+                if (volume, part) != at:
+                    if at is not None:
+                        close()
+                    at, tree = (volume, part), Tree({}, root)
+                if kind is None:  # what is known comes before the events
+                    tree.known[path] = None if entry is None else (entry, other, bool(is_dir))
+                else:
+                    tree.apply(kind, path, other, is_dir)
+            if len(done) >= 4096:
+                yield out()
+                done = []
+        if at is not None:
+            close()
+        yield out()
+
+    told = known.select("volume_id", "part", F.lit(None).cast("string").alias("kind"), F.col("asked").alias("path"), F.col("full_path").alias("old_path"), "is_dir", "entry_id", F.lit(0).alias("_i"), F.lit(None).cast(events.schema["seq"].dataType).alias("seq"))
+    rows = told.unionByName(events.select("volume_id", "part", "kind", "path", "old_path", "is_dir", F.lit(None).cast("long").alias("entry_id"), F.lit(1).alias("_i"), "seq"))
+    dealt = rows.repartition("volume_id", "part").sortWithinPartitions("volume_id", "part", "_i", "seq")
+    return dealt.select("volume_id", "part", "kind", "path", "old_path", "is_dir", "entry_id").mapInArrow(run, _OUT)
 
 
 def watch_batch(entries: DataFrame, events: DataFrame, overflow: int = OVERFLOW, root: str | None = None) -> Watched:
@@ -189,30 +261,34 @@ def watch_batch(entries: DataFrame, events: DataFrame, overflow: int = OVERFLOW,
     """
     spark = entries.sparkSession
     events = events.select("volume_id", "seq", "kind", "path", "old_path", F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
-    if events.limit(overflow + 1).count() > overflow:
+    if events.count() > overflow:
         return Watched(entries, None, True)
+    events = events.filter(F.col("path").isNotNull() & F.col("kind").isin("created", "changed", "deleted", "renamed")).withColumn("old_path", F.when(F.col("kind") == "renamed", F.col("old_path")))
+    events = _parted(cut(events if root is not None else _one_spelling(cut(events))))
     live = entries.filter(~F.coalesce("deleted", F.lit(False)))
-    parts = F.split(fold(F.regexp_replace(F.col("p"), r"\\+$", "")), r"\\")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "\\"))
-    named = events.select("volume_id", F.explode(F.array("path", "old_path")).alias("p")).filter("p is not null").select("volume_id", F.explode(prefixes).alias("asked")).distinct()
-    asked = cut(named)
+    asked = cut(events.select("volume_id", "part", F.explode(F.array("path", "old_path")).alias("p")).filter("p is not null").select("volume_id", "part", F.explode(_prefixes(F.col("p"))).alias("asked")).distinct())
     index = live.select("volume_id", F.col("fold_path").alias("asked"), "entry_id", "full_path", "is_dir")
+    done: DataFrame | None = None
     while True:
-        known = asked.join(index.join(F.broadcast(asked), ["volume_id", "asked"], "left_semi").dropDuplicates(["volume_id", "asked"]), ["volume_id", "asked"], "left")  # asked: parts of the batch's paths
-        done = cut(_composed(events, known, root))
-        more = done.filter("what = 'ask'").select("volume_id", F.col("old_fold").alias("asked"))
+        there = index.join(asked.select("volume_id", "asked").distinct(), ["volume_id", "asked"], "left_semi").dropDuplicates(["volume_id", "asked"])
+        told = cut(_composed(events, asked.join(there, ["volume_id", "asked"], "left"), root))
+        settled = told.filter("what != 'ask'")
+        done = settled if done is None else done.unionByName(settled)
+        more = told.filter("what = 'ask'").select("volume_id", "part", F.col("old_fold").alias("asked"))
         if more.isEmpty():
             break
-        before, asked = asked, cut(asked.unionByName(more))
-        discard(before, done)
-    maps = done.filter("what = 'map'").withColumn("_depth", F.size(F.split("old_fold", r"\\")))
+        left = more.select("volume_id", "part").distinct()
+        before = events, asked
+        events, asked = (cut(df) for df in (events.join(left, ["volume_id", "part"], "left_semi"), asked.join(left, ["volume_id", "part"], "left_semi").unionByName(more)))
+        discard(*before)
+    maps = done.drop("part").filter("what = 'map'").distinct().withColumn("_depth", F.size(F.split("old_fold", r"\\")))
     new_id = lambda path: F.xxhash64("volume_id", path)
     parent = F.coalesce("parent_entry", new_id("parent_path"))
     maps = cut(maps.select("volume_id", "_depth", F.col("old_fold").alias("_key"), F.struct("old_fold", F.length("old_path").alias("length"), "new_path", "stale", parent.alias("parent")).alias("_hit")))
     depths = sorted(r["_depth"] for r in maps.select("_depth").distinct().collect())  # as many as a path has parts
     out = live.withColumn("_map", F.lit(None).cast(maps.schema["_hit"].dataType))
     for d in depths:  # the deepest decides
-        at = F.broadcast(maps.filter(F.col("_depth") == d).drop("_depth"))  # rows of a batch
+        at = maps.filter(F.col("_depth") == d).drop("_depth")  # broadcast by Spark if they are few
         out = out.withColumn("_key", F.substring_index("fold_path", "\\", d)).join(at, ["volume_id", "_key"], "left").withColumn("_map", F.coalesce("_hit", "_map")).drop("_key", "_hit")
     out = out.filter("_map is null or _map.new_path is not null")
     itself = F.coalesce(F.col("_map.old_fold") == F.col("fold_path"), F.lit(False))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sedgeway.operators.watcher import Tree, add_walked, watch_batch
+from sedgeway.operators.watcher import Tree, _parted, add_walked, watch_batch
 
 COLS = "volume_id string, entry_id long, parent_id long, name string, is_dir boolean, deleted boolean, metadata_known boolean, size long, full_path string, fold_path string, mine string"
 EVENTS = "volume_id string, seq long, kind string, path string, old_path string, is_dir boolean"
@@ -121,3 +121,21 @@ def test_names_are_asked_for_before_they_count():
     tree.apply("renamed", "C:\\b", "C:\\a", True)
     tree.apply("deleted", "C:\\b\\x", None, False)
     assert tree.asked == {"c:\\b", "c:\\a\\x"}
+
+
+def test_a_batch_falls_into_parts_that_do_not_meet(spark):
+    events = [
+        ("renamed", "C:\\a2", "C:\\a"), ("deleted", "C:\\A2\\x", None), ("created", "C:\\a\\\\y\\", None), ("changed", "C:\\b\\c", None), ("created", "C:\\b\\d", None), ("renamed", "C:\\e\\f", "C:\\g"), ("changed", "C:\\G\\h", None), ("created", "C:\\ab", None),
+    ]
+    df = spark.createDataFrame([("C", i, k, p, o, True) for i, (k, p, o) in enumerate(events)] + [("D", 9, "changed", "C:\\a", None, True)], EVENTS)
+    parts = {}
+    for r in _parted(df).collect():
+        parts.setdefault((r.volume_id, r.part), set()).add(r.seq)
+    assert sorted(map(sorted, parts.values())) == [[0, 1, 2], [3], [4], [5, 6], [7], [9]]
+
+
+def test_drives_in_two_spellings_give_each_entry_once(spark):
+    tree = [row(1, 0, "C:\\D", True), row(2, 1, "C:\\D\\a"), row(3, 1, "C:\\D\\b"), row(4, 1, "C:\\D\\c")]
+    df = spark.createDataFrame([("C", 1, "changed", "c:\\D\\a", None, False), ("C", 2, "renamed", "C:\\D\\b2", "c:\\D\\b", False), ("C", 3, "created", "C:\\n", None, False)], EVENTS)
+    got = watch_batch(spark.createDataFrame(tree, COLS), df).entries
+    assert sorted(r.full_path for r in got.collect()) == ["c:\\D", "c:\\D\\a", "c:\\D\\b2", "c:\\D\\c", "c:\\n"]
