@@ -2,8 +2,8 @@
 
 Whether a span is kept hangs on all before it, yet no task needs more than a block of places. Within a block the walk
 from any span on is followed to the place where it leaves the block (its skip function). The blocks' functions are composed by
-pointer doubling: each round, the spans known to be reached reach those that their pointers name, and pointers are squared, so
-a key over b blocks takes about log2(b) rounds. Last, each block that is reached is walked from where it is entered.
+pointer doubling over the spans by which blocks are entered: each round, the spans known to be reached reach those that their pointers
+name, and pointers are squared, so a key over b blocks takes about log2(b) rounds. Last, each block that is reached is walked from where it is entered.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ def uncovered(spans: DataFrame, keys: list[str], start: str = "start", end: str
     ks = [f"_k{i}" for i in range(len(keys))]
     narrow = spans.select(*named, F.floor(F.col(start) / block).cast("long").alias("_b"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
     each = cut(_walked(narrow, ks))
-    heads = each.groupBy(*ks).agg(F.min("_s").alias("_s"))
-    reached = cut(heads)
-    jump = cut(_targets(each, ks, block))
+    heads = cut(each.groupBy(*ks).agg(F.min("_s").alias("_s")))
+    reached = heads
+    jump = cut(_targets(each, heads, ks, block))
     while not jump.isEmpty():
         further = reached.join(jump, [*ks, "_s"]).select(*ks, F.col("_to").alias("_s"))
         beyond = jump.select(*ks, F.col("_s").alias("_to"), F.col("_to").alias("_far"))
@@ -99,17 +99,19 @@ def _walked(spans: DataFrame, ks: list[str], choose: bool = False) -> DataFrame:
     return spans.repartition(*ks, "_b").sortWithinPartitions(*ks, "_b", "_s").mapInArrow(run, schema)
 
 
-def _targets(each: DataFrame, ks: list[str], block: int) -> DataFrame:
-    """(keys, _s, _to): the first span at or after the place to which each span's walk leaves its block; no row where there is none.
+def _targets(each: DataFrame, heads: DataFrame, ks: list[str], block: int) -> DataFrame:
+    """(keys, _s, _to) of the ``heads`` and of all spans that some walk enters its block by: the first span at or after the place to which the span's own walk leaves its block; no row where there is none.
 
-    Places and spans are put in one order within blocks; a place after its block's last span takes the first span of the next block that has one.
+    Only these spans can be reached from block to block; most blocks have few. Places and spans are put in one order within
+    blocks; a place after its block's last span takes the first span of the next block that has one.
     """
-    asked = each.select(*ks, F.floor(F.col("_x") / block).cast("long").alias("_b"), F.col("_x").alias("_at"), F.lit(None).cast("long").alias("_to")).distinct()
+    asked = cut(each.select(*ks, F.floor(F.col("_x") / block).cast("long").alias("_b"), F.col("_x").alias("_at"), F.lit(None).cast("long").alias("_to")).distinct())
     spots = each.select(*ks, "_b", F.col("_s").alias("_at"), F.col("_s").alias("_to"))
     here = Window.partitionBy(*ks, "_b").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     near = asked.unionByName(spots).withColumn("_near", F.min("_to").over(here)).filter("_to is null").select(*ks, "_b", "_at", "_near")
     firsts = spots.groupBy(*ks, "_b").agg(F.min("_at").alias("_first")).unionByName(asked.select(*ks, "_b").distinct().withColumn("_first", F.lit(None).cast("long")))
     later = Window.partitionBy(*ks).orderBy("_b").rangeBetween(1, Window.unboundedFollowing)  # a row or two for each block
     beyond = firsts.withColumn("_later", F.min("_first").over(later)).groupBy(*ks, "_b").agg(F.min("_later").alias("_later"))
-    to = near.join(beyond, [*ks, "_b"]).select(*ks, F.col("_at").alias("_x"), F.coalesce("_near", "_later").alias("_to")).filter("_to is not null")
-    return each.select(*ks, "_s", "_x").join(to, [*ks, "_x"]).select(*ks, "_s", "_to")
+    to = cut(near.join(beyond, [*ks, "_b"]).select(*ks, F.col("_at").alias("_x"), F.coalesce("_near", "_later").alias("_to")).filter("_to is not null"))
+    entries = to.select(*ks, F.col("_to").alias("_s")).unionByName(heads).distinct()
+    return each.select(*ks, "_s", "_x").join(entries, [*ks, "_s"], "left_semi").join(to, [*ks, "_x"]).select(*ks, "_s", "_to")
