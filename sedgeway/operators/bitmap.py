@@ -96,11 +96,11 @@ def from_runs(alloc: DataFrame, totals: DataFrame) -> DataFrame:
     return _blocks(cut.select("volume_id", "block", (start - F.col("block") * BLOCK).alias("at"), (F.least(end, (F.col("block") + 1) * BLOCK) - start).alias("n"), F.lit(None).cast("binary").alias("data")), totals)
 
 
-def _rank(offset: Column) -> Column:
-    """Clusters in use before place ``offset`` of a block."""
+def _rank(offset: Column, before: Column | str = "before") -> Column:
+    """Clusters in use before place ``offset`` of a block, and ``before`` it."""
     word, bit = F.floor(offset / WORD).cast("int"), (offset % WORD).cast("int")
     mask = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), bit))
-    return F.col("before") + F.get("ranks", word) + F.bit_count(F.get("words", word).bitwiseAND(mask))
+    return (F.col(before) if isinstance(before, str) else before) + F.get("ranks", word) + F.bit_count(F.get("words", word).bitwiseAND(mask))
 
 
 def allocated_in(runs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -112,6 +112,26 @@ def allocated_in(runs: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.sum(F.col("sign") * (_rank(F.col("x") % BLOCK) + F.col("past"))).alias("allocated")).filter("allocated > 0")
 
 
+def overlaps(runs: DataFrame, alloc: DataFrame) -> DataFrame:
+    """(id, allocated): clusters of ``alloc`` (volume_id, start_lcn, len), whose rows may overlap, in the stored runs (id, volume_id, lcn, clusters) of each id; ids without any are left out. There is no volume's end: what isn't told of is free.
+
+    Runs are cut at block borders and meet the blocks that have clusters in use, one row for each, so no pairs of runs are
+    formed. What is in use of a piece is the difference of two ranks within its block.
+    """
+
+    def cut_up(df: DataFrame, start: Column, end: Column, *keep: str) -> DataFrame:
+        b = df.withColumns({"_s": F.greatest(start, F.lit(0)), "_e": end}).filter("_e > _s")
+        b = b.withColumn("block", F.explode(F.sequence(F.floor(F.col("_s") / BLOCK), F.floor((F.col("_e") - 1) / BLOCK))))
+        return b.select(*keep, "volume_id", "block", (F.greatest("_s", F.col("block") * BLOCK) - F.col("block") * BLOCK).alias("s"), (F.least("_e", (F.col("block") + 1) * BLOCK) - F.col("block") * BLOCK).alias("e"))
+
+    pieces = cut_up(runs.filter("lcn >= 0"), F.col("lcn"), F.col("lcn") + F.col("clusters"), "id")
+    used = cut_up(alloc, F.col("start_lcn"), F.col("start_lcn") + F.col("len"))
+    blocks = _folded(used.select("volume_id", "block", F.col("s").alias("at"), (F.col("e") - F.col("s")).alias("n"), F.lit(None).cast("binary").alias("data")))
+    upto = lambda x: F.when(x == BLOCK, F.col("taken").cast("long")).otherwise(_rank(x, F.lit(0).cast("long")))
+    met = pieces.join(blocks, ["volume_id", "block"])
+    return met.groupBy("id").agg(F.sum(upto(F.col("e")) - upto(F.col("s"))).alias("allocated")).filter("allocated > 0")
+
+
 def free_runs_of(blocks: DataFrame) -> DataFrame:
     """(volume_id, start_lcn, len) of the maximal free runs. Runs are found within blocks, joined within lots of blocks, and then over the lots' borders."""
 

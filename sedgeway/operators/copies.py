@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedgeway.functions.binary import lznt1
-from sedgeway.operators.bitmap import allocated_in
-from sedgeway.operators.recovery import COMPRESSION_UNITS, FLAG_COMPRESSED, FLAG_ENCRYPTED, good_runs, overlaps
+from sedgeway.operators.bitmap import allocated_in, overlaps
+from sedgeway.operators.recovery import COMPRESSION_UNITS, FLAG_COMPRESSED, FLAG_ENCRYPTED, good_runs
+from sedgeway.runtime import cut
 from sedgeway.schemas import RUNS
 
 #: Grades by loss in a copy; others stay as they are. Fixed values.
@@ -173,6 +174,7 @@ def copies(files: DataFrame, clusters: DataFrame, alloc: DataFrame | None = None
     clusters in use now, to Partial for lost ones and to Zeroed if all are lost; it never goes up. What can't be copied has an error and no digest.
     """
     planned = _planned(files, cluster, total_clusters)
+    planned = cut(planned.select("volume_id", "record_no", "grade", "resident_data", *[c for c in planned.columns if c.startswith("_")]))  # read by every step below
     done = _folded(planned, clusters, cluster).select(F.col("volume_id").alias("f_vol"), F.col("record_no").alias("f_rec"), "bytes", F.col("sha256").alias("f_sha"), "lost", "fault")
     out = planned.withColumn("byte_runs", _byte_runs(cluster)).join(done, (F.col("volume_id") == F.col("f_vol")) & (F.col("record_no") == F.col("f_rec")), "left")
     if alloc is None:

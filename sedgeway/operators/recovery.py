@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sedgeway.operators.bitmap import allocated_in, free_runs_of, from_runs
+from sedgeway.operators.bitmap import allocated_in, free_runs_of, from_runs, overlaps
 from sedgeway.runtime import cut
 
-#: Clusters of a block in which runs meet the bitmap.
-BLOCK = 4096
 FIRST_USER_RECORD = 16
 ROOT_RECORD = 5
 #: Record flags. Fixed values.
@@ -52,24 +50,6 @@ def deleted_records(records: DataFrame) -> DataFrame:
     return records.filter(~F.col("in_use") & (F.coalesce("base_record", F.lit(0)) == 0) & F.col("name").isNotNull() & (F.col("record_no") >= FIRST_USER_RECORD) & ~system)
 
 
-def overlaps(runs: DataFrame, alloc: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, allocated): allocated clusters in the stored runs (id, volume_id, lcn, clusters) of each id.
-
-    An interval join by blocks: both sides are cut at block borders and meet by (volume, block), so a long
-    run is spread over tasks and no pair of far intervals is formed. ``alloc`` rows must not overlap.
-    """
-
-    def cut_up(df: DataFrame, start: Column, length: Column, *keep: str) -> DataFrame:
-        b = df.withColumns({"_s": start, "_e": start + length}).filter(length > 0)
-        b = b.withColumn("b", F.explode(F.sequence(F.floor(F.col("_s") / block), F.floor((F.col("_e") - 1) / block))))
-        return b.select(*keep, "volume_id", "b", F.greatest("_s", F.col("b") * block).alias("s"), F.least("_e", (F.col("b") + 1) * block).alias("e"))
-
-    left = cut_up(runs.filter("lcn >= 0"), F.col("lcn"), F.col("clusters"), "id")
-    right = cut_up(alloc, F.col("start_lcn"), F.col("len")).select(F.col("volume_id").alias("v2"), F.col("b").alias("b2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    met = left.join(right, (F.col("volume_id") == F.col("v2")) & (F.col("b") == F.col("b2")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
-    return met.groupBy("id").agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("allocated"))
-
-
 def good_runs(runs: Column, total_clusters: int | None = None) -> Column:
     """Whether runs can be followed: positive lengths and, if the volume's size is given, all inside it and no more clusters than it has."""
     none = F.array().cast("array<struct<vcn:bigint,lcn:bigint,clusters:bigint>>")

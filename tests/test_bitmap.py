@@ -66,3 +66,16 @@ def test_grades_by_ranks_of_runs_up_to_the_last_cluster(spark, tmp_path):
     spark.createDataFrame([(k,) for k in range(6000)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got, want = (sorted(map(tuple, catalogue.QUERIES[q](spark, str(tmp_path)).collect())) for q in ("q61_grade_by_ranks", "q35_grade"))
     assert got == want
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(8)
+    alloc = [(v, rng.randrange(20_000), rng.choice([1, 12, 64, 700, 5000])) for v in "ab" for _ in range(25)] + [("a", 8192, 4096), ("c", -3, 5), ("c", 90, 0)]
+    used = {(v, i) for v, s, n in alloc for i in range(s, s + n)}
+    runs = [(i % 150, v, rng.randrange(26_000), rng.choice([1, 4, 63, 4096, 9000])) for i in range(300) for v in [rng.choice("abd")]] + [(200, "a", 8192, 4096), (201, "a", -1, 50), (202, "c", 0, 9), (203, "c", 90, 9)]
+    want = {}
+    for i, v, lcn, n in runs:
+        if lcn >= 0:
+            want[i] = want.get(i, 0) + sum((v, x) in used for x in range(lcn, lcn + n))
+    got = B.overlaps(spark.createDataFrame(runs, "id long, volume_id string, lcn long, clusters long"), spark.createDataFrame(alloc, "volume_id string, start_lcn long, len long"))
+    assert {r.id: r.allocated for r in got.collect()} == {i: n for i, n in want.items() if n}

@@ -66,3 +66,18 @@ def test_names_of_programs_and_evidence_of_first_clusters(spark):
     none = spark.createDataFrame([], "volume_id string, start_lcn long, len long")
     graded = {r.record_no: r.grade for r in grade(df.withColumn("initialized_size", F.lit(128).cast("long")).withColumn("real_size", F.lit(128).cast("long")), none, cluster_size=64, evidence=first_clusters(df, clusters)).collect()}
     assert graded == {20: "Excellent", 21: "Good", 22: "Excellent", 23: "Zeroed", 24: "Zeroed", 25: "Excellent"}
+
+
+def test_files_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame([file(i, 512, [(0, i, 1)]) for i in range(1, 41)], SCHEMA).mapInArrow(count, SCHEMA)
+    image = spark.createDataFrame([("v", i, bytearray([i]) * 512) for i in range(50)], "volume_id string, lcn long, data binary")
+    alloc = spark.createDataFrame([("v", 1, 2)], "volume_id string, start_lcn long, len long")
+    assert copies(files, image, alloc, 512, 1000).filter("final_grade = 'Overwritten'").count() == 2
+    assert seen.value == 40
