@@ -244,8 +244,8 @@ def _lists(batch: pa.RecordBatch, column: str) -> Iterator[list[int]]:
     return (x.as_py() for x in batch.column(column))
 
 
-def digests(df: DataFrame, vocabulary, text: str = "text", keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``): encoded, then decoded from the ids, in one pass. A worker remembers ``memo`` pre-tokens."""
+def digests(df: DataFrame, vocabulary, text: str = "text", keep_ids: bool = False, memo: int = MEMO, keep: bool = True) -> DataFrame:
+    """``df`` (unless ``keep``, without ``text``) with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``): encoded, then decoded from the ids, in one pass. A worker remembers ``memo`` pre-tokens."""
     ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
     added = T.StructType([*ids_field, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -267,7 +267,7 @@ def digests(df: DataFrame, vocabulary, text: str = "text", keep_ids: bool = Fals
 
         return work
 
-    return map_arrow(df, text, make, added)
+    return map_arrow(df, text, make, added, keep)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

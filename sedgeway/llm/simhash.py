@@ -24,8 +24,9 @@ within ``SEARCH_DISTANCE`` bits as candidates (texts of too different sizes are
 compared) and links two texts of a candidate group if their sets of five-word shingles have a Jaccard
 similarity of 0.8 or more, exactly. Within a group, only texts that share one of their rarest shingles can
 be that similar (with the group's own counts as the order, and prefixes as long as that similarity needs);
-such sharers are joined to a few leaders of each shingle at a time, verified, and what is already connected
-is not looked at again, so that no group's pairs are written out.
+such sharers, but for those that bounds by place and by parities rule out, are joined to a few leaders of
+each shingle at a time, verified, and what is already connected is not looked at again, so that no group's
+pairs are written out.
 
 Equal fingerprints (``keep_one``: equal sets of shingles) are merged before any of this, so a group of
 copies is one row. Components come from star rounds on those forests.
@@ -45,7 +46,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -69,6 +70,9 @@ PAIR_COST = 0.002
 #: Nodes and shingles of a candidate group up to which one task compares its sets.
 SMALL_NODES = 64
 SMALL_SHINGLES = 1 << 21
+#: 64-bit words of the parities by which pairs of large groups are told apart before they are written.
+PARITY_WORDS = 4
+_PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
 _VOTES = 1 << 15
 
 
@@ -427,7 +431,7 @@ def shingle_set(text: bytes, n_words: int = SHINGLE, seed: int = SEED) -> np.nda
 
 
 def _marks(df: DataFrame, text: str, n_words: int) -> DataFrame:
-    """``df`` with ``fp``, and size ``n`` and hash ``h`` of the set of shingles of ``n_words`` words."""
+    """``df`` without ``text``, with ``fp``, and size ``n`` and hash ``h`` of the set of shingles of ``n_words`` words."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -442,7 +446,7 @@ def _marks(df: DataFrame, text: str, n_words: int) -> DataFrame:
 
         return work
 
-    return map_arrow(df, text, make, T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]))
+    return map_arrow(df, text, make, T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]), keep=False)
 
 
 def _sets(df: DataFrame, text: str, n_words: int) -> DataFrame:
@@ -451,7 +455,7 @@ def _sets(df: DataFrame, text: str, n_words: int) -> DataFrame:
     def make():
         return lambda batch: {"s": [shingle_set(t or b"", n_words) for t in batch.column(text).cast(pa.binary()).to_pylist()]}
 
-    return map_arrow(df.select("node", "comp", "n", text), text, make, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])).drop(text)
+    return map_arrow(df.select("node", "comp", "n", text), text, make, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))]), keep=False)
 
 
 def _compared(sets: DataFrame, similarity: float) -> DataFrame:
@@ -509,37 +513,56 @@ def similar_groups(sets: DataFrame, similarity: float = SIMILARITY, small: int =
     return near if large.isEmpty() else near.unionByName(_in_rounds(store(sets.join(large, "comp", "left_semi")), similarity))
 
 
-def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFrame:
-    """``similar_groups`` for comps of any size.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, comp, n, alone, s, rest) and parities: of each node, those of its shared shingles that stand in its prefix.
 
-    Rows for a shingle: of each node, those of its shared shingles that stand in its prefix, unshared ones being
-    the first, then the rarest. A set needs the longer prefix against smaller sets and the shorter one, ``idx``,
-    against greater ones. Each round takes some leaders of every shingle that still has several labels (four times as
-    many as in the round before), verifies them against the others, and joins the labels; leaders are then done. Sets of
-    which others hold the largest share lead first, so an original comes before its edited copies, which it links at once.
+    Unshared shingles, ``alone`` of them, are the first, then the rarest; ``rest`` counts what stands from ``s`` on. The
+    parities are those of the number of shared shingles, by bits of their hashes.
     """
     each = sets.select("node", "comp", "n", F.explode("s").alias("s"))
     shared = cut(each.groupBy("comp", "s").agg(F.count("*").alias("times")).filter("times > 1"))
-    ordered = each.join(shared, ["comp", "s"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    odd = [F.coalesce(F.bit_xor(F.when(F.pmod(F.shiftright("s", 6), F.lit(PARITY_WORDS)) == k, bit)), F.lit(0).cast("long")).alias(p) for k, p in enumerate(_PARITY)]
+    ordered = each.join(shared, ["comp", "s"]).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("x"), *odd)
     alone = F.col("n") - F.size("x")
     longer = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone
-    shorter = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1 - alone
     prefix = F.slice("x", 1, F.greatest(longer, F.lit(0)).cast("int"))
-    rows = ordered.select("node", "comp", "n", (alone / F.col("n")).alias("rank"), F.posexplode(prefix).alias("at", "x"), shorter.alias("short")).select("node", "comp", "n", "rank", F.col("x.s").alias("s"), (F.col("at") < F.col("short")).alias("idx"))
+    rows = ordered.select("node", "comp", "n", alone.alias("alone"), *_PARITY, F.posexplode(prefix).alias("at", "x"))
+    return rows.select("node", "comp", "n", "alone", *_PARITY, F.col("x.s").alias("s"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Bounds on a row of ``_prefixes`` and a leader's (``l_``) of the same shingle, which hold in one row at least for each pair of that similarity.
+
+    From the first shingle that two sets share on, each has all that they share. They differ in all their unshared
+    shingles, and in one at least for each parity in which they differ.
+    """
+    both = F.col("n") + F.col("l_n")
+    sizes = F.least("n", "l_n") + 1e-9 >= similarity * F.greatest("n", "l_n")
+    most = F.least("rest", "l_rest") * (1 + similarity) + 1e-9 >= similarity * both
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"l_{p}"))) for p in _PARITY), F.col("alone") + F.col("l_alone"))
+    return sizes & most & (differ * (1 + similarity) <= (1 - similarity) * both + 1e-9)
+
+
+def _in_rounds(sets: DataFrame, similarity: float, leaders: int = 4) -> DataFrame:
+    """``similar_groups`` for comps of any size.
+
+    Each round takes some leaders of every shingle that still has several labels (four times as many as in the round
+    before), verifies them against the others, and joins the labels; leaders are then done. Sets of which others hold
+    the largest share lead first, so an original comes before its edited copies, which it links at once.
+    """
     label = cut(sets.select("node", F.col("node").alias("label")))
-    rows = cut(rows.withColumn("label", F.col("node")))
-    key = ["comp", "s"]
+    rows = cut(_prefixes(sets, similarity).withColumn("label", F.col("node")))
+    key, carried = ["comp", "s"], ("n", "alone", "rest", *_PARITY)
     while True:
         mixed = cut(rows.groupBy(key).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select(key))
         cur = cut(rows.join(mixed, key, "left_semi"))
         if cur.isEmpty():
             return label
         lot = F.pmod(F.xxhash64("node"), F.lit(leaders))
-        lead = cur.groupBy(*key, lot.alias("lot")).agg(F.min(F.struct("rank", "node", "label", "n", "idx")).alias("x"))
-        lead = cut(lead.select(*key, *[F.col(f"x.{c}").alias(f"l_{c}") for c in ("node", "label", "n", "idx")]))
-        sizes = F.least("n", "l_n") + 1e-9 >= similarity * F.greatest("n", "l_n")
-        role = (F.col("idx") & (F.col("n") <= F.col("l_n"))) | (F.col("l_idx") & (F.col("l_n") <= F.col("n")))
-        pairs = cur.join(lead, key).filter((F.col("label") != F.col("l_label")) & sizes & role).select(F.col("node").alias("a"), F.col("l_node").alias("b"), F.col("label").alias("la"), F.col("l_label").alias("lb")).distinct()
+        lead = cur.groupBy(*key, lot.alias("lot")).agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("rank"), "node", "label", *carried)).alias("x"))
+        lead = cut(lead.select(*key, *[F.col(f"x.{c}").alias(f"l_{c}") for c in ("node", "label", *carried)]))
+        pairs = cur.join(lead, key).filter((F.col("label") != F.col("l_label")) & _may_be_similar(similarity)).select(F.col("node").alias("a"), F.col("l_node").alias("b"), F.col("label").alias("la"), F.col("l_label").alias("lb")).distinct()
         side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
         enough = both * (1 + similarity) + 1e-9 >= similarity * (F.col("na") + F.col("nb"))

@@ -146,6 +146,13 @@ def copies(rng, n_bases, n_copies, words, edits):
     return out
 
 
+def test_texts_are_not_sent_back(spark, odd_docs):
+    docs = odd_docs.selectExpr("text", "'x' as node", "1L as comp", "1 as n")
+    for df in (S._marks(docs, "text", 5), S._sets(docs, "text", 5)):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert "text#" not in plan[plan.index("MapInArrow") :].split("\n")[0].rpartition(", [")[2]
+
+
 def test_similar_groups_equal_brute_force(spark):
     rng = random.Random(8)
     texts = list(dict.fromkeys(copies(rng, 4, 60, 120, (0, 5)) + copies(rng, 3, 40, 60, (1, 3)) + ["a b", "a b c d e f", "a b c d e g"]))
@@ -159,6 +166,22 @@ def test_similar_groups_equal_brute_force(spark):
     assert 10 < len(set(want)) < len(texts) - 50
 
 
+def test_pairs_of_a_shingle_are_written_only_if_they_may_be_similar(spark):
+    rng = random.Random(11)
+    pool = [rng.getrandbits(64) - (1 << 63) for _ in range(240)]
+    sets = [set(rng.sample(pool, rng.randint(70, 90))) for _ in range(40)]  # of any two, a fifth or so is shared
+    sets += [set(rng.sample(sorted(s), len(s) - 5)) | set(rng.sample(range(1 << 60), k % 4)) for k, s in enumerate(sets)]
+    rows = [(f"{i:03}", 1, len(s), sorted(s)) for i, s in enumerate(sets)]
+    at = S._prefixes(spark.createDataFrame(rows, "node string, comp long, n int, s array<long>"), 0.5).cache()
+    other = at.select("s", *[S.F.col(c).alias(f"l_{c}") for c in ("node", "n", "alone", "rest", *S._PARITY)])
+    meet = at.join(other, "s").filter("node < l_node")
+    got = {(r.node, r.l_node) for r in meet.filter(S._may_be_similar(0.5)).select("node", "l_node").collect()}
+    want = {(f"{i:03}", f"{j:03}") for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 2 * len(a & b) >= len(a | b)}
+    assert want <= got and len(want) >= 40
+    assert 2 * len(got) < meet.select("node", "l_node").distinct().count()
+    at.unpersist()
+
+
 def test_one_of_each_five_word_group_stays(spark):
     rng = random.Random(9)
     texts = copies(rng, 40, 4, 150, (0, 4)) + copies(rng, 6, 10, 80, (3, 12)) + ["x y", "X y", "", None, " "]

@@ -80,6 +80,17 @@ def test_secrets_on_odd_rows(spark, odd_docs, no_docs):
     assert clean == {1: 'é [SECRET]" x', 2: None, 3: ""}
     assert secret_scan.find_secrets(odd_docs).filter("size(secrets) > 0").count() == 0
     assert secret_scan.find_secrets(no_docs).count() == 0
+    at_once = secret_scan.find_and_redact(df)
+    assert {r.doc_id: r.text for r in at_once.collect()} == clean and at_once.columns == df.columns
+
+
+def test_pipeline_takes_one_worker_a_task_and_no_text_back(spark, odd_docs):
+    import corpus_pipeline
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(corpus_pipeline.redact_secrets(spark, odd_docs, "")).count("MapInArrow") == 1
+    encoded = plan(corpus_pipeline.encode(spark, odd_docs, ""))
+    assert encoded.count("MapInArrow") == 1 and "text#" not in encoded[encoded.index("MapInArrow") :].split("\n")[0].rpartition(", [")[2]
 
 
 def test_media_round_trip():
