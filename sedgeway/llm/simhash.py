@@ -19,11 +19,14 @@ forest of its links, so a group's pairs are never written out. A bucket of more
 to several tasks: each holds a share of its fingerprints, and all of the bucket's rows pass by each share. A
 bucket of n rows so takes n / BLOCK copies of each; the plan counts that in ``PAIR_COST``.
 
-``keep_one`` is the stage for near copies by word shingles: it takes the fingerprints of three-word shingles
-within ``SEARCH_DISTANCE`` bits as candidates (texts of too different sizes are left out where buckets are
-compared) and links two texts of a candidate group if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, exactly. Within a group, only texts that share one of their rarest shingles can
-be that similar (with the group's own counts as the order, and prefixes as long as that similarity needs);
+``keep_one`` is the stage for near copies by word shingles: it links two texts if their sets of five-word
+shingles have a Jaccard similarity of 0.8 or more. Sets that similar share a shingle among the first fifth of
+each, in any order that all texts keep: that of the shingles' hashes, with those that are frequent in a sample
+last, so that few texts meet in a shingle. A text goes to the buckets of these shingles, whatever the number of
+texts; texts of a bucket are candidates if their sizes allow it and their fingerprints of three-word shingles
+are within ``SEARCH_DISTANCE`` bits. Two texts of a candidate group are then compared exactly. Within a group,
+only texts that share one of their rarest shingles can be that similar (the same with the group's own counts as
+the order);
 such sharers, but for those that bounds by place and by parities rule out, are joined to a few leaders of
 each shingle at a time, verified, and what is already connected is not looked at again, so that no group's
 pairs are written out.
@@ -40,6 +43,7 @@ the same names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,7 +64,12 @@ MAX_DISTANCE = 3
 #: The stage for near copies: words of a shingle, similarity, and bits within which fingerprints are candidates.
 SHINGLE = 5
 SIMILARITY = 0.8
-SEARCH_DISTANCE = 11
+SEARCH_DISTANCE = 20
+#: The sample that tells frequent shingles: so many texts at least, one in so many of all; times that a frequent shingle is found there, and how many the tasks are told.
+SAMPLE = 10_000
+SAMPLE_EVERY = 32
+FREQUENT = 4
+MOST_FREQUENT = 1 << 16
 SEED = 42
 BITS = 64
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt to several.
@@ -325,7 +334,7 @@ class Bucket:
                         self.label[self.label == x] = keep
 
 
-def _small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def _small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int, ratio: float) -> Iterator[tuple[int, int]]:
     """Links within many small buckets at once; rows of a bucket are together, its own before its probes."""
     root: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -339,7 +348,8 @@ def _small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, limit: int) ->
         same = group[shift:] == group[:-shift]
         if not same.any():
             break
-        hit = np.flatnonzero(same & (probe[:-shift] == 0) & (np.bitwise_count(fp[shift:] ^ fp[:-shift]) <= limit) & (fp[shift:] != fp[:-shift]))
+        sizes = (hi[shift:] + 1e-6 >= ratio * lo[:-shift]) & (hi[:-shift] + 1e-6 >= ratio * lo[shift:])
+        hit = np.flatnonzero(same & sizes & (probe[:-shift] == 0) & (np.bitwise_count(fp[shift:] ^ fp[:-shift]) <= limit) & (fp[shift:] != fp[:-shift]))
         for i in hit.tolist():
             g = int(group[i])
             a, b = find((g, int(fp[i]))), find((g, int(fp[i + shift])))
@@ -393,7 +403,7 @@ def links(rows: DataFrame, max_distance: int = MAX_DISTANCE, ratio: float = 0.0)
             if small.any():
                 group = np.zeros(len(fp), dtype=np.int64)
                 group[new] = 1
-                found += _small(np.cumsum(group)[small], probe[small], fp[small], max_distance)
+                found += _small(np.cumsum(group)[small], probe[small], fp[small], lo[small], hi[small], max_distance, ratio)
             yield out(found)
         if bucket is not None:
             yield out(list(bucket.close()))
@@ -430,23 +440,63 @@ def shingle_set(text: bytes, n_words: int = SHINGLE, seed: int = SEED) -> np.nda
     return _set_of(text.lower().split(), n_words, seed)
 
 
-def _marks(df: DataFrame, text: str, n_words: int) -> DataFrame:
-    """``df`` without ``text``, with ``fp``, and size ``n`` and hash ``h`` of the set of shingles of ``n_words`` words."""
+def _frequent(df: DataFrame, text: str, key: str, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many texts of ``df`` share, in order, and their ranks, the most frequent last.
+
+    They are those of a sample of the different values of ``key``, the text's hash. They set an order of all shingles,
+    which moves cost and no result.
+    """
+    every = max(1, min(SAMPLE_EVERY, df.count() // SAMPLE))
+    some = df.select(text, key).filter(F.pmod(key, F.lit(every)) == 0).dropDuplicates([key])
+
+    def make():
+        return lambda batch: {"s": [shingle_set(t or b"", n_words) for t in batch.column(text).cast(pa.binary()).to_pylist()]}
+
+    sets = map_arrow(some, text, make, T.StructType([T.StructField("s", T.ArrayType(T.LongType()))]), keep=False)
+    times = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("times")).filter(F.col("times") >= FREQUENT)
+    top = times.orderBy(F.desc("times"), "s").limit(MOST_FREQUENT).toArrow()["s"].to_numpy()
+    order = np.argsort(top)
+    return top[order], -order
+
+
+def _prefix(found: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Those of the shingles ``found``, in order, of which every set of that similarity has one among its own such."""
+    length = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    known, rank = frequent
+    if not len(known):
+        return found[:length]
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    often = known[at] == found
+    rare = found[~often][:length]
+    return np.concatenate([rare, found[often][np.argsort(rank[at[often]])][: length - len(rare)]])
+
+
+def _marks(df: DataFrame, text: str, n_words: int, similarity: float = SIMILARITY, frequent: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))) -> DataFrame:
+    """``df`` without ``text``, with ``fp``, and size ``n``, hash ``h`` and ``prefix`` of the set of shingles of ``n_words`` words."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"fp": [], "n": [], "h": []}
+            out: dict[str, list] = {"fp": [], "n": [], "h": [], "prefix": []}
             for t in batch.column(text).cast(pa.binary()).to_pylist():
                 words = (t or b"").lower().split()
                 found = _set_of(words, n_words)
                 out["fp"].append(_vote(words, WORDS, SEED))
                 out["n"].append(len(found))
                 out["h"].append(xxhash.xxh3_64_intdigest(found.tobytes()))
-            return {"fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64)), "n": pa.array(out["n"], pa.int32()), "h": pa.array(np.array(out["h"], np.uint64).view(np.int64))}
+                out["prefix"].append(_prefix(found, similarity, frequent))
+            return {"fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64)), "n": pa.array(out["n"], pa.int32()), "h": pa.array(np.array(out["h"], np.uint64).view(np.int64)), "prefix": out["prefix"]}
 
         return work
 
-    return map_arrow(df, text, make, T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]), keep=False)
+    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    return map_arrow(df, text, make, T.StructType(fields), keep=False)
+
+
+def prefix_rows(nodes: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` (fp, n, prefix) as ``bucket_rows``: one for each shingle of a prefix that several prefixes hold."""
+    each = nodes.select(F.explode("prefix").alias("key"), "fp", "n")
+    met = each.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
+    return met.select(F.lit(0).alias("part"), "key", F.lit(0).alias("probe"), "fp", F.col("n").alias("lo"), F.col("n").alias("hi"))
 
 
 def _sets(df: DataFrame, text: str, n_words: int) -> DataFrame:
@@ -581,11 +631,12 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words:
     """One row of ``df`` for each group: that of the least doc_id, null the last, and of its texts that of least hash."""
     keys = ["_no", "_id", "_hash"]
     named = df.withColumns({"_no": F.col(doc_id).isNull(), "_id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_hash": F.xxhash64(text)})
-    each = _marks(named.select(doc_id, text, *keys), text, n_words).select("fp", "h", "n", F.struct("_no", doc_id, "_hash", "_id").alias("row"))
-    nodes = cut(each.groupBy("fp", "h").agg(F.min("row").alias("row"), F.max("n").alias("n")))
-    fps = cut(nodes.groupBy("fp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("nodes")))
-    n, counts = bit_counts(fps)
-    linked = connected_components(links(bucket_rows(fps, plan_parts(n, counts, max_distance)), max_distance, similarity))
+    each = _marks(named.select(doc_id, text, *keys), text, n_words, similarity, _frequent(named, text, "_hash", n_words)).select("fp", "h", "n", "prefix", F.struct("_no", doc_id, "_hash", "_id").alias("row"))
+    nodes = cut(each.groupBy("fp", "h").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("prefix").alias("prefix")))
+    fps = cut(nodes.groupBy("fp").agg(F.count("*").alias("nodes")))
+    met = cut(prefix_rows(nodes))
+    linked = connected_components(links(met, max_distance, similarity))
+    discard(met)
     comp = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", F.when((F.col("nodes") > 1) | F.col("root").isNotNull(), F.coalesce("root", "fp")).alias("_comp"))
     node = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("fp", "h")]).alias("_node")
     first = cut(nodes.join(comp, "fp").select(node, "_comp", F.col("n").alias("_n"), F.struct("row._no", f"row.{doc_id}", "row._hash", "row._id").alias("_row"), "row._no", "row._id", "row._hash"))

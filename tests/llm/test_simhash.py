@@ -200,6 +200,42 @@ def test_one_of_each_five_word_group_stays(spark):
     assert linked >= 0.9 * len(near) > 20  # what the search itself misses
 
 
+def test_similar_sets_meet_in_their_prefixes():
+    rng = random.Random(12)
+    pool = np.array(sorted(rng.getrandbits(64) - (1 << 63) for _ in range(400)), dtype=np.int64)
+    known = np.sort(rng.sample(pool.tolist(), 150))
+    for frequent in ((known[:0], known[:0]), (known, np.array(rng.sample(range(150), 150)))):
+        for n in [0, 1, 2, 3, 4, 5, 9, 10, *(rng.randint(6, 200) for _ in range(300))]:
+            a = set(rng.sample(pool.tolist(), n))
+            b = set(rng.sample(sorted(a), n - rng.randint(0, n // 9))) | set(rng.sample(pool.tolist(), rng.randint(0, n // 9)))
+            x, y = (S._prefix(np.array(sorted(s), dtype=np.int64), 0.8, frequent) for s in (a, b))
+            assert 10 * len(a & b) < 8 * len(a | b) or not a or set(x.tolist()) & set(y.tolist())
+            assert len(x) == min(len(a), len(a) - -(-8 * len(a) // 10) + 1)
+            rare = set(a) - set(frequent[0].tolist())
+            assert len(rare & set(x.tolist())) == min(len(rare), len(x))
+
+
+def test_texts_meet_by_shingles_that_they_share(spark, monkeypatch):
+    rng = random.Random(13)
+    line = " ".join(f"notice{i}" for i in range(10))
+    alone = [f"{line} {i} {t}" for i, t in enumerate(copies(rng, 60, 1, 90, (0, 0)))]
+    met, links = [], S.links
+    monkeypatch.setattr(S, "links", lambda rows, *more: met.append(rows.count()) or links(rows, *more))
+    assert S.keep_one(spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")).count() == 60
+    assert met == [0]  # neither by numbers alone, however many texts, nor by a line that all hold
+
+
+def test_similar_texts_of_distant_fingerprints_are_found(spark):
+    rng, pairs = random.Random(14), []
+    while len(pairs) < 8:
+        base, other = copies(rng, 1, 2, 60, (0, 1))
+        a, b = five(base), five(other)
+        if 10 * len(a & b) >= 8 * len(a | b) and bin(slow_fingerprint(base) ^ slow_fingerprint(other)).count("1") > 11:
+            pairs.append((base, other))
+    rows = list(enumerate(t for p in pairs for t in p))
+    assert sorted(r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()) == [2 * i for i in range(8)]
+
+
 def test_long_chains_settle_and_estimates_stay_small(spark):
     from pyspark.sql import functions as F
 
